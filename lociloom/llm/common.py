@@ -91,3 +91,17 @@ def with_columns(df: DataFrame, added: str, make: Callable[[], Callable[[pa.Reco
 def texts(b: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return [x or "" for x in b.column(b.schema.get_field_index(name)).to_pylist()]
+
+
+class Memory(dict):
+    """Results of a function by argument; all are forgotten when there are `bound` of them."""
+
+    def __init__(self, function: Callable, bound: int):
+        self.function, self.bound = function, bound
+
+    def __missing__(self, key):
+        found = self.function(key)
+        if len(self) >= self.bound:
+            self.clear()
+        self[key] = found
+        return found

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, texts, with_columns
+from .common import Memory, filled, texts, with_columns
 
 MARK = "▁"
 
@@ -34,7 +35,7 @@ MARK = "▁"
 class PrefixTable:
     """The encoder for one model file. memory: how many parts are remembered before all are forgotten."""
 
-    def __init__(self, model_file: str, memory: int = 300_000):
+    def __init__(self, model_file: str, memory: int = 600_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
@@ -67,7 +68,9 @@ class PrefixTable:
             self.cut = re.compile("(?s).+")
         else:
             self.cut = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|{lone}" if lone else ""))
-        self.memory, self.known, self.pairs = memory, {}, {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known = Memory(lambda s: array("I", self.part(s)).tobytes(), memory)
+        self.frame = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
 
     def merged(self, s: str) -> tuple[list[int], tuple[int, int] | None]:
         """Encodes s by merging step by step; also gives the last pair merged. Characters that are no piece are -1 - code."""
@@ -151,22 +154,10 @@ class PrefixTable:
 
     def packed(self, text: str) -> bytes:
         """All ids of a text with begin and end, as little-endian unsigned 32-bit integers."""
-        known = self.known
-        parts = self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = parts
-        for p in new:
-            if p not in known:
-                known[p] = np.array(self.part(p), "<u4").tobytes()
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
-        frame = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")
-        out = b"".join([frame[0], *map(known.__getitem__, parts), frame[1]])
-        if len(known) > self.memory:
-            known.clear()
-        return out
+        parts = self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+        return b"".join([self.frame[0], *map(self.known.__getitem__, parts), self.frame[1]])
 
     def decode(self, packed: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in packed], num_threads=1) if packed else []
@@ -182,7 +173,7 @@ def held(model_file: str, memory: int) -> PrefixTable:
     return _held[model_file, memory]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 600_000) -> DataFrame:
     """docs with the packed ids (binary) of each text and, unless None, the text decoded from them."""
 
     def make():
@@ -197,7 +188,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     return with_columns(docs, f"`{ids}` binary" + f", `{decoded}` string" * bool(decoded), make)
 
 
-def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 600_000) -> DataFrame:
     """Per document its id, number of ids and the SHA-256 of ids and decoded text; ids and texts stay in the worker."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
 

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import prefix_table, stream_dedup
-from .common import table
+from . import gam, prefix_table, stream_dedup, wavelet
+from .common import remainder, table
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = gam.fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    rows = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text")
+    return gam.score(rows, model, keep=["doc_id", "held_out"])
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
@@ -17,9 +25,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_file", "_row")
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return wavelet.read(wavelet.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_shards": op10_token_shards,
 }
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
