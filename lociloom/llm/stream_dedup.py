@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import drop_dir, filled, shared_dir, stored
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of the stream. RocksDB otherwise reserves megabytes for each store, however little it holds.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Size of the bitmap that finds rows of hit digests: so many pages of 32,768 bits (16 MB), whatever the input.
 PAGES = 4096
 
@@ -36,12 +40,18 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """docs as rows of Parquet files, so that file and row number locate them; written below the shared folder if need be."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return stored(docs, shared_dir(docs.sparkSession, "located"))
+    return docs
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with the columns _file and _row by which a row is found again."""
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:  # not read from Parquet files: equal rows are interchangeable
-        return docs.select("*", F.xxhash64(filled()).alias("_file"), F.lit(0).cast("long").alias("_row"))
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def records(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -50,8 +60,9 @@ def records(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def run_stream(spark: SparkSession, folder: str, state: str, files_per_batch: int | None = None) -> None:
     """Feeds all new record files of the folder into the state and ends."""
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         feed = spark.readStream.schema("doc_id long, digest string, _file long, _row long")
         feed = feed.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else feed
@@ -60,7 +71,8 @@ def run_stream(spark: SparkSession, folder: str, state: str, files_per_batch: in
         query = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
@@ -97,7 +109,7 @@ def exact_dedup(docs: DataFrame, state: str | None = None, files_per_batch: int
     state: folder of a state to go on with, as left by an earlier call; by default a new one.
     digest: gives the key of a normalised text; another than SHA-256 serves to test its collisions.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, filed(docs)
     base = shared_dir(spark, "dedup")
     rec = stored(records(docs, digest), f"{base}/records")
     where = state or f"{base}/state"
@@ -123,6 +135,7 @@ def exact_dedup(docs: DataFrame, state: str | None = None, files_per_batch: int
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat an earlier text."""
+    docs = filed(docs)
     gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), "_file", "_row")
     here = located(docs)
     near = here.join(gone, (here["_file"] == gone["_file"]) & (here["_row"] == gone["_row"]) & here["doc_id"].cast("long").eqNullSafe(gone["_id"]), "anti")
