@@ -105,3 +105,20 @@ class Memory(dict):
             self.clear()
         self[key] = found
         return found
+
+
+#: Size of the bitmap that in_bitmap passes to all tasks: so many pages of 32,768 bits (16 MB), whatever the input.
+PAGES = 4096
+
+
+def in_bitmap(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose key may be among the wanted keys: all that are, and some by chance of the hash.
+
+    What is passed to all tasks is a bitmap of a fixed size; with very many wanted keys it only lets more rows pass.
+    """
+    page = lambda c: F.pmod(F.xxhash64(c), F.lit(PAGES)).cast("int")
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit("bit")), F.lit(32768)).cast("int")
+    pages = wanted.groupBy(page(wanted_key).alias("_page")).agg(F.bitmap_construct_agg(bit(wanted_key).cast("long")).alias("_bits"))
+    near = rows.withColumns({"_page": page(key), "_at": bit(key)}).join(F.broadcast(pages), "_page")  # PAGES rows of 4 KB at most
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    return near.where(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0).drop("_page", "_at", "_bits")

@@ -1,0 +1,32 @@
+"""Connected components by smallest label, with pointer jumping; nothing is gathered on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import shared_dir, stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v, label (the smallest v of its component) for every v in the edges (a, b). Loops and repeated edges do no harm.
+
+    In each round every vertex takes the smallest label among its neighbours and itself, then the label of
+    that label. Both halve the distances, and the rounds end when nothing changes. A hub is no harm: smallest labels
+    are combined before they are shuffled.
+    """
+    spark = edges.sparkSession
+    base = shared_dir(spark, "components")
+    both = stored(edges.select("a", "b").where("a != b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a != b")).distinct(), f"{base}/edges")
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{base}/0")
+    k = 0
+    while True:
+        k += 1
+        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("over"))
+        step = step.join(jump, "label", "left").select("v", F.least("label", F.coalesce("over", "label")).alias("label"), "old")
+        done = stored(step, f"{base}/{k}")
+        if done.where("label != old").isEmpty():
+            return done.select("v", "label")
+        labels = done.select("v", "label")

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, prefix_table, stream_dedup, wavelet
+from . import chat_tree, gam, order_minhash, prefix_table, stream_dedup, templates, wavelet
 from .common import remainder, table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_dedup(table(spark, sf_dir, "documents")).drop("_file", "_row")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = gam.fit(docs, labels.where(remainder("doc_id", 4) != 2))
@@ -21,24 +25,87 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None =
     return prefix_table.digests(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_file", "_row")
 
 
+#: A conversation whose texts look like another template's control strings.
+TRAP = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    return chat_tree.read_back(chat_tree.format_trees(rows.unionByName(trap)))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return wavelet.read(wavelet.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontamination": op5_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_chat_trees": op9_chat_trees,
     "op10_token_shards": op10_token_shards,
 }
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_W, _COVER = templates.WINDOW, templates.COVER
+
+#: Token by token what templates.template does to the whole text.
+_SEQUENCE = f"""
+    SELECT id, raw, list_transform(range(1, len(num) + 1), lambda i:
+        CASE WHEN i > 1 AND num[i - 1] LIKE '%#' AND regexp_full_match(num[i], '(?:{templates.UNITS})', 'i') THEN '%'
+             WHEN regexp_matches(num[i], '^\\p{{Lu}}') THEN '@' ELSE lower(num[i]) END) AS canon
+    FROM (SELECT id, string_split(c, ' ') AS raw, string_split(regexp_replace(c, '\\p{{N}}+', '#', 'g'), ' ') AS num
+          FROM (SELECT %s AS id, trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS c FROM %s))
+"""
+
+
+def _sequence(key: str, name: str) -> str:
+    return _SEQUENCE.replace("%s", key, 1).replace("%s", name, 1)
+
+
+_ESCAPED = r"length(regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)', '\1_\2', 'g'), '(\[)(/?INST\])', '\1_\2', 'g'))"
+
 ORACLE = {
+    "op5_decontamination": f"""
+        WITH d AS ({_sequence("doc_id", "documents")}), b AS ({_sequence("item_id", "benchmark")}),
+        dw AS (SELECT id AS doc_id, raw, p, canon[p:p + {_W - 1}] AS w FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS p FROM d)),
+        bw AS (SELECT * FROM (SELECT id AS item_id, raw AS item_raw, len(canon) AS item_words, q, canon[q:q + {_W - 1}] AS w
+                              FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS q FROM b))
+               WHERE len(list_filter(w, lambda x: x NOT IN ('#', '%', '@'))) * 2 >= {_W}),
+        hit AS (SELECT doc_id, item_id, item_words, p - q AS diagonal, q, unnest(range(0, {_W})) AS k, w, raw, item_raw, p FROM dw JOIN bw USING (w)),
+        place AS (SELECT doc_id, item_id, item_words, diagonal, q + k AS place, any_value(w[k + 1]) AS c, any_value(item_raw[q + k]) AS iw,
+                         any_value(raw[p + k]) AS dw, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS starts FROM hit GROUP BY ALL),
+        filling AS (SELECT doc_id, item_id, item_words, diagonal, CASE WHEN c IN ('#', '%', '@') THEN concat(c, iw) END AS f,
+                           count(*) AS places, sum(starts) AS starts, min(dw) AS low, max(dw) AS high, any_value(iw) AS own FROM place GROUP BY ALL),
+        whole AS (SELECT doc_id, item_id, item_words, diagonal, sum(starts) AS n_windows, sum(places) AS matched_words,
+                         count(CASE WHEN f IS NOT NULL AND low <> high THEN 1 END) AS clashes,
+                         count(CASE WHEN f IS NOT NULL AND low <> own THEN 1 END) AS changed_slots FROM filling GROUP BY ALL)
+        SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, matched_words::BIGINT AS matched_words, item_words::BIGINT AS item_words, changed_slots::BIGINT AS changed_slots
+        FROM whole WHERE clashes = 0 AND matched_words >= {_COVER} * item_words
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item_words ORDER BY matched_words DESC, n_windows DESC, changed_slots) = 1
+    """,
+    "op9_chat_trees": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '{TRAP}'), (-7, 1, 'assistant', '{TRAP}')),
+        e AS (SELECT *, {_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {len(chat_tree.TURN + chat_tree.TEXT + chat_tree.END)} AS n FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(n)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op7_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256

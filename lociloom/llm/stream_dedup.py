@@ -21,15 +21,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_dir, filled, shared_dir, stored
+from .common import drop_dir, filled, in_bitmap, shared_dir, stored
 
 #: Of the stream. RocksDB otherwise reserves megabytes for each store, however little it holds.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Size of the bitmap that finds rows of hit digests: so many pages of 32,768 bits (16 MB), whatever the input.
-PAGES = 4096
 
 
 def normal(text: str = "text") -> Column:
@@ -82,23 +80,11 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
     return s.select(F.col("key.digest").alias("digest"), F.col(value[0]).alias("first"), F.col(value[1]).alias("n"))
 
 
-def page(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(PAGES)).cast("int")
-
-
-def bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit("bit")), F.lit(32768)).cast("int")
-
-
 def same_bytes(docs: DataFrame, state: DataFrame, digest=sha256) -> DataFrame:
     """A row for each digest hit more than once and full text under it: digest, text, first, n."""
     hit = state.where("n > 1").select("digest")
-    pages = hit.groupBy(page(F.col("digest")).alias("_page")).agg(F.bitmap_construct_agg(bit(F.col("digest")).cast("long")).alias("_bits"))
     rows = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), normal().alias("text"), "_file", "_row").withColumn("digest", digest(F.col("text")))
-    rows = rows.withColumn("_page", page(F.col("digest"))).join(F.broadcast(pages), "_page")  # PAGES rows of 4 KB at most
-    at = bit(F.col("digest"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
-    rows = rows.withColumn("_at", at).where(byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0)
+    rows = in_bitmap(rows, F.col("digest"), hit, F.col("digest"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
     return rows.groupBy("digest", "text").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
 
