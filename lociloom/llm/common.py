@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 #: Rows in one Arrow batch; whole texts travel in them, so that the batch stays in memory.
 BATCH_ROWS = 1000
 
@@ -44,7 +46,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the Arrow batch to BATCH_ROWS rows if the session holds more."""
+    """Readies the session for Python workers: this package is there, and an Arrow batch has BATCH_ROWS rows at most."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -27,6 +27,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,10 @@ from .common import Memory, filled, shared_dir, small_batches, stored, texts
 
 MAGIC = b"WMSHARD1"
 STEP = 512
+#: ASCII marks at a word's end, at which the tokenizer always parts (not the apostrophe, which may begin a contraction).
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: How a byte-level tokenizer writes bytes that are not printable characters of Latin-1.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WaveletMatrix:
@@ -54,9 +59,9 @@ class WaveletMatrix:
         for k in range(levels - 1, -1, -1):
             ones = (now & codes.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = now[~ones]
+            low = now.compress(~ones)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, now.compress(ones)])
         return cls(len(codes), planes, zeros)
 
     def plane(self, k: int) -> np.ndarray:
@@ -74,8 +79,8 @@ class WaveletMatrix:
             if z == self.n:
                 continue
             before = np.empty(self.n, dtype)
-            before[~ones] = out[:z]
-            before[ones] = out[z:] | dtype(1 << (last - k))
+            before[np.flatnonzero(~ones)] = out[:z]
+            before[np.flatnonzero(ones)] = out[z:] | dtype(1 << (last - k))
             out = before
         return out
 
@@ -201,7 +206,7 @@ class WordMemory:
     has combining marks, with which they could form one character.
     """
 
-    def __init__(self, path: str, end: int, memory: int = 600_000):
+    def __init__(self, path: str, end: int, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -211,12 +216,18 @@ class WordMemory:
         self.end, self.known = array("I", [end]).tobytes(), Memory(self.one, memory)
 
     def one(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone are one unit of the tokenizer's model
-            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes() if word.islower() else self.whole(word)
-        if word[-1:] in (b".", b",") and word[:-1].isalpha() and word.islower():
-            return self.known[word[:-1]] + self.whole(word[-1:])
+        body = word.rstrip(MARKS)
+        if len(body) < len(word):
+            return self.known[body] + self.known[word[len(body) :]] if body and self.letters(body) else self.whole(word)
+        if self.letters(word):
+            return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return self.whole(word)
 
+    def letters(self, word: bytes) -> bool:
+        """True if the tokenizer hands the word to its model as it is: small Latin letters in composed form alone."""
+        s = word.decode()
+        return s.isalpha() and s.islower() and (s.isascii() or max(s) < "\u0250" and is_normalized("NFC", s))
+
     def whole(self, word: bytes) -> bytes:
         return array("I", self.encoder.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
@@ -237,7 +248,7 @@ def held(path: str, end: int) -> WordMemory:
     return _held[path, end]
 
 
-def write(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 << 22) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 << 20) -> DataFrame:
     """Writes the shards and gives the manifest: part, shard, path, docs, tokens, bytes, start (tokens before it)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -305,5 +316,6 @@ def read(manifest: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    dealt = manifest.select("folder", "path", "start").repartition(F.xxhash64("path"))
+    # a number of partitions that is given is not coalesced: small rows, large files
+    dealt = manifest.select("folder", "path", "start").repartition(max(1, min(manifest.count(), 20_000)), F.xxhash64("path"))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
