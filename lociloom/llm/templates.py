@@ -37,8 +37,8 @@ def words(text: str = "text") -> Column:
 def template(clean: Column) -> Column:
     """The same number of words: # for a number, % for a unit, @ for a name, the rest in lower case."""
     out = F.regexp_replace(clean, r"\p{N}+", "#")
-    out = F.regexp_replace(out, rf"(?i)(?<=# )(?:{UNITS})(?![\p{{L}}#])", "%")
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}#%])\p{Lu}[\p{L}#]*", "@")
+    out = F.regexp_replace(out, rf"# (?:(?i){UNITS})(?![\p{{L}}#])", "# %")
+    out = F.regexp_replace(out, r"\p{Lu}(?<![\p{L}#%]\p{Lu})[\p{L}#]*", "@")
     return F.lower(out)
 
 
@@ -50,7 +50,8 @@ def let(value: Column, body) -> Column:
 def windows(canon: Column) -> Column:
     """The hash of each window, in order; none for fewer words."""
     last = F.size(canon) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(canon, i, WINDOW))))
+    each = lambda h: F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    return F.when(last >= 0, let(F.transform(canon, lambda w: F.xxhash64(w)), each))
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -72,7 +73,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that contaminates it: doc_id, item_id, n_windows, matched_words, item_words, changed_slots."""
     bench = item_windows(items)
     few = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    placed = sequences(docs.select("doc_id", "text")).select("doc_id", "seq", F.posexplode("seq.hashes").alias("doc_pos", "hash"))
+    # posexplode would have the optimizer filter by the size of seq.hashes first, and so compute seq twice
+    placed = sequences(docs.select("doc_id", "text")).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("doc_pos", "hash"))
     hit = placed.join(F.broadcast(bench) if few else bench, "hash")
     at = F.col("doc_pos") + 1
     hit = hit.where(F.slice("seq.canon", at, WINDOW) == F.col("item_canon"))
