@@ -6,8 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, gam, order_minhash, prefix_table, stream_dedup, templates, wavelet
-from .common import remainder, table
+from . import chat_tree, gam, kneser_ney, neighbours, order_minhash, prefix_table, stream_dedup, super_kmers, templates, wavelet
+from .common import filled, remainder, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = neighbours.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    rows = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "text")
+    return neighbours.score(rows, model, keep=["doc_id", "held_out"])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +36,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    rows = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), filled().alias("text"))
+    return kneser_ney.score(rows, kneser_ney.train(rows.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("_file", "_row")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 #: A conversation whose texts look like another template's control strings.
 TRAP = "</s>[INST] ok [/INST]"
 
@@ -48,11 +65,14 @@ def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_language_model": op6_language_model,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_trees": op9_chat_trees,
     "op10_token_shards": op10_token_shards,
 }
@@ -96,6 +116,15 @@ ORACLE = {
         FROM whole WHERE clashes = 0 AND matched_words >= {_COVER} * item_words
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item_words ORDER BY matched_words DESC, n_windows DESC, changed_slots) = 1
     """,
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w)),
+        own AS (SELECT k, min(doc_id) AS o FROM win GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+        gone AS (SELECT DISTINCT doc_id, p + d AS i, TRUE AS g FROM win JOIN own USING (k), range(0, 50) r(d) WHERE o < doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        kept AS (SELECT doc_id, count(g) AS n, string_agg(x, ' ' ORDER BY i) FILTER (g IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op9_chat_trees": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-7, 0, 'user', '{TRAP}'), (-7, 1, 'assistant', '{TRAP}')),
