@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 Texts are bags of words (lower-cased, ASCII marks part words). The terms are the words whose presence goes with
-the label beyond chance among the examples (chi-square, corrected for the number of words tested); their document frequencies
+the label beyond chance among the examples (chi-square, corrected for the number of words tested) and that occur in a share RARE of one label's; their document frequencies
 are counted over all documents. A vector holds (1 + ln tf) * idf, scaled to length one, and similarity is the
 cosine. The examples lie in blocks of an inverted index that keeps every term's largest weight in each
 block: a query bounds every block's best cosine by these, takes the blocks in falling order of their bounds and stops when no
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import filled, shared_dir, small_batches, stored, texts, with_columns
 
 K, EVIDENCE, BLOCK = 25, 3, 64
+#: A term occurs in this share of the examples of one label at least.
+RARE = 0.02
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -190,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples:
     n0, n1 = F.col("n0"), F.col("n1")
     n = n0 + n1
     chi = F.pow(n1 * (a - n0) - n0 * (b - n1), 2) * (a + b) / F.greatest(n * (a + b - n) * a * b, F.lit(1e-9))
-    best = table.withColumn("chi", chi).where(F.col("chi") > 2 * float(np.log(100 * max(tested, 1)))).orderBy(F.desc("chi"), "word").limit(max_terms).collect()  # max_terms words at most
+    common = (n0 >= max(3.0, RARE * a)) | (n1 >= max(3.0, RARE * b))  # else words of one text and its near copies would pass
+    best = table.where(common).withColumn("chi", chi).where(F.col("chi") > 2 * float(np.log(100 * max(tested, 1)))).orderBy(F.desc("chi"), "word").limit(max_terms).collect()  # max_terms words at most
     terms = {bytes(r["word"]): k for k, r in enumerate(best)}
 
     def frequency(b: pa.RecordBatch) -> pa.RecordBatch:
