@@ -17,6 +17,8 @@ gives one result row. An empty table gives an empty result. Columns of other nam
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,8 +58,8 @@ def records(docs: DataFrame, digest=sha256) -> DataFrame:
     return located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(normal()).alias("digest"), "_file", "_row")
 
 
-def run_stream(spark: SparkSession, folder: str, state: str, files_per_batch: int | None = None) -> None:
-    """Feeds all new record files of the folder into the state and ends."""
+def run_stream(spark: SparkSession, folders: str, state: str, files_per_batch: int | None = None) -> None:
+    """Feeds all new record files of the folders (a glob pattern) into the state and ends."""
     old = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
@@ -65,7 +67,7 @@ def run_stream(spark: SparkSession, folder: str, state: str, files_per_batch: in
         feed = spark.readStream.schema("doc_id long, digest string, _file long, _row long")
         feed = feed.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else feed
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
-        keyed = feed.parquet(folder).groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+        keyed = feed.parquet(folders).groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
         query = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
@@ -75,7 +77,7 @@ def run_stream(spark: SparkSession, folder: str, state: str, files_per_batch: in
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
     """digest, first (none, doc_id, _file, _row) and n as the state retains them."""
-    s = spark.read.format("statestore").load(state)
+    s = spark.read.format("statestore").load(f"{state}/state")
     value = [f"value.`{f.name}`" for f in s.schema["value"].dataType]
     return s.select(F.col("key.digest").alias("digest"), F.col(value[0]).alias("first"), F.col(value[1]).alias("n"))
 
@@ -92,17 +94,18 @@ def same_bytes(docs: DataFrame, state: DataFrame, digest=sha256) -> DataFrame:
 def exact_dedup(docs: DataFrame, state: str | None = None, files_per_batch: int | None = None, digest=sha256) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), _file, _row.
 
-    state: folder of a state to go on with, as left by an earlier call; by default a new one.
+    state: folder of a state to go on with, as left by an earlier call (or to leave one in); by default a new one that goes.
+    Ids and group sizes then take the earlier rows into account, whose texts are not compared again.
     digest: gives the key of a normalised text; another than SHA-256 serves to test its collisions.
     """
     spark, docs = docs.sparkSession, filed(docs)
     base = shared_dir(spark, "dedup")
-    rec = stored(records(docs, digest), f"{base}/records")
-    where = state or f"{base}/state"
-    run_stream(spark, f"{base}/records", where, files_per_batch)
+    where = state or base
+    rec = stored(records(docs, digest), f"{where}/records/{uuid.uuid4().hex}")
+    run_stream(spark, f"{where}/records/*", f"{where}/state", files_per_batch)
     keyed = stored(read_state(spark, where), f"{base}/index")
     if state is None:
-        drop_dir(spark, where)
+        drop_dir(spark, f"{where}/state")
     apart = same_bytes(docs, keyed, digest)
     mixed = apart.groupBy("digest").count().where("count > 1").select("digest")
     mixed = stored(mixed, f"{base}/mixed")
