@@ -39,7 +39,9 @@ END = xxh3_64_intdigest(b"")  # words are never empty
 ODD = 0x9E3779B97F4A7C15
 BACK = pow(ODD, -1, 1 << 64)
 #: So many different keys a task holds before it hands them on.
-HELD = 4_000_000
+HELD = 1_500_000
+#: So many texts are scored at once.
+AT_ONCE = 250
 
 
 def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -328,6 +330,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """docs (or its columns keep) with n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability)."""
 
     def make():
-        return lambda b: model.score(texts(b))
+        def batch(b):
+            x = texts(b)
+            parts = [model.score(x[i : i + AT_ONCE]) for i in range(0, len(x), AT_ONCE)] or [model.score([])]
+            return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+        return batch
 
     return with_columns(docs, "n_tokens long, n_known long, train_tokens long, base_score double, score double", make, keep)
