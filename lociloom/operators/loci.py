@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cigar_ops
 from ..params import MIN_CLIP, MIN_SV_SIZE
-from .alignments import mapped, multi_mapped, resolved
+from .alignments import mapped, multi_mapped, resolved, unmapped_reads, valid
 
 
 def inter_breakpoints(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,10 +68,9 @@ def sv_loci(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def signal_counters(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: valid alignments, loci by the kind of their first signal, unmapped reads."""
-    loci = sv_loci(alignments, nodes).agg(
-        F.count_if(F.col("sv_type") == "I").alias("insertions"), F.count_if(F.col("sv_type") == "D").alias("deletions"), F.count_if(F.col("type") == "INTER").alias("inter"), F.count_if(F.col("type") == "INTRA").alias("intra")
-    )
-    from .alignments import unmapped_reads, valid
-
-    one = valid(alignments).agg(F.count(F.lit(1)).alias("primary_valid"))
-    return loci.crossJoin(one).crossJoin(unmapped_reads(alignments).agg(F.count(F.lit(1)).alias("unmapped")))  # three rows of one
+    names = ("insertions", "deletions", "inter", "intra", "primary_valid", "unmapped")
+    only = lambda **counts: [counts.get(n, F.lit(0).cast("long")).alias(n) for n in names]
+    loci = sv_loci(alignments, nodes).agg(*only(insertions=F.count_if(F.col("sv_type") == "I"), deletions=F.count_if(F.col("sv_type") == "D"), inter=F.count_if(F.col("type") == "INTER"), intra=F.count_if(F.col("type") == "INTRA")))
+    one = valid(alignments).agg(*only(primary_valid=F.count(F.lit(1))))
+    other = unmapped_reads(alignments).agg(*only(unmapped=F.count(F.lit(1))))
+    return loci.unionByName(one).unionByName(other).agg(*[F.sum(n).alias(n) for n in names])

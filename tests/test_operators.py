@@ -331,6 +331,7 @@ def test_gap_affine_against_plain():
         b = "".join(c for c in a if rng.random() > 0.2) if rng.random() < 0.5 else "".join(rng.choice("ACG") for _ in range(rng.randint(0, 25)))
         ops = ga.operations(a, b)
         assert ga.penalty(ops) == penalty_plain(a, b), (a, b, ops)
+        assert ga.penalty(ga.operations(*ga._trimmed(a, b))) == penalty_plain(a, b), (a, b)
         i = j = 0
         for n, op in ops:
             for _ in range(n):
