@@ -103,11 +103,11 @@ ORACLE = {
         dw AS (SELECT id AS doc_id, raw, p, canon[p:p + {_W - 1}] AS w FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS p FROM d)),
         bw AS (SELECT * FROM (SELECT id AS item_id, raw AS item_raw, len(canon) AS item_words, q, canon[q:q + {_W - 1}] AS w
                               FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS q FROM b))
-               WHERE len(list_filter(w, lambda x: x NOT IN ('#', '%', '@'))) * 2 >= {_W}),
+               WHERE len(list_filter(w, lambda x: NOT regexp_matches(x, '[#%@]'))) * 2 >= {_W}),
         hit AS (SELECT doc_id, item_id, item_words, p - q AS diagonal, q, unnest(range(0, {_W})) AS k, w, raw, item_raw, p FROM dw JOIN bw USING (w)),
         place AS (SELECT doc_id, item_id, item_words, diagonal, q + k AS place, any_value(w[k + 1]) AS c, any_value(item_raw[q + k]) AS iw,
                          any_value(raw[p + k]) AS dw, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS starts FROM hit GROUP BY ALL),
-        filling AS (SELECT doc_id, item_id, item_words, diagonal, CASE WHEN c IN ('#', '%', '@') THEN concat(c, iw) END AS f,
+        filling AS (SELECT doc_id, item_id, item_words, diagonal, CASE WHEN regexp_matches(c, '[#%@]') THEN concat(c, iw) END AS f,
                            count(*) AS places, sum(starts) AS starts, min(dw) AS low, max(dw) AS high, any_value(iw) AS own FROM place GROUP BY ALL),
         whole AS (SELECT doc_id, item_id, item_words, diagonal, sum(starts) AS n_windows, sum(places) AS matched_words,
                          count(CASE WHEN f IS NOT NULL AND low <> high THEN 1 END) AS clashes,

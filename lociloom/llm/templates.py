@@ -55,22 +55,28 @@ def windows(canon: Column) -> Column:
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """rows with text replaced by seq: clean and canon, of equally many words with single spaces, and the windows' hashes."""
-    hashed = lambda clean: lambda canon: F.struct(clean.alias("clean"), canon.alias("canon"), let(F.split(canon, " "), windows).alias("hashes"))
-    return rows.withColumn("seq", let(words(), lambda clean: let(template(clean), hashed(clean)))).drop("text")
+    """rows with text replaced by seq: raw and canon, arrays of equal length, and the windows' hashes."""
+    hashed = lambda raw: lambda canon: F.struct(raw.alias("raw"), canon.alias("canon"), windows(canon).alias("hashes"))
+    seq = let(words(), lambda clean: let(F.split(template(clean), " "), hashed(F.split(clean, " "))))
+    return rows.withColumn("seq", seq).drop("text")
 
 
-def window(text: str, place: Column) -> Column:
+def window(words: str, place: Column) -> Column:
     """The words of the window at a place (from 0)."""
-    return F.slice(F.split(text, " "), place + 1, WINDOW)
+    return F.slice(words, place + 1, WINDOW)
+
+
+def is_slot(word: Column) -> Column:
+    """True for a template word that is or has a placeholder."""
+    return word.rlike("[#%@]")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """Per window of an item: hash, item_id, item_pos, item_words, item_raw and item_canon (the window's words)."""
     out = sequences(items.select("item_id", "text")).select("item_id", "seq", F.posexplode("seq.hashes").alias("item_pos", "hash"))
     at = F.col("item_pos")
-    out = out.select("hash", "item_id", "item_pos", F.size(F.split("seq.canon", " ")).alias("item_words"), window("seq.clean", at).alias("item_raw"), window("seq.canon", at).alias("item_canon"))
-    return out.where(F.size(F.filter("item_canon", lambda w: ~w.isin("#", "%", "@"))) * 2 >= WINDOW)
+    out = out.select("hash", "item_id", "item_pos", F.size("seq.canon").alias("item_words"), window("seq.raw", at).alias("item_raw"), window("seq.canon", at).alias("item_canon"))
+    return out.where(F.size(F.filter("item_canon", lambda w: ~is_slot(w))) * 2 >= WINDOW)
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -81,23 +87,23 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     placed = sequences(docs.select("doc_id", "text")).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("doc_pos", "hash"))
     hit = placed.join(F.broadcast(bench) if few else bench, "hash")
     doc_canon = window("seq.canon", F.col("doc_pos"))
-    hit = hit.select("doc_id", "item_id", "item_words", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_canon", "item_raw", window("seq.clean", F.col("doc_pos")).alias("doc_raw"), (doc_canon == F.col("item_canon")).alias("equal"))
+    hit = hit.select("doc_id", "item_id", "item_words", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_canon", "item_raw", window("seq.raw", F.col("doc_pos")).alias("doc_raw"), (doc_canon == F.col("item_canon")).alias("equal"))
     # each place of the item that is matched on a diagonal, once, with its kind and both fillings
     place = hit.select("doc_id", "item_id", "item_words", "diagonal", "item_pos", "equal", F.posexplode(F.arrays_zip("item_canon", "item_raw", "doc_raw")).alias("k", "w"))
     # asked with k, as the optimizer would move a plain filter into the join and compute it for every window of every document
     place = place.where(F.when(F.col("equal"), F.col("k")) >= 0)
     key = ["doc_id", "item_id", "item_words", "diagonal"]
     place = place.groupBy(*key, (F.col("item_pos") + F.col("k")).alias("place")).agg(F.first("w").alias("w"), F.max(F.when(F.col("k") == 0, 1).otherwise(0)).alias("starts"))
-    slot = F.col("w.item_canon").isin("#", "%", "@")
+    slot = is_slot(F.col("w.item_canon"))
     filling = place.groupBy(*key, F.when(slot, F.concat("w.item_canon", "w.item_raw")).alias("filling")).agg(
         F.count(F.lit(1)).alias("places"), F.sum("starts").alias("starts"), F.min("w.doc_raw").alias("low"), F.max("w.doc_raw").alias("high"), F.first("w.item_raw").alias("own")
     )
-    is_slot = F.col("filling").isNotNull()
+    filled_in = F.col("filling").isNotNull()
     whole = filling.groupBy(*key).agg(
         F.sum("starts").cast("long").alias("n_windows"),
         F.sum("places").cast("long").alias("matched_words"),
-        F.coalesce(F.sum(F.when(is_slot & (F.col("low") != F.col("high")), 1)), F.lit(0)).alias("clashes"),
-        F.coalesce(F.sum(F.when(is_slot & (F.col("low") != F.col("own")), 1)), F.lit(0)).cast("long").alias("changed_slots"),
+        F.coalesce(F.sum(F.when(filled_in & (F.col("low") != F.col("high")), 1)), F.lit(0)).alias("clashes"),
+        F.coalesce(F.sum(F.when(filled_in & (F.col("low") != F.col("own")), 1)), F.lit(0)).cast("long").alias("changed_slots"),
     )
     fit = whole.where((F.col("clashes") == 0) & (F.col("matched_words") >= COVER * F.col("item_words")))
     best = fit.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched_words", "n_windows", (-F.col("changed_slots")).alias("same"))).alias("b"))
