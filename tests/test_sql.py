@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL on the smallest data."""
 
 import pytest
-from conftest import same
+from compare import same
 
 from lociloom.plans.queries import ORACLE, QUERIES
 
