@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,23 +12,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
+from ..storage import scratch, written
 
 #: Rows in one Arrow batch; whole texts travel in them, so that the batch stays in memory.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is unset (tests in one JVM) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lociloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share (a temporary one where that is unset, as in tests)."""
+    return scratch(spark, name)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -39,10 +29,8 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: the lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Writes a DataFrame as Parquet below the shared folder and reads it back: the lineage ends there.
+stored = written
 
 
 def small_batches(spark: SparkSession) -> None:
