@@ -23,10 +23,11 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, texts, with_columns
+from .common import filled, small_batches, texts, with_columns
 
 BINS = 32
 NAMES = [
@@ -180,3 +181,14 @@ def score(docs: DataFrame, model: Gam, threshold: float = 0.7, keep: list[str] |
         return batch
 
     return with_columns(docs, "score double, predicted int", make, keep)
+
+
+def accepted(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is threshold or more, with all their columns as they are."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(matrix(texts(b))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

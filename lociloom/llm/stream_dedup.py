@@ -50,8 +50,9 @@ def filed(docs: DataFrame) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with the columns _file and _row by which a row is found again."""
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """docs with the columns _file and _row by which a row is found again; columns of these names give way."""
+    own = [f"`{c}`" for c in docs.columns if c not in ("_file", "_row")]
+    return docs.select(*own, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def records(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -122,10 +123,16 @@ def exact_dedup(docs: DataFrame, state: str | None = None, files_per_batch: int
     return out(clear, F.col("sha")).unionByName(out(told, F.sha2("text", 256)))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, of files, without the rows that gone (doc_id, _file, _row) names. No column of docs is touched, whatever its name."""
+    free = [n for n in (f"_at{k}" for k in range(len(docs.columns) + 6)) if n not in docs.columns][:6]
+    gone = gone.select(*[F.col(c).alias(n) for c, n in zip(("_file", "_row", "doc_id"), free[3:])])
+    here = docs.select("*", F.xxhash64("_metadata.file_path").alias(free[0]), F.col("_metadata.row_index").alias(free[1]), F.col("doc_id").cast("long").alias(free[2]))
+    same = (F.col(free[0]) == F.col(free[3])) & (F.col(free[1]) == F.col(free[4])) & F.col(free[2]).eqNullSafe(F.col(free[5]))
+    return here.join(gone, same, "anti").drop(*free[:3])
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat an earlier text."""
     docs = filed(docs)
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), "_file", "_row")
-    here = located(docs)
-    near = here.join(gone, (here["_file"] == gone["_file"]) & (here["_row"] == gone["_row"]) & here["doc_id"].cast("long").eqNullSafe(gone["_id"]), "anti")
-    return near.select(*docs.columns)
+    return without_rows(docs, exact_dedup(docs).where("not kept"))

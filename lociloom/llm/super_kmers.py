@@ -244,9 +244,10 @@ def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """docs with text cut down to the kept words, n_words and n_removed; or, as digest, doc_id, n_words, n_removed, kept_sha256."""
-    docs = filed(docs)
+    docs = filed(docs.drop("spans"))
     rows = located(docs).select("doc_id", filled().alias("text"), "_file", "_row") if digest else located(docs)
-    joined = rows.join(removed(docs), ["_file", "_row"], "left")
+    gone = removed(docs).select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row"), "spans")
+    joined = rows.join(gone, (F.col("_file") == F.col("_gone_file")) & (F.col("_row") == F.col("_gone_row")), "left")
 
     def make():
         def batch(b):
@@ -260,4 +261,4 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     if digest:
         return with_columns(joined, "n_words long, n_removed long, kept_sha256 string", make, keep=["doc_id"])
-    return with_columns(joined, "text string, n_words long, n_removed long", make, keep=docs.columns)
+    return with_columns(joined, "text string, n_words long, n_removed long", make, keep=[c for c in docs.columns if c not in ("_file", "_row")])

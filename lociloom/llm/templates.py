@@ -112,4 +112,5 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated documents; those with a null id stay, as no match can be told to be theirs."""
-    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "anti").select(*docs.columns)
+    gone = matches(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "anti")

@@ -203,3 +203,15 @@ def test_passage_edges(spark, odd):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[4]["n_removed"] == 0 and rows[5]["n_removed"] == rows[5]["n_words"] == 60_000 and rows[5]["text"] == ""
     assert sk.without_repeats(odd.limit(0)).count() == 0
+
+
+def test_names_that_clash(spark, odd):
+    names = ["_file", "_row", "spans", "digest", "v", "n", "first", "label", "_at0", "bucket", "hashes", "seq", "item_id", "_page"]
+    df = odd
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    for f in (sd.drop_copies, om.drop_near):
+        left = f(df)
+        assert left.columns == df.columns and left.count() == f(odd).count()
+        assert {tuple(r) for r in left.select(*[f"`{n}`" for n in names]).distinct().collect()} == {tuple(names)}
+    assert sk.without_repeats(df).count() == sd.exact_dedup(df).count() == om.near_dedup(df).count() == 10

@@ -79,5 +79,6 @@ def test_stages_keep_columns_and_odd_rows(spark, data, odd):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, data)
         assert out.columns == odd.columns, name
+        assert out.exceptAll(odd).isEmpty(), name
         assert out.count() <= 10 and stage(spark, odd.limit(0), data).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count() == 10
