@@ -17,8 +17,7 @@ from lociloom.llm.common import filled, shared_dir, stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the classifier, fitted on all labels, does not predict to be good."""
-    model = gam.fit(docs, table(spark, sf_dir, "labels"))
-    return gam.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return gam.accepted(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
