@@ -35,7 +35,7 @@ MARK = "▁"
 class PrefixTable:
     """The encoder for one model file. memory: how many parts are remembered before all are forgotten."""
 
-    def __init__(self, model_file: str, memory: int = 600_000):
+    def __init__(self, model_file: str, memory: int = 250_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
@@ -68,7 +68,7 @@ class PrefixTable:
             self.cut = re.compile("(?s).+")
         else:
             self.cut = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|{lone}" if lone else ""))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known = Memory(lambda s: array("I", self.part(s)).tobytes(), memory)
         self.frame = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
 
@@ -131,9 +131,10 @@ class PrefixTable:
                 if at:
                     before = last[at]
                     if before >= 0:
-                        ok = pairs.get((before, t))
+                        both = before << 32 | t
+                        ok = pairs.get(both)
                         if ok is None:
-                            ok = pairs[before, t] = self.fits(before, t)
+                            ok = pairs[both] = self.fits(before, t)
                         if not ok:
                             continue
                 token, length = t, n
@@ -154,13 +155,17 @@ class PrefixTable:
 
     def packed(self, text: str) -> bytes:
         """All ids of a text with begin and end, as little-endian unsigned 32-bit integers."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         parts = self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
         return b"".join([self.frame[0], *map(self.known.__getitem__, parts), self.frame[1]])
 
     def decode(self, packed: list[bytes]) -> list[str]:
-        return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in packed], num_threads=1) if packed else []
+        """The texts of packed ids, a few at a time, as lists of numbers take much room."""
+        out: list[str] = []
+        for k in range(0, len(packed), 50):
+            out += self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in packed[k : k + 50]], num_threads=1)
+        return out
 
 
 _held: dict[tuple, PrefixTable] = {}
@@ -173,7 +178,7 @@ def held(model_file: str, memory: int) -> PrefixTable:
     return _held[model_file, memory]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 250_000) -> DataFrame:
     """docs with the packed ids (binary) of each text and, unless None, the text decoded from them."""
 
     def make():
@@ -188,7 +193,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     return with_columns(docs, f"`{ids}` binary" + f", `{decoded}` string" * bool(decoded), make)
 
 
-def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 600_000) -> DataFrame:
+def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 250_000) -> DataFrame:
     """Per document its id, number of ids and the SHA-256 of ids and decoded text; ids and texts stay in the worker."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
