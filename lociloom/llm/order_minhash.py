@@ -12,8 +12,8 @@ bound allows. Groups are the connected components of the links; the document wit
 
 Within the documents that share a sketch, the first is compared to all others. If all fall into one component the
 rest needs no comparing. Members outside the first one's component are compared to all members with which they share AGREE sketches (a
-pair of similarity 0.8 fails to once in 800 times, and then often is connected by way of others). Buckets with more
-than OUTSIDE such members are dealt anew by choices of AGREE sketches that must all be alike, then of more.
+pair of similarity 0.8 fails to once in 800 times, and then often is connected by way of others), in buckets of any
+size: the larger a bucket's part outside, the more of these comparisons, with the square where nothing links them.
 
 Null texts count as empty; texts without words are one class of no shingles, linked to nothing. Texts of one to four
 words have one shingle, all their words. Null ids come last. Repeated rows are copies: exactly one row of a group is
@@ -36,7 +36,7 @@ from .stream_dedup import filed, located, without_rows
 WORDS, SKETCHES, LENGTH = 5, 20, 3
 #: Two of a bucket, neither of which is its first, are compared if so many sketches are alike.
 AGREE = 4
-#: A bucket with more documents outside its first one's component is dealt anew.
+#: A bucket with more documents outside its first one's component is parted by length first; what is compared stays the same.
 OUTSIDE = 4096
 CHUNK, BLOCK = 256, 4096
 _A = np.array([xxh3_64_intdigest(b"a%d" % i) for i in range(SKETCHES)], np.uint64)[:, None]
@@ -180,39 +180,35 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def links(docs: DataFrame, cls: DataFrame, base: str) -> DataFrame:
     """Links (a, b) between classes, enough to connect whatever the links connect."""
     member = cls.where("n > 0").select("v", "n", "first", F.posexplode("sketch").alias("band", "s")).select("v", "n", "first", "band", F.xxhash64("band", "s").alias("bucket"))
-    found, depth = None, 0
-    while True:
-        at = f"{base}/{depth}"
-        # only hashes are shuffled for all members; whole rows follow for buckets of several
-        repeated = stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), f"{at}/repeated")
-        near = in_bitmap(member, F.col("bucket"), repeated, F.col("bucket"))
-        heads = near.groupBy("bucket").agg(F.min(F.struct("first.none", "first.doc_id", "v", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("h.v").alias("a"), F.col("h.n").alias("na"), "size")
-        shared = stored(near.select("bucket", "band", "v", "n").join(heads, "bucket"), f"{at}/shared")
-        pairs = stored(shared.where("a != v AND abs(na - n) * 9 <= na + n").select("a", F.col("v").alias("b")).distinct(), f"{at}/pairs")
-        fresh = verified(pairs, texts_of(docs, cls, pairs, f"{at}/texts"))
-        found = stored(fresh if found is None else found.union(fresh), f"{at}/links")
-        label = components(found)
-        named = shared.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        named = stored(named.join(label.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("outside", F.col("label") != F.coalesce("la", "a")), f"{at}/named")
-        counts = stored(named.groupBy("bucket").agg(F.count_if("outside").alias("outsiders")).where("outsiders > 0"), f"{at}/outsiders")
-        if counts.isEmpty():
-            return found
-        few = named.join(counts.where(F.col("outsiders") <= OUTSIDE), "bucket")
-        found = stored(found.union(across(docs, cls, few, f"{at}/across")), f"{at}/all")
-        many = counts.where(F.col("outsiders") > OUTSIDE)
-        if depth == SKETCHES - AGREE or many.isEmpty():
-            return found
-        depth += 1
-        again = cls.join(named.join(many, "bucket", "semi").select("v").distinct(), "v", "semi")
-        member = stored(deeper(again, depth), f"{base}/member{depth}")
-
-
-def deeper(cls: DataFrame, depth: int) -> DataFrame:
-    """Members dealt by 160 random choices of AGREE + depth - 1 sketches, all of which must be alike."""
-    rng = np.random.default_rng(depth)
-    picks = [sorted(rng.choice(SKETCHES, AGREE + depth - 1, replace=False).tolist()) for _ in range(160)]
-    keys = F.array(*[F.xxhash64(F.lit(depth), F.lit(i), *[F.col("sketch")[j] for j in pick]) for i, pick in enumerate(picks)])
-    return cls.select("v", "n", "first", F.explode(keys).alias("bucket")).select("v", "n", "first", F.lit(-1).alias("band"), "bucket")
+    # only hashes are shuffled for all members; whole rows follow for buckets of several
+    repeated = stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), f"{base}/repeated")
+    near = in_bitmap(member, F.col("bucket"), repeated, F.col("bucket"))
+    heads = near.groupBy("bucket").agg(F.min(F.struct("first.none", "first.doc_id", "v", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("h.v").alias("a"), F.col("h.n").alias("na"), "size")
+    shared = stored(near.select("bucket", "band", "v", "n").join(heads, "bucket"), f"{base}/shared")
+    pairs = stored(shared.where("a != v AND abs(na - n) * 9 <= na + n").select("a", F.col("v").alias("b")).distinct(), f"{base}/pairs")
+    found = stored(verified(pairs, texts_of(docs, cls, pairs, f"{base}/texts")), f"{base}/links")
+    label = components(found)
+    named = shared.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = stored(named.join(label.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("outside", F.col("label") != F.coalesce("la", "a")), f"{base}/named")
+    counts = stored(outsiders(named).drop("size"), f"{base}/outsiders")
+    if counts.isEmpty():
+        return found
+    few = named.join(counts.where(F.col("outsiders") <= OUTSIDE), "bucket")
+    many = by_length(named.join(counts.where(F.col("outsiders") > OUTSIDE).select("bucket"), "bucket", "semi"))
+    return stored(found.union(across(docs, cls, few.unionByName(many), f"{base}/across")), f"{base}/all")
+
+
+def outsiders(named: DataFrame) -> DataFrame:
+    """bucket, outsiders, size for buckets with members outside the first one's component."""
+    return named.groupBy("bucket").agg(F.count_if("outside").alias("outsiders"), F.count(F.lit(1)).alias("size")).where("outsiders > 0")
+
+
+def by_length(named: DataFrame) -> DataFrame:
+    """Buckets parted by the members' lengths. Each outsider meets all members whose length allows a link (ratio 1.25 at most, less than a part's 1.26)."""
+    part = F.floor(F.log("n") / F.log(F.lit(1.26)))
+    each = named.drop("size").withColumn("part", part).withColumn("at", F.explode(F.array(part - 1, part, part + 1)))
+    each = each.withColumn("outside", F.col("outside") & (F.col("at") == F.col("part"))).withColumn("bucket", F.xxhash64("bucket", "at")).drop("part", "at")
+    return each.join(outsiders(each), "bucket")
 
 
 def _groups(batches, width: int):
@@ -237,9 +233,7 @@ def _wanted(own: list, rest: list) -> np.ndarray:
     na, nb = (np.array([r[2] for r in x], np.int64) for x in (own, rest))
     alike = a[:, None, :] == b[None, :, :]
     want = (alike.sum(2) >= AGREE) & (np.abs(na[:, None] - nb) * 9 <= na[:, None] + nb)
-    band = own[0][3]
-    if band >= 0:  # a pair that meets in several buckets is compared in the first of them
-        want &= alike.argmax(2) == band
+    want &= alike.argmax(2) == own[0][3]  # a pair that meets in several buckets is compared in the first of them; all are searched
     la, lb = (np.array([r[1] for r in x]) for x in (own, rest))
     return want & (la[:, None] != lb)
 
