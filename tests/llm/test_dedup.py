@@ -123,18 +123,22 @@ def test_large_family_of_variants(spark, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in om.near_dedup(docs).collect()} == want
 
 
-def pairs_and_groups(spark, sketch, pairs=8):
-    """Groups by id of documents 2i and 2i + 1 that are near copies, unlike all others, with sketches made up by an expression of id and j."""
+def pairs_and_groups(spark, sketch, pairs=8, head=False):
+    """Links found and wanted of documents 2i and 2i + 1 that are near copies, unlike all others, with sketches made up by an expression of id and j.
+
+    With head, each pair has a third document with its sketches (a negative id, so the first of all their buckets) that is unlike both.
+    """
     rng = random.Random(13)
     texts = []
     for _ in range(pairs):
         base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
         texts += [" ".join(base), " ".join([*base[:58], "x", "y"])]
-    docs = om.filed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = list(enumerate(texts)) + [(2 * i - 2 * pairs, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(pairs if head else 0)]
+    docs = om.filed(spark.createDataFrame(rows, "doc_id long, text string"))
     base = om.shared_dir(spark, "near")
-    cls = om.classes(docs, base)[1].withColumn("id", F.col("first.doc_id")).withColumn("sketch", F.expr(f"transform(sequence(0, {om.SKETCHES - 1}), j -> {sketch})")).drop("id")
+    cls = om.classes(docs, base)[1].withColumn("id", F.when(F.col("first.doc_id") < 0, F.col("first.doc_id") + 2 * pairs).otherwise(F.col("first.doc_id"))).withColumn("sketch", F.expr(f"transform(sequence(0, {om.SKETCHES - 1}), j -> {sketch})")).drop("id")
     id_of = {r["v"]: r["first"]["doc_id"] for r in cls.collect()}
-    assert len(id_of) == 2 * pairs
+    assert len(id_of) == len(rows)
     return {frozenset((id_of[r["a"]], id_of[r["b"]])) for r in om.links(docs, cls, base).collect()}, {frozenset((2 * i, 2 * i + 1)) for i in range(pairs)}
 
 
@@ -144,6 +148,12 @@ def test_buckets_of_any_size_are_searched(spark, monkeypatch):
     assert got == want
 
 
+def test_first_common_bucket_may_be_hot(spark, monkeypatch):
+    monkeypatch.setattr(om, "OUTSIDE", 2)
+    got, want = pairs_and_groups(spark, "if(j = 0, 7L, if(j in (5, 9, 14), xxhash64(id div 2, j), xxhash64(id, j)))", head=True)
+    assert got == want
+
+
 def test_order_matters():
     a = [f"w{i}" for i in range(60)]
     turned = a[30:] + a[:30]
