@@ -154,6 +154,19 @@ def test_first_common_bucket_may_be_hot(spark, monkeypatch):
     assert got == want
 
 
+def test_one_common_sketch_is_enough(spark):
+    got, want = pairs_and_groups(spark, "if(j = 0, xxhash64(id div 2), xxhash64(id, j))", head=True)
+    assert got == want
+
+
+def test_parities_never_say_more_than_the_distance():
+    rng = random.Random(3)
+    for n in (9, 40, 700):
+        a = [f"w{rng.randrange(50)}" for _ in range(n)]
+        x, y = (om.shingles(" ".join(w)) for w in (a, edited(rng, a, 3)))
+        assert np.bitwise_count(om.parities(x) ^ om.parities(y)).sum() <= plain_distance(x.tolist(), y.tolist())
+
+
 def test_order_matters():
     a = [f"w{i}" for i in range(60)]
     turned = a[30:] + a[:30]
