@@ -436,7 +436,7 @@ def _output(spark, d):
 
 @query(OUTPUT_SQL + """ SELECT name, format('>{} contig={} pos={} support={} path={} map_ratio={}', name, contig, pos, support, path, regexp_replace(regexp_replace(printf('%.6f', round(ratio, 6 - CASE WHEN ratio >= 1 THEN 1 ELSE 0 END)), '0+$', ''), '\\.$', '')) AS header FROM outp WHERE ratio >= 0.1""")
 def svtig_headers(spark: SparkSession, d: str) -> DataFrame:
-    return rm.headers(_output(spark, d).where("ratio >= 0.1"))
+    return rm.headers(_output(spark, d))
 
 
 @query(OUTPUT_SQL + " SELECT name, unnest(list_filter([CASE WHEN contains(name, 'H1') THEN 'H1' END, CASE WHEN contains(name, 'H2') THEN 'H2' END, CASE WHEN NOT contains(name, 'H1') AND NOT contains(name, 'H2') THEN 'untagged' END], lambda x: x IS NOT NULL)) AS file FROM outp")

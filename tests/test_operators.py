@@ -14,6 +14,8 @@ from lociloom.operators import haplotypes as hp
 from lociloom.operators import loci as lo
 from lociloom.operators import remap as rm
 from lociloom.params import Params
+from lociloom.plans.queries import QUERIES
+from lociloom.plans.queries import QUERIES
 from lociloom.sources import files
 
 
@@ -362,3 +364,11 @@ def test_params(tmp_path):
     for bad in ({"gaf": ""}, {"gaf": "/no/such"}, {"reads": "x"}, {"support": -1}):
         with pytest.raises(ValueError):
             replace(good, **bad).checked()
+
+
+def test_headers_of_all_alleles_with_any_map_ratio(spark):
+    """At sf0.1 some alleles have a map ratio below 0.1."""
+    big = "/root/testdata/sf0.1"
+    kept = {r["name"] for r in QUERIES["haplotype_files"](spark, big).collect()}
+    got = {r["name"]: float(r["header"].rsplit("map_ratio=", 1)[1]) for r in QUERIES["svtig_headers"](spark, big).collect()}
+    assert got.keys() == kept and min(got.values()) < 0.1
