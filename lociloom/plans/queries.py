@@ -458,7 +458,7 @@ def path_sequence(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT line_no, line_no % 3 = 1 AS has_sv FROM remap")
 def realign_has_sv(spark: SparkSession, d: str) -> DataFrame:
     """Each remapped allele against its path's sequence. The allele is that sequence with 60 bases put in (every third), 40 bases put in, or two others."""
-    lines = derived(spark, d, "remap").select("line_no", "path", "path_start", F.least(F.col("path_end"), F.col("path_start") + 299).alias("path_end"))
+    lines = derived(spark, d, "remap").select("line_no", "path", "path_start", "path_end")
     rows = rm.path_sequences(lines, _nodes(spark, d), sequences(spark, d))
     s, k = F.col("path_sequence"), F.col("line_no") % 3
     put = lambda x: F.concat(F.substring(s, 1, 100), x, F.substring(s, 101, 10_000))

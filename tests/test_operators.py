@@ -14,8 +14,8 @@ from lociloom.operators import haplotypes as hp
 from lociloom.operators import loci as lo
 from lociloom.operators import remap as rm
 from lociloom.params import Params
-from lociloom.plans.queries import QUERIES
-from lociloom.plans.queries import QUERIES
+from lociloom.plans.queries import QUERIES, _nodes, derived, sequences
+from lociloom.plans.queries import QUERIES, _nodes, derived, sequences
 from lociloom.sources import files
 
 
@@ -372,3 +372,12 @@ def test_headers_of_all_alleles_with_any_map_ratio(spark):
     kept = {r["name"] for r in QUERIES["haplotype_files"](spark, big).collect()}
     got = {r["name"]: float(r["header"].rsplit("map_ratio=", 1)[1]) for r in QUERIES["svtig_headers"](spark, big).collect()}
     assert got.keys() == kept and min(got.values()) < 0.1
+
+
+def test_realignment_meets_whole_paths(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rm, "with_has_sv", lambda rows: seen.append(rows) or rows.withColumn("has_sv", F.lit(False)))
+    QUERIES["realign_has_sv"](spark, data)
+    want = rm.path_sequences(derived(spark, data, "remap").select("line_no", "path", "path_start", "path_end"), _nodes(spark, data), sequences(spark, data))
+    longest = lambda df: df.agg(F.max(F.length("path_sequence"))).first()[0]
+    assert longest(seen[0]) == longest(want) > 300 and seen[0].count() == want.count()
