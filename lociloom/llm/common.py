@@ -1,8 +1,10 @@
-"""Helpers shared by the operators of this subpackage: the shared folder, row splits, Arrow batch size."""
+"""Helpers shared by the operators of this subpackage: the shared folder, row splits, Arrow batches, what workers keep."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
-from ..storage import scratch, written
+from ..storage import drop, scratch, written
 
-#: Rows in one Arrow batch; whole texts travel in them, so that the batch stays in memory.
-BATCH_ROWS = 1000
+#: An Arrow batch has so many bytes at most (but one row at least): whole texts travel in it, and what is made of them takes many times their size.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -23,22 +25,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return scratch(spark, name)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Removes a folder made by shared_dir, in whatever store it is."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+#: Removes a folder made by shared_dir, in whatever store it is.
+drop_dir = drop
 
 #: Writes a DataFrame as Parquet below the shared folder and reads it back: the lineage ends there.
 stored = written
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Readies the session for Python workers: this package is there, and an Arrow batch has BATCH_ROWS rows at most."""
+    """Readies the session for Python workers: this package is there, and an Arrow batch has BATCH_BYTES at most.
+
+    The setting stays, as results are computed later; it changes no result, the session's own or anybody's.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable):
+    """What build() gives, kept by the worker for later batches and tasks that ask for the same key; one thing at a time is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Returns the memory that a worker has freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def remainder(doc_id: str | Column, m: int) -> Column:
@@ -56,25 +74,30 @@ def filled(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def with_columns(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]]], keep: list[str] | None = None) -> DataFrame:
+def with_columns(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]]], keep: list[str] | None = None, holds: tuple | None = None) -> DataFrame:
     """df (or its columns keep) with the columns of the DDL string added, computed by Arrow batch.
 
-    make() is called once a task and gives the function of a batch. Columns of df that have a new
-    column's name give way to it.
+    make() is called once a task and gives the function of a batch; holds names what it takes from held(), if anything. Columns of
+    df that have a new column's name, in whatever case, give way to it.
     """
     small_batches(df.sparkSession)
     new = T.StructType.fromDDL(added)
-    stay = [f for f in df.schema if f.name not in new.names and (keep is None or f.name in keep)]
+    names = {n.lower() for n in new.names}
+    stay = [f for f in df.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
     schema = T.StructType(stay + list(new.fields))
     target = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if holds not in _held:
+            _held.clear()
         f = make()
         for b in batches:
             out = f(b)
             cols = [b.column(b.schema.get_field_index(x.name)) for x in stay]
             cols += [out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], type=x.type) for x in target]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -85,14 +108,18 @@ def texts(b: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 class Memory(dict):
-    """Results of a function by argument; all are forgotten when there are `bound` of them."""
+    """Results of a function by argument, `bound` of them at most: when the younger half is full it takes the older one's place, so
+    that what is asked for again and again stays."""
 
     def __init__(self, function: Callable, bound: int):
-        self.function, self.bound = function, bound
+        self.function, self.half, self.old = function, max(1, bound // 2), {}
 
     def __missing__(self, key):
-        found = self.function(key)
-        if len(self) >= self.bound:
+        found = self.old.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
         self[key] = found
         return found

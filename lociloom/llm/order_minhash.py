@@ -148,9 +148,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def classes(docs: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, _file, _row, v) and classes (v, first, n, sketch); v is a digest of the words."""
+    """Rows (doc_id, _file, _row, v) and classes (v, first, n, sketch); v is the SHA-256 of the words."""
     norm = F.trim(F.regexp_replace(filled(), "[\\x20\\x09-\\x0D]+", " "))
-    rows = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row", norm.alias("text")).withColumn("v", F.md5("text"))
+    rows = located(docs).select("doc_id", "_file", "_row", norm.alias("text")).withColumn("v", F.unhex(F.sha2("text", 256)))
 
     def make():
         def batch(b):
@@ -180,7 +180,7 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 hit.append(linked(last[1], shingles(tb)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def links(docs: DataFrame, cls: DataFrame, base: str) -> DataFrame:
@@ -301,16 +301,16 @@ def across(docs: DataFrame, cls: DataFrame, named: DataFrame, path: str) -> Data
                         joined.add((i, rest[j][1]))
                         hit.append((own[i][0], rest[j][0]))
             if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hit]), pa.array([y for _, y in hit])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hit], pa.binary()), pa.array([y for _, y in hit], pa.binary())], names=["a", "b"])
 
-    return dealt(need.join(known, "v").select(*schema.names, "text")).mapInArrow(test, "a string, b string")
+    return dealt(need.join(known, "v").select(*schema.names, "text")).mapInArrow(test, "a binary, b binary")
 
 
 def texts_of(docs: DataFrame, cls: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     """v and text of every class in the pairs, from its first row."""
     v = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
     need = stored(cls.join(v, "v", "semi").select("v", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")), f"{path}-rows")
-    rows = in_bitmap(located(docs).select("_file", "_row", filled().alias("text")), F.xxhash64("_file", "_row"), need, F.xxhash64("_file", "_row"))
+    rows = in_bitmap(located(docs).select("_file", "_row", "text"), F.xxhash64("_file", "_row"), need, F.xxhash64("_file", "_row"))
     return stored(rows.join(need, ["_file", "_row"]).select("v", "text"), path)
 
 

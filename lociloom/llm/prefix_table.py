@@ -12,7 +12,7 @@ bounded memory.
 
 Null and empty texts give only the begin and end ids and decode to the empty text. Texts of any
 length, repeated rows and ties are handled alike: each row is encoded on its own. An empty table
-gives an empty table; other columns are passed through untouched.
+gives an empty table; columns named like the outputs (ids, decoded) give way to them, others stay as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, filled, texts, with_columns
+from .common import Memory, filled, held, texts, with_columns
 
 MARK = "▁"
 
@@ -35,7 +35,7 @@ MARK = "▁"
 class PrefixTable:
     """The encoder for one model file. memory: how many parts are remembered before all are forgotten."""
 
-    def __init__(self, model_file: str, memory: int = 250_000):
+    def __init__(self, model_file: str, memory: int = 400_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
@@ -119,43 +119,34 @@ class PrefixTable:
 
     def part(self, s: str) -> list[int]:
         """The ids of one part, by the table of its prefixes' last tokens."""
-        ends: list[list[tuple[int, int]]] = [[] for _ in s]
-        for end, match in self.automaton.iter(s):
-            ends[end].append(match)
-        last, size = [0] * (len(s) + 1), [0] * (len(s) + 1)
+        last: list[tuple[int, int] | None] = [None] * (len(s) + 1)  # the last token's length and id; None where no piece ends
         pairs = self.pairs
-        for end, matches in enumerate(ends):
-            token, length = -1 - ord(s[end]), 1
-            for n, t in matches:
-                at = end + 1 - n
-                if at:
-                    before = last[at]
-                    if before >= 0:
-                        both = before << 32 | t
-                        ok = pairs.get(both)
-                        if ok is None:
-                            ok = pairs[both] = self.fits(before, t)
-                        if not ok:
-                            continue
-                token, length = t, n
-                break
-            last[end + 1], size[end + 1] = token, length
+        for end, match in self.automaton.iter(s):  # at each end the longest piece first
+            if last[end + 1] is None:
+                if (at := end + 1 - match[0]) and (before := last[at]) is not None:
+                    both = before[1] << 32 | match[1]
+                    if (ok := pairs.get(both)) is None:
+                        ok = pairs[both] = self.fits(before[1], match[1])
+                    if not ok:
+                        continue
+                last[end + 1] = match
         out: list[int] = []
         at = len(s)
         while at:
-            t = last[at]
-            if t >= 0:
-                out.append(t)
-            elif self.bytes_at:
-                out.extend(self.bytes_at[f"<0x{x:02X}>"] for x in reversed(chr(-1 - t).encode()))
+            if (match := last[at]) is not None:
+                out.append(match[1])
+                at -= match[0]
+                continue
+            at -= 1
+            if self.bytes_at:
+                out.extend(self.bytes_at[f"<0x{x:02X}>"] for x in reversed(s[at].encode()))
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-            at -= size[at]
         return out[::-1]
 
     def packed(self, text: str) -> bytes:
         """All ids of a text with begin and end, as little-endian unsigned 32-bit integers."""
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         parts = self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
         return b"".join([self.frame[0], *map(self.known.__getitem__, parts), self.frame[1]])
@@ -168,21 +159,11 @@ class PrefixTable:
         return out
 
 
-_held: dict[tuple, PrefixTable] = {}
-
-
-def held(model_file: str, memory: int) -> PrefixTable:
-    """The worker's encoder: built once, kept between batches and tasks."""
-    if (model_file, memory) not in _held:
-        _held[model_file, memory] = PrefixTable(model_file, memory)
-    return _held[model_file, memory]
-
-
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", memory: int = 400_000) -> DataFrame:
     """docs with the packed ids (binary) of each text and, unless None, the text decoded from them."""
 
     def make():
-        table = held(model_file, memory)
+        table = held(key, lambda: PrefixTable(model_file, memory))
 
         def batch(b):
             packed = [table.packed(x) for x in texts(b, text)]
@@ -190,15 +171,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
 
         return batch
 
-    return with_columns(docs, f"`{ids}` binary" + f", `{decoded}` string" * bool(decoded), make)
+    key = ("prefix table", model_file, memory)
+    return with_columns(docs, f"`{ids}` binary" + f", `{decoded}` string" * bool(decoded), make, holds=key)
 
 
-def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 250_000) -> DataFrame:
+def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: int = 400_000) -> DataFrame:
     """Per document its id, number of ids and the SHA-256 of ids and decoded text; ids and texts stay in the worker."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def make():
-        table = held(model_file, memory)
+        table = held(key, lambda: PrefixTable(model_file, memory))
 
         def batch(b):
             packed = [table.packed(x) for x in texts(b)]
@@ -206,5 +188,6 @@ def digests(docs: DataFrame, model_file: str, doc_id: str = "doc_id", memory: in
 
         return batch
 
+    key = ("prefix table", model_file, memory)
     rows = docs.select(F.col(doc_id).alias("doc_id"), filled().alias("text"))
-    return with_columns(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep=["doc_id"])
+    return with_columns(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep=["doc_id"], holds=key)

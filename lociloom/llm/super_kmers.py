@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .common import PAGES, filled, shared_dir, small_batches, stored, texts, with_columns
-from .stream_dedup import filed, located
+from .stream_dedup import filed, free_names, located
 
 WINDOW, MER, HOT = 50, 8, 2000
 NONE = 2**63 - 1
@@ -218,7 +218,7 @@ def owners_singly(heads: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """_file, _row and spans (start, end) of the words to remove, for rows that have any. docs must be of files (filed)."""
     base = shared_dir(docs.sparkSession, "super")
-    rows = located(docs).select("_file", "_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), filled().alias("text"))
+    rows = located(docs).select("_file", "_row", F.coalesce("doc_id", F.lit(NONE)).alias("d"), "text")
     small_batches(docs.sparkSession)
     got = stored(pieces(rows, bitmap_of(repeated(rows))), f"{base}/pieces")
     heads = got.where("packed is not null").groupBy("mini", "sid", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -242,16 +242,23 @@ def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def where(meta, names: list[str]) -> list:
+    """The columns that locate a row, under the first two names."""
+    return [F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].alias(names[1])]
+
+
 def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """docs with text cut down to the kept words, n_words and n_removed; or, as digest, doc_id, n_words, n_removed, kept_sha256."""
-    docs = filed(docs.drop("spans"))
-    rows = located(docs).select("doc_id", filled().alias("text"), "_file", "_row") if digest else located(docs)
-    gone = removed(docs).select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row"), "spans")
-    joined = rows.join(gone, (F.col("_file") == F.col("_gone_file")) & (F.col("_row") == F.col("_gone_row")), "left")
+    docs = filed(docs)
+    free = free_names(docs, 5)
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", filled().alias("text"), *where(meta, free)) if digest else docs.select("*", *where(meta, free))
+    gone = removed(docs).select(*[F.col(c).alias(n) for c, n in zip(("_file", "_row", "spans"), free[2:])])
+    joined = rows.join(gone, (F.col(free[0]) == F.col(free[2])) & (F.col(free[1]) == F.col(free[3])), "left")
 
     def make():
         def batch(b):
-            words, spans = [x.encode().split() for x in texts(b)], b.column(b.schema.get_field_index("spans")).to_pylist()
+            words, spans = [x.encode().split() for x in texts(b)], b.column(b.schema.get_field_index(free[4])).to_pylist()
             gone = [_mask(len(w), s) for w, s in zip(words, spans)]
             kept = [b" ".join(w if not g.any() else [x for x, y in zip(w, g.tolist()) if not y]) for w, g in zip(words, gone)]
             out = {"n_words": [len(w) for w in words], "n_removed": [int(g.sum()) for g in gone]}
@@ -261,4 +268,4 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     if digest:
         return with_columns(joined, "n_words long, n_removed long, kept_sha256 string", make, keep=["doc_id"])
-    return with_columns(joined, "text string, n_words long, n_removed long", make, keep=[c for c in docs.columns if c not in ("_file", "_row")])
+    return with_columns(joined, "text string, n_words long, n_removed long", make, keep=docs.columns)

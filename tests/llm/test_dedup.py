@@ -34,8 +34,51 @@ def test_exact_state_goes_on(spark, tmp_path):
     state = str(tmp_path / "state")
     sd.exact_dedup(docs((5, "a b"), (6, "c")), state=state)
     sd.exact_dedup(docs((7, "a  b"), (8, "d"), (9, "a b")), state=state, files_per_batch=1)
-    got = {r["first"]["doc_id"]: r["n"] for r in sd.read_state(spark, state).collect()}
+    got = {r["first"]["doc_id"]: r["n"] for r in sd.read_state(spark, f"{state}/state", str(tmp_path / "index")).collect()}
     assert got == {5: 3, 6: 1, 8: 1}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none") == "none" or "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_exact_state_over_calls_compares_bytes(spark, tmp_path):
+    """Earlier texts are read again from where they lie; equal digests of unlike texts are told apart, whenever these came."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a b", "a  b", "c", "d", "", None, "e f"])) for i in range(60)]
+    rng.shuffle(rows)
+    for digest, label in ((sd.sha256, "sha"), (lambda c: F.length(c).cast("string"), "length"), (lambda c: F.lit("same"), "same")):
+        seen, state = [], str(tmp_path / label)
+        for k in range(0, 60, 20):
+            part = rows[k : k + 20]
+            docs = spark.createDataFrame(part, "doc_id long, text string")
+            if k == 20:  # of files that the caller keeps; the others go below the state folder
+                docs.write.parquet(f"{state}-given")
+                docs = spark.read.parquet(f"{state}-given")
+            seen += part
+            want = [x for x in plain_exact(seen) if x[0] in {repr(d) for d, _ in part}]
+            for _ in range(2):  # the second time as after a failure
+                got = sd.exact_dedup(docs, state=state, digest=digest, batch=f"b{k}").collect()
+                assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+                assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+
+
+def test_rows_of_files(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    assert sd.of_files(d) and sd.of_files(d.where("doc_id > 0").drop("x")) and not sd.of_files(spark.range(3)) and not sd.of_files(d.union(d)) and not sd.of_files(d.join(d.select("doc_id"), "doc_id"))
+    assert sd.exact_dedup(d.union(d)).where("kept").count() == 1
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns that are called like Spark's metadata, this library's helpers or outputs in another case."""
+    rows = [(1, "the same text of some words here", 1, "x", 7, 8, 9.0, 5), (2, "the same text of some words here", 2, "y", 7, 8, 9.0, 5), (3, "other", 3, "z", 7, 8, 9.0, 5)]
+    path = str(tmp_path / "odd")
+    spark.createDataFrame(rows, "doc_id long, text string, _metadata long, _FILE string, _gone_file long, _gone_row long, N_Words double, _at0 long").write.parquet(path)
+    d = spark.read.parquet(path)
+    assert sd.of_files(d)
+    for out in (sd.drop_copies(d), om.drop_near(d)):
+        assert out.columns == d.columns and sorted(r["_metadata"] for r in out.collect()) == [1, 3]
+    out = sk.without_repeats(d)
+    assert {r["doc_id"]: (r["_metadata"], r["n_words"]) for r in out.collect()} == {1: (1, 7), 2: (2, 7), 3: (3, 1)}
+    assert out.columns == [c for c in d.columns if c not in ("text", "N_Words")] + ["text", "n_words", "n_removed"]
 
 
 def test_drop_copies(spark, odd):
