@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import logging
 import os
 import shutil
@@ -57,8 +58,12 @@ def run_and_log(command: list[str] | str, label: str, retries: int = 0, backoff:
 Assembler = Callable[[str, list[tuple[str, str]]], list[str]]
 
 
+class NoContigs(Exception):
+    """Why a candidate has no contig: no_contig (nothing to lay out), unassembled (no consensus) or failed."""
+
+
 def wtdbg2_assembler(params: Params) -> Assembler:
-    """Assembles with wtdbg2, its consensus tool, minimap2 and samtools; any step that fails gives no contig."""
+    """Assembles with wtdbg2, its consensus tool, minimap2 and samtools; raises NoContigs if a step fails or gives nothing."""
 
     def assemble(name: str, reads: list[tuple[str, str]]) -> list[str]:
         tool = {t: find_executable(t, params.extra_dirs) for t in ("wtdbg2", "wtpoa-cns", "minimap2", "samtools")}
@@ -70,18 +75,32 @@ def wtdbg2_assembler(params: Params) -> Assembler:
             t = params.threads
             steps = [
                 (f"{tool['wtdbg2']} -x {preset} -t {t} -i reads.fa -fo out", ASSEMBLE_S),
-                (f"test -s out.ctg.lay.gz && {tool['wtpoa-cns']} -t {t} -i out.ctg.lay.gz -fo raw.fa", CONSENSUS_S),
+                (f"{tool['wtpoa-cns']} -t {t} -i out.ctg.lay.gz -fo raw.fa", CONSENSUS_S),
                 (f"{tool['minimap2']} -t {t} -ax {mapping} raw.fa reads.fa | {tool['samtools']} sort -@ {t} -m 2g -o map.bam", MAP_S),
                 (f"{tool['samtools']} view -F0x900 map.bam | {tool['wtpoa-cns']} -t {t} -d raw.fa -i - -fo final.fa", POLISH_S),
             ]
-            for command, seconds in steps:
+            for k, (command, seconds) in enumerate(steps):
+                if k == 1 and not has_layout(Path(d, "out.ctg.lay.gz")):
+                    raise NoContigs("no_contig")
                 if run_and_log(command, f"assembly of {name}", timeout=seconds, cwd=d):
-                    return []
-            return fasta_sequences(Path(d, "final.fa").read_text() if Path(d, "final.fa").exists() else "")
+                    raise NoContigs("failed")
+            found = fasta_sequences(Path(d, "final.fa").read_text() if Path(d, "final.fa").exists() else "")
+            if not found:
+                raise NoContigs("unassembled")
+            return found
 
     return assemble
 
 
+def has_layout(path: Path) -> bool:
+    """True if the assembler's packed layout has a line that begins a contig."""
+    try:
+        with gzip.open(path, "rt", errors="replace") as f:
+            return any(line.startswith(">") for line in f)
+    except (OSError, EOFError):
+        return False
+
+
 def fasta_sequences(text: str) -> list[str]:
     return [s for s in ("".join(record.split("\n")[1:]) for record in ("\n" + text).split("\n>")[1:]) if s]
 
@@ -92,20 +111,32 @@ def median_read(name: str, reads: list[tuple[str, str]]) -> list[str]:
     return [some[len(some) // 2]] if some else []
 
 
-def assemble(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:
-    """contigs (name, parent, sequence) of the candidates (name, reads). Reads without a sequence are left out; the second contig of a
-    candidate is named name_2, the third name_3. A candidate has MAX_CONTIG_DEPTH * 5 reads or so at most, as the gate lets no more pass."""
+def read_sequences(passed: DataFrame, fasta: DataFrame) -> DataFrame:
+    """name, read and sequence of the candidates' (name, reads) reads that have one; long ones are cut to MAX_FETCH bases."""
+    return passed.select("name", F.explode("reads").alias("read")).join(fasta.select(F.col("name").alias("read"), F.substring("sequence", 1, MAX_FETCH).alias("sequence")), "read").select("name", "read", "sequence")
+
+
+def attempts(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:
+    """What comes of the candidates (name, reads): a row for each contig (name, parent, sequence), or one with parent and reason alone.
+
+    The second contig of a candidate is named name_2, the third name_3. A candidate without any read sequence has the reason
+    no_contig, as has one for which the assembler gives nothing. A candidate has MAX_CONTIG_DEPTH * 5 reads or so at most, as the
+    gate lets no more pass.
+    """
     ship(passed.sparkSession)
-    reads = passed.select("name", F.explode("reads").alias("read")).join(fasta.select(F.col("name").alias("read"), F.substring("sequence", 1, MAX_FETCH).alias("sequence")), "read")
-    rows = reads.repartition("name").sortWithinPartitions("name", "read").select("name", "read", "sequence")
+    rows = read_sequences(passed, fasta).repartition("name").sortWithinPartitions("name", "read")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, have = None, []
 
         def close() -> pa.RecordBatch:
-            got = assembler(name, have)
+            try:
+                got, reason = assembler(name, have), "no_contig"
+            except NoContigs as e:
+                got, reason = [], str(e)
             names = [name if k == 0 else f"{name}_{k + 1}" for k in range(len(got))]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([name] * len(got), pa.string()), pa.array(got, pa.string())], names=["name", "parent", "sequence"])
+            rows = [names, [name] * len(got), got, [None] * len(got)] if got else [[None], [name], [None], [reason]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=["name", "parent", "sequence", "reason"])
 
         for b in batches:
             for n, r, s in zip(*(c.to_pylist() for c in b.columns)):
@@ -117,14 +148,43 @@ def assemble(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataF
         if have:
             yield close()
 
-    return rows.mapInArrow(run, "name string, parent string, sequence string")
+    tried = rows.mapInArrow(run, "name string, parent string, sequence string, reason string")
+    silent = passed.select(F.col("name").alias("parent")).join(rows.select(F.col("name").alias("parent")).distinct(), "parent", "anti")
+    return tried.unionByName(silent.select("parent", F.lit("no_contig").alias("reason")), allowMissingColumns=True)
 
 
-def remap(params: Params, contigs_fasta: str, out: str) -> str:
-    """Aligns the alleles to the graph with GraphAligner; gives the path of the alignments."""
+def assemble(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:
+    """The contigs (name, parent, sequence) of the candidates (name, reads)."""
+    return attempts(passed, fasta, assembler).where("sequence IS NOT NULL").drop("reason")
+
+
+#: So many alleles are aligned by one run of the aligner, which reads the whole graph each time.
+ALIGNED_AT_ONCE = 2000
+
+
+def remap(params: Params, contigs: DataFrame) -> DataFrame:
+    """GAF lines (value, line_no) of the alleles (name, sequence) aligned to the graph with GraphAligner, by as many tasks as the
+    number of alleles asks for; each writes its own alleles to a folder that goes when it ends. The graph must be where all executors see it."""
+    ship(contigs.sparkSession)
     tool = find_executable("GraphAligner", params.extra_dirs)
     if not tool:
         raise RuntimeError("GraphAligner is not found; give its alignments with --remap-gaf, or run with --no-remap")
-    command = [tool, "-g", params.graph, "-f", contigs_fasta, "-a", out, "-x", "vg", "-t", str(params.threads), "--precise-clipping", f"{params.precise_clipping}", "--min-alignment-score", str(params.min_alignment_score), "--multimap-score-fraction", "0.9"]
-    run_and_log(command, "remapping", retries=2, fatal=True)
-    return out
+    rows = contigs.select("name", "sequence")
+    rows = rows.repartition(max(1, -(-rows.count() // ALIGNED_AT_ONCE)), "name").sortWithinPartitions("name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory(prefix="lociloom-") as d:
+            some = False
+            with open(f"{d}/in.fa", "w") as f:
+                for b in batches:
+                    for n, s in zip(*(c.to_pylist() for c in b.columns)):
+                        some = bool(f.write(f">{n}\n{s}\n"))
+            if not some:
+                return
+            command = [tool, "-g", params.graph, "-f", f"{d}/in.fa", "-a", f"{d}/out.gaf", "-x", "vg", "-t", str(params.threads), "--precise-clipping", f"{params.precise_clipping}", "--min-alignment-score", str(params.min_alignment_score), "--multimap-score-fraction", "0.9"]
+            run_and_log(command, "remapping", retries=2, fatal=True)
+            with open(f"{d}/out.gaf", newline="\n") as f:  # line by line, however long the output
+                for k, line in enumerate(f):
+                    yield pa.RecordBatch.from_arrays([pa.array([line.rstrip("\n")]), pa.array([k], pa.int64())], names=["value", "line_no"])
+
+    return rows.mapInArrow(run, "value string, line_no long")

@@ -91,7 +91,12 @@ def contig_length(nodes: DataFrame) -> DataFrame:
 
 def contig_coverage(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """contig, mapped_bases, mapped_reads, contig_length, coverage; 'overall' counts an alignment once."""
-    sums = credits(alignments, nodes).rollup("contig").agg(F.sum("bases").alias("mapped_bases"), F.sum("reads").alias("r"), F.sum("first").alias("a"), F.grouping("contig").alias("g"))
+    return coverage_of(credits(alignments, nodes), nodes)
+
+
+def coverage_of(credit: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same from what alignments add to contigs: contig, bases, reads, first."""
+    sums = credit.rollup("contig").agg(F.sum("bases").alias("mapped_bases"), F.sum("reads").alias("r"), F.sum("first").alias("a"), F.grouping("contig").alias("g"))
     name = F.when(F.col("g") == 1, "overall").otherwise(F.col("contig"))
     sums = sums.select(name.alias("contig"), "mapped_bases", F.when(F.col("g") == 1, F.col("a")).otherwise(F.col("r")).alias("mapped_reads"))
     out = contig_length(nodes).join(sums, "contig", "left")

@@ -5,58 +5,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ..storage import components, scratch, written
 
-CLUSTER = "node string, k int, start long, ref long, contig string, reads array<string>"
-_SCHEMA = pa.schema([("node", pa.string()), ("k", pa.int32()), ("start", pa.int64()), ("ref", pa.int64()), ("contig", pa.string()), ("reads", pa.list_(pa.string()))])
+#: Goes over a node's islands in order. An island whose first locus brings no read that the last cluster lacks joins it.
+_FOLD = """aggregate(islands, cast(array() AS array<struct<start:bigint,ref:bigint,contig:string,reads:array<string>>>),
+ (done, x) -> transform(array(try_element_at(done, -1)), z ->
+   IF(z IS NOT NULL AND size(array_except(x.first.reads, z.reads)) = 0,
+     concat(slice(done, 1, size(done) - 1), array(named_struct('start', z.start, 'ref', z.ref, 'contig', z.contig, 'reads', array_union(z.reads, x.reads)))),
+     concat(done, array(named_struct('start', x.first.pos, 'ref', x.first.ref, 'contig', x.first.contig, 'reads', x.reads)))))[0])"""
 
 
 def within_nodes(loci: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
-    """Clusters (node, k from 1, start, ref, contig, reads), by one pass over each node's loci in order of place.
+    """Clusters (node, k from 1, start, ref, contig, reads), by each node's loci in order of place.
 
-    A locus joins if it lies no further than dist from the last one, or if all its reads are in the cluster already (which
-    no window function can tell, as it depends on the reads gathered so far); else it begins a new cluster. Loci of
-    unknown nodes are left out; a node's name ends before its first colon.
+    A locus joins if it lies no further than dist from the last one, or if all its reads are in the cluster already; else it
+    begins a new cluster. Loci that follow each other closely make islands, which only their first locus can tie to what is before,
+    so that few rows are left for the fold over a node's islands: a node has as many loci as bases at most. One shuffle, by node.
+    Loci of unknown nodes are left out, as are those without a place; no reads count as an empty set. A node's name ends before its first colon.
     """
-    ship(loci.sparkSession)
-    node = F.substring_index("node", ":", 1)
-    known = nodes.select(F.col("name").alias("node"))
-    rows = loci.select(node.alias("node"), "pos", "ref", "contig", "reads").join(known, "node", "semi")
-    rows = rows.repartition("node").sortWithinPartitions("node", "pos")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = last = None
-        now: dict | None = None
-        have: set[str] = set()
-        done: list[dict] = []
-
-        def close() -> None:
-            if now is not None:
-                done.append(now | {"reads": sorted(have)})
-
-        for b in batches:
-            for r in b.to_pylist():
-                joins = r["node"] == name and (last + dist >= r["pos"] or have.issuperset(r["reads"]))
-                if joins:
-                    have.update(r["reads"])
-                else:
-                    close()
-                    k = now["k"] + 1 if r["node"] == name else 1
-                    name, have = r["node"], set(r["reads"])
-                    now = {"node": name, "k": k, "start": r["pos"], "ref": r["ref"], "contig": r["contig"]}
-                last = r["pos"]
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=_SCHEMA)
-                done = []
-        close()
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema=_SCHEMA)
-
-    return rows.select("node", "pos", "ref", "contig", "reads").mapInArrow(run, CLUSTER)
+    known = nodes.select(F.col("name").alias("node")).distinct()
+    reads = F.coalesce("reads", F.array().cast("array<string>"))
+    rows = loci.select(F.substring_index("node", ":", 1).alias("node"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", reads.alias("reads"))
+    rows = rows.where("pos IS NOT NULL").join(known, "node", "semi")
+    place = Window.partitionBy("node").orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(place) > dist, F.lit(True)).cast("int")
+    rows = rows.withColumn("apart", apart).withColumn("island", F.sum("apart").over(place))
+    island = rows.groupBy("node", "island").agg(F.min_by(F.struct("pos", "ref", "contig", "reads"), "pos").alias("first"), F.array_distinct(F.flatten(F.collect_list("reads"))).alias("reads"))
+    node = island.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("island", "first", "reads"))).alias("islands"))
+    each = node.select("node", F.posexplode(F.expr(_FOLD)).alias("k", "c"))
+    return each.select("node", (F.col("k") + 1).alias("k"), "c.start", "c.ref", "c.contig", F.sort_array("c.reads").alias("reads"))
 
 
 def candidates(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:

@@ -56,8 +56,9 @@ def gate(found: DataFrame, coverage: DataFrame, support: int) -> DataFrame:
 
 
 def reasoned(found: DataFrame, least: float) -> DataFrame:
-    """With reason, from depth, cluster_reads and reads."""
+    """With zscore (how far the reads lie from the depth, in its standard deviations) and reason, from depth, cluster_reads and reads."""
     d, c, r = F.col("depth"), F.col("cluster_reads"), F.size("reads")
+    found = found.withColumn("zscore", F.when(d > 0, (r - d) / F.sqrt(F.when(d > 0, d))).otherwise(F.lit(0.0)))
     return found.withColumn("reason", F.when(2 * d < c, "high_coverage").when(d > 5 * c, "low_coverage").when(r < least, "low_support").when(d > MAX_CONTIG_DEPTH, "max_contig_depth").otherwise("pass"))
 
 
@@ -70,6 +71,12 @@ def unmapped_candidate(unmapped: DataFrame, support: int) -> DataFrame:
     return got.select(F.lit("None-unmapped_0").alias("name"), "reads", F.lit(n).cast("long").alias("cluster_reads"), F.lit(float(n)).alias("depth"), F.lit("pass" if least <= n <= MAX_CONTIG_DEPTH else "low_support" if n < least else "max_contig_depth").alias("reason"))
 
 
+def outcomes(gated: DataFrame, attempts: DataFrame) -> DataFrame:
+    """gated with the reason of what passed but has no contig (no_contig, unassembled or failed). attempts: parent and reason (null for a contig)."""
+    none = attempts.where("reason IS NOT NULL").select(F.col("parent").alias("name"), F.col("reason").alias("_why"))
+    return gated.join(none, "name", "left").withColumn("reason", F.coalesce("_why", "reason")).drop("_why")
+
+
 def gate_counts(gated: DataFrame) -> DataFrame:
-    """reason and n; candidates over the contig depth count as high coverage."""
+    """reason and n (of the gate, and of outcomes if these are in); candidates over the contig depth count as high coverage."""
     return gated.groupBy(F.when(F.col("reason") == "max_contig_depth", "high_coverage").otherwise(F.col("reason")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cigar_ops
 from ..params import MIN_CLIP, MIN_SV_SIZE
-from .alignments import mapped, multi_mapped, resolved, unmapped_reads, valid
-
-
-def inter_breakpoints(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Where reads with several alignments begin and end: line_no, seq (0 start, 1 end), read, node, pos, ref, contig."""
-    several = multi_mapped(alignments).select("query_name")
-    rows = resolved(mapped(alignments).join(several, "query_name", "semi").select("line_no", "query_name", "query_length", "query_start", "query_end", "path", "path_start", "path_end"), nodes)
-    first, last = F.element_at("steps", 1), F.element_at("steps", -1)
-    before = F.expr("aggregate(filter(steps, x -> x.present AND x.i < n), 0L, (a, x) -> a + x.len)")
-    start = F.when((F.col("query_start") >= MIN_CLIP) & first["present"], F.struct(F.lit(0).alias("seq"), first.alias("s"), F.col("path_start").cast("long").alias("at")))
-    end = F.when((F.col("query_length") - F.col("query_end") >= MIN_CLIP) & last["present"], F.struct(F.lit(1).alias("seq"), last.alias("s"), (F.col("path_end") - before).alias("at")))
-    found = rows.select("line_no", F.col("query_name").alias("read"), F.explode(F.array_compact(F.array(start, end))).alias("e"))
-    pos = F.when(F.col("e.s.strand") == ">", F.col("e.at")).otherwise(F.col("e.s.len") - F.col("e.at"))
-    return found.select("line_no", "e.seq", "read", F.col("e.s.node").alias("node"), pos.alias("pos"), (F.col("e.s.offset") + pos).alias("ref"), F.col("e.s.contig").alias("contig"))
+from ..storage import scratch, written
+from .alignments import is_unmapped, resolved, unmapped_reads, valid
 
 
 #: The operations of MIN_SV_SIZE or more in a CIGAR string: seq, op, v (length), cig (place on the path, from 1). All operations
@@ -32,6 +20,7 @@ _SIGNALS = f"""aggregate(ops, named_struct('k', 0, 'at', 0L, 'out', cast(array()
 
 #: Carries a signal along the path's known nodes until one takes it. Within a node's stretch the signal's place must not lie beyond the
 #: stretch (reach), at the last node not before it; a deletion on a reversed node counts from its far end until it has spilled over a node's border.
+#: Places count from a node's end if its strand is anything but >, but only < lets a deletion reach or spill over from there.
 _PLACE = """aggregate(filter(steps, s -> s.present),
  named_struct('tot', 0L, 'reach', 0L, 'cig', cig, 'spilled', false, 'done', false, 'node', cast(NULL AS string), 'contig', cast(NULL AS string), 'offset', 0L, 'pos', 0L),
  (a, s) -> CASE WHEN a.done THEN a ELSE
@@ -39,24 +28,55 @@ _PLACE = """aggregate(filter(steps, s -> s.present),
    transform(array(CASE WHEN op <> 'D' OR a.spilled OR s.strand = '>' THEN a.cig WHEN s.strand = '<' THEN a.cig + v END), far ->
      CASE WHEN n = 1 OR (s.i < n AND far <= reach) OR (s.i = n AND far >= reach)
      THEN named_struct('tot', a.tot, 'reach', reach, 'cig', a.cig, 'spilled', a.spilled, 'done', true, 'node', s.node, 'contig', s.contig, 'offset', s.offset,
-       'pos', transform(array(IF(s.i = 1, path_start + a.cig, a.cig - a.tot)), p -> CASE WHEN s.strand <> '<' THEN p WHEN op = 'D' AND NOT a.spilled THEN s.len - p - v ELSE s.len - p END)[0])
+       'pos', transform(array(IF(s.i = 1, path_start + a.cig, a.cig - a.tot)), p -> CASE WHEN s.strand = '>' THEN p WHEN op = 'D' AND NOT a.spilled THEN s.len - p - v ELSE s.len - p END)[0])
      ELSE named_struct('tot', IF(s.i < n, reach, a.tot), 'reach', reach, 'cig', IF(s.i < n AND s.strand = '<' AND op = 'D' AND a.cig < reach, a.cig + v, a.cig),
        'spilled', a.spilled OR (s.i < n AND s.strand = '<' AND op = 'D' AND a.cig < reach), 'done', false, 'node', a.node, 'contig', a.contig, 'offset', a.offset, 'pos', a.pos)
      END)[0])[0] END)"""
 
 
+def signal_rows(alignments: DataFrame) -> DataFrame:
+    """The mapped lines with a signal: found (those of the CIGAR string), begins and ends (whether a read of several lines is clipped there)."""
+    rows = valid(alignments).select("line_no", "query_name", "query_length", "query_start", "query_end", "path", F.col("path_start").cast("long").alias("path_start"), "path_end", is_unmapped().alias("un"), cigar_ops(F.col("cigar")).alias("ops"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("query_name")) > 1
+    rows = rows.withColumn("found", F.expr(_SIGNALS)).drop("ops").withColumn("several", several).where("NOT un")
+    begins, ends = F.col("query_start") >= MIN_CLIP, F.col("query_length") - F.col("query_end") >= MIN_CLIP
+    rows = rows.withColumns({"begins": F.col("several") & begins, "ends": F.col("several") & ends}).where("begins OR ends OR size(found) > 0")
+    return rows.select("line_no", F.col("query_name").alias("read"), "path", "path_start", "path_end", "begins", "ends", "found")
+
+
+#: A line's signals: its clipped ends on known nodes (with the node and the place on the path), then those of its CIGAR string.
+_EACH = """transform(array(named_struct('first', element_at(steps, 1), 'last', element_at(steps, -1))), e -> concat(
+ filter(array(
+   named_struct('seq', IF(begins AND e.first.present, 0, -1), 'type', 'INTER', 'op', '', 'v', 0L, 'cig', 0L, 's', e.first, 'at', path_start),
+   named_struct('seq', IF(ends AND e.last.present, 1, -1), 'type', 'INTER', 'op', '', 'v', 0L, 'cig', 0L, 's', e.last,
+     'at', path_end - aggregate(filter(steps, x -> x.present AND x.i < n), 0L, (a, x) -> a + x.len))), x -> x.seq >= 0),
+ transform(found, f -> named_struct('seq', f.seq, 'type', 'INTRA', 'op', f.op, 'v', f.v, 'cig', f.cig, 's', e.first, 'at', 0L))))[0]"""
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The signals of resolved lines on their nodes; those without a node are left out."""
+    each = rows.select("line_no", "read", "path_start", "steps", "n", F.explode(F.expr(_EACH)).alias("e")).select("*", "e.seq", "e.type", "e.op", "e.v", "e.cig")
+    clip = F.struct(F.col("e.s.node").alias("node"), F.col("e.s.contig").alias("contig"), F.col("e.s.offset").alias("offset"), F.when(F.col("e.s.strand") == ">", F.col("e.at")).otherwise(F.col("e.s.len") - F.col("e.at")).alias("pos"))
+    put = each.withColumn("p", F.when(F.col("type") == "INTRA", F.expr(_PLACE))).where("type = 'INTER' OR p.done")
+    put = put.withColumn("p", F.when(F.col("type") == "INTER", clip).otherwise(F.struct("p.node", "p.contig", "p.offset", "p.pos")))
+    return put.select("line_no", "seq", "read", "p.node", "p.pos", (F.col("p.offset") + F.col("p.pos")).alias("ref"), "p.contig", "type", F.col("op").alias("sv_type"), F.col("v").alias("sv_size"))
+
+
+def inter_breakpoints(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where reads with several alignments begin and end: line_no, seq (0 start, 1 end), read, node, pos, ref, contig."""
+    rows = signal_rows(alignments).where("begins OR ends").withColumn("found", F.filter("found", lambda f: F.lit(False)))
+    return _placed(resolved(rows, nodes)).drop("type", "sv_type", "sv_size")
+
+
 def intra_loci(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """Insertions and deletions of CIGAR strings on their nodes: line_no, seq, read, node, pos, ref, contig, sv_type, sv_size. Signals without a node are left out."""
-    rows = mapped(alignments).select("line_no", "query_name", "path", F.col("path_start").cast("long").alias("path_start"), cigar_ops(F.col("cigar")).alias("ops"))
-    rows = rows.withColumn("found", F.expr(_SIGNALS)).where(F.size("found") > 0).drop("ops")
-    each = resolved(rows, nodes).select("line_no", "query_name", "path_start", "steps", "n", F.explode("found").alias("f")).select("*", "f.seq", "f.op", "f.v", "f.cig")
-    put = each.withColumn("p", F.expr(_PLACE)).where("p.done")
-    return put.select("line_no", "seq", F.col("query_name").alias("read"), F.col("p.node").alias("node"), F.col("p.pos").alias("pos"), (F.col("p.offset") + F.col("p.pos")).alias("ref"), F.col("p.contig").alias("contig"), F.col("op").alias("sv_type"), F.col("v").alias("sv_size"))
+    rows = signal_rows(alignments).where("size(found) > 0").withColumns({"begins": F.lit(False), "ends": F.lit(False)})
+    return _placed(resolved(rows, nodes)).drop("type")
 
 
 def signals(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
-    inter = inter_breakpoints(alignments, nodes).select("*", F.lit("INTER").alias("type"), F.lit("").alias("sv_type"), F.lit(0).cast("long").alias("sv_size"))
-    return inter.unionByName(intra_loci(alignments, nodes).withColumn("type", F.lit("INTRA")))
+    """Both kinds, with type (INTER or INTRA). The alignments are read once: the lines with signals are written, and their paths looked up once for both kinds."""
+    return _placed(resolved(written(signal_rows(alignments), scratch(alignments.sparkSession, "signals")), nodes))
 
 
 def sv_loci(alignments: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +65,14 @@ def fold(remap: DataFrame) -> DataFrame:
     return got.select(F.col("query_name").alias("name"), F.expr(_FOLD).alias("f")).select("name", "f.*")
 
 
-def counters(remap: DataFrame) -> DataFrame:
-    """One row: primary, secondary and low-quality lines (one line may be both of the latter)."""
+def counters(remap: DataFrame, output: DataFrame) -> DataFrame:
+    """One row: primary, secondary and low-quality lines (one line may be both of the latter), and the fragments put out (extra)."""
     low = F.col("mapq") < MIN_MAPQ_REMAP
-    return remap.agg(F.count_if(F.col("is_primary") & ~low).alias("good"), F.count_if(~F.col("is_primary")).alias("secondary"), F.count_if(low).alias("low_mapq"))
+    names = ("good", "secondary", "low_mapq", "extra")
+    only = lambda **counts: [counts.get(n, F.lit(0).cast("long")).alias(n) for n in names]
+    lines = remap.agg(*only(good=F.count_if(F.col("is_primary") & ~low), secondary=F.count_if(~F.col("is_primary")), low_mapq=F.count_if(low)))
+    more = output.agg(*only(extra=F.count_if(parent_name(F.col("name")).isNotNull())))
+    return lines.unionByName(more).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def decisions(folded: DataFrame, min_map_ratio: float) -> DataFrame:
@@ -77,9 +82,11 @@ def decisions(folded: DataFrame, min_map_ratio: float) -> DataFrame:
     return out.withColumn("keep", ~F.col("reason").isin("no_mapping", "high_map_ratio"))
 
 
-def overlap(xs: int, xe: int, ys: int, ye: int) -> float:
-    shorter, both = min(xe - xs, ye - ys), min(xe, ye) - max(xs, ys)
-    return both / shorter if shorter > 0 and both > 0 else 0.0
+def overlaps(start: int, end: int, starts: np.ndarray, ends: np.ndarray) -> bool:
+    """True if the interval shares more than MIN_DUP_OVERLAP of the shorter one with any of the others."""
+    shorter, both = np.minimum(end - start, ends - starts), np.minimum(end, ends) - np.maximum(start, starts)
+    some = (shorter > 0) & (both > 0)
+    return bool((both[some] / shorter[some] > MIN_DUP_OVERLAP).any())
 
 
 def without_duplicates(kept: DataFrame) -> DataFrame:
@@ -90,15 +97,18 @@ def without_duplicates(kept: DataFrame) -> DataFrame:
     rows = rows.repartition("hap", "path").sortWithinPartitions("hap", "path", F.desc("size"), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, have = None, []
+        group, have, n = None, np.zeros((2, 64), np.int64), 0
         for b in batches:
             flags = []
             for hap, path, start, end in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("hap", "path", "start", "end"))):
                 if (hap, path) != group:
-                    group, have = (hap, path), []
-                again = any(overlap(start, end, s, e) > MIN_DUP_OVERLAP for s, e in have)
+                    group, n = (hap, path), 0
+                again = overlaps(start, end, have[0, :n], have[1, :n])
                 if not again:
-                    have.append((start, end))
+                    if n == have.shape[1]:
+                        have = np.concatenate([have, np.empty_like(have)], 1)
+                    have[:, n] = start, end
+                    n += 1
                 flags.append(again)
             yield b.set_column(b.schema.get_field_index("duplicate"), "duplicate", pa.array(flags, pa.bool_()))
 

@@ -9,7 +9,6 @@ from pathlib import Path
 MIN_SV_SIZE = 50
 MIN_MAPQ = 5
 MIN_MAPQ_REMAP = 5
-MAX_LINES = 250_000_001
 MAX_FETCH = 1_000_001
 MIN_CLIP = 200
 MAX_CONTIG_DEPTH = 100

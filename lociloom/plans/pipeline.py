@@ -45,29 +45,31 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
     split = haplotypes.phase_split(final, phase)
     gated = written(haplotypes.gate(haplotypes.candidates(split, bool(params.phase), params.skip_untagged), coverage, params.support), f"{base}/candidates")
     passed = gated.where("reason = 'pass'")
+    unmapped = haplotypes.unmapped_candidate(alignments.unmapped_reads(aligned), params.support).where("cluster_reads > 0")
+    tried = passed.select("name", "reads").union(unmapped.where("reason = 'pass'").select("name", "reads"))
     svtigs = passed.select("name", F.col("start").cast("int").alias("pos"), "contig", F.size("reads").alias("support"))
-    contigs = written(external.assemble(passed.select("name", "reads"), files.read_fasta(spark, params.fasta), assembler or external.wtdbg2_assembler(params)), f"{base}/contigs")
-    reasons = gated.select("name", F.lit("assembly").alias("step"), "reason")
+    done = written(external.attempts(tried, files.read_fasta(spark, params.fasta), assembler or external.wtdbg2_assembler(params)), f"{base}/attempts")
+    contigs = done.where("sequence IS NOT NULL").drop("reason")
+    gated = written(haplotypes.outcomes(gated, done), f"{base}/gated")
+    reasons = gated.select("name", "reason").union(haplotypes.outcomes(unmapped.select("name", "reason"), done)).select("name", F.lit("assembly").alias("step"), "reason")
     if params.no_remap:
         output = svtigs.select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("double").alias("ratio"))
     else:
-        gaf = params.remap_gaf
-        if not gaf:
-            one = contigs.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("record"))
-            path = f"{params.out}/{params.sample}_candidates.fa"
-            with open(path, "w") as f:
-                for r in one.toLocalIterator():  # the program reads one local file
-                    f.write(r["record"] + "\n")
-            gaf = external.remap(params, path, f"{params.out}/{params.sample}_remap.gaf")
-        lines = files.read_gaf(spark, gaf).join(contigs.select(F.col("name").alias("query_name"), F.col("sequence").alias("query_sequence")), "query_name", "left")
-        lines = remap.with_has_sv(remap.path_sequences(lines, nodes, nodes.select("name", "sequence")))
+        if params.remap_gaf:
+            remapped = files.read_gaf(spark, params.remap_gaf)
+        else:
+            remapped = files.parse_gaf(written(external.remap(params, contigs), f"{base}/remapped"))
+        lines = remapped.join(contigs.select(F.col("name").alias("query_name"), F.col("sequence").alias("query_sequence")), "query_name", "left")
+        lines = written(remap.with_has_sv(remap.path_sequences(lines, nodes, nodes.select("name", "sequence"))), f"{base}/remap")
         decided = written(remap.decisions(remap.fold(lines), params.min_map_ratio), f"{base}/decisions")
         unique = written(remap.without_duplicates(decided.where("keep")), f"{base}/unique")
-        output = remap.flagged(unique, svtigs)
+        output = written(remap.flagged(unique, svtigs), f"{base}/flagged")
+        log.info("remapping: %s", remap.counters(lines, output).first().asDict())  # one row
         more = decided.select("name", F.lit("remap").alias("step"), "reason").unionByName(unique.where("duplicate").select("name", F.lit("duplicates").alias("step"), F.lit("duplicate").alias("reason")))
         reasons = reasons.unionByName(more)
     output = written(output, f"{base}/output")
     write(output, contigs, params)
+    log.info("candidates: %s", {r["reason"]: r["n"] for r in haplotypes.gate_counts(reasons.where("step = 'assembly'")).collect()})  # a row for each reason
     log.info("%d alleles", output.count())
     return Result(coverage, final, gated, contigs, output, reasons)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -13,7 +13,10 @@ from ..operators import loci as lo
 from ..operators import remap as rm
 from ..params import Params
 from ..sources.derived import SEQUENCE, derived, sequences, with_sql
-from ..sources.files import parse_gaf
+from ..adapters.external import attempts, median_read, read_sequences
+from ..sources.files import first_nodes, read_fasta, read_gaf, read_gfa, read_phase
+from ..sources.sinks import fasta_records, write_fasta
+from ..storage import scratch, written
 
 P = Params()
 QUERIES: dict = {}
@@ -44,44 +47,99 @@ def joined(c: str):
     return F.array_join(F.sort_array(c), ",")
 
 
-@query("SELECT * FROM gfa_node")
+def _put(lines: DataFrame, spark: SparkSession, packed: bool = False) -> str:
+    """The folder of text files that hold the lines; packed, all in one .gz file."""
+    path = scratch(spark, "text")
+    (lines.coalesce(1) if packed else lines).write.option("compression", "gzip" if packed else "none").text(path)
+    return path
+
+
+def _gfa(spark: SparkSession, d: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The graph as a GFA file, read back. Some segments stand twice (the first counts) and some lines are broken."""
+    s = lambda c: F.col(c).cast("string")
+    n = _nodes(spark, d).join(sequences(spark, d), "name")
+    line = F.concat_ws("\t", F.lit("S"), "name", "sequence", F.concat(F.lit("LN:i:"), s("len")), F.concat(F.lit("SN:Z:"), "contig"), F.concat(F.lit("SO:i:"), s("offset")))
+    again = F.when(F.col("name").endswith("3"), F.concat_ws("\t", F.lit("S"), "name", F.lit("A\tLN:i:1\tSN:Z:other\tSO:i:7")))
+    broken = F.when(F.col("name").endswith("5"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("x")), F.lit("A\tLN:i:1\tSN\tSO:i:7")))
+    short = F.when(F.col("name").endswith("7"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("y")), F.lit("A\tLN:i:1")))
+    text = F.when(F.col("name").endswith("9"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("z")), F.lit("A\tLN:i:one\tSN:Z:c\tSO:i:7")))
+    edge = derived(spark, d, "gfa_edge").select(F.concat_ws("\t", F.lit("L"), "src", F.lit("+"), "dst", F.lit("+"), F.lit("0M")).alias("value"))
+    rows = n.select(F.concat_ws("\n", line, again, broken, short, text).alias("value")).union(edge)
+    return read_gfa(spark, _put(rows, spark, packed))
+
+
+NODE_FILE_SQL = f"""SELECT name, len, "offset", contig, md5(sequence) AS sequence_md5 FROM gfa_node JOIN (SELECT concat('s', p_partkey::VARCHAR) AS name, {SEQUENCE} AS sequence FROM part) USING (name)"""
+
+
+@query(NODE_FILE_SQL)
 def gfa_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d)
+    """Segments of a GFA file."""
+    return first_nodes(_gfa(spark, d)[0]).select("name", "len", "offset", "contig", F.md5("sequence").alias("sequence_md5"))
+
+
+@query(NODE_FILE_SQL)
+def gfa_nodes_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a .gz file."""
+    return first_nodes(_gfa(spark, d, packed=True)[0]).select("name", "len", "offset", "contig", F.md5("sequence").alias("sequence_md5"))
 
 
 @query("SELECT * FROM gfa_edge")
 def gfa_edges(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "gfa_edge")
+    """Links of a GFA file."""
+    return _gfa(spark, d)[1].select("src", "dst")
+
+
+ALIGNED = ("query_name", "query_length", "query_start", "query_end", "path", "path_start", "path_end", "mapq", "is_primary", "cigar")
+
+
+def _gaf_text(rows: DataFrame) -> DataFrame:
+    """Alignments as GAF lines. Secondary ones of mapping quality 7 are cut short; others have numbers with letters behind them."""
+    s = lambda c: F.col(c).cast("string")
+    fields = [F.concat("query_name", F.lit(" ch=1")), s("query_length"), s("query_start"), s("query_end"), F.lit("+"), F.col("path"), F.lit("0"), s("path_start"), s("path_end"), F.lit("0"), F.lit("0"), F.concat(s("mapq"), F.lit("x"))]
+    line = F.concat_ws("\t", *fields, F.when(F.col("is_primary"), "tp:A:P").otherwise("tp:A:S"), F.concat(F.lit("cg:Z:"), F.col("cigar") if "cigar" in rows.columns else F.lit("")))
+    return rows.select(F.when((F.col("mapq") == 7) & ~F.col("is_primary"), F.concat_ws("\t", *fields[:11])).otherwise(line).alias("value"))
+
+
+ALIGNED_SQL = f"SELECT {', '.join(ALIGNED)} FROM gaf WHERE NOT (mapq = 7 AND NOT is_primary)"
 
 
-@query("SELECT * EXCLUDE (line_no) FROM gaf")
+@query(ALIGNED_SQL)
 def gaf_alignments(spark: SparkSession, d: str) -> DataFrame:
-    return _gaf(spark, d).drop("line_no")
+    """Alignments of a GAF file; lines cut short are left out."""
+    return read_gaf(spark, _put(_gaf_text(_gaf(spark, d)), spark)).select(*ALIGNED)
+
+
+@query(ALIGNED_SQL)
+def gaf_alignments_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a .gz file."""
+    return read_gaf(spark, _put(_gaf_text(_gaf(spark, d)), spark, packed=True)).select(*ALIGNED)
+
+
+@query("SELECT * EXCLUDE (line_no, has_sv) FROM remap WHERE NOT (mapq = 7 AND NOT is_primary)")
+def remap_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of alleles in a GAF file."""
+    r = derived(spark, d, "remap")
+    return read_gaf(spark, _put(_gaf_text(r), spark)).select(*[c for c in r.columns if c not in ("line_no", "has_sv")])
 
 
 @query("SELECT * FROM phase")
 def phase_tags(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "phase")
+    """Haplotypes of a TSV file with comments, empty lines, short lines and reads that stand twice (the first counts)."""
+    row = F.concat_ws("\t", "read_name", "haplotype", "phase_set", "contig")
+    again = F.when(F.col("read_name").endswith("5"), F.concat_ws("\t", "read_name", F.lit("H9\tother\tother\tmore")))
+    noise = F.when(F.col("read_name").endswith("7"), F.lit("#read\tH1\tps\tchr1\n\nread\tH1"))
+    return read_phase(spark, _put(derived(spark, d, "phase").select(F.concat_ws("\n", row, again, noise)), spark)).select("read_name", "haplotype", "phase_set", "contig")
 
 
-@query("SELECT * FROM remap")
-def remap_lines(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "remap")
+def _fasta(spark: SparkSession, d: str) -> DataFrame:
+    record = F.concat(F.lit(">"), "name", F.lit(" of the graph\n"), fx.wrapped(F.col("sequence")))
+    return read_fasta(spark, _put(sequences(spark, d).select(record), spark))
 
 
-@query(
-    """SELECT query_name, query_length, query_start, query_end, path, path_start, path_end, mapq, is_primary, cigar FROM gaf
-       WHERE NOT (mapq = 7 AND NOT is_primary)"""
-)
-def parse_gaf_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The alignments as GAF text, parsed back; some lines are cut short and must be left out."""
-    g = _gaf(spark, d)
-    s = lambda c: F.col(c).cast("string")
-    fields = [F.concat("query_name", F.lit(" ch=1")), s("query_length"), s("query_start"), s("query_end"), F.lit("+"), F.col("path"), F.lit("0"), s("path_start"), s("path_end"), F.lit("0"), F.lit("0"), F.concat(s("mapq"), F.lit("x"))]
-    line = F.concat_ws("\t", *fields, F.when(F.col("is_primary"), "tp:A:P").otherwise("tp:A:S"), F.concat(F.lit("cg:Z:"), F.col("cigar")))
-    short = F.concat_ws("\t", *fields[:11])
-    rows = g.select("line_no", F.when((F.col("mapq") == 7) & ~F.col("is_primary"), short).otherwise(line).alias("value"))
-    return parse_gaf(rows).select("query_name", "query_length", "query_start", "query_end", "path", "path_start", "path_end", "mapq", "is_primary", "cigar")
+@query(f"SELECT concat('s', p_partkey::VARCHAR) AS name, md5({SEQUENCE}) AS sequence_md5 FROM part")
+def fasta_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of a FASTA file, in lines of 60."""
+    return _fasta(spark, d).select("name", F.md5("sequence").alias("sequence_md5"))
 
 
 @query(
@@ -93,7 +151,7 @@ def cigar_ops(spark: SparkSession, d: str) -> DataFrame:
     return ops.groupBy("o.op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o.len").cast("long")).alias("bases"), F.max("o.len").alias("longest"))
 
 
-STEPS_SQL = """p AS (SELECT DISTINCT path, regexp_extract_all(path, '[<>][^<>]*') AS st FROM gaf),
+STEPS_SQL = """p AS (SELECT DISTINCT path, regexp_extract_all(path, '(?s).[^<>]*') AS st FROM gaf),
  step AS (SELECT path, i::INT AS i, left(st[i], 1) AS strand, substr(st[i], 2) AS node, len(st) AS n FROM (SELECT path, st, unnest(range(1, len(st) + 1)) AS i FROM p)),
  met AS (SELECT step.*, g.len::BIGINT AS len, g.offset::BIGINT AS "offset", g.contig, g.name IS NOT NULL AS present FROM step LEFT JOIN gfa_node g ON g.name = step.node)"""
 
@@ -191,12 +249,12 @@ INTRA_SQL = (
      CASE WHEN present THEN r ELSE reach END,
      sp OR (present AND NOT ok AND mi < n AND strand = '<' AND op = 'D' AND c < r), mi, present AND ok,
      CASE WHEN present AND ok THEN mnode END, CASE WHEN present AND ok THEN mcontig END,
-     CASE WHEN present AND ok THEN CASE WHEN strand <> '<' THEN p WHEN op = 'D' AND NOT sp THEN len - p - v ELSE len - p END END, CASE WHEN present AND ok THEN moffset END
+     CASE WHEN present AND ok THEN CASE WHEN strand = '>' THEN p WHEN op = 'D' AND NOT sp THEN len - p - v ELSE len - p END END, CASE WHEN present AND ok THEN moffset END
    FROM (SELECT *, CASE WHEN mi = 1 THEN ps + c ELSE c - tot END AS p,
-           n = 1 OR CASE WHEN mi < n THEN f <= r ELSE f >= r END AS ok
+           n = 1 OR coalesce(CASE WHEN mi < n THEN f <= r ELSE f >= r END, FALSE) AS ok
          FROM (SELECT w.*, m.i AS mi, m.n, m.strand, m.node AS mnode, m.len, m.contig AS mcontig, m."offset" AS moffset, m.present,
                  CASE WHEN m.i = m.n THEN w.reach WHEN m.i = 1 THEN m.len - ps ELSE w.tot + m.len END AS r,
-                 CASE WHEN op <> 'D' OR sp OR m.strand = '>' THEN c ELSE c + v END AS f
+                 CASE WHEN op <> 'D' OR sp OR m.strand = '>' THEN c WHEN m.strand = '<' THEN c + v END AS f
                FROM walk w JOIN met m ON m.path = w.path AND m.i = w.i + 1 WHERE NOT w.done))),
  intra AS (SELECT line_no, seq, read, node, pos, "offset", contig, op, v FROM walk WHERE done)"""
 )
@@ -286,8 +344,6 @@ MERGED_SQL = (
 
 
 def _merged(spark, d):
-    from ..storage import scratch, written
-
     clusters = written(_clusters(spark, d), scratch(spark, "clusters"))
     return cl.merge_neighbours(clusters, derived(spark, d, "gfa_edge"), _nodes(spark, d), P.dist)
 
@@ -335,8 +391,8 @@ def phase_summary(spark: SparkSession, d: str) -> DataFrame:
 _COV_PARTS = COVERAGE_SQL[COVERAGE_SQL.index(" s AS (SELECT m.line_no") :]
 GATE_SQL = (
     PHASE_SQL + "," + _COV_PARTS + """,
- cnd AS (SELECT node, k, contig, start, len(h1) + len(h2) + len(untagged) AS cluster_reads, unnest([{'h': 'H1', 'n': len(h1)}, {'h': 'H2', 'n': len(h2)}, {'h': 'None', 'n': len(untagged)}]) AS x FROM split),
- gat AS (SELECT concat(x.h, '-', node, '_', start) AS name, x.h AS hap, x.n AS n_reads, cluster_reads, greatest(5, coalesce(coverage, 0)) AS depth,
+ cnd AS (SELECT node, k, contig, start, len(h1) + len(h2) + len(untagged) AS cluster_reads, unnest([{'h': 'H1', 'n': len(h1), 'r': h1}, {'h': 'H2', 'n': len(h2), 'r': h2}, {'h': 'None', 'n': len(untagged), 'r': untagged}]) AS x FROM split),
+ gat AS (SELECT concat(x.h, '-', node, '_', start) AS name, x.h AS hap, x.n AS n_reads, x.r AS reads, cluster_reads, greatest(5, coalesce(coverage, 0)) AS depth,
    CASE WHEN 2 * greatest(5, coalesce(coverage, 0)) < cluster_reads THEN 'high_coverage' WHEN greatest(5, coalesce(coverage, 0)) > 5 * cluster_reads THEN 'low_coverage'
      WHEN x.n < 3 THEN 'low_support' WHEN greatest(5, coalesce(coverage, 0)) > 100 THEN 'max_contig_depth' ELSE 'pass' END AS reason FROM cnd LEFT JOIN cov USING (contig))"""
 )
@@ -346,9 +402,9 @@ def _gate(spark, d):
     return hp.gate(hp.candidates(_split(spark, d), phased=True), al.contig_coverage(_gaf(spark, d), _nodes(spark, d)), P.support)
 
 
-@query(GATE_SQL + " SELECT name, hap, n_reads::INT AS n_reads, cluster_reads::INT AS cluster_reads, round(depth, 6) AS depth, reason FROM gat")
+@query(GATE_SQL + " SELECT name, hap, n_reads::INT AS n_reads, cluster_reads::INT AS cluster_reads, round(depth, 6) AS depth, round((n_reads - depth) / sqrt(depth), 4) AS zscore, reason FROM gat")
 def assembly_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _gate(spark, d).select("name", "hap", F.size("reads").alias("n_reads"), "cluster_reads", F.round("depth", 6).alias("depth"), "reason")
+    return _gate(spark, d).select("name", "hap", F.size("reads").alias("n_reads"), "cluster_reads", F.round("depth", 6).alias("depth"), F.round("zscore", 4).alias("zscore"), "reason")
 
 
 @query(GATE_SQL + " SELECT CASE WHEN reason = 'max_contig_depth' THEN 'high_coverage' ELSE reason END AS reason, count(*) AS n FROM gat GROUP BY ALL")
@@ -361,6 +417,33 @@ def svtig_names(spark: SparkSession, d: str) -> DataFrame:
     return _gate(spark, d).where("reason = 'pass'").select("name")
 
 
+#: Reads as in a FASTA file (of the reads whose order number is not a multiple of 4): names and sequences.
+READ_SQL = f"""rds AS (SELECT concat('r', o_orderkey::VARCHAR) AS read, {SEQUENCE.replace("p_partkey", "o_orderkey")} AS sequence FROM orders WHERE o_orderkey % 4 <> 0),
+ got AS (SELECT name, read, sequence FROM (SELECT name, unnest(reads) AS read FROM gat WHERE reason = 'pass') JOIN rds USING (read))"""
+
+
+def _reads_file(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 4 != 0")
+    return orders.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"), F.expr(SEQUENCE.replace("p_partkey", "o_orderkey")).alias("sequence"))
+
+
+@query(GATE_SQL + ", " + READ_SQL + " SELECT name, read, md5(sequence) AS sequence_md5 FROM got")
+def assembly_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The reads of the candidates that pass, with their sequences."""
+    return read_sequences(_gate(spark, d).where("reason = 'pass'"), _reads_file(spark, d)).select("name", "read", F.md5("sequence").alias("sequence_md5"))
+
+
+@query(
+    GATE_SQL + ", " + READ_SQL + """, mid AS (SELECT name, sequence, row_number() OVER (PARTITION BY name ORDER BY length(sequence), sequence) - 1 AS r, count(*) OVER (PARTITION BY name) AS n FROM got)
+ SELECT gat.name, CASE WHEN gat.reason = 'pass' AND mid.name IS NULL THEN 'no_contig' ELSE gat.reason END AS reason, md5(mid.sequence) AS contig_md5 FROM gat LEFT JOIN mid ON mid.name = gat.name AND gat.reason = 'pass' AND mid.r = mid.n // 2"""
+)
+def assembly_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What comes of each candidate, with the built-in median read as its contig."""
+    gated = written(_gate(spark, d), scratch(spark, "gated"))
+    done = written(attempts(gated.where("reason = 'pass'"), _reads_file(spark, d), median_read), scratch(spark, "attempts"))
+    return hp.outcomes(gated, done).join(done.where("sequence IS NOT NULL").select("name", F.md5("sequence").alias("contig_md5")), "name", "left").select("name", "reason", "contig_md5")
+
+
 FOLD_SQL = """ln AS (SELECT *, (query_end - query_start)::DOUBLE / query_length AS ratio, mapq >= 5 AND is_primary AS good, row_number() OVER (PARTITION BY query_name ORDER BY line_no) AS r FROM remap),
  rf AS (SELECT query_name AS name, r, ratio, path, path_start AS start, path_end AS "end", has_sv AS sv, query_length AS size, CASE WHEN good THEN 1 ELSE 0 END::BIGINT AS freq FROM ln WHERE r = 1
    UNION ALL
@@ -394,11 +477,6 @@ def remap_decision(spark: SparkSession, d: str) -> DataFrame:
     return _decided(spark, d).select("name", "reason", "keep")
 
 
-@query("SELECT count(*) FILTER (mapq >= 5 AND is_primary) AS good, count(*) FILTER (NOT is_primary) AS secondary, count(*) FILTER (mapq < 5) AS low_mapq FROM remap")
-def remap_counters(spark: SparkSession, d: str) -> DataFrame:
-    return rm.counters(derived(spark, d, "remap"))
-
-
 DEDUP_SQL = (
     DECISION_SQL + """,
  kp AS (SELECT *, CASE WHEN name LIKE 'H1-%' THEN 'H1-' WHEN name LIKE 'H2-%' THEN 'H2-' WHEN name LIKE 'None-%' THEN 'None-' ELSE '' END AS hap FROM dec WHERE reason NOT IN ('no_mapping', 'high_map_ratio')),
@@ -434,11 +512,38 @@ def _output(spark, d):
     return rm.flagged(_deduped(spark, d), reg)
 
 
-@query(OUTPUT_SQL + """ SELECT name, format('>{} contig={} pos={} support={} path={} map_ratio={}', name, contig, pos, support, path, regexp_replace(regexp_replace(printf('%.6f', round(ratio, 6 - CASE WHEN ratio >= 1 THEN 1 ELSE 0 END)), '0+$', ''), '\\.$', '')) AS header FROM outp WHERE ratio >= 0.1""")
+@query(OUTPUT_SQL + """ SELECT name, format('>{} contig={} pos={} support={} path={} map_ratio={}', name, contig, pos, support, path, printf('%g', ratio)) AS header FROM outp""")
 def svtig_headers(spark: SparkSession, d: str) -> DataFrame:
     return rm.headers(_output(spark, d))
 
 
+@query(OUTPUT_SQL + r""" SELECT count(*) FILTER (mapq >= 5 AND is_primary) AS good, count(*) FILTER (NOT is_primary) AS secondary, count(*) FILTER (mapq < 5) AS low_mapq,
+    (SELECT count(*) FROM outp WHERE name LIKE '%\_%\_%' ESCAPE '\') AS extra FROM remap""")
+def remap_counters(spark: SparkSession, d: str) -> DataFrame:
+    return rm.counters(derived(spark, d, "remap"), _output(spark, d))
+
+
+WRAPPED = "array_to_string(list_transform(range(0, (length(sequence) + 59) // 60), lambda i: substr(sequence, 60 * i + 1, 60)), chr(10))"
+
+
+@query(
+    OUTPUT_SQL + f""", seqs AS (SELECT outp.*, {SEQUENCE} AS sequence FROM outp JOIN part ON concat('s', p_partkey::VARCHAR) = regexp_extract(name, '(s[0-9]+)_', 1)),
+ rec AS (SELECT name, concat(format('>{{}} contig={{}} pos={{}} support={{}} path={{}} map_ratio={{}}', name, contig, pos, support, path, printf('%g', ratio)), chr(10), {WRAPPED}) AS record FROM seqs)
+ SELECT (row_number() OVER (ORDER BY name COLLATE "C"))::INT AS place, md5(record) AS record_md5 FROM rec""".replace(' COLLATE "C"', "")
+)
+def fasta_output(spark: SparkSession, d: str) -> DataFrame:
+    """The alleles (here with a node's sequence each) as written to FASTA files, read back record by record in the files' order."""
+    out = _output(spark, d)
+    own = out.select("name", F.regexp_extract("name", "(s[0-9]+)_", 1).alias("node")).join(sequences(spark, d).withColumnRenamed("name", "node"), "node")
+    path = scratch(spark, "fasta")
+    write_fasta(fasta_records(rm.headers(out), own), path)
+    text = spark.read.option("lineSep", "\n>").text(path)
+    record = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\n\\z", "")
+    place = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    numbered = text.select(F.concat(F.lit(">"), record).alias("record"), place.alias("p"))
+    return numbered.select(F.row_number().over(Window.orderBy("p")).alias("place"), F.md5("record").alias("record_md5"))
+
+
 @query(OUTPUT_SQL + " SELECT name, unnest(list_filter([CASE WHEN contains(name, 'H1') THEN 'H1' END, CASE WHEN contains(name, 'H2') THEN 'H2' END, CASE WHEN NOT contains(name, 'H1') AND NOT contains(name, 'H2') THEN 'untagged' END], lambda x: x IS NOT NULL)) AS file FROM outp")
 def haplotype_files(spark: SparkSession, d: str) -> DataFrame:
     return rm.haplotype_files(_output(spark, d).select("name"))

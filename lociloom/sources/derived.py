@@ -20,7 +20,7 @@ GAF = """SELECT line_no, concat('r',cast(l_orderkey as string)) AS query_name, 9
    CASE WHEN n>2 THEN concat('<s',cast(l_partkey+2 as string)) ELSE '' END,
    CASE WHEN n>1 THEN concat('<s',cast(l_partkey+1 as string)) ELSE '' END,
    concat('<s',cast(l_partkey as string)))
- ELSE concat(concat('>s',cast(l_partkey as string)),
+ ELSE concat(CASE WHEN (l_partkey+l_linenumber)%19=0 THEN '*s' ELSE '>s' END,cast(l_partkey as string),
    CASE WHEN n>1 THEN concat('>s',cast(l_partkey+1 as string)) ELSE '' END,
    CASE WHEN n>2 THEN concat('>s',cast(l_partkey+2 as string)) ELSE '' END) END AS path,
  ps AS path_start, ps+a+(CASE WHEN l_linestatus='F' THEN b ELSE 0 END)+c AS path_end,

@@ -15,7 +15,7 @@ def fasta_records(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     return rows.join(sequences.select("name", "sequence"), "name").select("name", F.concat("header", F.lit("\n"), wrapped(F.col("sequence"))).alias("record"))
 
 
-def write_fasta(records: DataFrame, path: str, one_file: bool = True) -> None:
-    """The records in byte order of their names, as one text file below path or, for large sets, one for each range."""
-    ordered = records.orderBy("name").select("record")
-    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(path)
+def write_fasta(records: DataFrame, path: str) -> None:
+    """The records in byte order of their names, as text files below path, one for each range of names; in the order of the files'
+    names they make one FASTA file. Ranges are as large as Spark's advisory partition size, so that few records make one file."""
+    records.orderBy("name").select("record").write.mode("overwrite").text(path)

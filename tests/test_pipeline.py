@@ -3,14 +3,13 @@
 import os
 import stat
 
-from pyspark.sql import functions as F
-
 from lociloom.__main__ import main, parser
 from lociloom.adapters import external
+from lociloom.operators.alignments import contig_coverage
 from lociloom.params import Params
 from lociloom.plans.pipeline import run
 from lociloom.sources import files
-from lociloom.streaming.coverage import contig_totals, stream_lines
+from lociloom.streaming.coverage import add_up, stream_lines, totals
 
 
 def inputs(d):
@@ -66,10 +65,44 @@ def test_adapters(tmp_path, caplog):
 
 
 def test_wtdbg2_with_stubs(tmp_path):
-    for name, body in {"wtdbg2": "echo x > out.ctg.lay.gz", "wtpoa-cns": 'while [ "$1" != -fo ]; do shift; done; printf ">c1\\nACGT\\n>c2\\nGG\\n" > "$2"', "minimap2": "echo", "samtools": "cat > /dev/null || true"}.items():
+    import pytest
+
+    for name, body in {"wtdbg2": "echo '>ctg1' | gzip > out.ctg.lay.gz", "wtpoa-cns": 'while [ "$1" != -fo ]; do shift; done; printf ">c1\\nACGT\\n>c2\\nGG\\n" > "$2"', "minimap2": "echo", "samtools": "cat > /dev/null || true"}.items():
         (tmp_path / name).write_text(f"#!/bin/sh\n{body}\n")
         (tmp_path / name).chmod(0o755)
-    assert external.wtdbg2_assembler(Params(extra_dirs=(str(tmp_path),)))("n", [("r", "ACGT")]) == ["ACGT", "GG"]
+    run_it = lambda: external.wtdbg2_assembler(Params(extra_dirs=(str(tmp_path),)))("n", [("r", "ACGT")])
+    assert run_it() == ["ACGT", "GG"]
+    for name, body, why in (("wtpoa-cns", "touch final.fa raw.fa", "unassembled"), ("minimap2", "exit 3", "failed"), ("wtdbg2", "echo no | gzip > out.ctg.lay.gz", "no_contig"), ("wtdbg2", "exit 1", "failed")):
+        (tmp_path / name).write_text(f"#!/bin/sh\n{body}\n")
+        with pytest.raises(external.NoContigs, match=why):
+            run_it()
+
+
+def test_remap_by_tasks(spark, tmp_path, monkeypatch):
+    tool = tmp_path / "GraphAligner"
+    tool.write_text("""#!/bin/sh
+while [ $# -gt 0 ]; do case "$1" in -f) in=$2;; -a) out=$2;; esac; shift; done
+sed -n 's/^>\\(.*\\)/\\1\\t9\\t0\\t9\\t+\\t>s1\\t9\\t0\\t9\\t9\\t9\\t60/p' "$in" > "$out"
+""")
+    tool.chmod(0o755)
+    monkeypatch.setattr(external, "ALIGNED_AT_ONCE", 2)
+    contigs = spark.createDataFrame([(f"a{i}", "ACGT") for i in range(7)], "name string, sequence string")
+    got = files.parse_gaf(external.remap(Params(extra_dirs=(str(tmp_path),)), contigs)).collect()
+    assert sorted(r["query_name"] for r in got) == [f"a{i}" for i in range(7)]
+
+
+def test_outcomes(spark, tmp_path):
+    from dataclasses import replace
+
+    params = replace(inputs(tmp_path), no_remap=True)
+    (tmp_path / "a.gaf").write_text((tmp_path / "a.gaf").read_text() + "".join(f"u{i}\t500\t0\t0\t+\t*\t0\t0\t0\t0\t0\t0\n" for i in range(4)))
+
+    def none(name, reads):
+        raise external.NoContigs("unassembled")
+
+    got = run(spark, params, none)
+    assert {tuple(r) for r in got.decisions.collect()} == {("s1_401", "assembly", "unassembled"), ("None-unmapped_0", "assembly", "no_contig")}
+    assert got.contigs.count() == 0 and text(tmp_path / "out" / "sample_svtigs.fa") == ""
 
 
 def test_contig_names(spark):
@@ -90,8 +123,12 @@ def test_stream(spark, tmp_path):
     line = "r\t10\t0\t9\t+\t>s1\t100\t5\t25\t0\t0\t60\n"
     (tmp_path / "in" / "1.gaf").write_text(line)
     (tmp_path / "in" / "2.gaf").write_text(line * 2)
-    nodes = spark.createDataFrame([("s1", "chr1")], "name string, contig string")
-    q = contig_totals(stream_lines(spark, str(tmp_path / "in"), 1), nodes).writeStream.outputMode("complete").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.table("totals").collect()] == [("chr1", 60, 3)]
-    assert spark.range(1).select(F.lit(1)).count() == 1
+    nodes = spark.createDataFrame([("s1", 100, 0, "chr1"), ("s2", 40, 0, "chr2"), ("s3", 20, 0, "chr2")], "name string, len int, offset int, contig string")
+    add = lambda: add_up(stream_lines(spark, str(tmp_path / "in"), 1), nodes, str(tmp_path / "sums"), str(tmp_path / "cp")).awaitTermination()
+    add()
+    (tmp_path / "in" / "3.gaf").write_text("r\t10\t0\t9\t+\t>s1<s2>none\t100\t5\t125\t0\t0\t60\nbad line\nr\t10\t0\t9\t+\t>s3>s1\t100\t5\t125\t0\t0\t60\n")
+    add()
+    every = files.read_gaf(spark, str(tmp_path / "in"))
+    got = {tuple(r) for r in totals(spark, nodes, str(tmp_path / "sums")).collect()}
+    assert got == {tuple(r) for r in contig_coverage(every, nodes).collect()} and ("chr1", 60 + 95 + 105, 3 + 1 + 1) in {r[:3] for r in got}
+    assert len(list((tmp_path / "sums").glob("batch=*"))) == 3
