@@ -81,18 +81,35 @@ NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 _W, _COVER = templates.WINDOW, templates.COVER
 
-#: Token by token what templates.template does to the whole text.
-_SEQUENCE = f"""
-    SELECT id, raw, list_transform(range(1, len(num) + 1), lambda i:
-        CASE WHEN i > 1 AND num[i - 1] LIKE '%#' AND regexp_full_match(num[i], '(?:{templates.UNITS})', 'i') THEN '%'
-             WHEN regexp_matches(num[i], '^\\p{{Lu}}') THEN '@' ELSE lower(num[i]) END) AS canon
-    FROM (SELECT id, string_split(c, ' ') AS raw, string_split(regexp_replace(c, '\\p{{N}}+', '#', 'g'), ' ') AS num
-          FROM (SELECT %s AS id, trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS c FROM %s))
+#: Token by token what templates.tokens and template do to the whole text: id, text, raw and canon (tokens), low (words), and their flags.
+_SEQUENCE = rf"""
+    SELECT id, text, raw, canon, low, array_to_string(list_transform(canon, lambda c: CASE WHEN regexp_matches(c, '[#%@]') THEN 's' ELSE 'p' END), '') AS tflags,
+        array_to_string(list_transform(range(1, len(canon) + 1), lambda i: CASE WHEN regexp_matches(canon[i], '[#%@]') THEN repeat('s', lens[i]) ELSE 'p' END), '') AS wflags, lens
+    FROM (SELECT id, text, raw, list_transform(range(1, len(num) + 1), lambda i:
+            CASE WHEN i > 1 AND num[i - 1] LIKE '%#' AND regexp_full_match(num[i], '(?:{templates.UNITS})', 'i') THEN '%'
+                 WHEN regexp_matches(num[i], '^\p{{Lu}}') THEN '@' ELSE lower(num[i]) END) AS canon,
+            string_split(lower(replace(array_to_string(raw, ' '), chr(1), ' ')), ' ') AS low,
+            list_transform(raw, lambda r: length(r) - length(replace(r, chr(1), '')) + 1) AS lens
+        FROM (SELECT *, list_transform(raw, lambda r: regexp_replace(r, '\p{{N}}+(?:\x02\p{{N}}+)*', '#', 'g')) AS num
+            FROM (SELECT id, text, flatten(list_transform(string_split(c, ' '), lambda x: CASE WHEN regexp_matches(x, '^.*\p{{N}}(?i:{templates.UNITS})$')
+                    THEN [regexp_extract(x, '^(.*\p{{N}})(?i:{templates.UNITS})$', 1), regexp_extract(x, '^.*\p{{N}}((?i:{templates.UNITS}))$', 1)] ELSE [x] END)) AS raw
+                FROM (SELECT id, text, trim(regexp_replace(regexp_replace(regexp_replace(t, '(\p{{N}})[.,](\p{{N}})', '\1' || chr(2) || '\2', 'g'), '(\p{{N}})[.,](\p{{N}})', '\1' || chr(2) || '\2', 'g'),
+                        '[^\p{{L}}\p{{N}}\x01\x02]+', ' ', 'g')) AS c
+                    FROM (SELECT id, text, array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || CASE WHEN i < len(k) AND regexp_matches(k[i], '(^|[^\p{{L}}\p{{N}}])\p{{Lu}}[\p{{L}}\p{{N}}]*$')
+                            AND regexp_matches(k[i + 1], '^\p{{Lu}}') THEN chr(1) ELSE ' ' END), '') AS t
+                        FROM (SELECT %s AS id, text, string_split(regexp_replace(coalesce(text, ''), '[\x01\x02\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k FROM (SELECT DISTINCT %s, text FROM %s)))))))
 """
 
 
 def _sequence(key: str, name: str) -> str:
-    return _SEQUENCE.replace("%s", key, 1).replace("%s", name, 1)
+    return _SEQUENCE.replace("%s", key, 2).replace("%s", name, 1)
+
+
+#: For each kind of window, id, text, place (from 1) and key; of an item those that are looked for.
+def _windows(seq: str, item: bool) -> str:
+    light, heavy = (f"WHERE length(replace(substr({x}flags, p, {_W}), 'p', '')) * 2 {c} {_W}" if item else "" for x, c in (("t", "<="), ("w", ">")))
+    return f"""SELECT id, text, 0 AS kind, p, array_to_string(canon[p:p + {_W - 1}], ' ') AS w FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS p FROM {seq}) {light}
+        UNION ALL SELECT id, text, 1, p, array_to_string(low[p:p + {_W - 1}], ' ') FROM (SELECT *, unnest(range(1, len(low) - {_W} + 2)) AS p FROM {seq}) {heavy}"""
 
 
 _ESCAPED = r"length(regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)', '\1_\2', 'g'), '(\[)(/?INST\])', '\1_\2', 'g'))"
@@ -100,21 +117,27 @@ _ESCAPED = r"length(regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)(
 ORACLE = {
     "op5_decontamination": f"""
         WITH d AS ({_sequence("doc_id", "documents")}), b AS ({_sequence("item_id", "benchmark")}),
-        dw AS (SELECT id AS doc_id, raw, p, canon[p:p + {_W - 1}] AS w FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS p FROM d)),
-        bw AS (SELECT * FROM (SELECT id AS item_id, raw AS item_raw, len(canon) AS item_words, q, canon[q:q + {_W - 1}] AS w
-                              FROM (SELECT *, unnest(range(1, len(canon) - {_W} + 2)) AS q FROM b))
-               WHERE len(list_filter(w, lambda x: NOT regexp_matches(x, '[#%@]'))) * 2 >= {_W}),
-        hit AS (SELECT doc_id, item_id, item_words, p - q AS diagonal, q, unnest(range(0, {_W})) AS k, w, raw, item_raw, p FROM dw JOIN bw USING (w)),
-        place AS (SELECT doc_id, item_id, item_words, diagonal, q + k AS place, any_value(w[k + 1]) AS c, any_value(item_raw[q + k]) AS iw,
-                         any_value(raw[p + k]) AS dw, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS starts FROM hit GROUP BY ALL),
-        filling AS (SELECT doc_id, item_id, item_words, diagonal, CASE WHEN regexp_matches(c, '[#%@]') THEN concat(c, iw) END AS f,
-                           count(*) AS places, sum(starts) AS starts, min(dw) AS low, max(dw) AS high, any_value(iw) AS own FROM place GROUP BY ALL),
-        whole AS (SELECT doc_id, item_id, item_words, diagonal, sum(starts) AS n_windows, sum(places) AS matched_words,
-                         count(CASE WHEN f IS NOT NULL AND low <> high THEN 1 END) AS clashes,
-                         count(CASE WHEN f IS NOT NULL AND low <> own THEN 1 END) AS changed_slots FROM filling GROUP BY ALL)
-        SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, matched_words::BIGINT AS matched_words, item_words::BIGINT AS item_words, changed_slots::BIGINT AS changed_slots
-        FROM whole WHERE clashes = 0 AND matched_words >= {_COVER} * item_words
-        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item_words ORDER BY matched_words DESC, n_windows DESC, changed_slots) = 1
+        dw AS ({_windows("d", False)}), bw AS ({_windows("(SELECT * FROM b WHERE len(canon) >= " + str(_W) + ")", True)}),
+        far AS (SELECT dw.id AS doc_id, dw.text AS doc, bw.id AS item_id, bw.text AS item, kind, dw.p AS dp, bw.p AS bp, {_W} AS n FROM dw JOIN bw USING (kind, w)
+            UNION ALL SELECT d.id, d.text, b.id, b.text, 2, p, 1, len(b.low) FROM b, (SELECT *, unnest(range(1, len(low) + 1)) AS p FROM d) d
+                WHERE len(b.canon) < {_W} AND len(b.low) >= {templates.LEAST} AND d.low[p] = b.low[1] AND d.low[p:p + len(b.low) - 1] = b.low),
+        hit AS (SELECT doc_id, item_id, item, kind, dp, bp, d.raw AS draw, d.lens AS dlens, b.raw AS braw, b.lens AS blens, b.canon, b.low, len(b.low) AS item_words, unnest(range(0, n)) AS k
+            FROM far JOIN d ON d.id IS NOT DISTINCT FROM doc_id AND d.text IS NOT DISTINCT FROM doc JOIN b ON b.id IS NOT DISTINCT FROM item_id AND b.text IS NOT DISTINCT FROM item),
+        tok AS (SELECT doc_id, item_id, item, item_words, k, CASE WHEN kind = 0 THEN coalesce(list_sum(blens[1:bp + k - 1]), 0) ELSE bp + k - 1 END::BIGINT AS start, CASE WHEN kind = 0 THEN blens[bp + k] ELSE 1 END::BIGINT AS len,
+                CASE WHEN kind = 0 THEN coalesce(list_sum(dlens[1:dp + k - 1]), 0) - coalesce(list_sum(blens[1:bp + k - 1]), 0) ELSE dp - bp END::BIGINT AS diagonal,
+                CASE WHEN kind = 0 AND regexp_matches(canon[bp + k], '[#%@]') THEN canon[bp + k] || braw[bp + k] END AS f, braw[bp + k] AS own, draw[dp + k] AS other FROM hit),
+        token AS (SELECT doc_id, item_id, item, item_words, diagonal, start, len, max(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS starts, min(f) AS f, min(CASE WHEN f IS NOT NULL THEN own END) AS own, min(CASE WHEN f IS NOT NULL THEN other END) AS other FROM tok GROUP BY ALL),
+        filling AS (SELECT doc_id, item_id, item, item_words, diagonal, f, sum(len) AS words, sum(starts) AS windows, min(other) AS low, max(other) AS high, min(own) AS own, list({{'s': start, 'n': len}}) AS places FROM token GROUP BY ALL),
+        fit AS (SELECT * FROM (SELECT *, sum(words) OVER w AS all_words, sum(windows) OVER w AS all_windows, max(CASE WHEN low <> high THEN 1 ELSE 0 END) OVER w AS clash FROM filling WINDOW w AS (PARTITION BY doc_id, item_id, item, diagonal)) WHERE clash = 0),
+        fit2 AS (SELECT *, first_value(diagonal) OVER (PARTITION BY doc_id, item_id, item ORDER BY all_words DESC, all_windows DESC, diagonal) AS middle FROM fit),
+        near AS (SELECT *, max(CASE WHEN diagonal = middle THEN low END) OVER (PARTITION BY doc_id, item_id, item, f) AS as_middle FROM fit2 WHERE abs(diagonal - middle) <= item_words),
+        near2 AS (SELECT * FROM (SELECT *, max(CASE WHEN f IS NOT NULL AND low <> as_middle THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id, item, diagonal) AS apart FROM near) WHERE apart = 0),
+        near3 AS (SELECT *, CASE WHEN f IS NOT NULL AND min(low) OVER w <> max(low) OVER w THEN 1 ELSE 0 END AS u FROM near2 WINDOW w AS (PARTITION BY doc_id, item_id, item, f)),
+        near4 AS (SELECT * FROM (SELECT *, max(u) OVER (PARTITION BY doc_id, item_id, item) AS unlike FROM near3) WHERE unlike = 0 OR diagonal = middle),
+        one AS (SELECT doc_id, item_id, item, item_words, f, sum(windows) AS windows, min(low) AS low, min(own) AS own, flatten(list(places)) AS places FROM near4 GROUP BY ALL),
+        whole AS (SELECT doc_id, item_id, item_words, sum(windows)::BIGINT AS n_windows, len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p.s, p.s + p.n)))))::BIGINT AS matched_words,
+                count(CASE WHEN f IS NOT NULL AND low <> own THEN 1 END) AS changed_slots, item FROM one GROUP BY doc_id, item_id, item, item_words)
+        SELECT doc_id, item_id, n_windows, matched_words, item_words::BIGINT AS item_words, changed_slots FROM whole WHERE matched_words >= {_COVER} * item_words
     """,
     "op8_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -1,113 +1,197 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
-Texts become sequences of words (letters and digits; anything else parts words). Typed placeholders take the
-place of numbers, of names (words with a capital first letter) and of units (after a number); other words are
-lower-cased. Each window of WINDOW template words of a benchmark item with at least half of them plain is joined
-by its hash with the documents' windows. Windows of a document and an item that lie on one diagonal (the same distance
-between their places) form a match. The words that fill the placeholders must fit: one filling of the item has the same
-filling in the document wherever it occurs in the match. Those that differ are re-parameterised questions.
-
-A document is contaminated by an item if one match covers at least COVER of the item's words and its slots
-fit. Nothing is lost by hash collisions: a window counts only if its template words are equal.
-
-Null texts count as empty; items of fewer than WINDOW words have no window and match nothing. Null ids are kept
-like others. Repeated document rows give the same matches once for each id. An empty table on either side gives an empty
-result. Very long texts are taken whole. Other columns do not matter.
+Texts become sequences of words: letters and digits, with a number's decimal and group marks inside (3.5, 1,200) and a
+unit that stands close to its number apart (5kg). Typed placeholders take the place of numbers, of names (words with a capital first
+letter; several with a space between are one name) and of units after a number; other words are lower-cased. So a text is a row
+of tokens, of which names may hold several words. What is looked for of an item, and how a place of it is matched in a document:
+
+* each window of WINDOW tokens of which half are plain at least: the same window of tokens, whatever fills its slots;
+* each window of WINDOW words more than half of which stand in slots: the same words, but for their case;
+* an item of fewer than WINDOW tokens (but LEAST words): all its words, but for their case. Shorter items match nothing.
+
+Windows are joined by hash and then compared. A matched token's diagonal is its word's place in the document less that in the
+item. On a diagonal, the words that fill the slots must fit: one filling of the item has the same filling in the document
+wherever it occurs; other diagonals are left out. The diagonal that matches most words is a match's middle; those nearer to it than the
+item is long (as words were put in or left out, or a name has more words) add theirs if they fill no slot otherwise than it does, and if
+all of them together fit; else the middle stands alone. Fillings that differ from the item's are re-parameterised questions.
+A document is contaminated by an item if a match covers at least COVER of the item's words.
+
+Null texts count as empty. Null ids are kept like others. Repeated document rows give the same matches once for each id, repeated
+items once for each id and text. An empty table on either side gives an empty result. Very long texts are taken whole. Other
+columns do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled
+from ..functions.text import let
+from .common import filled, shared_dir, stored
 
-WINDOW, COVER = 8, 0.5
+WINDOW, COVER, LEAST = 8, 0.5, 3
 #: Words that are units after a number (fixed values).
 UNITS = "mm|cm|km|m|mg|kg|g|t|ml|cl|l|lb|lbs|oz|ft|in|mi|mph|kmh|s|sec|min|h|hr|hrs|ms|hz|khz|mhz|ghz|w|kw|v|a|k|c|f|j|kj|cal|kcal|usd|eur|gbp|percent|dollars|euros|cents|metres|meters|miles|hours|minutes|seconds|days|weeks|years|grams|litres|liters"
-#: A benchmark with so many windows at most (40 bytes each and two word lists by item) is broadcast; a larger one is joined by shuffling.
-BROADCAST_WINDOWS = 200_000
+#: A benchmark whose windows take so many bytes at most (a hash, a place and an id each) is broadcast; a larger one is joined by shuffling.
+BROADCAST_BYTES = 16 << 20
+#: Between the words of one name, and in place of a number's marks.
+NAME, MARK = "\x01", "\x02"
 
 
-def words(text: str = "text") -> Column:
-    """The text with single spaces between its words."""
-    return F.trim(F.regexp_replace(filled(text), r"[^\p{L}\p{N}]+", " "))
+def tokens(text: str = "text") -> Column:
+    """The text with single spaces between its tokens."""
+    # each pattern begins with what is rare
+    out = F.regexp_replace(F.translate(filled(text), NAME + MARK, "  "), r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}\p{N}]*)[\x20\x09-\x0D]+(?=\p{Lu})", f"$1{NAME}")
+    out = F.regexp_replace(out, r"[.,](?<=\p{N}[.,])(?=\p{N})", MARK)
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}\x01\x02]+", " ")
+    return F.trim(F.regexp_replace(out, rf"(\p{{N}})((?i:{UNITS}))(?![\p{{L}}\p{{N}}\x01\x02])", "$1 $2"))
 
 
 def template(clean: Column) -> Column:
-    """The same number of words: # for a number, % for a unit, @ for a name, the rest in lower case."""
-    out = F.regexp_replace(clean, r"\p{N}+", "#")
-    out = F.regexp_replace(out, rf"# (?:(?i){UNITS})(?![\p{{L}}#])", "# %")
-    out = F.regexp_replace(out, r"\p{Lu}(?<![\p{L}#%]\p{Lu})[\p{L}#]*", "@")
+    """The same number of tokens: # for a number, % for a unit, @ for a name, the rest in lower case."""
+    out = F.regexp_replace(clean, r"\p{N}+(?:\x02\p{N}+)*", "#")
+    out = F.regexp_replace(out, rf"# (?:(?i){UNITS})(?![\p{{L}}#\x01])", "# %")
+    out = F.regexp_replace(out, r"\p{Lu}(?<![\p{L}#%\x01]\p{Lu})[\p{L}#\x01]*", "@")
     return F.lower(out)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, also where body uses it inside functions of arrays."""
-    return F.transform(F.array(value), body)[0]
+def low_words(raw: Column) -> Column:
+    """The words of tokens, in lower case."""
+    return F.split(F.lower(F.translate(F.array_join(raw, " "), NAME, " ")), " ")
 
 
-def windows(canon: Column) -> Column:
-    """The hash of each window, in order; none for fewer words."""
-    last = F.size(canon) - WINDOW
-    each = lambda h: F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
-    return F.when(last >= 0, let(F.transform(canon, lambda w: F.xxhash64(w)), each))
+def is_slot(token: Column) -> Column:
+    """True if a token of a template is or has a placeholder."""
+    return token.rlike("[#%@]")
 
 
-def sequences(rows: DataFrame) -> DataFrame:
-    """rows with text replaced by seq: raw and canon, arrays of equal length, and the windows' hashes."""
-    hashed = lambda raw: lambda canon: F.struct(raw.alias("raw"), canon.alias("canon"), windows(canon).alias("hashes"))
-    seq = let(words(), lambda clean: let(F.split(template(clean), " "), hashed(F.split(clean, " "))))
-    return rows.withColumn("seq", seq).drop("text")
+def n_words(token: Column) -> Column:
+    return F.length(token) - F.length(F.replace(token, F.lit(NAME), F.lit(""))) + 1
 
 
-def window(words: str, place: Column) -> Column:
-    """The words of the window at a place (from 0)."""
-    return F.slice(words, place + 1, WINDOW)
+def _each(n: Column, width: int, key) -> Column:
+    """key(place) for the places (from 1) of all windows of that width; none if n is less."""
+    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), key)).otherwise(F.array().cast("array<bigint>"))
 
 
-def is_slot(word: Column) -> Column:
-    """True for a template word that is or has a placeholder."""
-    return word.rlike("[#%@]")
+def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
+    """The hashes of all windows of the words, for each kind and width in turn."""
+
+    def of(kind: int, width: int, h: Column) -> Column:
+        return _each(F.size(h), width, lambda i: F.xxhash64(F.lit(kind), F.slice(h, i, width)))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(kind, width, h) for kind, width in widths]))
+
+
+def sequences(rows: DataFrame, kinds: tuple[int, ...] = ()) -> DataFrame:
+    """rows with text replaced by seq: raw and canon, the tokens and their templates, and hashes: those of the windows of the kinds
+    asked for, first those of tokens (0), then those of words (1, and -m for windows of m words)."""
+    more = [(k, WINDOW if k > 0 else -k) for k in kinds if k]
+
+    def found(raw: Column, canon: Column) -> Column:
+        own = _hashed(canon, [(0, WINDOW)])
+        return F.concat(own, _hashed(low_words(raw), more)) if more else own
+
+    def both(clean: Column) -> Column:
+        return let(F.split(clean, " "), lambda raw: let(F.split(template(clean), " "), lambda canon: F.struct(raw.alias("raw"), canon.alias("canon"), *([found(raw, canon).alias("hashes")] if kinds else []))))
+
+    return rows.withColumn("seq", let(tokens(), both)).drop("text")
+
+
+def count(size: Column, width: int) -> Column:
+    return F.greatest(size - (width - 1), F.lit(0))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Per window of an item: hash, item_id, item_pos, item_words, item_raw and item_canon (the window's words)."""
-    out = sequences(items.select("item_id", "text")).select("item_id", "seq", F.posexplode("seq.hashes").alias("item_pos", "hash"))
-    at = F.col("item_pos")
-    out = out.select("hash", "item_id", "item_pos", F.size("seq.canon").alias("item_words"), window("seq.raw", at).alias("item_raw"), window("seq.canon", at).alias("item_canon"))
-    return out.where(F.size(F.filter("item_canon", lambda w: ~is_slot(w))) * 2 >= WINDOW)
+    """Per window of an item: hash, kind (0 of tokens, 1 of words, -m of an item by its first m words), at (the window's place) and item (a hash of its id and text)."""
+    seq = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumn("low", low_words(F.col("seq.raw")))
+    in_slots = F.flatten(F.zip_with("seq.canon", "seq.raw", lambda c, r: F.transform(F.sequence(F.lit(1), n_words(r)), lambda k: is_slot(c))))
+    long = seq.where(F.size("seq.canon") >= WINDOW)
+    slots = lambda x: F.size(F.filter(x, lambda y: y))
+
+    def placed(kind: int, words: str, flags: Column, wanted) -> DataFrame:
+        out = long.select("item", flags.alias("flags"), F.posexplode(_hashed(F.col(words), [(kind, WINDOW)])).alias("at", "hash"))
+        return out.where(wanted(slots(F.slice("flags", F.col("at") + 1, WINDOW)) * 2 > WINDOW)).select("hash", F.lit(kind).alias("kind"), "at", "item")
+
+    by_token = placed(0, "seq.canon", F.transform("seq.canon", is_slot), lambda heavy: ~heavy)
+    by_word = placed(1, "low", in_slots, lambda heavy: heavy)
+    m = F.least(F.size("low"), F.lit(WINDOW - 1))
+    whole = seq.where((F.size("seq.canon") < WINDOW) & (F.size("low") >= LEAST)).select(F.xxhash64(-m, F.transform(F.slice("low", 1, m), lambda w: F.xxhash64(w))).alias("hash"), (-m).alias("kind"), F.lit(0).alias("at"), "item")
+    return by_token.unionByName(by_word).unionByName(whole)
+
+
+def start_of(raw: Column, at: Column) -> Column:
+    """The number of words before a token."""
+    head = F.array_join(F.slice(raw, 1, at), " ")
+    return at + F.length(head) - F.length(F.replace(head, F.lit(NAME), F.lit("")))
+
+
+def _matched(kind: Column, n: Column) -> Column:
+    """For a hit with d (the document's sequence), s (the item's), to and at (the window's places) the matched tokens as (start, len, diagonal, slot, own, other); null if the window is another."""
+
+    def slot_windows(d: Column, s: Column, to: Column, at: Column) -> Column:
+        piece = lambda a, p: F.slice(a, p + 1, WINDOW)
+        before = lambda raw, k: F.aggregate(F.slice(raw, 1, k), F.lit(0), lambda a, r: a + n_words(r))
+        each = lambda dr, sr, ds, ss: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: let(F.struct((ss + before(sr, k)).alias("start"), (ds + before(dr, k)).alias("there")), lambda x: F.struct(
+            x["start"].alias("start"), n_words(F.get(sr, k)).alias("len"), (x["there"] - x["start"]).alias("diagonal"), F.when(is_slot(F.get(piece(s["canon"], at), k)), F.get(piece(s["canon"], at), k)).alias("slot"), F.get(sr, k).alias("own"), F.get(dr, k).alias("other"))))
+        made = let(piece(d["raw"], to), lambda dr: let(piece(s["raw"], at), lambda sr: let(start_of(d["raw"], to), lambda ds: let(start_of(s["raw"], at), lambda ss: each(dr, sr, ds, ss)))))
+        return F.when(piece(d["canon"], to) == piece(s["canon"], at), made)
+
+    def word_windows(d: Column, s: Column, to: Column, at: Column) -> Column:
+        piece = lambda a, p: F.slice(low_words(a["raw"]), p + 1, n)
+        one = lambda w, k: F.struct((at + k).alias("start"), F.lit(1).alias("len"), (to - at).alias("diagonal"), F.lit(None).cast("string").alias("slot"), w.alias("own"), w.alias("other"))
+        return F.when(piece(d, to) == piece(s, at), F.transform(piece(s, at), one))
+
+    d, s, to, at = F.col("d"), F.col("s"), F.col("to"), F.col("at")
+    return F.when(kind == 0, slot_windows(d, s, to, at)).otherwise(word_windows(d, s, to, at))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that contaminates it: doc_id, item_id, n_windows, matched_words, item_words, changed_slots."""
-    bench = item_windows(items)
-    few = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    # posexplode would have the optimizer filter by the size of seq.hashes first, and so compute seq twice
-    placed = sequences(docs.select("doc_id", "text")).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("doc_pos", "hash"))
-    hit = placed.join(F.broadcast(bench) if few else bench, "hash")
-    doc_canon = window("seq.canon", F.col("doc_pos"))
-    hit = hit.select("doc_id", "item_id", "item_words", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_canon", "item_raw", window("seq.raw", F.col("doc_pos")).alias("doc_raw"), (doc_canon == F.col("item_canon")).alias("equal"))
-    # each place of the item that is matched on a diagonal, once, with its kind and both fillings
-    place = hit.select("doc_id", "item_id", "item_words", "diagonal", "item_pos", "equal", F.posexplode(F.arrays_zip("item_canon", "item_raw", "doc_raw")).alias("k", "w"))
+    bench = stored(item_windows(items), f"{shared_dir(docs.sparkSession, 'templates')}/windows")
+    n = bench.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()  # one row; as many kinds as WINDOW at most
+    kinds = (0, *sorted(k for k in n["kinds"] if k))
+    # posexplode would have the optimizer filter by the size of the hashes first, and so compute seq twice
+    placed = sequences(docs.select("doc_id", "text"), kinds).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
+    hit = placed.join(F.broadcast(bench) if n["n"] * 48 <= BROADCAST_BYTES else bench, "hash")  # 48 bytes a row
+    # the window's place in the document, from its place among the keys
+    words, skip = F.aggregate("seq.raw", F.lit(0), lambda a, r: a + n_words(r)), count(F.size("seq.canon"), WINDOW)
+    offset = F.when(F.col("kind") == 0, 0)
+    for k in kinds:
+        if k:
+            offset, skip = offset.when(F.col("kind") == k, skip), skip + count(F.col("words"), WINDOW if k > 0 else -k)
+    own = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumnRenamed("seq", "s")
+    hit = hit.withColumn("words", words if any(kinds) else F.lit(0))
+    hit = hit.select("doc_id", "item", "kind", "at", (F.col("k") - offset).alias("to"), F.col("seq").alias("d")).join(own, "item").withColumn("item_words", F.size(low_words(F.col("s.raw"))))
+    wide = F.when(F.col("kind") < 0, F.col("item_words")).otherwise(WINDOW)
     # asked with k, as the optimizer would move a plain filter into the join and compute it for every window of every document
-    place = place.where(F.when(F.col("equal"), F.col("k")) >= 0)
-    key = ["doc_id", "item_id", "item_words", "diagonal"]
-    place = place.groupBy(*key, (F.col("item_pos") + F.col("k")).alias("place")).agg(F.first("w").alias("w"), F.max(F.when(F.col("k") == 0, 1).otherwise(0)).alias("starts"))
-    slot = is_slot(F.col("w.item_canon"))
-    filling = place.groupBy(*key, F.when(slot, F.concat("w.item_canon", "w.item_raw")).alias("filling")).agg(
-        F.count(F.lit(1)).alias("places"), F.sum("starts").alias("starts"), F.min("w.doc_raw").alias("low"), F.max("w.doc_raw").alias("high"), F.first("w.item_raw").alias("own")
+    token = hit.select("doc_id", "item_id", "item", "item_words", F.posexplode(_matched(F.col("kind"), wide)).alias("k", "w")).select("doc_id", "item_id", "item", "item_words", "k", "w.*")
+    key = ["doc_id", "item_id", "item", "item_words"]
+    token = token.groupBy(*key, "diagonal", "start", "len").agg(F.max(F.when(F.col("k") == 0, 1).otherwise(0)).alias("starts"), F.max(F.struct("slot", "own", "other")).alias("f"))
+    filling = token.groupBy(*key, "diagonal", F.when(F.col("f.slot").isNotNull(), F.concat("f.slot", "f.own")).alias("filling")).agg(
+        F.sum("len").alias("words"), F.sum("starts").alias("windows"), F.min("f.other").alias("low"), F.max("f.other").alias("high"), F.min("f.own").alias("own"), F.collect_list(F.struct("start", "len")).alias("places")
     )
     filled_in = F.col("filling").isNotNull()
-    whole = filling.groupBy(*key).agg(
-        F.sum("starts").cast("long").alias("n_windows"),
-        F.sum("places").cast("long").alias("matched_words"),
-        F.coalesce(F.sum(F.when(filled_in & (F.col("low") != F.col("high")), 1)), F.lit(0)).alias("clashes"),
-        F.coalesce(F.sum(F.when(filled_in & (F.col("low") != F.col("own")), 1)), F.lit(0)).cast("long").alias("changed_slots"),
+    of = lambda *c: Window.partitionBy(*key, *c)
+    # diagonals that fit in themselves, and the middle one
+    clash = F.max((filled_in & (F.col("low") != F.col("high"))).cast("int")).over(of("diagonal"))
+    fit = filling.withColumn("clash", clash).where("clash = 0")
+    all_words, all_windows = F.sum("words").over(of("diagonal")), F.sum("windows").over(of("diagonal"))
+    fit = fit.withColumns({"all_words": all_words, "all_windows": all_windows})
+    middle = F.max(F.struct("all_words", "all_windows", (-F.col("diagonal")).alias("d"))).over(of())
+    near = fit.withColumn("middle", -middle["d"]).where(F.abs(F.col("diagonal") - F.col("middle")) <= F.col("item_words"))
+    # those that fill its slots as it does, and whether all of them do among themselves
+    as_middle = F.max(F.when(F.col("diagonal") == F.col("middle"), F.col("low"))).over(of("filling"))
+    apart = near.withColumn("apart", (filled_in & as_middle.isNotNull() & (F.col("low") != as_middle)).cast("int"))
+    near = apart.withColumn("apart", F.max("apart").over(of("diagonal"))).where("apart = 0")
+    unlike = (filled_in & (F.min("low").over(of("filling")) != F.max("low").over(of("filling")))).cast("int")
+    near = near.withColumn("unlike", unlike).withColumn("unlike", F.max("unlike").over(of())).where("unlike = 0 OR diagonal = middle")
+    one = near.groupBy(*key, "filling").agg(F.sum("windows").alias("windows"), F.min("low").alias("low"), F.min("own").alias("own"), F.flatten(F.collect_list("places")).alias("places"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p["start"], p["start"] + p["len"] - 1)))))  # places of the item
+    whole = one.groupBy(*key).agg(
+        F.sum("windows").cast("long").alias("n_windows"), covered.cast("long").alias("matched_words"), F.count_if(filled_in & (F.col("low") != F.col("own"))).alias("changed_slots")
     )
-    fit = whole.where((F.col("clashes") == 0) & (F.col("matched_words") >= COVER * F.col("item_words")))
-    best = fit.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched_words", "n_windows", (-F.col("changed_slots")).alias("same"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.matched_words").alias("matched_words"), F.col("item_words").cast("long").alias("item_words"), (-F.col("b.same")).alias("changed_slots"))
+    return whole.where(F.col("matched_words") >= COVER * F.col("item_words")).select("doc_id", "item_id", "n_windows", "matched_words", F.col("item_words").cast("long").alias("item_words"), "changed_slots")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
