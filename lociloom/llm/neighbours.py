@@ -1,38 +1,42 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are bags of words (lower-cased, ASCII marks part words). The terms are the words whose presence goes with
-the label beyond chance among the examples (chi-square, corrected for the number of words tested) and that occur in a share RARE of one label's; their document frequencies
-are counted over all documents. A vector holds (1 + ln tf) * idf, scaled to length one, and similarity is the
+Texts are bags of words (lower-cased, ASCII marks part words; a word is known by its 64-bit hash). The terms are all words of the
+examples, rare and common ones alike; their document frequencies are counted over all documents. A vector holds (1 + ln tf) * idf,
+times how closely the word's presence goes with the label among the examples (the phi coefficient, so that words of the matter
+rather than of the subject decide who is near), scaled to length one, and similarity is the
 cosine. The examples lie in blocks of an inverted index that keeps every term's largest weight in each
-block: a query bounds every block's best cosine by these, takes the blocks in falling order of their bounds and stops when no
-bound reaches the K-th best, so that the K nearest are exact. Of equal cosines the earlier example counts as nearer.
+block: a query bounds every block's best cosine by these, reads the blocks of the highest bounds, and then those whose
+bound reaches the K-th best so far, so that the K nearest are exact. Of equal cosines the earlier example counts as nearer.
 
 Each neighbour votes for its label with its cosine as weight, scaled up by the share of its label's rows that the examples
 hold; the prior votes with weight one. The examples' own votes, each found without itself, calibrate the score by a logistic curve.
 The nearest EVIDENCE neighbours are given with their cosines and labels.
 
-Examples are at most max_examples labelled rows of each label (3,000, those with the smallest hash of their id), and terms
-at most max_terms (4,096), which bounds the index that all tasks get. Texts without any term (empty and
+Examples are at most max_examples labelled rows of each label (3,000, those with the smallest hash of their id), which bounds
+the terms and the index that all tasks get. Texts without any term (empty and
 null ones too) have no neighbour and get the rate among such examples. Labels other than 0 and 1 and null ids are ignored; repeated
 labels count once (the smallest). Without examples every score is 0.5. Rows are scored one by one, whole; an empty table
-gives an empty result. Columns named like the outputs give way.
+gives an empty result. Columns named like the outputs, in whatever case, give way.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import filled, shared_dir, small_batches, stored, texts, with_columns
+from .common import filled, give_back, shared_dir, small_batches, stored, texts, with_columns
 
 K, EVIDENCE, BLOCK = 25, 3, 64
-#: A term occurs in this share of the examples of one label at least.
-RARE = 0.02
+#: So many blocks are read first.
+FIRST = 8
+#: A term that one in so many examples has stands in a table of all examples.
+COMMON = 8
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -40,54 +44,86 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPLIT).split()
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, ascending, and how often each occurs."""
+    w = words(text)
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w)), return_counts=True)
+
+
+def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all pieces that begin at start and have that size, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class BlockMaxIndex:
     """Exact nearest neighbours by cosine. rows: per example its terms (ascending) and their weights, of length one."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         #: Examples with the same heaviest term stand together, which keeps the blocks' bounds low.
         self.order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), i)), np.int64)
-        blocks = -(-len(rows) // BLOCK)
-        self.highest = np.zeros((blocks, n_terms), np.float64)
-        lists: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
-        for place, i in enumerate(self.order):
-            b, at = divmod(place, BLOCK)
-            for t, w in zip(rows[i][0].tolist(), rows[i][1].tolist()):
-                docs, weights = lists[b].setdefault(t, ([], []))
-                docs.append(at)
-                weights.append(w)
-                self.highest[b, t] = max(self.highest[b, t], w)
-        self.lists = [{t: (np.array(d), np.array(w)) for t, (d, w) in x.items()} for x in lists]
-        self.size = [min(BLOCK, len(rows) - b * BLOCK) for b in range(blocks)]
+        self.blocks = max(1, -(-len(rows) // BLOCK))
+        size = np.array([len(rows[i][0]) for i in self.order], np.int64)
+        term = np.concatenate([rows[i][0] for i in self.order])
+        weight = np.concatenate([rows[i][1] for i in self.order])
+        place = np.repeat(np.arange(len(rows)), size)
+        often = np.bincount(term, minlength=n_terms)
+        common = np.flatnonzero(often * COMMON > len(rows))
+        #: For each common term its row in a table of weights by example, and of the blocks' largest ones.
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.blocks * BLOCK))
+        dense = self.row[term] >= 0
+        self.table[self.row[term[dense]], place[dense]] = weight[dense]
+        self.table_max = self.table.reshape(len(common), self.blocks, BLOCK).max(2)
+        #: For the others, by term and block, the largest weight and where the block's examples with it begin.
+        key = term[~dense] * self.blocks + place[~dense] // BLOCK
+        by = np.argsort(key, kind="stable")
+        key, self.place, self.weight = key[by], place[~dense][by].astype(np.int32), weight[~dense][by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.block = (key[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.begin = np.append(first, len(key)).astype(np.int32)
+        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k nearest examples with a cosine above zero: their numbers, cosines, and how many blocks were read."""
-        bound = self.highest[:, terms] @ weights
-        found, cosines, kth, read = [], [], 0.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                break
-            read += 1
-            total = np.zeros(self.size[b])
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                if (own := self.lists[b].get(t)) is not None:
-                    total[own[0]] += w * own[1]
-            some = np.flatnonzero(total > max(0.0, kth - 1e-9))
-            found.append(self.order[b * BLOCK + some])
-            cosines.append(total[some])
-            if sum(map(len, cosines)) >= k:
-                every = np.concatenate(cosines)
-                kth = float(np.partition(every, len(every) - k)[len(every) - k])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0), read
-        i, c = np.concatenate(found), np.concatenate(cosines)
+        row = self.row[terms]
+        in_table = row >= 0
+        row, heavy, rest, light = row[in_table], weights[in_table], terms[~in_table], weights[~in_table]
+        size = self.of_term[rest + 1] - self.of_term[rest]
+        entry, light = _pieces(self.of_term[rest], size), np.repeat(light, size)
+        block = self.block[entry]
+        bound = heavy @ self.table_max[row] + np.bincount(block, self.most[entry] * light, minlength=self.blocks)
+        every = np.zeros(self.blocks, bool)
+        cosine = np.full(self.blocks * BLOCK, -1.0)
+        base = heavy @ self.table[row]
+
+        def read(which: np.ndarray) -> None:
+            every[which] = True
+            now = np.zeros(self.blocks, bool)
+            now[which] = True
+            mine = now[block]
+            e = entry[mine]
+            size = self.begin[e + 1] - self.begin[e]
+            at = _pieces(self.begin[e], size)
+            own = np.repeat(now, BLOCK)
+            cosine[own] = (base + np.bincount(self.place[at], self.weight[at] * np.repeat(light[mine], size), minlength=len(base)))[own]
+
+        reach = lambda: float(np.partition(cosine, len(cosine) - k)[len(cosine) - k]) if k < len(cosine) else 0.0
+        read(np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.blocks else np.arange(self.blocks))
+        more = np.flatnonzero(~every & (bound > 0) & (bound >= reach() - 1e-9))
+        if len(more):
+            read(more)
+        some = np.flatnonzero(cosine[: len(self.order)] > max(0.0, reach() - 1e-9))
+        i, c = self.order[some], cosine[some]
         top = np.lexsort((i, -np.round(c, 12)))[:k]
-        return i[top], np.minimum(c[top], 1.0), read
+        return i[top], np.minimum(c[top], 1.0), int(every.sum())
 
 
 @dataclass
 class Model:
-    terms: dict[bytes, int]
-    idf: np.ndarray
+    terms: np.ndarray  # the words' hashes, ascending
+    weight: np.ndarray  # by term: idf times phi
     index: BlockMaxIndex | None
     ids: np.ndarray
     labels: np.ndarray
@@ -97,13 +133,14 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.terms
-        return self.weigh(Counter(known[w] for w in words(text) if w in known))
-
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[x] for x in t.tolist()], np.float64))) * self.idf[t] if len(t) else np.zeros(0)
+    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms among the words (hashes, ascending) and their weights, of length one; none if all weigh nothing."""
+        if not len(self.terms) or not len(words):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        known = (self.terms[at] == words) & (self.weight[at] > 0)
+        t = at[known]
+        w = (1 + np.log(counts[known])) * self.weight[t]
         return t, w / np.sqrt((w**2).sum()) if len(t) else w
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
@@ -116,7 +153,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
 
     def score(self, text: str) -> tuple[float, list[dict]]:
-        t, w = self.vector(text)
+        t, w = self.vector(*counted(text))
         if not len(t) or self.index is None:
             return self.bare, []
         who, cosine, _ = self.index.nearest(t, w, K)
@@ -126,20 +163,33 @@ class Model:
         return float(self.calibrated(self.vote(who, cosine))), top
 
 
-def build(ids: list[int], labels: list[int], counts: list[dict[int, int]], terms: dict[bytes, int], idf: np.ndarray, totals: tuple[int, int]) -> Model:
-    """The model of the given examples; totals: how many labelled rows there are with label 0 and 1."""
+def phi(n0: np.ndarray, n1: np.ndarray, a: float, b: float) -> np.ndarray:
+    """How closely a word's presence goes with the label (0 to 1): it is in n0 of a examples with label 0, in n1 of b with label 1."""
+    n = n0 + n1
+    return np.abs(n1 * (a - n0) - n0 * (b - n1)) / np.sqrt(np.maximum(n * (a + b - n) * a * b, 1e-9))
+
+
+def build(ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, often: np.ndarray, documents: int, totals: tuple[int, int]) -> Model:
+    """The model of the given examples. bags: per example its words' hashes and counts; terms: all of these hashes, ascending; often: by
+    term in how many of all documents it is; totals: how many labelled rows there are with label 0 and 1."""
     y = np.array(labels, np.int64)
     have = np.maximum(np.bincount(y, minlength=2), 1)
     scale = np.maximum(np.array(totals, np.float64), np.bincount(y, minlength=2)) / have
     prior = float(totals[1] + 0.5) / (sum(totals) + 1)
-    keep = [i for i, c in enumerate(counts) if c]
-    none = y[[i for i, c in enumerate(counts) if not c]]
-    bare = float((scale[1] * none.sum() + 0.5 * prior) / (scale[none].sum() + 0.5)) if len(y) else 0.5
-    m = Model(terms, idf, None, np.array([ids[i] for i in keep], np.int64), y[keep], scale, prior, bare)
+    within = [np.zeros(len(terms)), np.zeros(len(terms))]
+    for label, (words, _) in zip(labels, bags):
+        within[label][np.searchsorted(terms, words)] += 1
+    weight = (np.log((1 + documents) / (1 + often)) + 1) * phi(*within, float((y == 0).sum()), float((y == 1).sum())) if len(terms) else np.zeros(0)
+    m = Model(terms, weight, None, np.zeros(0, np.int64), y, scale, prior, 0.5)
+    rows = [m.vector(*bag) for bag in bags]
+    keep = [i for i, r in enumerate(rows) if len(r[0])]
+    none = y[[i for i, r in enumerate(rows) if not len(r[0])]]
+    m.bare = float((scale[1] * none.sum() + 0.5 * prior) / (scale[none].sum() + 0.5)) if len(y) else 0.5
+    m.ids, m.labels = np.array([ids[i] for i in keep], np.int64), y[keep]
     if not keep:
         return m
-    rows = [m.weigh(counts[i]) for i in keep]
-    m.index = BlockMaxIndex(rows, len(idf))
+    rows = [rows[i] for i in keep]
+    m.index = BlockMaxIndex(rows, len(terms))
     votes = np.full(len(keep), prior)
     for n, (t, w) in enumerate(rows):
         who, cosine, _ = m.index.nearest(t, w, K + 1)
@@ -161,68 +211,60 @@ def build(ids: list[int], labels: list[int], counts: list[dict[int, int]], terms
     return m
 
 
-def _partial(run, rows: DataFrame, schema: str) -> DataFrame:
-    return rows.mapInArrow(lambda batches: (out for b in batches for out in [run(b)]), schema)
+def frequencies(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of the texts each term is, and how many texts there are. Tasks count, and Spark adds up."""
+    held = rows.sparkSession.sparkContext.broadcast(terms)  # the examples' words, eight bytes each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        n = np.zeros(len(known) + 1, np.int64)
+        for b in batches:
+            for x in texts(b):
+                n[-1] += 1
+                h = counted(x)[0]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    n[at[known[at] == h]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["term", "n"])
+        give_back()
+
+    out = rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term at most
+    often = np.zeros(len(terms) + 1, np.int64)
+    often[out["term"].to_numpy()] = out["n"].to_numpy()
+    return often[:-1], int(often[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 3_000, max_terms: int = 4_096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 3_000) -> Model:
     """Fits on labels (doc_id and the label column) and the whole texts of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     base = shared_dir(spark, "neighbours")
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     chosen = pick(0).unionByName(pick(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text"))
-    examples = stored(rows.join(F.broadcast(chosen), "doc_id"), f"{base}/examples")  # 2 * max_examples rows of 12 bytes are broadcast at most
-
-    def presence(b: pa.RecordBatch) -> pa.RecordBatch:
-        c: tuple[Counter, Counter] = Counter(), Counter()
-        for y, x in zip(b.column(b.schema.get_field_index("y")).to_pylist(), texts(b)):
-            c[y].update(set(words(x)))
-        every = list(c[0].keys() | c[1].keys())
-        return pa.RecordBatch.from_pydict({"word": every, "n0": [c[0][w] for w in every], "n1": [c[1][w] for w in every]}, schema=pa.schema([("word", pa.binary()), ("n0", pa.int64()), ("n1", pa.int64())]))
-
-    table = _partial(presence, examples, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
-    table = stored(table, f"{base}/words")
-    size = {r["y"]: r["count"] for r in examples.groupBy("y").count().collect()}
-    a, b = float(size.get(0, 0)), float(size.get(1, 0))
-    tested = table.count()
-    n0, n1 = F.col("n0"), F.col("n1")
-    n = n0 + n1
-    chi = F.pow(n1 * (a - n0) - n0 * (b - n1), 2) * (a + b) / F.greatest(n * (a + b - n) * a * b, F.lit(1e-9))
-    common = (n0 >= max(3.0, RARE * a)) | (n1 >= max(3.0, RARE * b))  # else words of one text and its near copies would pass
-    best = table.where(common).withColumn("chi", chi).where(F.col("chi") > 2 * float(np.log(100 * max(tested, 1)))).orderBy(F.desc("chi"), "word").limit(max_terms).collect()  # max_terms words at most
-    terms = {bytes(r["word"]): k for k, r in enumerate(best)}
-
-    def frequency(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = np.zeros(len(terms) + 1, np.int64)
-        for x in texts(b):
-            c[-1] += 1
-            for w in terms.keys() & set(words(x)):
-                c[terms[w]] += 1
-        return pa.RecordBatch.from_pydict({"term": np.arange(len(c), dtype=np.int32), "n": c})
-
-    df = np.zeros(len(terms) + 1)
-    for r in _partial(frequency, rows.select("text"), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # max_terms + 1 rows at most
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    def count(batch):
-        return {"counts": [sorted(Counter(terms[w] for w in words(x) if w in terms).items()) for x in texts(batch)]}
-
-    made = with_columns(examples, "counts array<struct<term:int,n:int>>", lambda: lambda b: {"counts": [[{"term": t, "n": n} for t, n in c] for c in count(b)["counts"]]}, keep=["doc_id", "y"])
+    examples = rows.join(F.broadcast(chosen), "doc_id")  # 2 * max_examples rows of 12 bytes are broadcast at most
+
+    def bags(b: pa.RecordBatch) -> dict:
+        got = [counted(x) for x in texts(b)]
+        return {"words": [h.tobytes() for h, _ in got], "counts": [c.astype("<i8").tobytes() for _, c in got]}
+
+    made = stored(with_columns(examples, "words binary, counts binary", lambda: bags, keep=["doc_id", "y"]), f"{base}/examples")
     got = {}
-    for r in made.collect():  # the examples: 2 * max_examples rows, terms alone
-        got.setdefault(r["doc_id"], r)
-    some = [got[i] for i in sorted(got)]
-    return build([r["doc_id"] for r in some], [r["y"] for r in some], [{x["term"]: x["n"] for x in r["counts"]} for r in some], terms, idf, (totals.get(0, 0), totals.get(1, 0)))
+    for r in made.toLocalIterator():  # the examples: 2 * max_examples rows
+        got.setdefault(r["doc_id"], (r["y"], np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8")))
+    ids = sorted(got)
+    own = [got[i][1] for i in ids]
+    terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+    often, documents = frequencies(rows, terms)
+    return build(ids, [got[i][0] for i in ids], [got[i][1:] for i in ids], terms, often, documents, (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with score (0 to 1), predicted (1 if score >= threshold) and evidence."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # max_examples and max_terms bound it
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the examples bound it
 
     def make():
         def batch(b):

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, gam, kneser_ney, neighbours, order_minhash, prefix_table, stream_dedup, super_kmers, templates, wavelet
 from .common import filled, remainder, table
 
 
+def held_out(m: int, rest: int) -> Column:
+    """True for the ids that no model learns from; false for null ids."""
+    return F.coalesce(remainder("doc_id", m) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = neighbours.fit(docs, labels.where(remainder("doc_id", 5) != 0))
-    rows = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "text")
+    rows = docs.select("doc_id", held_out(5, 0), "text")
     return neighbours.score(rows, model, keep=["doc_id", "held_out"])
 
 
@@ -24,7 +29,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = gam.fit(docs, labels.where(remainder("doc_id", 4) != 2))
-    rows = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text")
+    rows = docs.select("doc_id", held_out(4, 2), "text")
     return gam.score(rows, model, keep=["doc_id", "held_out"])
 
 
@@ -37,8 +42,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
-    rows = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), filled().alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", held_out(7, 2), filled().alias("text"))
     return kneser_ney.score(rows, kneser_ney.train(rows.where("not held_out")), keep=["doc_id", "held_out"])
 
 
