@@ -69,18 +69,18 @@ def n_words(token: Column) -> Column:
     return F.length(token) - F.length(F.replace(token, F.lit(NAME), F.lit(""))) + 1
 
 
-def _each(n: Column, width: int, key) -> Column:
-    """key(place) for the places (from 1) of all windows of that width; none if n is less."""
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), key)).otherwise(F.array().cast("array<bigint>"))
+def _windows(words: Column, width: int, kind: int) -> Column:
+    """The hash of each window of the words, in order; none if there are fewer."""
 
+    def every(h: Column) -> Column:  # element by element, as a slice would copy the whole array for each window
+        return F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.xxhash64(F.lit(kind), x, *[F.get(h, i + k) for k in range(1, width)]))
 
-def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
-    """The hashes of all windows of the words, for each kind and width in turn."""
+    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), every)).otherwise(F.array().cast("array<bigint>"))
 
-    def of(kind: int, width: int, h: Column) -> Column:
-        return _each(F.size(h), width, lambda i: F.xxhash64(F.lit(kind), F.slice(h, i, width)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(kind, width, h) for kind, width in widths]))
+def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
+    """The hashes of all windows of the words, for each kind and width in turn."""
+    return let(words, lambda w: F.concat(*[_windows(w, width, kind) for kind, width in widths]))
 
 
 def sequences(rows: DataFrame, kinds: tuple[int, ...] = ()) -> DataFrame:
@@ -103,7 +103,7 @@ def count(size: Column, width: int) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Per window of an item: hash, kind (0 of tokens, 1 of words, -m of an item by its first m words), at (the window's place) and item (a hash of its id and text)."""
+    """Per window of an item: hash, kind (0 of tokens, 1 of words, -m of an item by its first m words), at (the window's place), n (how many words or tokens are compared) and item (a hash of its id and text)."""
     seq = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumn("low", low_words(F.col("seq.raw")))
     in_slots = F.flatten(F.zip_with("seq.canon", "seq.raw", lambda c, r: F.transform(F.sequence(F.lit(1), n_words(r)), lambda k: is_slot(c))))
     long = seq.where(F.size("seq.canon") >= WINDOW)
@@ -111,12 +111,12 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def placed(kind: int, words: str, flags: Column, wanted) -> DataFrame:
         out = long.select("item", flags.alias("flags"), F.posexplode(_hashed(F.col(words), [(kind, WINDOW)])).alias("at", "hash"))
-        return out.where(wanted(slots(F.slice("flags", F.col("at") + 1, WINDOW)) * 2 > WINDOW)).select("hash", F.lit(kind).alias("kind"), "at", "item")
+        return out.where(wanted(slots(F.slice("flags", F.col("at") + 1, WINDOW)) * 2 > WINDOW)).select("hash", F.lit(kind).alias("kind"), "at", F.lit(WINDOW).alias("n"), "item")
 
     by_token = placed(0, "seq.canon", F.transform("seq.canon", is_slot), lambda heavy: ~heavy)
     by_word = placed(1, "low", in_slots, lambda heavy: heavy)
     m = F.least(F.size("low"), F.lit(WINDOW - 1))
-    whole = seq.where((F.size("seq.canon") < WINDOW) & (F.size("low") >= LEAST)).select(F.xxhash64(-m, F.transform(F.slice("low", 1, m), lambda w: F.xxhash64(w))).alias("hash"), (-m).alias("kind"), F.lit(0).alias("at"), "item")
+    whole = seq.where((F.size("seq.canon") < WINDOW) & (F.size("low") >= LEAST)).select(F.coalesce(*[F.when(m == k, _windows(F.slice("low", 1, k), k, -k)[0]) for k in range(1, WINDOW)]).alias("hash"), (-m).alias("kind"), F.lit(0).alias("at"), F.size("low").alias("n"), "item")
     return by_token.unionByName(by_word).unionByName(whole)
 
 
@@ -126,24 +126,23 @@ def start_of(raw: Column, at: Column) -> Column:
     return at + F.length(head) - F.length(F.replace(head, F.lit(NAME), F.lit("")))
 
 
-def _matched(kind: Column, n: Column) -> Column:
-    """For a hit with d (the document's sequence), s (the item's), to and at (the window's places) the matched tokens as (start, len, diagonal, slot, own, other); null if the window is another."""
+def _matched() -> Column:
+    """For a hit with d (the document's window), s (the item's sequence), kind, at (the window's place in it) and n the matched tokens as (start, len, diagonal, slot, own, other); null if the window is another."""
+    d, s, at, n = F.col("d"), F.col("s"), F.col("at"), F.col("n")
+    piece = lambda a: F.slice(a, at + 1, n)
+    before = lambda raw, k: F.aggregate(F.slice(raw, 1, k), F.lit(0), lambda a, r: a + n_words(r))
 
-    def slot_windows(d: Column, s: Column, to: Column, at: Column) -> Column:
-        piece = lambda a, p: F.slice(a, p + 1, WINDOW)
-        before = lambda raw, k: F.aggregate(F.slice(raw, 1, k), F.lit(0), lambda a, r: a + n_words(r))
-        each = lambda dr, sr, ds, ss: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: let(F.struct((ss + before(sr, k)).alias("start"), (ds + before(dr, k)).alias("there")), lambda x: F.struct(
-            x["start"].alias("start"), n_words(F.get(sr, k)).alias("len"), (x["there"] - x["start"]).alias("diagonal"), F.when(is_slot(F.get(piece(s["canon"], at), k)), F.get(piece(s["canon"], at), k)).alias("slot"), F.get(sr, k).alias("own"), F.get(dr, k).alias("other"))))
-        made = let(piece(d["raw"], to), lambda dr: let(piece(s["raw"], at), lambda sr: let(start_of(d["raw"], to), lambda ds: let(start_of(s["raw"], at), lambda ss: each(dr, sr, ds, ss)))))
-        return F.when(piece(d["canon"], to) == piece(s["canon"], at), made)
+    def token(raw: Column, canon: Column, first: Column, k: Column) -> Column:
+        start, there, slot = first + before(raw, k), d["first"] + before(d["words"], k), F.get(canon, k)
+        return F.struct(start.alias("start"), n_words(F.get(raw, k)).alias("len"), (there - start).alias("diagonal"), F.when(is_slot(slot), slot).alias("slot"), F.get(raw, k).alias("own"), F.get(d["words"], k).alias("other"))
 
-    def word_windows(d: Column, s: Column, to: Column, at: Column) -> Column:
-        piece = lambda a, p: F.slice(low_words(a["raw"]), p + 1, n)
-        one = lambda w, k: F.struct((at + k).alias("start"), F.lit(1).alias("len"), (to - at).alias("diagonal"), F.lit(None).cast("string").alias("slot"), w.alias("own"), w.alias("other"))
-        return F.when(piece(d, to) == piece(s, at), F.transform(piece(s, at), one))
+    def word(w: Column, k: Column) -> Column:
+        return F.struct((at + k).alias("start"), F.lit(1).alias("len"), (d["first"] - at).alias("diagonal"), F.lit(None).cast("string").alias("slot"), w.alias("own"), w.alias("other"))
 
-    d, s, to, at = F.col("d"), F.col("s"), F.col("to"), F.col("at")
-    return F.when(kind == 0, slot_windows(d, s, to, at)).otherwise(word_windows(d, s, to, at))
+    each = lambda raw, canon, first: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: token(raw, canon, first, k))
+    tokens_ = let(piece(s["raw"]), lambda raw: let(piece(s["canon"]), lambda canon: let(start_of(s["raw"], at), lambda first: F.when(d["canon"] == canon, each(raw, canon, first)))))
+    words = let(piece(low_words(s["raw"])), lambda own: F.when(d["words"] == own, F.transform(own, word)))
+    return F.when(F.col("kind") == 0, tokens_).otherwise(words)
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,18 +153,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     # posexplode would have the optimizer filter by the size of the hashes first, and so compute seq twice
     placed = sequences(docs.select("doc_id", "text"), kinds).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
     hit = placed.join(F.broadcast(bench) if n["n"] * 48 <= BROADCAST_BYTES else bench, "hash")  # 48 bytes a row
-    # the window's place in the document, from its place among the keys
+    # the window's place in the document, from its place among the hashes; only the window goes on from here
     words, skip = F.aggregate("seq.raw", F.lit(0), lambda a, r: a + n_words(r)), count(F.size("seq.canon"), WINDOW)
     offset = F.when(F.col("kind") == 0, 0)
     for k in kinds:
         if k:
-            offset, skip = offset.when(F.col("kind") == k, skip), skip + count(F.col("words"), WINDOW if k > 0 else -k)
+            offset, skip = offset.when(F.col("kind") == k, skip), skip + count(words, WINDOW if k > 0 else -k)
+    raw, canon, at = F.col("seq.raw"), F.col("seq.canon"), F.col("n")
+    of_tokens = lambda to: F.struct(start_of(raw, to).alias("first"), F.slice(raw, to + 1, at).alias("words"), F.slice(canon, to + 1, at).alias("canon"))
+    of_words = lambda to: F.struct(to.alias("first"), F.slice(low_words(raw), to + 1, at).alias("words"), F.lit(None).cast("array<string>").alias("canon"))
+    hit = hit.select("doc_id", "item", "kind", "at", "n", let(F.col("k") - offset, lambda to: F.when(F.col("kind") == 0, of_tokens(to)).otherwise(of_words(to))).alias("d"))
     own = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumnRenamed("seq", "s")
-    hit = hit.withColumn("words", words if any(kinds) else F.lit(0))
-    hit = hit.select("doc_id", "item", "kind", "at", (F.col("k") - offset).alias("to"), F.col("seq").alias("d")).join(own, "item").withColumn("item_words", F.size(low_words(F.col("s.raw"))))
-    wide = F.when(F.col("kind") < 0, F.col("item_words")).otherwise(WINDOW)
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0  # one row
+    hit = hit.join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, "item").withColumn("item_words", F.size(low_words(F.col("s.raw"))))  # tokens and templates, and their lengths
     # asked with k, as the optimizer would move a plain filter into the join and compute it for every window of every document
-    token = hit.select("doc_id", "item_id", "item", "item_words", F.posexplode(_matched(F.col("kind"), wide)).alias("k", "w")).select("doc_id", "item_id", "item", "item_words", "k", "w.*")
+    token = hit.select("doc_id", "item_id", "item", "item_words", F.posexplode(_matched()).alias("k", "w")).select("doc_id", "item_id", "item", "item_words", "k", "w.*")
     key = ["doc_id", "item_id", "item", "item_words"]
     token = token.groupBy(*key, "diagonal", "start", "len").agg(F.max(F.when(F.col("k") == 0, 1).otherwise(0)).alias("starts"), F.max(F.struct("slot", "own", "other")).alias("f"))
     filling = token.groupBy(*key, "diagonal", F.when(F.col("f.slot").isNotNull(), F.concat("f.slot", "f.own")).alias("filling")).agg(
