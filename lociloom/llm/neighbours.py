@@ -6,7 +6,7 @@ times how closely the word's presence goes with the label among the examples (th
 rather than of the subject decide who is near), scaled to length one, and similarity is the
 cosine. The examples lie in blocks of an inverted index that keeps every term's largest weight in each
 block: a query bounds every block's best cosine by these, reads the blocks of the highest bounds, and then those whose
-bound reaches the K-th best so far, so that the K nearest are exact. Of equal cosines the earlier example counts as nearer.
+bound reaches the K-th best so far (or all blocks at once where the bounds hardly differ), so that the K nearest are exact, to six digits. Of equal cosines the earlier example counts as nearer.
 
 Each neighbour votes for its label with its cosine as weight, scaled up by the share of its label's rows that the examples
 hold; the prior votes with weight one. The examples' own votes, each found without itself, calibrate the score by a logistic curve.
@@ -36,7 +36,9 @@ K, EVIDENCE, BLOCK = 25, 3, 64
 #: So many blocks are read first.
 FIRST = 8
 #: A term that one in so many examples has stands in a table of all examples.
-COMMON = 8
+COMMON = 16
+#: Where the highest bound is less than so many times the middle one, few blocks could be left out, and all are read at once.
+ALIKE = 3
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -71,53 +73,67 @@ class BlockMaxIndex:
         #: For each common term its row in a table of weights by example, and of the blocks' largest ones.
         self.row = np.full(n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.table = np.zeros((len(common), self.blocks * BLOCK))
+        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         dense = self.row[term] >= 0
         self.table[self.row[term[dense]], place[dense]] = weight[dense]
         self.table_max = self.table.reshape(len(common), self.blocks, BLOCK).max(2)
         #: For the others, by term and block, the largest weight and where the block's examples with it begin.
         key = term[~dense] * self.blocks + place[~dense] // BLOCK
         by = np.argsort(key, kind="stable")
-        key, self.place, self.weight = key[by], place[~dense][by].astype(np.int32), weight[~dense][by]
+        key, self.place, self.weight = key[by], place[~dense][by], weight[~dense][by]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.block = (key[first] % self.blocks).astype(np.int32)
+        self.block = key[first] % self.blocks
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.begin = np.append(first, len(key)).astype(np.int32)
-        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
+        self.begin = np.append(first, len(key))
+        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k nearest examples with a cosine above zero: their numbers, cosines, and how many blocks were read."""
         row = self.row[terms]
         in_table = row >= 0
-        row, heavy, rest, light = row[in_table], weights[in_table], terms[~in_table], weights[~in_table]
-        size = self.of_term[rest + 1] - self.of_term[rest]
-        entry, light = _pieces(self.of_term[rest], size), np.repeat(light, size)
+        row, heavy, rest, light = row[in_table], weights[in_table].astype(np.float32), terms[~in_table], weights[~in_table]
+        start = self.of_term[rest]
+        size = self.of_term[rest + 1] - start
+        entry = _pieces(start, size)
         block = self.block[entry]
-        bound = heavy @ self.table_max[row] + np.bincount(block, self.most[entry] * light, minlength=self.blocks)
-        every = np.zeros(self.blocks, bool)
-        cosine = np.full(self.blocks * BLOCK, -1.0)
+        bound = heavy @ self.table_max[row] + np.bincount(block, self.most[entry] * np.repeat(light, size), minlength=self.blocks)
         base = heavy @ self.table[row]
 
-        def read(which: np.ndarray) -> None:
-            every[which] = True
+        def all_blocks() -> np.ndarray:
+            """The cosines of all examples: a term's lists in all blocks lie side by side."""
+            first = self.begin[start]
+            n = self.begin[start + size] - first
+            at = _pieces(first, n)
+            return base + np.bincount(self.place[at], self.weight[at] * np.repeat(light, n), minlength=len(base))
+
+        def some_blocks(which: np.ndarray) -> np.ndarray:
+            """The cosines of the examples in some blocks, -1 for others."""
             now = np.zeros(self.blocks, bool)
             now[which] = True
             mine = now[block]
             e = entry[mine]
-            size = self.begin[e + 1] - self.begin[e]
-            at = _pieces(self.begin[e], size)
-            own = np.repeat(now, BLOCK)
-            cosine[own] = (base + np.bincount(self.place[at], self.weight[at] * np.repeat(light[mine], size), minlength=len(base)))[own]
-
-        reach = lambda: float(np.partition(cosine, len(cosine) - k)[len(cosine) - k]) if k < len(cosine) else 0.0
-        read(np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.blocks else np.arange(self.blocks))
-        more = np.flatnonzero(~every & (bound > 0) & (bound >= reach() - 1e-9))
-        if len(more):
-            read(more)
-        some = np.flatnonzero(cosine[: len(self.order)] > max(0.0, reach() - 1e-9))
+            n = self.begin[e + 1] - self.begin[e]
+            at = _pieces(self.begin[e], n)
+            got = base + np.bincount(self.place[at], self.weight[at] * np.repeat(np.repeat(light, size)[mine], n), minlength=len(base))
+            return np.where(np.repeat(now, BLOCK), got, -1.0)
+
+        reach = lambda c: float(np.partition(c, len(c) - k)[len(c) - k]) if k < len(c) else 0.0
+        read, high = self.blocks, float(bound.max())
+        if self.blocks <= FIRST or ALIKE * float(np.median(bound)) > high:
+            cosine = all_blocks()
+        else:
+            first = np.argpartition(-bound, FIRST)[:FIRST]
+            cosine = some_blocks(first)
+            left = bound >= max(reach(cosine), 1e-12) - 1e-6  # the tables' weights have seven digits
+            left[first] = True
+            read = int(left.sum())
+            if read > FIRST:
+                cosine = some_blocks(np.flatnonzero(left)) if 2 * read < self.blocks else all_blocks()
+        cosine = cosine[: len(self.order)]
+        some = np.flatnonzero(cosine > max(0.0, reach(cosine) - 1e-6))
         i, c = self.order[some], cosine[some]
-        top = np.lexsort((i, -np.round(c, 12)))[:k]
-        return i[top], np.minimum(c[top], 1.0), int(every.sum())
+        top = np.lexsort((i, -np.round(c, 6)))[:k]
+        return i[top], np.minimum(c[top], 1.0), read
 
 
 @dataclass
