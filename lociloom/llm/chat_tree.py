@@ -14,9 +14,9 @@ together in depth-first order; ever so many conversations with one beginning fal
 its range or when it holds shard_units; what the next one shares with it is emitted again there, once. A conversation
 itself is never cut: its turns are gathered in one row.
 
-Null texts and roles count as empty. Turns of equal number are ordered by role and text; all rows count. Null
-conversation ids form one conversation. Equal conversations end at the same node, each with a leaf of its own. An
-empty table gives an empty result. Units are code points, or the ids of a tokenizer of the tokenizers library.
+Null texts and roles count as empty, null turn numbers come first. Turns of equal number are ordered by role and text; all rows count. Each row
+with a null conversation id is a conversation of its own, as nothing tells which belong together. Equal conversations end at the same node, each with a leaf of its own. An
+empty table gives an empty result; columns of other names are ignored. Units are code points, or the ids of a tokenizer of the tokenizers library.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def format_trees(rows: DataFrame, tokenizer: str | None = None, shard_units: int
     small_batches(spark)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    conv = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    conv = rows.select(F.col("conv_id").cast("long").alias("conv_id"), alone, turn.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     key = F.array_join(F.transform("turns", lambda t: F.substring(F.md5(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"])), 1, 16)), "")
     conv = conv.withColumn("key", key).repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     schema = pa.schema([("shard", pa.string()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("nodes", pa.list_(pa.struct([("parent", pa.int32()), *[(x, pa.int64()) for x in ("start", "end", "position", "loss_start", "loss_end")], ("attends", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])

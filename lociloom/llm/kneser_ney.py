@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import array_file
-from .common import filled, shared_dir, small_batches, stored, texts, with_columns
+from .common import filled, give_back, shared_dir, small_batches, stored, texts, with_columns
 
 END = xxh3_64_intdigest(b"")  # words are never empty
 ODD = 0x9E3779B97F4A7C15
 BACK = pow(ODD, -1, 1 << 64)
 #: So many different keys a task holds before it hands them on.
 HELD = 1_500_000
+#: The training texts' bytes for each range of keys, which one task merges: it has a key for each word at most.
+RANGE_BYTES = 16 << 20
 #: So many texts are scored at once.
 AT_ONCE = 250
 
@@ -126,14 +128,20 @@ def by_bucket(df: DataFrame, ranges: int, merge, schema: str) -> DataFrame:
     """merge(bucket, rows) for all rows of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[dict]] = {}
+        bucket, found = None, []
         for b in batches:
             for r in b.to_pylist():
-                found.setdefault(r["bucket"], []).append(r)
-        for bucket in sorted(found):
-            yield from merge(bucket, found.pop(bucket))
+                if r["bucket"] != bucket and found:
+                    yield from merge(bucket, found)
+                    found = []
+                bucket = r["bucket"]
+                found.append(r)
+        if found:
+            yield from merge(bucket, found)
+        del found
+        give_back()
 
-    return df.repartition(ranges, "bucket").mapInArrow(run, schema)
+    return df.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 @dataclass
@@ -275,7 +283,8 @@ def train(rows: DataFrame) -> Model:
     spark = rows.sparkSession
     small_batches(spark)
     folder = array_file.as_uri(shared_dir(spark, "model"))
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0  # one row
+    ranges = max(8, -(-size // RANGE_BYTES))
     made = _write_sorted(counted(rows, lambda x: tokens(x)[0], ranges), f"{folder}/words", "words", ranges)
     made = stored(made, f"{folder}/words-made").collect()  # a row for each range
     words, total = _sorted(made, ranges), sum(r["total"] for r in made)

@@ -8,8 +8,8 @@ over it occurs in a document with a smaller id.
 
 First a round of minimisers alone finds those that occur in more than one document; a bitmap of a fixed size
 then lets only their super-k-mers (and a few others, by chance) be packed. Equal strings travel once from each
-batch of rows. A minimiser with more than HOT different strings gets no bucket: its windows are dealt singly, by their
-own text, and combined before the shuffle. Window texts are compared in full.
+batch of rows. A minimiser whose different strings have more than HOT bytes gets no bucket: its windows are dealt singly, by their
+SHA-256, and combined before the shuffle. In buckets windows are sorted by a hash and compared in full.
 
 Words are runs without ASCII white space, unchanged. Null texts have no words; texts of fewer than WINDOW words
 have no window and stay whole. A null id counts as larger than all others. Rows of one id never remove each
@@ -31,10 +31,12 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from .common import PAGES, filled, shared_dir, small_batches, stored, texts, with_columns
 from .stream_dedup import filed, free_names, located
 
-WINDOW, MER, HOT = 50, 8, 2000
+WINDOW, MER = 50, 8
+#: A bucket's strings have so many bytes at most (about 150,000 windows; a string alone may have more).
+HOT = 1 << 20
 NONE = 2**63 - 1
-#: So many windows at most are sorted at once within a bucket.
-SORTED = 50_000
+#: So many windows of a string are dealt at once where there is no bucket.
+AT_ONCE = 10_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,42 +135,71 @@ def pieces(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.select("_file", "_row", "d", "text").mapInArrow(run, PIECES)
 
 
+def window_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of each window, from those of its words."""
+    n, size = len(words) - WINDOW + 1, 1
+    of = {1: np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))}
+    while size * 2 <= WINDOW:
+        of[size * 2] = _join(of[size][:-size], of[size][size:])
+        size *= 2
+    out, at = None, 0
+    for size in sorted(of, reverse=True):
+        if at + size <= WINDOW:
+            piece = of[size][at : at + n]
+            out, at = (piece if out is None else _join(out, piece)), at + size
+    return out
+
+
 def owners_in_bucket(group: list[tuple[bytes, int, int, str]]) -> Iterator[tuple[bytes, list[dict]]]:
-    """For the strings (sid, low, high, packed) of one minimiser: sid and runs (start, end, owner) of its windows."""
-    cut, total = [], 0
-    for _, _, _, packed in group:
-        w = packed.split(" ")
-        at = np.cumsum([0] + [len(x) + 1 for x in w]).tolist()
-        cut.append((w, at))
-        total += len(w) - WINDOW + 1
-    owner = [[low] * (len(w) - WINDOW + 1) for (_, low, _, _), (w, _) in zip(group, cut)]
-    if len(group) > 1 or total > 1:
-        rounds = -(-total // SORTED)
-        for r in range(rounds):  # equal windows have the same first word, and so the same round
-            found = []
-            for g, (w, at) in enumerate(cut):
-                packed, low = group[g][3], group[g][1]
-                for j in range(len(w) - WINDOW + 1):
-                    if rounds == 1 or xxh3_64_intdigest(w[j]) % rounds == r:
-                        found.append((packed[at[j] : at[j + WINDOW] - 1], low, g, j))
-            found.sort()
-            before, least = None, 0
-            for text, low, g, j in found:
-                if text != before:
-                    before, least = text, low
-                owner[g][j] = least
-    for (sid, _, high, _), own in zip(group, owner):
-        runs = []
-        for j, o in enumerate(own):
-            if o < high:
-                if runs and runs[-1]["end"] == j and runs[-1]["owner"] == o:
-                    runs[-1]["end"] = j + 1
-                else:
-                    runs.append({"start": j, "end": j + 1, "owner": o})
+    """For the strings (sid, low, high, packed) of one minimiser: sid and runs (start, end, owner) of its windows.
+
+    All windows are sorted by their hashes (24 bytes a window), and those of one hash compared in full.
+    """
+    packed = [p.encode() for _, _, _, p in group]
+    places, hashes = [], []
+    for p in packed:
+        words = p.split(b" ")
+        places.append(np.concatenate([[0], np.cumsum([len(x) + 1 for x in words])]))
+        hashes.append(window_hashes(words))
+    size = [len(h) for h in hashes]
+    every, which = np.concatenate(hashes), np.repeat(np.arange(len(group), dtype=np.int32), size)
+    at = np.concatenate([np.arange(n, dtype=np.int64) for n in size])
+    low, high = np.array([g[1] for g in group], np.int64), np.array([g[2] for g in group], np.int64)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+    count = np.diff(np.append(first, len(order)))
+    owner = np.empty(len(every), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(low[which[order]], first), count)
+
+    def window(x: int) -> bytes:
+        g, j = int(which[x]), int(at[x])
+        return packed[g][places[g][j] : places[g][j + WINDOW] - 1]
+
+    for f, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
+        members = order[f : f + n].tolist()
+        one = window(members[0])
+        if any(window(x) != one for x in members[1:]):  # unlike windows of one hash
+            least: dict[bytes, int] = {}
+            for x in members:
+                least[window(x)] = min(least.get(window(x), NONE), int(low[which[x]]))
+            for x in members:
+                owner[x] = least[window(x)]
+    end = np.cumsum(size)
+    for g, (sid, _, _, _) in enumerate(group):
+        own = owner[end[g] - size[g] : end[g]]
+        runs = runs_of(own, own < high[g])
         if runs:
             yield sid, runs
 
 
+def runs_of(own: np.ndarray, wanted: np.ndarray) -> list[dict]:
+    """The stretches of wanted places with one owner."""
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (wanted[1:] != wanted[:-1])])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(own))
+    return [{"start": int(a), "end": int(b), "owner": int(own[a])} for a, b in zip(start, end) if wanted[a]]
+
+
 RUNS = "array<struct<start:int,end:int,owner:long>>"
 
 
@@ -205,14 +236,34 @@ def owners(heads: DataFrame) -> DataFrame:
 
 
 def owners_singly(heads: DataFrame) -> DataFrame:
-    """The same for minimisers with very many strings, window by window."""
-    w = F.split("packed", " ")
-    j = F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW))
-    each = heads.select("mini", "sid", "low", "high", w.alias("w")).select("mini", "sid", "low", "high", j.alias("j"), "w").select("mini", "sid", "low", "high", "j", F.array_join(F.slice("w", F.col("j") + 1, WINDOW), " ").alias("text"))
-    least = each.groupBy("text").agg(F.min("low").alias("owner"))
-    own = each.join(least, "text").where("owner < high")
-    run = F.struct(F.col("j").cast("int").alias("start"), (F.col("j") + 1).cast("int").alias("end"), "owner")
-    return own.groupBy("mini", "sid").agg(F.sort_array(F.collect_list(run)).alias("runs"))  # as many as the string has windows
+    """The same for minimisers whose strings are too many or too long for one bucket: window by window, each by its SHA-256, dealt by that.
+
+    A string's equal windows (as in a text that repeats itself) travel as one row for each AT_ONCE windows.
+    """
+    schema = pa.schema([("mini", pa.int64()), ("sid", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("window", pa.binary()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for mini, sid, low, high, packed in zip(*(b.column(k).to_pylist() for k in range(5))):
+                data = packed.encode()
+                place = np.concatenate([[0], np.cumsum([len(x) + 1 for x in data.split(b" ")])]).tolist()
+                n = len(place) - WINDOW
+                for part in range(0, n, AT_ONCE):
+                    found: dict[bytes, list[dict]] = {}
+                    for j in range(part, min(n, part + AT_ONCE)):
+                        runs = found.setdefault(hashlib.sha256(data[place[j] : place[j + WINDOW] - 1]).digest(), [])
+                        if runs and runs[-1]["end"] == j:
+                            runs[-1]["end"] = j + 1
+                        else:
+                            runs.append({"start": j, "end": j + 1})
+                    k = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(([mini] * k, [sid] * k, [low] * k, [high] * k, list(found), list(found.values())), schema)], schema=schema)
+
+    rows = heads.select("mini", "sid", "low", "high", "packed")
+    each = rows.mapInArrow(run, "mini long, sid binary, low long, high long, window binary, runs array<struct<start:int,end:int>>")
+    least = each.groupBy("window").agg(F.min("low").alias("owner"))
+    own = each.join(least, "window").where("owner < high").select("mini", "sid", "owner", F.explode("runs").alias("r"))
+    return own.groupBy("mini", "sid").agg(F.collect_list(F.struct("r.start", "r.end", "owner")).alias("runs"))  # as many as the string has windows
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -223,7 +274,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     got = stored(pieces(rows, bitmap_of(repeated(rows))), f"{base}/pieces")
     heads = got.where("packed is not null").groupBy("mini", "sid", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     heads = stored(heads, f"{base}/heads")
-    many = stored(heads.groupBy("mini").count().where(F.col("count") > hot).select("mini"), f"{base}/hot")
+    many = stored(heads.groupBy("mini").agg(F.sum(F.octet_length("packed")).alias("bytes")).where(F.col("bytes") > hot).select("mini"), f"{base}/hot")
     if many.isEmpty():
         own = owners(heads)
     else:

@@ -3,10 +3,9 @@
 Documents are dealt by ranges of doc_id (null first, then ascending; equal ids by the hash of their
 text), encoded, closed by an end id and laid one after the other. A shard's distinct ids get codes by
 falling frequency; the codes' bits, highest first, form bit-planes, and every plane lists the tokens
-in the order that the planes above it sort them into, zeros before ones. Counts of ones at every
-512th bit give rank and select, and with them the token at a place, the number of an id's occurrences
-in a range and the places of an id, without unpacking the shard. Planes are compressed one by one and
-opened when first asked for.
+in the order that the planes above it sort them into, zeros before ones. A plane is compressed in blocks
+of 32,768 bits, and the file holds the number of ones before each: these give rank and select, and with them the token at a
+place, the number of an id's occurrences in a range and the places of an id, by unpacking one or two blocks of each plane.
 
 Shards and the manifest go below the folder in spark.checkpoint.dir. A task's files carry a name of
 their own and count only if the manifest, written by Spark when all tasks have ended, lists them; a
@@ -37,44 +36,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, filled, shared_dir, small_batches, stored, texts
+from .common import Memory, filled, give_back, held, shared_dir, small_batches, stored, texts
 
-MAGIC = b"WMSHARD1"
-STEP = 512
+MAGIC = b"WMSHARD2"
+#: Bits in a block of a plane, and how many unpacked blocks of a plane are kept.
+STEP, KEPT = 1 << 15, 8
 #: ASCII marks at a word's end, at which the tokenizer always parts (not the apostrophe, which may begin a contraction).
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 #: How a byte-level tokenizer writes bytes that are not printable characters of Latin-1.
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+class Plane:
+    """A row of bits in blocks of STEP, each compressed by itself (or as it is, if that is no smaller), with the number of ones before each block."""
+
+    def __init__(self, n: int, sizes: np.ndarray, ranks: np.ndarray, data: bytes | memoryview):
+        self.n, self.ranks, self.data = n, ranks, data
+        self.at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.open: dict[int, np.ndarray] = {}
+        #: How many blocks were unpacked.
+        self.unpacked = 0
+
+    @classmethod
+    def pack(cls, bits: np.ndarray) -> Plane:
+        raw = np.packbits(bits, bitorder="little")
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
+        pieces = [raw[k : k + STEP // 8] for k in range(0, len(raw), STEP // 8)]
+        ones = np.array([int(np.bitwise_count(x).sum()) for x in pieces], np.int64)
+        small = [min(press(x.tobytes()), x.tobytes(), key=len) for x in pieces]
+        return cls(len(bits), np.array([len(x) for x in small], "<u2"), np.concatenate([[0], np.cumsum(ones)]).astype("<u4"), b"".join(small))
+
+    def _unpack(self, b: int) -> bytes:
+        raw = min(STEP, self.n - b * STEP) + 7 >> 3
+        x = self.data[self.at[b] : self.at[b + 1]]
+        return bytes(x) if len(x) == raw else zstandard.decompress(x)
+
+    def block(self, b: int) -> np.ndarray:
+        """The bytes of one block; the last few are kept."""
+        if b not in self.open:
+            if len(self.open) >= KEPT:
+                self.open.pop(next(iter(self.open)))
+            self.open[b] = np.frombuffer(self._unpack(b), np.uint8)
+            self.unpacked += 1
+        return self.open[b]
+
+    def bits(self) -> np.ndarray:
+        """All bits, as booleans."""
+        return np.unpackbits(np.frombuffer(b"".join(map(self._unpack, range(len(self.at) - 1))), np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def bit(self, i: int) -> int:
+        b, r = divmod(i, STEP)
+        return int(self.block(b)[r // 8]) >> (r % 8) & 1
+
+    def ones(self, i: int) -> int:
+        """How many ones there are before place i."""
+        b, r = divmod(i, STEP)
+        got = int(self.ranks[b])
+        if r:
+            p = self.block(b)
+            got += int(np.bitwise_count(p[: (r + 7) // 8]).sum())
+            if r % 8:
+                got -= int(int(p[r // 8]) >> (r % 8)).bit_count()
+        return got
+
+    def find(self, j: int, bit: int) -> int:
+        """The place of the j-th (from 0) zero or one."""
+        r = self.ranks.astype(np.int64)
+        r = r if bit else np.minimum(np.arange(len(r)) * STEP, self.n) - r
+        b = int(np.searchsorted(r, j, side="right")) - 1
+        bits = np.unpackbits(self.block(b), count=min(STEP, self.n - b * STEP), bitorder="little")
+        return b * STEP + int(np.flatnonzero(bits == bit)[j - int(r[b])])
+
+
 class WaveletMatrix:
     """A sequence of codes below 2**levels as bit-planes with rank and select."""
 
-    def __init__(self, n: int, planes: list, zeros: list[int]):
-        self.n, self.planes, self.zeros, self._ranks = n, planes, zeros, [None] * len(planes)
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
+        self.n, self.planes, self.zeros = n, planes, zeros
 
     @classmethod
     def build(cls, codes: np.ndarray, levels: int) -> WaveletMatrix:
         planes, zeros, now = [], [], codes
         for k in range(levels - 1, -1, -1):
             ones = (now & codes.dtype.type(1 << k)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(Plane.pack(ones))
             low = now.compress(~ones)
             zeros.append(len(low))
             now = np.concatenate([low, now.compress(ones)])
         return cls(len(codes), planes, zeros)
 
-    def plane(self, k: int) -> np.ndarray:
-        if isinstance(self.planes[k], bytes):
-            self.planes[k] = np.frombuffer(zstandard.decompress(self.planes[k]), np.uint8)
-        return self.planes[k]
-
     def all(self, dtype=np.uint32) -> np.ndarray:
         """The whole sequence, from the last plane back to the first."""
         out = np.zeros(self.n, dtype)
         last = len(self.planes) - 1
         for k in range(last, -1, -1):
-            ones = np.unpackbits(self.plane(k), count=self.n, bitorder="little").view(bool)
+            ones = self.planes[k].bits()
             z = self.zeros[k]
             if z == self.n:
                 continue
@@ -84,33 +140,11 @@ class WaveletMatrix:
             out = before
         return out
 
-    def ranks(self, k: int) -> np.ndarray:
-        if self._ranks[k] is None:
-            per = np.bitwise_count(np.pad(self.plane(k), (0, -len(self.plane(k)) % (STEP // 8)))).reshape(-1, STEP // 8).sum(1)
-            self._ranks[k] = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
-        return self._ranks[k]
-
-    def ones(self, k: int, i: int) -> int:
-        """How many ones plane k has before place i."""
-        block, p = i // STEP, self.plane(k)
-        rest = p[block * (STEP // 8) : (i + 7) // 8]
-        got = int(self.ranks(k)[block]) + int(np.bitwise_count(rest).sum())
-        return got - int(int(p[i // 8]) >> (i % 8)).bit_count() if i % 8 else got
-
-    def find(self, k: int, j: int, bit: int) -> int:
-        """The place of the j-th (from 0) zero or one in plane k."""
-        r = self.ranks(k)
-        r = r if bit else np.arange(len(r)) * STEP - r
-        block = int(np.searchsorted(r, j, side="right")) - 1
-        bits = np.unpackbits(self.plane(k)[block * (STEP // 8) : (block + 1) * (STEP // 8)], bitorder="little")
-        return block * STEP + int(np.flatnonzero(bits == bit)[j - int(r[block])])
-
     def at(self, i: int) -> int:
         code = 0
-        for k in range(len(self.planes)):
-            bit = int(self.plane(k)[i // 8]) >> (i % 8) & 1
-            one = self.ones(k, i)
-            i = self.zeros[k] + one if bit else i - one
+        for p, z in zip(self.planes, self.zeros):
+            bit, one = p.bit(i), p.ones(i)
+            i = z + one if bit else i - one
             code = code << 1 | bit
         return code
 
@@ -118,7 +152,7 @@ class WaveletMatrix:
         """Where the occurrences of a code within [lo, hi) lie after the last plane."""
         last = len(self.planes) - 1
         for k in range(last + 1):
-            a, b = self.ones(k, lo), self.ones(k, hi)
+            a, b = self.planes[k].ones(lo), self.planes[k].ones(hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if code >> (last - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
@@ -127,7 +161,7 @@ class WaveletMatrix:
         last = len(self.planes) - 1
         for k in range(last, -1, -1):
             bit = code >> (last - k) & 1
-            j = self.find(k, j - self.zeros[k] * bit, bit)
+            j = self.planes[k].find(j - self.zeros[k] * bit, bit)
         return j
 
 
@@ -147,9 +181,11 @@ class Shard:
         if at != len(data):
             raise ValueError("shard file is cut off or has bytes too many")
         plain = lambda x, t: np.frombuffer(zstandard.decompress(x), t)
-        self.doc_ids, self.none, self.lengths, self.symbols = (plain(x, t) for x, t in zip(parts, ("<i8", "u1", "<u4", "<u4")))
+        self.doc_ids, self.none, self.lengths, self.symbols, sizes, ranks = (plain(x, t) for x, t in zip(parts, ("<i8", "u1", "<u4", "<u4", "<u2", "<u4")))
+        n, levels = head["tokens"], len(head["zeros"])
+        sizes, ranks = sizes.reshape(levels, -1), ranks.reshape(levels, -1)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        self.matrix = WaveletMatrix(head["tokens"], list(parts[4:]), head["zeros"])
+        self.matrix = WaveletMatrix(n, [Plane(n, *x) for x in zip(sizes, ranks, parts[6:])], head["zeros"])
         self.code = {int(s): k for k, s in enumerate(self.symbols)}
 
     @staticmethod
@@ -164,8 +200,9 @@ class Shard:
         levels = max(1, (len(symbols) - 1).bit_length())
         m = WaveletMatrix.build(codes[flat], levels)
         press = zstandard.ZstdCompressor(level=1).compress
-        arrays = [np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), np.array([len(x) for x in ids], "<u4"), symbols.astype("<u4"), *m.planes]
-        parts = [press(x.tobytes()) for x in arrays]
+        arrays = [np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), np.array([len(x) for x in ids], "<u4"), symbols.astype("<u4")]
+        arrays += [np.concatenate([p.at[1:] - p.at[:-1] for p in m.planes]).astype("<u2"), np.concatenate([p.ranks for p in m.planes])]
+        parts = [*(press(x.tobytes()) for x in arrays), *(p.data for p in m.planes)]
         head = json.dumps({"tokens": m.n, "zeros": m.zeros, "parts": [len(x) for x in parts]}).encode()
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
@@ -198,12 +235,33 @@ class Shard:
         return self.symbols[self.matrix.all(kind)]
 
 
+#: What a tokenizer's normalizer, pre-tokenizer and model say if words can be encoded one by one (fixed values).
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def by_word(tokenizer: dict) -> bool:
+    """True if a tokenizer (as its file says) drops white space, never merges over it, and is else as WordMemory takes it to be."""
+    model = {k: v for k, v in tokenizer["model"].items() if k not in ("vocab", "merges")}
+    plain = all(not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in tokenizer["added_tokens"])
+    return plain and {k: tokenizer[k] for k in ("normalizer", "pre_tokenizer")} | {"model": model} == BY_WORD and not tokenizer["truncation"] and not tokenizer["padding"]
+
+
 class WordMemory:
     """Encodes with the tokenizers library, remembering the words it has met.
 
-    The tokenizer drops white space and never merges over it, so that a text's ids are those of its
+    A tokenizer that is as BY_WORD says drops white space and never merges over it, so that a text's ids are those of its
     parts between ASCII white space. As it lower-cases, ASCII letters are lower-cased first, unless the text
-    has combining marks, with which they could form one character.
+    has combining marks, with which they could form one character. With any other tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str, end: int, memory: int = 400_000):
@@ -214,6 +272,7 @@ class WordMemory:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.encoder.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.model = self.encoder.model
         self.end, self.known = array("I", [end]).tobytes(), Memory(self.one, memory)
+        self.by_word = by_word(json.loads(self.encoder.to_str()))
 
     def one(self, word: bytes) -> bytes:
         body = word.rstrip(MARKS)
@@ -234,20 +293,13 @@ class WordMemory:
     def packed(self, text: str) -> bytes:
         """The ids of a text and the end id, as little-endian unsigned 32-bit integers."""
         data = text.encode()
+        if not self.by_word:
+            return self.whole(data) + self.end
         if b"\xcc" not in data and b"\xcd" not in data and not (b"<" in data and self.special.search(text)):
             data = data.lower()
         return b"".join([*map(self.known.__getitem__, data.split()), self.end])
 
 
-_held: dict[tuple, WordMemory] = {}
-
-
-def held(path: str, end: int) -> WordMemory:
-    if (path, end) not in _held:
-        _held[path, end] = WordMemory(path, end)
-    return _held[path, end]
-
-
 def write(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 << 20) -> DataFrame:
     """Writes the shards and gives the manifest: part, shard, path, docs, tokens, bytes, start (tokens before it)."""
     spark = docs.sparkSession
@@ -261,7 +313,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 <
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, where = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(f"{where}/shards", recursive=True)
-        memory, part = held(tokenizer, end), TaskContext.get().partitionId()
+        memory, part = held(("words", tokenizer, end), lambda: WordMemory(tokenizer, end)), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         shard = size = 0
@@ -287,6 +339,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 1, shard_tokens: int = 1 <
                     yield close()
         if names:
             yield close()
+        give_back()
 
     made = stored(rows.mapInArrow(run, "part int, shard int, path string, docs long, tokens long, bytes long"), f"{folder}/made")
     totals = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.sum("tokens").alias("n")).collect())  # a row for each task

@@ -269,10 +269,26 @@ def test_hot_minimisers_give_the_same(spark, monkeypatch):
     rows = passages(random.Random(22))
     docs = sk.filed(spark.createDataFrame(rows, "doc_id long, text string"))
     spans = lambda hot: sorted((r["_file"], r["_row"], sk._mask(5000, r["spans"]).tobytes()) for r in sk.removed(docs, hot).collect())
-    assert spans(2000) == spans(0) and len(spans(0)) > 10
-    plain = spans(2000)
-    monkeypatch.setattr(sk, "SORTED", 10)
-    assert spans(2000) == plain
+    plain = spans(1 << 20)
+    assert plain == spans(0) == spans(3000) and len(plain) > 10
+    monkeypatch.setattr(sk, "AT_ONCE", 7)
+    assert spans(0) == plain
+    monkeypatch.setattr(sk, "window_hashes", lambda words: np.full(len(words) - sk.WINDOW + 1, 7, np.uint64))  # all windows meet
+    assert spans(1 << 20) == plain
+
+
+def test_a_bucket_of_one_word_alone():
+    """A million equal windows take little time and memory."""
+    import time
+    import tracemalloc
+
+    group = [(b"a", 1, 1, "w " * 400_000 + "w"), (b"b", 2, 2, "w " * 300_000 + "v")]
+    tracemalloc.start()
+    began = time.time()
+    got = dict(sk.owners_in_bucket(group))
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"a" not in got and got[b"b"] == [{"start": 0, "end": 299_951, "owner": 1}] and took < 30 and peak < 150 << 20
 
 
 def test_super_kmers_cover_all_windows():

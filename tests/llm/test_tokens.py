@@ -43,6 +43,28 @@ def test_pairs_and_prefixes():
         assert all(table.part(s[:k]) == [x for p in table.merged(s[:k])[0] for x in ([p] if p >= 0 else [table.bytes_at[f"<0x{y:02X}>"] for y in chr(-1 - p).encode()])] for k in range(1, len(s) + 1))
 
 
+def test_piece_query_against_the_library(spark, data, tables):
+    from lociloom.llm.queries import op4_sentencepiece
+
+    sp, sha = sentencepiece.SentencePieceProcessor(model_file=PIECES), lambda x: hashlib.sha256(x).hexdigest()
+    want = {}
+    for r in tables["documents"].collect():
+        ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want[r["doc_id"]] = len(ids), sha(np.array(ids, "<u4").tobytes()), sha(sp.decode(ids).encode())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op4_sentencepiece(spark, data).collect()} == want
+
+
+def test_what_a_worker_keeps():
+    from lociloom.llm.common import Memory, _held, held
+
+    calls = []
+    memory = Memory(lambda k: calls.append(k) or -k, 4)
+    assert [memory[k] for k in (1, 2, 3, 1, 1, 4, 1, 5, 1, 6)] == [-1, -2, -3, -1, -1, -4, -1, -5, -1, -6]
+    assert calls == [1, 2, 3, 4, 5, 6] and len(memory) + len(memory.old) <= 4  # 1 is asked for again and again, and stays
+    one = held(("a",), list)
+    assert held(("a",), list) is one and held(("b",), dict) == {} and list(_held) == [("b",)]
+
+
 def test_memory_that_is_too_small():
     table = pt.PrefixTable(PIECES, memory=3)
     whole = pt.PrefixTable(PIECES)
@@ -66,7 +88,38 @@ def test_words_equal_the_library(tables):
     assert all(small.packed(t) == memory.packed(t) for t in texts[:300])
 
 
-@pytest.mark.parametrize("n,kinds", [(1, 1), (7, 1), (513, 2), (5000, 37), (4096, 300)])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    memory = wv.WordMemory(public_tokenizers.path(name), 1)
+    texts = scraps(8, 300, 20) + ["Two  Words\n and More"]
+    assert memory.by_word == (name == "word_bpe_49k.json")
+    assert [np.frombuffer(memory.packed(t), "<u4").tolist() for t in texts] == [e.ids + [1] for e in memory.encoder.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_shard_query_against_the_library(spark, data, tables):
+    from tokenizers import Tokenizer
+
+    from lociloom.llm.queries import op10_token_shards
+
+    t, at, want = Tokenizer.from_file(WORDS), 0, []
+    for r in sorted(tables["documents"].collect(), key=lambda r: r["doc_id"]):
+        ids = np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op10_token_shards(spark, data).collect()) == want
+
+
+def test_one_token_unpacks_a_block_of_each_plane():
+    rng = np.random.default_rng(1)
+    ids = (rng.zipf(1.3, 400_000) % 40_000).astype(np.uint32)
+    s = wv.Shard(wv.Shard.pack([1], [ids]))
+    planes = s.matrix.planes
+    assert len(planes) > 12 and all(len(p.at) - 1 == 13 for p in planes)
+    assert s.token(271_828) == ids[271_828] and all(p.unpacked == 1 for p in planes)
+    assert s.count(int(ids[5]), 0, 400_000) == int((ids == ids[5]).sum()) and all(p.unpacked <= 3 for p in planes)
+
+
+@pytest.mark.parametrize("n,kinds", [(1, 1), (7, 1), (513, 2), (5000, 37), (4096, 300), (32_768, 5), (70_001, 900)])
 def test_shard_answers_from_its_file(tmp_path, n, kinds):
     rng = np.random.default_rng(n)
     ids = (np.minimum(rng.zipf(1.4, n), kinds) * 137 % 49_000).astype(np.uint32)
@@ -97,9 +150,10 @@ def test_shards_in_order(spark, odd, tables):
     assert wv.read(wv.write(odd.limit(0), WORDS)).count() == 0 and wv.read(wv.write(odd, WORDS)).count() == 10
 
 
-def plain_kneser_ney(train, text):
-    """Probabilities straight from the formulas, with dictionaries."""
+def plain_kneser_ney(train):
+    """A function of a text: its scores and counts straight from the formulas, with dictionaries."""
     from collections import Counter, defaultdict
+    from functools import cache
 
     toks = lambda t: t.encode().lower().split() + [None]
     uni, bi = Counter(), Counter()
@@ -114,23 +168,29 @@ def plain_kneser_ney(train, text):
     d = kn.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
     d1 = kn.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
     cut = lambda c, d: d[min(c, 3) - 1] if c else 0.0
-    v, ways = len(uni), len(bi)
+    v, ways, total = len(uni), len(bi), sum(uni.values())
+    spread = sum(cut(c, d1) for c in before.values())
+
+    @cache
+    def left(h):
+        return (sum(follow[h].values()), sum(cut(x, d) for x in follow[h].values())) if h in follow else (0, 0)
 
     def p1(w):
-        if not ways:
-            return 1 / (v + 1)
-        return (before[w] - cut(before[w], d1)) / ways + sum(cut(c, d1) for c in before.values()) / ways / (v + 1)
+        return (before[w] - cut(before[w], d1)) / ways + spread / ways / (v + 1) if ways else 1 / (v + 1)
 
     def p(h, w):
-        n = sum(follow[h].values()) if h in follow else 0
+        n, rest = left(h)
         if not n:
             return p1(w)
         c = follow[h][w] if w in follow[h] else 0
-        return (c - cut(c, d)) / n + sum(cut(x, d) for x in follow[h].values()) / n * p1(w)
+        return (c - cut(c, d)) / n + rest / n * p1(w)
 
-    w = toks(text)
-    base = sum(np.log10((uni[x] + 1) / (sum(uni.values()) + v + 1)) for x in w)
-    return sum(np.log10(p(h, x)) for h, x in zip(["begin", *w[:-1]], w)), base, sum(uni[x] > 0 for x in w), p, uni
+    def score(text):
+        w = toks(text)
+        base = sum(np.log10((uni[x] + 1) / (total + v + 1)) for x in w)
+        return sum(np.log10(p(h, x)) for h, x in zip(["begin", *w[:-1]], w)), base, sum(uni[x] > 0 for x in w), p, uni
+
+    return score
 
 
 def test_kneser_ney_against_plain(spark):
@@ -140,8 +200,9 @@ def test_kneser_ney_against_plain(spark):
     tests = [draw() for _ in range(20)] + ["", "never seen words", "the unseen a"]
     model = kn.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(5))
     got = model.score(tests)
+    plain = plain_kneser_ney(train)
     for i, t in enumerate(tests):
-        score, base, known, p, uni = plain_kneser_ney(train, t)
+        score, base, known, p, uni = plain(t)
         assert got["score"][i] == pytest.approx(score) and got["base_score"][i] == pytest.approx(base) and got["n_known"][i] == known and got["n_tokens"][i] == len(t.split()) + 1
     words = [*uni, b"unknown"]
     assert all(sum(p(h, w) for w in words) == pytest.approx(1) for h in ["begin", b"the", b"of", b"unknown"])
@@ -157,6 +218,22 @@ def test_kneser_ney_edges(spark, odd):
     assert {(r["train_tokens"], r["n_known"], r["score"], r["base_score"]) for r in none} == {(0, 0, 0.0, 0.0)}
 
 
+def test_language_model_query_against_plain(spark, data, tables, monkeypatch):
+    from lociloom.llm.queries import op6_language_model
+
+    rows = [(r["doc_id"], r["text"] or "") for r in tables["documents"].collect()]
+    plain = plain_kneser_ney([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    for size in (kn.RANGE_BYTES, 1 << 13):  # also by many ranges of keys
+        monkeypatch.setattr(kn, "RANGE_BYTES", size)
+        got = {r["doc_id"]: r for r in op6_language_model(spark, data).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            score, base, known, _, uni = plain(t)
+            r = got[i]
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t.encode().split()) + 1, known, sum(uni.values()))
+            assert r["score"] == pytest.approx(score) and r["base_score"] == pytest.approx(base)
+
+
 def test_held_out_text_is_likelier_than_by_words_alone(spark):
     from lociloom.llm.queries import op6_language_model
 
@@ -217,9 +294,11 @@ def test_tree_tokens(spark):
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (2, 0, "user", "z"), (2, 0, "user", "z"), (3, None, "assistant", "\\<|end|>"), (4, 0, "user", "w" * 300_000), (5, 0, "user", "w" * 300_000)]
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (None, 1, "user", "y"), (2, 0, "user", "z"), (2, 0, "user", "z"), (3, None, "assistant", "\\<|end|>"), (4, 0, "user", "w" * 300_000), (5, 0, "user", "w" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in ct.read_back(ct.format_trees(df)).collect()}
+    every = ct.read_back(ct.format_trees(df.withColumn("Turns", df.turn).withColumn("alone", df.turn))).collect()
+    got = {r["conv_id"]: r for r in every}
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 2, None: 1, 2: 2, 3: 1, 4: 1, 5: 1}
+    assert sum(r["conv_id"] is None for r in every) == 2  # each a conversation of its own
     assert got[3]["loss_chars"] == 8 and got[3]["loss_sha256"] == hashlib.sha256(b"\\<|end|>").hexdigest()
     assert ct.read_back(ct.format_trees(df.limit(0))).count() == 0
