@@ -50,9 +50,14 @@ def main(argv: list[str] | None = None) -> int:
 
     from .adapters.external import median_read
     from .plans.pipeline import run
+    from .storage import clean
 
     os.makedirs(params.out, exist_ok=True)
-    run(SparkSession.builder.appName("lociloom").getOrCreate(), params, median_read if params.assembler == "median-read" else None)
+    spark = SparkSession.builder.appName("lociloom").getOrCreate()
+    try:
+        run(spark, params, median_read if params.assembler == "median-read" else None)
+    finally:
+        clean(spark)
     return 0
 
 
