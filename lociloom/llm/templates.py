@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import filled, shared_dir, stored
+from .common import filled, in_bitmap, shared_dir, stored
 
 WINDOW, COVER, LEAST = 8, 0.5, 3
 #: Words that are units after a number (fixed values).
@@ -84,16 +84,18 @@ def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
 
 
 def sequences(rows: DataFrame, kinds: tuple[int, ...] = ()) -> DataFrame:
-    """rows with text replaced by seq: raw and canon, the tokens and their templates, and hashes: those of the windows of the kinds
-    asked for, first those of tokens (0), then those of words (1, and -m for windows of m words)."""
+    """rows with text replaced by seq: raw and canon, the tokens and their templates, and if kinds of windows are given their hashes, first
+    those of tokens (0), then those of words (1, and -m for windows of m words), and low, the words in lower case if any kind needs them."""
     more = [(k, WINDOW if k > 0 else -k) for k in kinds if k]
 
-    def found(raw: Column, canon: Column) -> Column:
+    def windowed(canon: Column, low: Column) -> list[Column]:
         own = _hashed(canon, [(0, WINDOW)])
-        return F.concat(own, _hashed(low_words(raw), more)) if more else own
+        return [(F.concat(own, _hashed(low, more)) if more else own).alias("hashes"), (low if more else F.lit(None).cast("array<string>")).alias("low")] if kinds else []
 
     def both(clean: Column) -> Column:
-        return let(F.split(clean, " "), lambda raw: let(F.split(template(clean), " "), lambda canon: F.struct(raw.alias("raw"), canon.alias("canon"), *([found(raw, canon).alias("hashes")] if kinds else []))))
+        of = lambda raw, canon: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low_words(raw)))
+        whole = lambda raw, canon: let(low_words(raw), lambda low: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low)))
+        return let(F.split(clean, " "), lambda raw: let(F.split(template(clean), " "), lambda canon: (whole if more else of)(raw, canon)))
 
     return rows.withColumn("seq", let(tokens(), both)).drop("text")
 
@@ -127,42 +129,50 @@ def start_of(raw: Column, at: Column) -> Column:
 
 
 def _matched() -> Column:
-    """For a hit with d (the document's window), s (the item's sequence), kind, at (the window's place in it) and n the matched tokens as (start, len, diagonal, slot, own, other); null if the window is another."""
-    d, s, at, n = F.col("d"), F.col("s"), F.col("at"), F.col("n")
+    """For a hit (first, words and canon of the document's window; s, the item's sequence; kind, at and n) the matched tokens as (start, len, diagonal, slot, own, other); null if the window is another."""
+    s, at, n, words = F.col("s"), F.col("at"), F.col("n"), F.col("words")
     piece = lambda a: F.slice(a, at + 1, n)
     before = lambda raw, k: F.aggregate(F.slice(raw, 1, k), F.lit(0), lambda a, r: a + n_words(r))
 
     def token(raw: Column, canon: Column, first: Column, k: Column) -> Column:
-        start, there, slot = first + before(raw, k), d["first"] + before(d["words"], k), F.get(canon, k)
-        return F.struct(start.alias("start"), n_words(F.get(raw, k)).alias("len"), (there - start).alias("diagonal"), F.when(is_slot(slot), slot).alias("slot"), F.get(raw, k).alias("own"), F.get(d["words"], k).alias("other"))
+        start, there, slot = first + before(raw, k), F.col("first") + before(words, k), F.get(canon, k)
+        return F.struct(start.alias("start"), n_words(F.get(raw, k)).alias("len"), (there - start).alias("diagonal"), F.when(is_slot(slot), slot).alias("slot"), F.get(raw, k).alias("own"), F.get(words, k).alias("other"))
 
     def word(w: Column, k: Column) -> Column:
-        return F.struct((at + k).alias("start"), F.lit(1).alias("len"), (d["first"] - at).alias("diagonal"), F.lit(None).cast("string").alias("slot"), w.alias("own"), w.alias("other"))
+        return F.struct((at + k).alias("start"), F.lit(1).alias("len"), (F.col("first") - at).alias("diagonal"), F.lit(None).cast("string").alias("slot"), w.alias("own"), w.alias("other"))
 
     each = lambda raw, canon, first: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: token(raw, canon, first, k))
-    tokens_ = let(piece(s["raw"]), lambda raw: let(piece(s["canon"]), lambda canon: let(start_of(s["raw"], at), lambda first: F.when(d["canon"] == canon, each(raw, canon, first)))))
-    words = let(piece(low_words(s["raw"])), lambda own: F.when(d["words"] == own, F.transform(own, word)))
-    return F.when(F.col("kind") == 0, tokens_).otherwise(words)
+    of_tokens = let(piece(s["raw"]), lambda raw: let(piece(s["canon"]), lambda canon: let(start_of(s["raw"], at), lambda first: F.when(F.col("canon") == canon, each(raw, canon, first)))))
+    of_words = let(piece(low_words(s["raw"])), lambda own: F.when(F.slice(words, 1, n) == own, F.transform(own, word)))
+    return F.when(F.col("there") == F.col("kind"), F.when(F.col("kind") == 0, of_tokens).otherwise(of_words))
+
+
+def _windowed(placed: DataFrame, widest: dict[int, int]) -> DataFrame:
+    """placed (doc_id, seq, k: a window's place among the hashes, ...) with the window in place of seq: there (its kind), first (the words before it),
+    words and canon. Plain functions alone, which Spark compiles into the loop over a document's windows: else each would take the whole document along."""
+    raw, canon, low, k = F.col("seq.raw"), F.col("seq.canon"), F.col("seq.low"), F.col("k")
+    end, kind, to = F.lit(0), F.when(k < 0, 0), F.when(k < 0, 0)
+    for x in widest:
+        begin, end = end, end + (count(F.size(canon), WINDOW) if x == 0 else count(F.size(low), WINDOW if x > 0 else -x))
+        kind, to = kind.when(k < end, x), to.when(k < end, k - begin)
+    words = F.when(kind == 0, F.slice(raw, to + 1, F.lit(WINDOW)))
+    for x, n in widest.items():
+        words = words.when(kind == x, F.slice(low, to + 1, F.lit(n))) if x else words
+    first = F.when(kind == 0, start_of(raw, to)).otherwise(to)
+    return placed.withColumns({"there": kind, "first": first, "words": words, "canon": F.when(kind == 0, F.slice(canon, to + 1, F.lit(WINDOW)))}).drop("seq", "k")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that contaminates it: doc_id, item_id, n_windows, matched_words, item_words, changed_slots."""
     bench = stored(item_windows(items), f"{shared_dir(docs.sparkSession, 'templates')}/windows")
-    n = bench.agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).first()  # one row; as many kinds as WINDOW at most
-    kinds = (0, *sorted(k for k in n["kinds"] if k))
+    kinds = {r["kind"]: r for r in bench.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("widest")).collect()}  # as many as WINDOW at most
+    widest = {0: WINDOW} | {k: kinds[k]["widest"] for k in sorted(kinds) if k}
     # posexplode would have the optimizer filter by the size of the hashes first, and so compute seq twice
-    placed = sequences(docs.select("doc_id", "text"), kinds).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
-    hit = placed.join(F.broadcast(bench) if n["n"] * 48 <= BROADCAST_BYTES else bench, "hash")  # 48 bytes a row
-    # the window's place in the document, from its place among the hashes; only the window goes on from here
-    words, skip = F.aggregate("seq.raw", F.lit(0), lambda a, r: a + n_words(r)), count(F.size("seq.canon"), WINDOW)
-    offset = F.when(F.col("kind") == 0, 0)
-    for k in kinds:
-        if k:
-            offset, skip = offset.when(F.col("kind") == k, skip), skip + count(words, WINDOW if k > 0 else -k)
-    raw, canon, at = F.col("seq.raw"), F.col("seq.canon"), F.col("n")
-    of_tokens = lambda to: F.struct(start_of(raw, to).alias("first"), F.slice(raw, to + 1, at).alias("words"), F.slice(canon, to + 1, at).alias("canon"))
-    of_words = lambda to: F.struct(to.alias("first"), F.slice(low_words(raw), to + 1, at).alias("words"), F.lit(None).cast("array<string>").alias("canon"))
-    hit = hit.select("doc_id", "item", "kind", "at", "n", let(F.col("k") - offset, lambda to: F.when(F.col("kind") == 0, of_tokens(to)).otherwise(of_words(to))).alias("d"))
+    placed = sequences(docs.select("doc_id", "text"), tuple(widest)).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
+    if sum(r["rows"] for r in kinds.values()) * 48 <= BROADCAST_BYTES:  # 48 bytes a row
+        hit = _windowed(placed.join(F.broadcast(bench), "hash"), widest)
+    else:  # windows that the benchmark may have, and of these no more than the words, are dealt by their hashes
+        hit = _windowed(in_bitmap(placed, F.col("hash"), bench, F.col("hash")), widest).join(bench, "hash")
     own = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumnRenamed("seq", "s")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0  # one row
     hit = hit.join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, "item").withColumn("item_words", F.size(low_words(F.col("s.raw"))))  # tokens and templates, and their lengths
