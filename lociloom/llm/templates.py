@@ -69,34 +69,20 @@ def n_words(token: Column) -> Column:
     return F.length(token) - F.length(F.replace(token, F.lit(NAME), F.lit(""))) + 1
 
 
-def _windows(words: Column, width: int, kind: int) -> Column:
-    """The hash of each window of the words, in order; none if there are fewer."""
-
-    def every(h: Column) -> Column:  # element by element, as a slice would copy the whole array for each window
-        return F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.xxhash64(F.lit(kind), x, *[F.get(h, i + k) for k in range(1, width)]))
-
-    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), every)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
-    """The hashes of all windows of the words, for each kind and width in turn."""
-    return let(words, lambda w: F.concat(*[_windows(w, width, kind) for kind, width in widths]))
+def _hash(words: Column, at: Column, width: int, kind: int) -> Column:
+    """The hash of the window at a place."""
+    return F.xxhash64(F.lit(kind), *[F.get(words, at + k) for k in range(width)])
 
 
-def sequences(rows: DataFrame, kinds: tuple[int, ...] = ()) -> DataFrame:
-    """rows with text replaced by seq: raw and canon, the tokens and their templates, and if kinds of windows are given their hashes, first
-    those of tokens (0), then those of words (1, and -m for windows of m words), and low, the words in lower case if any kind needs them."""
-    more = [(k, WINDOW if k > 0 else -k) for k in kinds if k]
-
-    def windowed(canon: Column, low: Column) -> list[Column]:
-        own = _hashed(canon, [(0, WINDOW)])
-        return [(F.concat(own, _hashed(low, more)) if more else own).alias("hashes"), (low if more else F.lit(None).cast("array<string>")).alias("low")] if kinds else []
+def _windows(words: Column, width: int, kind: int) -> Column:
+    """The hash of each window of the words, in order; none if there are fewer."""
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda at: _hash(words, at, width, kind))
+    return F.when(F.size(words) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
-    def both(clean: Column) -> Column:
-        of = lambda raw, canon: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low_words(raw)))
-        whole = lambda raw, canon: let(low_words(raw), lambda low: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low)))
-        return let(F.split(clean, " "), lambda raw: let(F.split(template(clean), " "), lambda canon: (whole if more else of)(raw, canon)))
 
+def sequences(rows: DataFrame) -> DataFrame:
+    """rows with text replaced by seq: raw and canon, the tokens and their templates."""
+    both = lambda clean: F.struct(F.split(clean, " ").alias("raw"), F.split(template(clean), " ").alias("canon"))
     return rows.withColumn("seq", let(tokens(), both)).drop("text")
 
 
@@ -112,7 +98,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     slots = lambda x: F.size(F.filter(x, lambda y: y))
 
     def placed(kind: int, words: str, flags: Column, wanted) -> DataFrame:
-        out = long.select("item", flags.alias("flags"), F.posexplode(_hashed(F.col(words), [(kind, WINDOW)])).alias("at", "hash"))
+        out = long.select("item", flags.alias("flags"), F.posexplode(_windows(F.col(words), WINDOW, kind)).alias("at", "hash"))
         return out.where(wanted(slots(F.slice("flags", F.col("at") + 1, WINDOW)) * 2 > WINDOW)).select("hash", F.lit(kind).alias("kind"), "at", F.lit(WINDOW).alias("n"), "item")
 
     by_token = placed(0, "seq.canon", F.transform("seq.canon", is_slot), lambda heavy: ~heavy)
@@ -147,19 +133,38 @@ def _matched() -> Column:
     return F.when(F.col("there") == F.col("kind"), F.when(F.col("kind") == 0, of_tokens).otherwise(of_words))
 
 
+def _placed(docs: DataFrame, widest: dict[int, int]) -> DataFrame:
+    """A row for each window of each document, first those of tokens (kind 0), then those of words (1, and -m for windows of m words): doc_id, raw and canon (the
+    document's tokens and their templates), low (its words in lower case, if any kind needs them), k (the window's place among them) and hash.
+    Plain functions alone, which Spark compiles into the loop over a document's windows; array functions with a lambda would be interpreted word by word."""
+    clean = docs.select("doc_id", tokens().alias("clean"))
+    low = F.split(F.lower(F.translate("clean", NAME, " ")), " ") if len(widest) > 1 else F.lit(None).cast("array<string>")
+    split = clean.select("doc_id", F.split("clean", " ").alias("raw"), F.split(template(F.col("clean")), " ").alias("canon"), low.alias("low"))
+    number, k = F.lit(0), F.col("k")
+    # a row outside all kinds: no window has its hash and kind (a hash that may be null would be computed twice, first to filter by it)
+    hash_ = F.when(k.isNull(), F.lit(0).cast("long"))
+    for x in widest:
+        words, width = F.col("low" if x else "canon"), WINDOW if x >= 0 else -x
+        begin, number = number, number + count(F.size(words), width)
+        hash_ = hash_.when(k < number, _hash(words, k - begin, width, x))
+    # not explode, before which the optimizer would filter by the number of windows and so compute all arrays twice
+    windows = split.select("*", F.explode_outer(F.when(number > 0, F.sequence(F.lit(0), number - 1))).alias("k"))
+    return windows.withColumn("hash", hash_.otherwise(F.lit(0).cast("long")))
+
+
 def _windowed(placed: DataFrame, widest: dict[int, int]) -> DataFrame:
-    """placed (doc_id, seq, k: a window's place among the hashes, ...) with the window in place of seq: there (its kind), first (the words before it),
-    words and canon. Plain functions alone, which Spark compiles into the loop over a document's windows: else each would take the whole document along."""
-    raw, canon, low, k = F.col("seq.raw"), F.col("seq.canon"), F.col("seq.low"), F.col("k")
+    """_placed rows with the window in place of the document: there (its kind), first (the words before it), words and canon."""
+    raw, canon, low, k = (F.col(c) for c in ("raw", "canon", "low", "k"))
     end, kind, to = F.lit(0), F.when(k < 0, 0), F.when(k < 0, 0)
     for x in widest:
-        begin, end = end, end + (count(F.size(canon), WINDOW) if x == 0 else count(F.size(low), WINDOW if x > 0 else -x))
+        begin, end = end, end + count(F.size(low if x else canon), WINDOW if x >= 0 else -x)
         kind, to = kind.when(k < end, x), to.when(k < end, k - begin)
     words = F.when(kind == 0, F.slice(raw, to + 1, F.lit(WINDOW)))
     for x, n in widest.items():
         words = words.when(kind == x, F.slice(low, to + 1, F.lit(n))) if x else words
     first = F.when(kind == 0, start_of(raw, to)).otherwise(to)
-    return placed.withColumns({"there": kind, "first": first, "words": words, "canon": F.when(kind == 0, F.slice(canon, to + 1, F.lit(WINDOW)))}).drop("seq", "k")
+    window = {"there": kind, "first": first, "words": words, "canon": F.when(kind == 0, F.slice(canon, to + 1, F.lit(WINDOW)))}
+    return placed.withColumns(window).drop("raw", "low", "k")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -167,8 +172,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = stored(item_windows(items), f"{shared_dir(docs.sparkSession, 'templates')}/windows")
     kinds = {r["kind"]: r for r in bench.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("widest")).collect()}  # as many as WINDOW at most
     widest = {0: WINDOW} | {k: kinds[k]["widest"] for k in sorted(kinds) if k}
-    # posexplode would have the optimizer filter by the size of the hashes first, and so compute seq twice
-    placed = sequences(docs.select("doc_id", "text"), tuple(widest)).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
+    placed = _placed(docs, widest)
     if sum(r["rows"] for r in kinds.values()) * 48 <= BROADCAST_BYTES:  # 48 bytes a row
         hit = _windowed(placed.join(F.broadcast(bench), "hash"), widest)
     else:  # windows that the benchmark may have, and of these no more than the words, are dealt by their hashes
