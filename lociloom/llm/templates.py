@@ -34,6 +34,8 @@ WINDOW, COVER, LEAST = 8, 0.5, 3
 UNITS = "mm|cm|km|m|mg|kg|g|t|ml|cl|l|lb|lbs|oz|ft|in|mi|mph|kmh|s|sec|min|h|hr|hrs|ms|hz|khz|mhz|ghz|w|kw|v|a|k|c|f|j|kj|cal|kcal|usd|eur|gbp|percent|dollars|euros|cents|metres|meters|miles|hours|minutes|seconds|days|weeks|years|grams|litres|liters"
 #: A benchmark whose windows take so many bytes at most (a hash, a place and an id each) is broadcast; a larger one is joined by shuffling.
 BROADCAST_BYTES = 16 << 20
+#: Windows begin at so many places of one part of a document: what is kept with a place of it does not grow with the text.
+PART = 128
 #: Between the words of one name, and in place of a number's marks.
 NAME, MARK = "\x01", "\x02"
 
@@ -41,7 +43,7 @@ NAME, MARK = "\x01", "\x02"
 def tokens(text: str = "text") -> Column:
     """The text with single spaces between its tokens."""
     # each pattern begins with what is rare
-    out = F.regexp_replace(F.translate(filled(text), NAME + MARK, "  "), r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}\p{N}]*)[\x20\x09-\x0D]+(?=\p{Lu})", f"$1{NAME}")
+    out = F.regexp_replace(F.replace(F.replace(filled(text), F.lit(NAME), F.lit(" ")), F.lit(MARK), F.lit(" ")), r"(\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}\p{N}]*)[\x20\x09-\x0D]+(?=\p{Lu})", f"$1{NAME}")
     out = F.regexp_replace(out, r"[.,](?<=\p{N}[.,])(?=\p{N})", MARK)
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\x01\x02]+", " ")
     return F.trim(F.regexp_replace(out, rf"(\p{{N}})((?i:{UNITS}))(?![\p{{L}}\p{{N}}\x01\x02])", "$1 $2"))
@@ -57,7 +59,11 @@ def template(clean: Column) -> Column:
 
 def low_words(raw: Column) -> Column:
     """The words of tokens, in lower case."""
-    return F.split(F.lower(F.translate(F.array_join(raw, " "), NAME, " ")), " ")
+    return _low(F.array_join(raw, " "))
+
+
+def _low(clean: Column) -> Column:
+    return F.split(F.lower(F.replace(clean, F.lit(NAME), F.lit(" "))), " ")
 
 
 def is_slot(token: Column) -> Column:
@@ -69,57 +75,69 @@ def n_words(token: Column) -> Column:
     return F.length(token) - F.length(F.replace(token, F.lit(NAME), F.lit(""))) + 1
 
 
-def _windows(words: Column, width: int, kind: int) -> Column:
-    """The hash of each window of the words, in order; none if there are fewer."""
+def sequences(rows: DataFrame) -> DataFrame:
+    """rows with text replaced by seq: raw and canon, the tokens and their templates."""
+    both = lambda clean: F.struct(F.split(clean, " ").alias("raw"), F.split(template(clean), " ").alias("canon"))
+    return rows.withColumn("seq", let(tokens(), both)).drop("text")
 
-    def every(h: Column) -> Column:  # element by element, as a slice would copy the whole array for each window
-        return F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.xxhash64(F.lit(kind), x, *[F.get(h, i + k) for k in range(1, width)]))
 
-    return F.when(F.size(words) >= width, let(F.transform(words, lambda w: F.xxhash64(w)), every)).otherwise(F.array().cast("array<bigint>"))
+def some_of(words: Column, at: Column, n: Column) -> Column:
+    """n words (one at least) from a place on, one by one: a slice inside an array function would read the whole array."""
+    return F.transform(F.sequence(at, at + n - 1), lambda i: F.get(words, i))
 
 
-def _hashed(words: Column, widths: list[tuple[int, int]]) -> Column:
-    """The hashes of all windows of the words, for each kind and width in turn."""
-    return let(words, lambda w: F.concat(*[_windows(w, width, kind) for kind, width in widths]))
+def parts(rows: DataFrame, far: int) -> DataFrame:
+    """Per part of a text, in place of the text, part: kind (0 of tokens, 1 of words; none of these if far is 0), first (the words before it), raw (tokens, if of tokens), words
+    (templates of tokens, or words in lower case) and hashes of these. PART windows begin in a part; words go on as far as the longest window does, hashes as far as any that is hashed."""
 
+    def cut(words: Column, over: int) -> Column:
+        each = lambda b: some_of(words, b, F.least(F.lit(PART + over), F.size(words) - b))
+        return F.when(F.size(words) <= PART, F.array(words)).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(PART)), each))
 
-def sequences(rows: DataFrame, kinds: tuple[int, ...] = ()) -> DataFrame:
-    """rows with text replaced by seq: raw and canon, the tokens and their templates, and if kinds of windows are given their hashes, first
-    those of tokens (0), then those of words (1, and -m for windows of m words), and low, the words in lower case if any kind needs them."""
-    more = [(k, WINDOW if k > 0 else -k) for k in kinds if k]
+    def firsts(raw: Column) -> Column:
+        return F.aggregate(F.slice(raw, 1, F.size(raw) - 1), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + start_of(x, F.lit(PART)))))
 
-    def windowed(canon: Column, low: Column) -> list[Column]:
-        own = _hashed(canon, [(0, WINDOW)])
-        return [(F.concat(own, _hashed(low, more)) if more else own).alias("hashes"), (low if more else F.lit(None).cast("array<string>")).alias("low")] if kinds else []
+    def part(kind: int, first: Column, raw: Column, words: Column) -> Column:
+        hashes = F.transform(F.slice(words, 1, PART + WINDOW - 1), lambda w: F.xxhash64(F.lit(kind), w))
+        return F.struct(F.lit(kind).alias("kind"), first.alias("first"), raw.alias("raw"), words.alias("words"), hashes.alias("hashes"))
 
-    def both(clean: Column) -> Column:
-        of = lambda raw, canon: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low_words(raw)))
-        whole = lambda raw, canon: let(low_words(raw), lambda low: F.struct(raw.alias("raw"), canon.alias("canon"), *windowed(canon, low)))
-        return let(F.split(clean, " "), lambda raw: let(F.split(template(clean), " "), lambda canon: (whole if more else of)(raw, canon)))
+    def of_tokens(clean: Column) -> Column:
+        made = lambda raw, canon, first: F.transform(raw, lambda x, i: part(0, F.get(first, i), x, F.get(canon, i)))
+        cuts = lambda text, body: let(F.split(text, " "), lambda words: let(cut(words, WINDOW - 1), body))
+        return cuts(clean, lambda raw: cuts(template(clean), lambda canon: let(firsts(raw), lambda first: made(raw, canon, first))))
 
-    return rows.withColumn("seq", let(tokens(), both)).drop("text")
+    def of_words(clean: Column) -> Column:
+        return let(_low(clean), lambda low: F.transform(cut(low, max(far, WINDOW) - 1), lambda x, i: part(1, i * PART, F.lit(None).cast("array<string>"), x)))
 
+    every = let(tokens(), lambda clean: F.concat(of_tokens(clean), of_words(clean)) if far else of_tokens(clean))
+    return rows.withColumn("part", F.explode_outer(every)).drop("text")  # an inner one would have the optimizer filter by the size first, and so compute all twice
 
-def count(size: Column, width: int) -> Column:
-    return F.greatest(size - (width - 1), F.lit(0))
+
+def window_hash(kind: Column, off: Column, piece: Column) -> Column:
+    return F.xxhash64(kind, off, piece)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Per window of an item: hash, kind (0 of tokens, 1 of words, -m of an item by its first m words), at (the window's place), n (how many words or tokens are compared) and item (a hash of its id and text)."""
+    """Per window of an item: kind (0 of tokens, 1 of words), at (the window's place), n (how many words or tokens are compared), item (a hash of its id and text),
+    word and off (the hash of its longest plain token or its longest word, and that one's place in it), m (how many are hashed, WINDOW at most) and hash (of these)."""
     seq = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumn("low", low_words(F.col("seq.raw")))
     in_slots = F.flatten(F.zip_with("seq.canon", "seq.raw", lambda c, r: F.transform(F.sequence(F.lit(1), n_words(r)), lambda k: is_slot(c))))
-    long = seq.where(F.size("seq.canon") >= WINDOW)
-    slots = lambda x: F.size(F.filter(x, lambda y: y))
+    long = F.size("seq.canon") >= WINDOW
+    slots = F.size(F.filter(F.slice("flags", F.col("at") + 1, WINDOW), lambda y: y))
 
-    def placed(kind: int, words: str, flags: Column, wanted) -> DataFrame:
-        out = long.select("item", flags.alias("flags"), F.posexplode(_hashed(F.col(words), [(kind, WINDOW)])).alias("at", "hash"))
-        return out.where(wanted(slots(F.slice("flags", F.col("at") + 1, WINDOW)) * 2 > WINDOW)).select("hash", F.lit(kind).alias("kind"), "at", F.lit(WINDOW).alias("n"), "item")
+    def placed(kind: int, words: Column, flags: Column, heavy: bool) -> DataFrame:
+        out = seq.where(long).select("item", words.alias("words"), flags.alias("flags"), F.explode(F.sequence(F.lit(0), F.size(words) - WINDOW)).alias("at"))
+        out = out.where((slots * 2 > WINDOW) == heavy).withColumns({"piece": F.slice("words", F.col("at") + 1, WINDOW), "flags": F.slice("flags", F.col("at") + 1, WINDOW)})
+        return out.select("item", F.lit(kind).alias("kind"), "at", F.lit(WINDOW).alias("n"), "piece", F.when(F.lit(kind == 0), F.col("flags")).alias("flags"))
 
-    by_token = placed(0, "seq.canon", F.transform("seq.canon", is_slot), lambda heavy: ~heavy)
-    by_word = placed(1, "low", in_slots, lambda heavy: heavy)
-    m = F.least(F.size("low"), F.lit(WINDOW - 1))
-    whole = seq.where((F.size("seq.canon") < WINDOW) & (F.size("low") >= LEAST)).select(F.coalesce(*[F.when(m == k, _windows(F.slice("low", 1, k), k, -k)[0]) for k in range(1, WINDOW)]).alias("hash"), (-m).alias("kind"), F.lit(0).alias("at"), F.size("low").alias("n"), "item")
-    return by_token.unionByName(by_word).unionByName(whole)
+    by_token = placed(0, F.col("seq.canon"), F.transform("seq.canon", is_slot), False)
+    by_word = placed(1, F.col("low"), in_slots, True)
+    whole = seq.where(~long & (F.size("low") >= LEAST)).select("item", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.size("low").alias("n"), F.slice("low", 1, WINDOW).alias("piece"), F.lit(None).cast("array<boolean>").alias("flags"))
+    every = by_token.unionByName(by_word).unionByName(whole)
+    length = lambda w, i: F.when(F.coalesce(F.get("flags", i), F.lit(False)), 0).otherwise(F.length(w))
+    chosen = every.withColumn("chosen", F.array_max(F.transform("piece", lambda w, i: F.struct(length(w, i).alias("length"), F.xxhash64(F.col("kind"), w).alias("word"), i.alias("i")))))
+    chosen = chosen.select("item", "kind", "at", "n", F.size("piece").alias("m"), "piece", F.col("chosen.word").alias("word"), F.col("chosen.i").alias("off"))
+    return chosen.withColumn("hash", window_hash(F.col("kind"), F.col("off"), F.col("piece"))).drop("piece")
 
 
 def start_of(raw: Column, at: Column) -> Column:
@@ -144,35 +162,50 @@ def _matched() -> Column:
     each = lambda raw, canon, first: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: token(raw, canon, first, k))
     of_tokens = let(piece(s["raw"]), lambda raw: let(piece(s["canon"]), lambda canon: let(start_of(s["raw"], at), lambda first: F.when(F.col("canon") == canon, each(raw, canon, first)))))
     of_words = let(piece(low_words(s["raw"])), lambda own: F.when(F.slice(words, 1, n) == own, F.transform(own, word)))
-    return F.when(F.col("there") == F.col("kind"), F.when(F.col("kind") == 0, of_tokens).otherwise(of_words))
+    return F.when(F.col("kind") == 0, of_tokens).otherwise(of_words)
+
+
+def _at_words(found: DataFrame) -> DataFrame:
+    """found (doc_id, part, k: a word's place in it, and kind, m and off of windows it may be in) with the window's place (to) and hash; none if it does not begin in the part or ends beyond the text.
 
+    An array function makes the hash: what follows the loop over the words in the same compiled method would make that too long for the JVM to optimise."""
+    to, m = F.col("k") - F.col("off"), F.col("m")
 
-def _windowed(placed: DataFrame, widest: dict[int, int]) -> DataFrame:
-    """placed (doc_id, seq, k: a window's place among the hashes, ...) with the window in place of seq: there (its kind), first (the words before it),
-    words and canon. Plain functions alone, which Spark compiles into the loop over a document's windows: else each would take the whole document along."""
-    raw, canon, low, k = F.col("seq.raw"), F.col("seq.canon"), F.col("seq.low"), F.col("k")
-    end, kind, to = F.lit(0), F.when(k < 0, 0), F.when(k < 0, 0)
-    for x in widest:
-        begin, end = end, end + (count(F.size(canon), WINDOW) if x == 0 else count(F.size(low), WINDOW if x > 0 else -x))
-        kind, to = kind.when(k < end, x), to.when(k < end, k - begin)
-    words = F.when(kind == 0, F.slice(raw, to + 1, F.lit(WINDOW)))
-    for x, n in widest.items():
-        words = words.when(kind == x, F.slice(low, to + 1, F.lit(n))) if x else words
-    first = F.when(kind == 0, start_of(raw, to)).otherwise(to)
-    return placed.withColumns({"there": kind, "first": first, "words": words, "canon": F.when(kind == 0, F.slice(canon, to + 1, F.lit(WINDOW)))}).drop("seq", "k")
+    def hashed(p: Column) -> Column:
+        fits = (to >= 0) & (to < PART) & (to + m <= F.size(p["words"]))
+        return F.struct(to.alias("to"), F.when(fits, window_hash(F.col("kind"), F.col("off"), some_of(p["words"], to, m))).alias("hash"))
+
+    return found.select("doc_id", "part", "kind", F.explode_outer(F.transform(F.array("part"), hashed)).alias("x")).select("doc_id", "part", "kind", "x.to", "x.hash")
+
+
+def _windowed(found: DataFrame, far: int) -> DataFrame:
+    """found with the window in place of part: first (the words before it), words (as many as the longest window has) and canon."""
+    to = F.col("to")
+
+    def window(p: Column) -> Column:
+        of_tokens = F.struct((p["first"] + start_of(p["raw"], to)).alias("first"), some_of(p["raw"], to, F.lit(WINDOW)).alias("words"), some_of(p["words"], to, F.lit(WINDOW)).alias("canon"))
+        of_words = F.struct((p["first"] + to).alias("first"), some_of(p["words"], to, F.least(F.lit(far), F.size(p["words"]) - to)).alias("words"), F.lit(None).cast("array<string>").alias("canon"))
+        return F.when(F.col("kind") == 0, of_tokens).otherwise(of_words)
+
+    return found.withColumn("x", F.explode_outer(F.transform(F.array("part"), window))).drop("part", "to").select("*", "x.*").drop("x")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document and item that contaminates it: doc_id, item_id, n_windows, matched_words, item_words, changed_slots."""
+    """One row for each document and item that contaminates it: doc_id, item_id, n_windows, matched_words, item_words, changed_slots.
+
+    A document's window is hashed only where it has the chosen word of a window that is looked for, at that word's place."""
     bench = stored(item_windows(items), f"{shared_dir(docs.sparkSession, 'templates')}/windows")
-    kinds = {r["kind"]: r for r in bench.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("widest")).collect()}  # as many as WINDOW at most
-    widest = {0: WINDOW} | {k: kinds[k]["widest"] for k in sorted(kinds) if k}
-    # posexplode would have the optimizer filter by the size of the hashes first, and so compute seq twice
-    placed = sequences(docs.select("doc_id", "text"), tuple(widest)).select("doc_id", "seq", F.posexplode_outer("seq.hashes").alias("k", "hash"))
-    if sum(r["rows"] for r in kinds.values()) * 48 <= BROADCAST_BYTES:  # 48 bytes a row
-        hit = _windowed(placed.join(F.broadcast(bench), "hash"), widest)
-    else:  # windows that the benchmark may have, and of these no more than the words, are dealt by their hashes
-        hit = _windowed(in_bitmap(placed, F.col("hash"), bench, F.col("hash")), widest).join(bench, "hash")
+    shapes = bench.groupBy("kind", "m", "off").agg(F.max("n").alias("far"), F.count(F.lit(1)).alias("rows"))  # WINDOW * WINDOW rows at most of each kind
+    counted = shapes.select("kind", "far", "rows").collect()
+    far = max((r["far"] for r in counted if r["kind"] == 1), default=0)
+    placed = parts(docs.select("doc_id", "text"), far).select("doc_id", "part", F.posexplode_outer("part.hashes").alias("k", "word"))
+    looked, shapes = bench.drop("word", "off", "m"), shapes.select("kind", "m", "off")
+    if sum(r["rows"] for r in counted) * 64 <= BROADCAST_BYTES:  # 64 bytes a row
+        chosen = bench.select("word", "kind", "m", "off").distinct()
+        hit = _windowed(_at_words(placed.join(F.broadcast(chosen), "word")).join(F.broadcast(looked), ["hash", "kind"]), far)
+    else:  # each word that may be a chosen one stands in every shape of window; windows that the benchmark may have, and of these no more than the words, are dealt by their hashes
+        some = in_bitmap(placed, F.col("word"), bench, F.col("word")).withColumn("kind", F.col("part.kind"))
+        hit = _windowed(in_bitmap(_at_words(some.join(F.broadcast(shapes), "kind")), F.col("hash"), bench, F.col("hash")), far).join(looked, ["hash", "kind"])
     own = sequences(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item"))).dropDuplicates(["item"]).withColumnRenamed("seq", "s")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0  # one row
     hit = hit.join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, "item").withColumn("item_words", F.size(low_words(F.col("s.raw"))))  # tokens and templates, and their lengths
