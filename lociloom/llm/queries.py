@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, gam, kneser_ney, neighbours, order_minhash, prefix_table, stream_dedup, super_kmers, templates, wavelet
+from . import chat_tree, gam, kneser_ney, license_scan, neighbours, order_minhash, prefix_table, stream_dedup, super_kmers, templates, turn_repair, wavelet
 from .common import filled, remainder, table
 
 
@@ -68,6 +68,15 @@ def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return wavelet.read(wavelet.write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(every), every)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -79,6 +88,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_trees": op9_chat_trees,
     "op10_token_shards": op10_token_shards,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_license_scan": op12_license_scan,
 }
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -116,6 +127,32 @@ def _windows(seq: str, item: bool) -> str:
         UNION ALL SELECT id, text, 1, p, array_to_string(low[p:p + {_W - 1}], ' ') FROM (SELECT *, unnest(range(1, len(low) - {_W} + 2)) AS p FROM {seq}) {heavy}"""
 
 
+#: crc32 of the ASCII string k, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+#: One turn's layer: before the inserts (states o0 to o3 to m0 to m3), and after them; letters and text go with the cost.
+_EDIT = lambda s, add, letter, role=None: f"{{'c': {s}.c + {add}, 'e': {s}.e || '{letter}', 't': " + (f"{s}.t || {role}" if role else f"{s}.t") + "}"
+_LEAST = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+_KEPT, _USER, _ASSISTANT = "chr(10) || role || ':' || text", "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+
+def _takes(states: tuple[int, ...], letter: str, role: str) -> list[str]:
+    """Edits that lead to the state of a role: the turn is kept where it is its own (x.k), or gets it."""
+    kept = [f"CASE WHEN initial = '{letter}' AND fault IN (0, 3) THEN {_EDIT(f's{s}', 'stays', 'K', _KEPT)} ELSE never END" for s in states]
+    given = [f"CASE WHEN fault IN (0, 3) THEN {_EDIT(f's{s}', f'stays + {turn_repair.RELABEL}', 'R', role + ' || text')} ELSE never END" for s in states]
+    return kept if letter == "s" else kept + given
+
+
+_LAYER = f"""{_EDIT('s0', turn_repair.DELETE, 'D')} AS m0, {_LEAST(_EDIT('s1', turn_repair.DELETE, 'D'), *_takes((0,), 's', ''))} AS m1,
+    {_LEAST(_EDIT('s2', turn_repair.DELETE, 'D'), *_takes((0, 1, 3), 'u', _USER))} AS m2, {_LEAST(_EDIT('s3', turn_repair.DELETE, 'D'), *_takes((2,), 'a', _ASSISTANT))} AS m3"""
+_CLOSED = f"{_LEAST('m2', *[_EDIT(f'm{s}', turn_repair.INSERT, 'I', _USER) for s in (0, 1, 3)])}"
+_NEVER = "{'c': 1000000000000::BIGINT, 'e': '', 't': ''}"
+
+#: A list of a template's label, half, need and words each, for DuckDB.
+_LISTS = ", ".join(f"('{t.label}', {t.half}, {t.need}, [{', '.join(repr(w) for w in t.tokens)}])" for t in license_scan.ordered(license_scan.TEMPLATES, sorted({w for _, x in license_scan.TEMPLATES for w in license_scan.own_words(x)}), license_scan.THRESHOLD))
+_PHRASES = ", ".join(f"([{', '.join(map(repr, license_scan.own_words(p)))}], '{label}')" for p, label in license_scan.PHRASES.items())
+
 _ESCAPED = r"length(regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)', '\1_\2', 'g'), '(\[)(/?INST\])', '\1_\2', 'g'))"
 
 ORACLE = {
@@ -162,6 +199,39 @@ ORACLE = {
                sum(n)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_turn_repair": f"""
+        WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        part AS (SELECT *, {_CRC} % 20 AS part FROM keyed),
+        damaged AS (SELECT conv_id, turn, CASE WHEN part = 4 THEN 'user' ELSE role END AS role, CASE WHEN part = 1 THEN '' WHEN part = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(0, CASE WHEN part = 3 THEN 2 ELSE 1 END)) AS copy FROM part WHERE part <> 0),
+        turns AS (SELECT *, row_number() OVER w AS r, role[1:1] AS initial, lag(role[1:1]) OVER w AS before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+        judged AS (SELECT *, CASE WHEN solid = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM turns),
+        walk AS (SELECT conv_id, 0::BIGINT AS r, {{'c': 0::BIGINT, 'e': '', 't': ''}} AS s0, {_NEVER} AS s1, {{'c': {turn_repair.INSERT}::BIGINT, 'e': 'I', 't': {_USER}}} AS s2, {{'c': {2 * turn_repair.INSERT}::BIGINT, 'e': 'II', 't': {_USER} || {_ASSISTANT}}} AS s3 FROM (SELECT DISTINCT conv_id FROM judged)
+            UNION ALL SELECT conv_id, r, m0, m1, n2, {_LEAST('m3', _EDIT('n2', turn_repair.INSERT, 'I', _ASSISTANT))} FROM (SELECT *, {_CLOSED} AS n2
+                FROM (SELECT conv_id, r, {_LAYER} FROM (SELECT w.conv_id, j.r, role, text, initial, fault, s0, s1, s2, s3, CASE WHEN fault = 3 THEN {turn_repair.CUT} ELSE 0 END AS stays, {_NEVER} AS never
+                    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.r = w.r + 1)))),
+        best AS (SELECT conv_id, {_LEAST('s0', 's3')} AS b FROM (SELECT *, max(r) OVER (PARTITION BY conv_id) AS m FROM walk) WHERE r = m),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (r > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(b.c, 0) AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op12_license_scan": f"""
+        WITH w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        t(label, half, need, tokens) AS (VALUES {_LISTS}),
+        halves AS (SELECT DISTINCT half FROM t),
+        block AS (SELECT id, half, unnest(list_transform(range(0, (len(ws) + half - 1) // half), lambda b: ws[b * half + 1:(b + 2) * half])) AS own FROM w, halves),
+        met AS (SELECT id, label, len(list_intersect(tokens, own)) / len(tokens) AS share FROM block JOIN t USING (half) WHERE len(list_intersect(tokens, own)) >= need),
+        found AS (SELECT id, list(DISTINCT label) AS more, max(share) AS share FROM met GROUP BY id),
+        p(phrase, label) AS (VALUES {_PHRASES}),
+        place AS (SELECT id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = phrase[1] AND ws[i:i + len(phrase) - 1] = phrase)) - 1 AS spot FROM w, p),
+        base AS (SELECT id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list(DISTINCT label) AS labels FROM place GROUP BY id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+        FROM w LEFT JOIN found USING (id) LEFT JOIN base USING (id)
+    """,
     "op7_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256

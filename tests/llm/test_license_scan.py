@@ -1,0 +1,90 @@
+"""The licence scan against counting the words of every block, template by template."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lociloom.llm import license_scan as ls
+from lociloom.llm.queries import QUERIES
+
+MARKS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def split(text):
+    return MARKS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def met(text, templates, threshold):
+    """label and share of each template that a block of the text meets; every block is looked at."""
+    ws, out = split(text), []
+    for label, t in templates:
+        own = split(t)
+        half = max(8, 1 << (len(own) - 1).bit_length()) if own else 0
+        for s in range(0, len(ws), half) if own else ():
+            share = len(set(own) & set(ws[s : s + 2 * half])) / len(set(own))
+            if share >= threshold - 1e-12:
+                out.append((label, s, share))
+    return out
+
+
+def by_hand(text, templates=ls.TEMPLATES, phrases=ls.PHRASES, threshold=ls.THRESHOLD):
+    ws = split(text)
+    at = [(i, label) for i in range(len(ws)) for p, label in phrases.items() if ws[i : i + len(p.split())] == p.split()]
+    found, base = met(text, templates, threshold), sorted({x for _, x in at})
+    labels = sorted({*base, *[x for x, _, _ in found]})
+    places = [i for i, _ in at]
+    return (len(ws), len(at), min(places, default=None), max(places, default=None), ",".join(base), ",".join(labels), 1.0 if at else max([x for _, _, x in found], default=0.0))
+
+
+def run(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: tuple(r)[1:] for r in ls.licenses(rows, **options).collect()}
+
+
+def test_odd_rows(spark, odd):
+    texts = sorted(map(str, [(r["doc_id"], *by_hand(r["text"])) for r in odd.collect()]))
+    assert sorted(str(tuple(r)) for r in ls.licenses(odd).collect()) == texts
+    empty = ls.licenses(odd.where("false"))
+    assert empty.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and empty.collect() == []
+
+
+def test_planted_notices(spark):
+    """Whole notices, notices with words left out or changed around the threshold, in the midst of other words and over block borders."""
+    rng = random.Random(3)
+    filler = ["the", "of", "license", "software", "licensed", "to", "version", "under", *[f"w{k}" for k in range(40)]]
+    texts = ["The MIT-License, mit license: MIT\nLicense", "general public\tlicense general public license", None, "", "Apache", "apache License general mit license"]
+    for _ in range(150):
+        _, notice = rng.choice(ls.TEMPLATES)
+        ws = notice.split()
+        for _ in range(rng.randint(0, max(1, len(ws) // 6))):
+            ws[rng.randrange(len(ws))] = rng.choice(filler)
+        texts.append(" ".join([*rng.choices(filler, k=rng.randint(0, 150)), *ws, *rng.choices(filler, k=rng.randint(0, 60))]))
+    got = run(spark, texts)
+    want = {k: by_hand(t) for k, t in enumerate(texts)}
+    assert got == want and sum(bool(w[5]) and not w[4] for w in want.values()) > 30
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_filters_lose_nothing(spark, threshold):
+    """Templates and texts of few words, where every filter has its cases."""
+    rng = random.Random(int(threshold * 10))
+    words = [f"t{k}" for k in range(14)]
+    templates = [(f"l{k % 5}", " ".join(rng.choices(words, k=rng.randint(1, 12)))) for k in range(12)] + [("none", " ... ")]
+    texts = [" ".join(rng.choices([*words, "x", "y"], weights=[k + 1 for k in range(14)] + [40, 40], k=rng.randint(0, 70))) for _ in range(150)]
+    assert run(spark, texts, templates=templates, phrases={"t1 t2": "p", "x": "q"}, threshold=threshold) == {k: by_hand(t, templates, {"t1 t2": "p", "x": "q"}, threshold) for k, t in enumerate(texts)}
+
+
+def test_blocks_are_the_output(spark):
+    docs = spark.createDataFrame([(1, "so " * 20 + "Released under the MIT License")], "doc_id long, text string").withColumns({"id": F.lit("own"), "words": F.lit(3), "labels": F.lit("z")})
+    rows, found = ls.scan(docs)
+    assert {(r["start"], r["label"], r["n"], r["share"]) for r in found.collect()} == {(16, "mit", 5, 1.0)} and rows.first()["n_words"] == 25
+    with pytest.raises(ValueError, match="words"):
+        ls.scan(docs, templates=[("x", "w " * (ls.MAX_WORDS + 1))])
+    assert [r["labels"] for r in ls.licenses(docs, templates=[], phrases={}).collect()] == [""]
+
+
+def test_no_python_on_the_way(spark, data):
+    plan = QUERIES["op12_license_scan"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|MapIn", plan)
