@@ -388,9 +388,9 @@ def phase_summary(spark: SparkSession, d: str) -> DataFrame:
     return hp.phase_summary(_final(spark, d), derived(spark, d, "phase"))
 
 
-_COV_PARTS = COVERAGE_SQL[COVERAGE_SQL.index(" s AS (SELECT m.line_no") :]
+COVERAGE_PARTS = COVERAGE_SQL[COVERAGE_SQL.index(" s AS (SELECT m.line_no") :]
 GATE_SQL = (
-    PHASE_SQL + "," + _COV_PARTS + """,
+    PHASE_SQL + "," + COVERAGE_PARTS + """,
  cnd AS (SELECT node, k, contig, start, len(h1) + len(h2) + len(untagged) AS cluster_reads, unnest([{'h': 'H1', 'n': len(h1), 'r': h1}, {'h': 'H2', 'n': len(h2), 'r': h2}, {'h': 'None', 'n': len(untagged), 'r': untagged}]) AS x FROM split),
  gat AS (SELECT concat(x.h, '-', node, '_', start) AS name, x.h AS hap, x.n AS n_reads, x.r AS reads, cluster_reads, greatest(5, coalesce(coverage, 0)) AS depth,
    CASE WHEN 2 * greatest(5, coalesce(coverage, 0)) < cluster_reads THEN 'high_coverage' WHEN greatest(5, coalesce(coverage, 0)) > 5 * cluster_reads THEN 'low_coverage'

@@ -1,0 +1,133 @@
+"""The jobs: their command lines, growing input, reruns and odd rows. Their queries are compared with SQL too."""
+
+import json
+import logging
+import os
+import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from compare import same
+from pyspark.sql import functions as F
+
+from jobs import sv_atlas, text_sequences
+from jobs.common import config
+from jobs.queries import ORACLE, QUERIES
+
+ROOT = Path(__file__).resolve().parent.parent
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, duck, data, name):
+    assert same(QUERIES[name](spark, data), duck.sql(ORACLE[name]).df())
+
+
+def rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def by_hand(docs, least):
+    out = []
+    for doc_id, text, lang, source in docs:
+        found = [w for w in re.split(r"[^0-9A-Za-zÀ-ÿ]+", text or "") if re.fullmatch(f"[ACGTNacgtn]{{{least},}}", w)]
+        for k, w in enumerate(found):
+            s = w.upper()
+            other = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            part = lang if lang and re.fullmatch("[a-z]{2,3}", lang) else "other"
+            out.append((doc_id, source, lang, k, w, min(s, other), len(w), other < s, part))
+    return sorted(map(repr, out))
+
+
+FIRST = [(1, "The primer ACGTT, and its other strand AACGT. gattaca\tGATTACA", "en", "a"), (2, None, "en", "a"), (3, "", None, "a"), (None, "TTTT aaaa NNNN étang ACGTé x_ACGT_y", None, None)]
+LATER = [(1, "The primer ACGTT, and its other strand AACGT. gattaca\tGATTACA", "en", "a"), (5, "ACG " * 3 + "ACGT " * 2000 + "acgtacgu", "EN", "b"), (6, "cat\ncatt", "de", None)]
+
+
+def test_mentions_of_growing_input(spark, tmp_path, caplog):
+    caplog.set_level(logging.INFO, "lociloom.jobs")
+    come, settings = tmp_path / "come", text_sequences.Config(min_bases=4, files_per_batch=1)
+    paths = {"documents": str(come), "out": str(tmp_path / "out"), "checkpoint": str(tmp_path / "cp")}
+
+    def arrive(name, docs):
+        spark.createDataFrame(docs, SCHEMA).withColumns({"found": F.lit("x"), "Sequence": F.lit(1), "n_chars": F.lit(2)}).coalesce(1).write.parquet(str(tmp_path / name))
+        come.mkdir(exist_ok=True)
+        for k, f in enumerate(sorted((tmp_path / name).glob("part-*"))):
+            shutil.copy(f, come / f"{name}-{k}.parquet")
+
+    arrive("first", FIRST)
+    got, every = text_sequences.run(spark, settings, **paths)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == by_hand(FIRST, 4) and "4 documents" in caplog.text
+    once = rows(got), rows(every)
+    got, every = text_sequences.run(spark, settings, **paths)  # nothing new
+    assert (rows(got), rows(every)) == once
+    caplog.clear()
+    arrive("later", LATER)
+    got, every = text_sequences.run(spark, settings, **paths)
+    assert "3 documents in the last 1 batches" in caplog.text  # what was taken before is not read again
+    assert sorted(repr(tuple(r)) for r in got.collect()) == by_hand(FIRST + LATER, 4)
+    assert rows(every) == rows(text_sequences.catalogue(text_sequences.mentions(spark.createDataFrame(FIRST + LATER, SCHEMA), 4)).select(*every.columns))
+    assert {r["sequence"]: (r["mentions"], r["forward"], r["languages"], r["bases"]) for r in every.where("sequence IN ('AACGT', 'GATTACA', 'AAAA')").collect()} == {"AACGT": (4, 2, 1, 5), "GATTACA": (4, 4, 1, 7), "AAAA": (2, 1, 0, 4)}
+
+
+def test_no_documents(spark, tmp_path):
+    (tmp_path / "come").mkdir()
+    got = text_sequences.run(spark, text_sequences.Config(), str(tmp_path / "come"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [x.count() for x in got] == [0, 0]
+
+
+@pytest.fixture(scope="module")
+def atlas(spark, data, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("atlas") / "out")
+    return out, rows(sv_atlas.run(spark, sv_atlas.Config(), data, out))
+
+
+def test_atlas_again_and_by_contig(spark, data, tmp_path, atlas, caplog):
+    caplog.set_level(logging.INFO, "lociloom.jobs")
+    out, first = atlas
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    assert first and rows(sv_atlas.run(spark, sv_atlas.Config(), data, out)) == first
+    assert "alignments" in caplog.text and "wrote" in caplog.text
+    contigs = [r["contig"] for r in sv_atlas.read(spark, out).select("contig").distinct().orderBy("contig").collect()]
+    other = str(tmp_path / "other")
+    shutil.copytree(out, other)
+    before = {p.name: sorted(os.listdir(p)) for p in Path(other).glob("contig=*")}
+    got = sv_atlas.run(spark, sv_atlas.Config(bin_size=1000, contigs=contigs[:1]), data, other)
+    assert {r["contig"] for r in got.where("bin = floor(ref / 1000) AND ref >= 1000").select("contig").distinct().collect()} <= {contigs[0]}
+    assert rows(got.drop("bin")) == rows(sv_atlas.read(spark, out).drop("bin"))
+    after = {p.name: sorted(os.listdir(p)) for p in Path(other).glob("contig=*")}
+    assert [c for c in before if before[c] != after[c]] == [f"contig={contigs[0]}"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_atlas_of_nothing(spark, data, tmp_path):
+    tables = tmp_path / "tables"
+    for t in ("lineitem", "part", "orders"):
+        spark.read.parquet(f"{data}/{t}.parquet").withColumn("contig", F.lit("x")).where("false").write.parquet(str(tables / f"{t}.parquet"))
+    assert sv_atlas.run(spark, sv_atlas.Config(), str(tables), str(tmp_path / "out")).collect() == []
+
+
+def test_atlas_of_odd_rows(spark, data, tmp_path, atlas):
+    """Lines with nulls add nothing, and neither columns of other names."""
+    tables = tmp_path / "tables"
+    for t, key in (("lineitem", "l_partkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):
+        df = spark.read.parquet(f"{data}/{t}.parquet")
+        df.unionByName(df.limit(3).withColumn(key, F.lit(None).cast(df.schema[key].dataType))).withColumns({"contig": F.lit("x"), "reads": F.lit(1)}).write.parquet(str(tables / f"{t}.parquet"))
+    assert rows(sv_atlas.run(spark, sv_atlas.Config(), str(tables), str(tmp_path / "out"))) == atlas[1]
+
+
+def test_command_lines(spark, data, tmp_path, atlas):
+    env = os.environ | {"PYTHONPATH": str(ROOT)}
+    (tmp_path / "c.json").write_text(json.dumps({"min_bases": 5}))
+    shutil.copytree(data, tmp_path / "t", ignore=lambda d, names: [n for n in names if n not in ("documents.parquet",)])
+    for argv in (["text_sequences", "--documents", str(tmp_path / "t"), "--out", str(tmp_path / "o"), "--checkpoint", str(tmp_path / "cp"), "--config", str(tmp_path / "c.json")], ["sv_atlas", "--tables", data, "--out", str(tmp_path / "a")]):
+        done = subprocess.run([sys.executable, "-m", f"jobs.{argv[0]}", *argv[1:]], env=env, cwd=ROOT, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0 and "wrote" in done.stderr, done.stderr[-2000:]
+    got = spark.read.schema(text_sequences.MENTIONS).parquet(str(tmp_path / "o" / "mentions"))
+    assert rows(got) == rows(text_sequences.mentions(spark.read.parquet(f"{data}/documents.parquet"), 5).select(*got.columns))
+    assert rows(sv_atlas.read(spark, str(tmp_path / "a"))) == atlas[1]
+    (tmp_path / "c.json").write_text('{"min_base": 5}')
+    with pytest.raises(ValueError, match="min_base"):
+        config(text_sequences.Config, tmp_path / "c.json")
