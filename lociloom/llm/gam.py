@@ -9,8 +9,8 @@ score is the logistic of an intercept and one lookup per table, added for a whol
 Features are figures of the text alone: lengths, kinds of characters, lines and repetition. Null texts
 count as empty; empty texts have all figures zero and get a score like others. Labels other than 0 and
 1 and null ids are ignored; without any labelled row the score is the prior 0.5 for all. Repeated
-labels of a document count once (the smallest label). Rows are scored one by one, so that ties,
-repeated rows and very long texts need no care; an empty table gives an empty result. Columns named
+labels of a document count once (the smallest label), and of several texts of one id the least is fitted on, so that
+the order of rows never matters. Rows are scored one by one, very long texts as a whole; an empty table gives an empty result. Columns named
 like the outputs give way to them.
 
 The model is fitted on at most max_rows labelled rows (20,000, those with the smallest hash of their
@@ -160,12 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", filled().alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of 12 bytes at most
+    rows = rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
 
     def make():
         return lambda b: {"_x": list(matrix(texts(b)))}
 
-    got = with_columns(rows, "_x array<double>", make, keep=["doc_id", "_y"]).toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = with_columns(rows, "_x array<double>", make, keep=["doc_id", "_y"]).toPandas().sort_values("doc_id")  # max_rows rows
     x = np.array(got["_x"].tolist(), np.float64).reshape(len(got), len(NAMES))
     return fit_matrix(x, got["_y"].to_numpy(np.float64))
 

@@ -6,7 +6,9 @@ times how closely the word's presence goes with the label among the examples (th
 rather than of the subject decide who is near), scaled to length one, and similarity is the
 cosine. The examples lie in blocks of an inverted index that keeps every term's largest weight in each
 block: a query bounds every block's best cosine by these, reads the blocks of the highest bounds, and then those whose
-bound reaches the K-th best so far (or all blocks at once where the bounds hardly differ), so that the K nearest are exact, to six digits. Of equal cosines the earlier example counts as nearer.
+bound reaches the K-th best so far (or all blocks at once where the bounds hardly differ). Tables and lists have seven digits, so that
+whatever comes near the K-th is weighed again in full, term by term in ascending order: the K nearest, and all that are as near as the K-th, are exact on any machine,
+and the order of examples and ids never decides who votes.
 
 Each neighbour votes for its label with its cosine as weight, scaled up by the share of its label's rows that the examples
 hold; the prior votes with weight one. The examples' own votes, each found without itself, calibrate the score by a logistic curve.
@@ -15,7 +17,7 @@ The nearest EVIDENCE neighbours are given with their cosines and labels.
 Examples are at most max_examples labelled rows of each label (3,000, those with the smallest hash of their id), which bounds
 the terms and the index that all tasks get. Texts without any term (empty and
 null ones too) have no neighbour and get the rate among such examples. Labels other than 0 and 1 and null ids are ignored; repeated
-labels count once (the smallest). Without examples every score is 0.5. Rows are scored one by one, whole; an empty table
+labels count once (the smallest), and of several texts of one id the least is the example. Without examples every score is 0.5. Rows are scored one by one, whole; an empty table
 gives an empty result. Columns named like the outputs, in whatever case, give way.
 """
 
@@ -37,6 +39,10 @@ K, EVIDENCE, BLOCK = 25, 3, 64
 FIRST = 8
 #: A term that one in so many examples has stands in a table of all examples.
 COMMON = 16
+#: What tables and sums in single precision may be off by.
+SLACK = 1e-5
+#: Cosines that differ by no more are equal.
+TIE = 1e-12
 #: Where the highest bound is less than so many times the middle one, few blocks could be left out, and all are read at once.
 ALIKE = 3
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -65,6 +71,9 @@ class BlockMaxIndex:
         self.order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), i)), np.int64)
         self.blocks = max(1, -(-len(rows) // BLOCK))
         size = np.array([len(rows[i][0]) for i in self.order], np.int64)
+        #: The examples' terms and weights in full, and where each example's begin.
+        self.own = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows])
+        self.own_begin = np.cumsum([0, *(len(r[0]) for r in rows)])
         term = np.concatenate([rows[i][0] for i in self.order])
         weight = np.concatenate([rows[i][1] for i in self.order])
         place = np.repeat(np.arange(len(rows)), size)
@@ -87,8 +96,18 @@ class BlockMaxIndex:
         self.begin = np.append(first, len(key))
         self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1))
 
+    def exact(self, who: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The cosines of some examples, added up in double precision in the order of the terms."""
+        first = self.own_begin[who]
+        n = self.own_begin[who + 1] - first
+        at = _pieces(first, n)
+        own, weight = self.own[0][at], self.own[1][at]
+        spot = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        both = np.where(terms[spot] == own, weight * weights[spot], 0.0)
+        return np.bincount(np.repeat(np.arange(len(who)), n), both, minlength=len(who))
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k nearest examples with a cosine above zero: their numbers, cosines, and how many blocks were read."""
+        """The k nearest examples with a cosine above zero, and all that are as near as the k-th: their numbers, cosines, and how many blocks were read."""
         row = self.row[terms]
         in_table = row >= 0
         row, heavy, rest, light = row[in_table], weights[in_table].astype(np.float32), terms[~in_table], weights[~in_table]
@@ -124,16 +143,17 @@ class BlockMaxIndex:
         else:
             first = np.argpartition(-bound, FIRST)[:FIRST]
             cosine = some_blocks(first)
-            left = bound >= max(reach(cosine), 1e-12) - 1e-6  # the tables' weights have seven digits
+            left = bound >= max(reach(cosine), 1e-12) - SLACK
             left[first] = True
             read = int(left.sum())
             if read > FIRST:
                 cosine = some_blocks(np.flatnonzero(left)) if 2 * read < self.blocks else all_blocks()
         cosine = cosine[: len(self.order)]
-        some = np.flatnonzero(cosine > max(0.0, reach(cosine) - 1e-6))
-        i, c = self.order[some], cosine[some]
-        top = np.lexsort((i, -np.round(c, 6)))[:k]
-        return i[top], np.minimum(c[top], 1.0), read
+        i = np.sort(self.order[np.flatnonzero(cosine >= max(-0.5, reach(cosine) - SLACK))])
+        c = self.exact(i, terms, weights)
+        near = c >= max(reach(c) - TIE, 1e-15)
+        top = np.lexsort((i[near], -c[near]))
+        return i[near][top], np.minimum(c[near][top], 1.0), read
 
 
 @dataclass
@@ -210,7 +230,7 @@ def build(ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, np.nda
     for n, (t, w) in enumerate(rows):
         who, cosine, _ = m.index.nearest(t, w, K + 1)
         other = who != n
-        votes[n] = m.vote(who[other][:K], cosine[other][:K])
+        votes[n] = m.vote(who[other], cosine[other])
     x, weight = np.log(votes / (1 - votes)), scale[m.labels]
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton's method, held back by a small pull towards slope 1 and shift 0
@@ -261,16 +281,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples:
     pick = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     chosen = pick(0).unionByName(pick(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text"))
-    examples = rows.join(F.broadcast(chosen), "doc_id")  # 2 * max_examples rows of 12 bytes are broadcast at most
+    examples = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # 2 * max_examples rows of 12 bytes are broadcast at most
 
     def bags(b: pa.RecordBatch) -> dict:
         got = [counted(x) for x in texts(b)]
         return {"words": [h.tobytes() for h, _ in got], "counts": [c.astype("<i8").tobytes() for _, c in got]}
 
     made = stored(with_columns(examples, "words binary, counts binary", lambda: bags, keep=["doc_id", "y"]), f"{base}/examples")
-    got = {}
-    for r in made.toLocalIterator():  # the examples: 2 * max_examples rows
-        got.setdefault(r["doc_id"], (r["y"], np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8")))
+    got = {r["doc_id"]: (r["y"], np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in made.toLocalIterator()}  # 2 * max_examples rows
     ids = sorted(got)
     own = [got[i][1] for i in ids]
     terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)

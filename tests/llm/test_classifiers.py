@@ -165,27 +165,40 @@ def test_nearest_are_exact_and_blocks_are_skipped(monkeypatch, tables):
     rows = vectors(rng, 3000, terms)
     index = neighbours.BlockMaxIndex(rows, terms)
     assert (len(index.table) == 0) == (tables == 1) and (len(index.place) == 0) == (tables == 3000)
-    dense = np.zeros((3000, terms))
-    for i, (t, w) in enumerate(rows):
-        dense[i, t] = w
-    read = 0
-    for t, w in vectors(rng, 200, terms):
-        q = np.zeros(terms)
-        q[t] = w
-        cos = dense @ q
+    weight_of = [dict(zip(t.tolist(), w.tolist())) for t, w in rows]
+
+    def check(t, w):
+        q = dict(zip(t.tolist(), w.tolist()))
+        cos = np.zeros(3000)
+        for i, own in enumerate(weight_of):
+            for x, y in own.items():  # one by one, in the order of terms
+                cos[i] += y * q.get(x, 0.0)
         who, c, blocks = index.nearest(t, w, 25)
-        read += blocks
-        want = np.lexsort((np.arange(3000), -np.round(cos, 6)))[:25]
-        assert who.tolist() == [i for i in want if cos[i] > 0] and np.allclose(c, cos[who], atol=1e-6)
+        least = max(np.sort(cos)[-25] - neighbours.TIE, 1e-15)
+        want = sorted(np.flatnonzero(cos >= least).tolist(), key=lambda i: (-cos[i], i))
+        assert who.tolist() == want and np.array_equal(c, np.minimum(cos[want], 1.0))
+        return blocks
+
+    read = sum(check(t, w) for t, w in vectors(rng, 200, terms))
     assert read < 200 * index.blocks * 0.8
     monkeypatch.setattr(neighbours, "ALIKE", 1e9)  # all blocks at once
-    for t, w in vectors(rng, 50, terms):
-        q = np.zeros(terms)
-        q[t] = w
-        cos = dense @ q
-        who, c, blocks = index.nearest(t, w, 25)
-        want = np.lexsort((np.arange(3000), -np.round(cos, 6)))[:25]
-        assert who.tolist() == [i for i in want if cos[i] > 0] and np.allclose(c, cos[who], atol=1e-6) and blocks == index.blocks
+    assert all(check(t, w) == index.blocks for t, w in vectors(rng, 50, terms))
+
+
+@pytest.mark.parametrize("operator, label", [(neighbours, "toxic"), (gam, "quality")])
+def test_order_and_repeats_decide_nothing(spark, operator, label):
+    """Ids with several texts, equal texts under several ids: scores are the same whatever order the rows come in and whatever ids they have."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("a b c d e bad words here".split(), k=rng.randint(0, 6))) for _ in range(60)]
+    rows = [(k % 40, t) for k, t in enumerate(texts)]
+    labels = spark.createDataFrame([(k, int("bad" in texts[k])) for k in range(40)], f"doc_id long, {label} int")
+    got = []
+    for _ in range(3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(rng.randint(1, 4))
+        scored = operator.score(docs, operator.fit(docs, labels))
+        got.append(sorted((r["text"], r["score"]) for r in scored.collect()))
+        rng.shuffle(rows)
+    assert got[0] == got[1] == got[2]
 
 
 def test_votes_and_calibration():
@@ -224,7 +237,9 @@ def plain_toxicity(docs, labels):
 
     def vote(q, leave=None):
         c = v @ q
-        near = [i for i in np.lexsort((np.arange(len(c)), -np.round(c, 6))) if c[i] > 1e-9 and i != leave][: neighbours.K]
+        other = np.arange(len(c)) != (-1 if leave is None else leave)
+        least = np.sort(c[other])[-min(neighbours.K, other.sum())]
+        near = np.flatnonzero(other & (c > 1e-9) & (c >= least - 1e-9))
         w = c[near] * scale[y[near]]
         return ((w * y[near]).sum() + prior) / (w.sum() + 1)
 
