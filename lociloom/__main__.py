@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--assembler", choices=("wtdbg2", "abpoa", "shasta", "median-read"), default=d.assembler, help="abpoa and shasta are accepted, but wtdbg2 runs; median-read is a built-in approximation")
     p.add_argument("-m", "--asm", action="store_true", help="preset for assemblies: every locus counts")
     p.add_argument("--remap-gaf", help="alignments of the alleles to the graph, instead of running the aligner")
+    p.add_argument("--max-lines", type=int, help="alignments after so many lines are not read (all are, if not given)")
     p.add_argument("-v", "--version", action="version", version=VERSION)
     return p
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..params import MAX_FETCH
+
 
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, even where body uses it inside array functions."""
@@ -45,6 +47,11 @@ def reverse_complement(s: Column) -> Column:
     return F.translate(F.reverse(s), "ACGTacgt", "TGCAtgca")
 
 
+def fetched(sequence: str | Column) -> Column:
+    """A sequence as it is fetched from a file, for reads, alignment and output alike: MAX_FETCH bases at most."""
+    return F.substring(sequence, 1, MAX_FETCH)
+
+
 def overlap_ratio(xs: Column, xe: Column, ys: Column, ye: Column) -> Column:
     """The share of the shorter interval that both have; 0 if a length is not positive or they do not meet."""
     shorter = F.least(xe - xs, ye - ys)
@@ -63,16 +70,21 @@ def parent_name(name: Column) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number with up to six significant digits and no zeros at the end, scientific where C's %g is."""
-    six = F.format_string("%.5e", x.cast("double"))
-    power = F.regexp_extract(six, r"e([+-]\d+)$", 1).cast("int")
-    digits = F.greatest(F.lit(0), 5 - power)
-    plain = F.when(digits == 0, F.format_string("%.0f", x.cast("double")))
-    for k in range(1, 10):
-        plain = plain.when(digits == k, F.format_string(f"%.{k}f", x.cast("double")))
-    trim = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    mantissa = trim(F.regexp_extract(six, r"^(.*)e", 1))
-    return F.when(x == 0, "0").when((power < -4) | (power >= 6), F.concat(mantissa, F.lit("e"), F.regexp_extract(six, r"e(.*)$", 1))).otherwise(trim(plain))
+    """A number as C's %g has it: up to six significant digits, of the exact value and half to even (but for subnormal numbers), no zeros at the end, scientific below 1e-4 and from 1e6 on."""
+    number = F.call_function("format_number", F.abs(x.cast("double")), F.lit("0.00000E0"))
+
+    def shown(six: Column) -> Column:
+        power = F.regexp_extract(six, r"E(-?\d+)$", 1).cast("int")
+        digits = F.concat(F.substring(six, 1, 1), F.substring(six, 3, 5))
+        trim = lambda s: F.regexp_replace(s, r"\.?0*$", "")
+        fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        plain = F.when(power < 0, trim(fraction)).otherwise(trim(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))))
+        mantissa = trim(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)))
+        exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+        return F.when((power < -4) | (power >= 6), F.concat(mantissa, exponent)).otherwise(plain)
+
+    told = F.when(x == 0, "0").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise(let(number, shown))
+    return F.concat(F.when(x < 0, "-").otherwise(""), told)
 
 
 def svtig_header(name: Column, contig: Column, pos: Column, support: Column, path: Column, ratio: Column) -> Column:

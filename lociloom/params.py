@@ -38,6 +38,7 @@ class Params:
     assembler: str = "wtdbg2"
     remap_gaf: str | None = None
     asm: bool = False
+    max_lines: int | None = None
     extra_dirs: tuple[str, ...] = field(default=())
 
     def checked(self) -> Params:

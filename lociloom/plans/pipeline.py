@@ -37,7 +37,7 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
     base = scratch(spark, "run")
     nodes, edges = files.read_gfa(spark, params.graph)
     nodes = written(files.first_nodes(nodes), f"{base}/nodes")
-    aligned = written(files.read_gaf(spark, params.gaf), f"{base}/alignments")
+    aligned = written(files.read_gaf(spark, params.gaf, params.max_lines), f"{base}/alignments")
     coverage = written(alignments.contig_coverage(aligned, nodes), f"{base}/coverage")
     found = written(clusters.within_nodes(loci.sv_loci(aligned, nodes), nodes, params.dist), f"{base}/within")
     final = written(clusters.final_clusters(clusters.merge_neighbours(found, edges, nodes, params.dist), params.support), f"{base}/clusters")
@@ -48,7 +48,8 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
     unmapped = haplotypes.unmapped_candidate(alignments.unmapped_reads(aligned), params.support).where("cluster_reads > 0")
     tried = passed.select("name", "reads").union(unmapped.where("reason = 'pass'").select("name", "reads"))
     svtigs = passed.select("name", F.col("start").cast("int").alias("pos"), "contig", F.size("reads").alias("support"))
-    done = written(external.attempts(tried, files.read_fasta(spark, params.fasta), assembler or external.wtdbg2_assembler(params)), f"{base}/attempts")
+    reads = files.wanted_fasta(spark, params.fasta, tried.select(F.explode("reads").alias("name")), f"{base}/fasta-index")
+    done = written(external.attempts(tried, reads, assembler or external.wtdbg2_assembler(params)), f"{base}/attempts")
     contigs = done.where("sequence IS NOT NULL").drop("reason")
     gated = written(haplotypes.outcomes(gated, done), f"{base}/gated")
     reasons = gated.select("name", "reason").union(haplotypes.outcomes(unmapped.select("name", "reason"), done)).select("name", F.lit("assembly").alias("step"), "reason")

@@ -14,8 +14,8 @@ from ..operators import remap as rm
 from ..params import Params
 from ..sources.derived import SEQUENCE, derived, sequences, with_sql
 from ..adapters.external import attempts, median_read, read_sequences
-from ..sources.files import first_nodes, read_fasta, read_gaf, read_gfa, read_phase
-from ..sources.sinks import fasta_records, write_fasta
+from ..sources.files import fasta_index, fetch_fasta, first_nodes, lines, numbered, parse_gaf, read_fasta, read_gaf, read_gfa, read_phase
+from ..sources.sinks import fasta_records, write_blocks, write_fasta
 from ..storage import scratch, written
 
 P = Params()
@@ -103,6 +103,9 @@ def _gaf_text(rows: DataFrame) -> DataFrame:
 ALIGNED_SQL = f"SELECT {', '.join(ALIGNED)} FROM gaf WHERE NOT (mapq = 7 AND NOT is_primary)"
 
 
+VALID_LINES_SQL = ALIGNED_SQL + " AND mapq >= 5 AND is_primary"
+
+
 @query(ALIGNED_SQL)
 def gaf_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Alignments of a GAF file; lines cut short are left out."""
@@ -115,6 +118,21 @@ def gaf_alignments_packed(spark: SparkSession, d: str) -> DataFrame:
     return read_gaf(spark, _put(_gaf_text(_gaf(spark, d)), spark, packed=True)).select(*ALIGNED)
 
 
+@query(VALID_LINES_SQL)
+def gaf_alignments_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The valid ones of block-gzipped GAF files with short lines, read in ranges that part members and lines anywhere."""
+    path = scratch(spark, "blocks")
+    write_blocks(_gaf_text(_gaf(spark, d)).union(spark.range(3).select(F.concat(F.lit("short line\t"), "id"))), path, member_bytes=10_007)
+    return al.valid(parse_gaf(lines(spark, path, range_bytes=50_021))).select(*ALIGNED)
+
+
+@query("""SELECT count(*) AS lines, min(n) AS first, max(n) AS last, count(DISTINCT n) AS numbers, count(*) FILTER (n <= 1000) AS kept FROM (SELECT row_number() OVER () AS n FROM gaf)""")
+def gaf_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers of GAF files, and the lines that a limit of 1,000 keeps."""
+    rows = numbered(lines(spark, _put(_gaf_text(_gaf(spark, d)), spark)))
+    return rows.agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first"), F.max("line").alias("last"), F.count_distinct("line").alias("numbers"), F.count_if(F.col("line") <= 1000).alias("kept"))
+
+
 @query("SELECT * EXCLUDE (line_no, has_sv) FROM remap WHERE NOT (mapq = 7 AND NOT is_primary)")
 def remap_lines(spark: SparkSession, d: str) -> DataFrame:
     """Alignments of alleles in a GAF file."""
@@ -131,15 +149,23 @@ def phase_tags(spark: SparkSession, d: str) -> DataFrame:
     return read_phase(spark, _put(derived(spark, d, "phase").select(F.concat_ws("\n", row, again, noise)), spark)).select("read_name", "haplotype", "phase_set", "contig")
 
 
-def _fasta(spark: SparkSession, d: str) -> DataFrame:
+def _fasta(spark: SparkSession, d: str) -> str:
     record = F.concat(F.lit(">"), "name", F.lit(" of the graph\n"), fx.wrapped(F.col("sequence")))
-    return read_fasta(spark, _put(sequences(spark, d).select(record), spark))
+    return _put(sequences(spark, d).select(record), spark)
 
 
 @query(f"SELECT concat('s', p_partkey::VARCHAR) AS name, md5({SEQUENCE}) AS sequence_md5 FROM part")
 def fasta_reads(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of a FASTA file, in lines of 60."""
-    return _fasta(spark, d).select("name", F.md5("sequence").alias("sequence_md5"))
+    return read_fasta(spark, _fasta(spark, d)).select("name", F.md5("sequence").alias("sequence_md5"))
+
+
+@query(f"SELECT concat('s', p_partkey::VARCHAR) AS name, md5({SEQUENCE}) AS sequence_md5 FROM part WHERE concat('s', p_partkey::VARCHAR) IN (SELECT DISTINCT regexp_extract(query_name, '(s[0-9]+)_', 1) FROM remap)")
+def fasta_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of the nodes that alleles are named by, fetched by an index."""
+    index = written(fasta_index(spark, _fasta(spark, d), range_bytes=100_003), scratch(spark, "index"))
+    wanted = derived(spark, d, "remap").select(F.regexp_extract("query_name", "(s[0-9]+)_", 1).alias("name"))
+    return fetch_fasta(index, wanted).select("name", F.md5("sequence").alias("sequence_md5"))
 
 
 @query(
@@ -563,8 +589,8 @@ def path_sequence(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT line_no, line_no % 3 = 1 AS has_sv FROM remap")
 def realign_has_sv(spark: SparkSession, d: str) -> DataFrame:
     """Each remapped allele against its path's sequence. The allele is that sequence with 60 bases put in (every third), 40 bases put in, or two others."""
-    lines = derived(spark, d, "remap").select("line_no", "path", "path_start", "path_end")
-    rows = rm.path_sequences(lines, _nodes(spark, d), sequences(spark, d))
+    rows = derived(spark, d, "remap").select("line_no", "path", "path_start", "path_end")
+    rows = rm.path_sequences(rows, _nodes(spark, d), sequences(spark, d))
     s, k = F.col("path_sequence"), F.col("line_no") % 3
     put = lambda x: F.concat(F.substring(s, 1, 100), x, F.substring(s, 101, 10_000))
     allele = F.when(k == 1, put(F.repeat(F.lit("N"), 60))).when(k == 2, put(F.repeat(F.lit("N"), 40))).otherwise(F.concat(F.lit("NN"), F.substring(s, 3, 10_000)))
