@@ -6,8 +6,8 @@ times how closely the word's presence goes with the label among the examples (th
 rather than of the subject decide who is near), scaled to length one, and similarity is the
 cosine. The examples lie in blocks of an inverted index that keeps every term's largest weight in each
 block: a query bounds every block's best cosine by these, reads the blocks of the highest bounds, and then those whose
-bound reaches the K-th best so far (or all blocks at once where the bounds hardly differ). Tables and lists have seven digits, so that
-whatever comes near the K-th is weighed again in full, term by term in ascending order: the K nearest, and all that are as near as the K-th, are exact on any machine,
+bound reaches the K-th best so far (or all blocks at once where the bounds hardly differ). Common terms are added up in single precision first, so that
+whatever comes near the K-th is weighed again in double precision: the K nearest, and all that are as near as the K-th, are exact on any machine,
 and the order of examples and ids never decides who votes.
 
 Each neighbour votes for its label with its cosine as weight, scaled up by the share of its label's rows that the examples
@@ -39,6 +39,8 @@ K, EVIDENCE, BLOCK = 25, 3, 64
 FIRST = 8
 #: A term that one in so many examples has stands in a table of all examples.
 COMMON = 16
+#: So many texts' common terms are looked up at once.
+TOGETHER = 64
 #: What tables and sums in single precision may be off by.
 SLACK = 1e-5
 #: Cosines that differ by no more are equal.
@@ -71,9 +73,6 @@ class BlockMaxIndex:
         self.order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), i)), np.int64)
         self.blocks = max(1, -(-len(rows) // BLOCK))
         size = np.array([len(rows[i][0]) for i in self.order], np.int64)
-        #: The examples' terms and weights in full, and where each example's begin.
-        self.own = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows])
-        self.own_begin = np.cumsum([0, *(len(r[0]) for r in rows)])
         term = np.concatenate([rows[i][0] for i in self.order])
         weight = np.concatenate([rows[i][1] for i in self.order])
         place = np.repeat(np.arange(len(rows)), size)
@@ -82,10 +81,10 @@ class BlockMaxIndex:
         #: For each common term its row in a table of weights by example, and of the blocks' largest ones.
         self.row = np.full(n_terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.table = np.zeros((len(common), self.blocks * BLOCK))
         dense = self.row[term] >= 0
         self.table[self.row[term[dense]], place[dense]] = weight[dense]
-        self.table_max = self.table.reshape(len(common), self.blocks, BLOCK).max(2)
+        self.single: tuple[np.ndarray, np.ndarray] | None = None  # blocks' largest weights and all weights in single precision, made where they are used
         #: For the others, by term and block, the largest weight and where the block's examples with it begin.
         key = term[~dense] * self.blocks + place[~dense] // BLOCK
         by = np.argsort(key, kind="stable")
@@ -96,64 +95,69 @@ class BlockMaxIndex:
         self.begin = np.append(first, len(key))
         self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1))
 
-    def exact(self, who: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The cosines of some examples, added up in double precision in the order of the terms."""
-        first = self.own_begin[who]
-        n = self.own_begin[who + 1] - first
-        at = _pieces(first, n)
-        own, weight = self.own[0][at], self.own[1][at]
-        spot = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-        both = np.where(terms[spot] == own, weight * weights[spot], 0.0)
-        return np.bincount(np.repeat(np.arange(len(who)), n), both, minlength=len(who))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k nearest examples with a cosine above zero, and all that are as near as the k-th: their numbers, cosines, and how many blocks were read."""
-        row = self.row[terms]
-        in_table = row >= 0
-        row, heavy, rest, light = row[in_table], weights[in_table].astype(np.float32), terms[~in_table], weights[~in_table]
+    def tables(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What the common terms of some vectors add to the blocks' bounds and to the examples' cosines, by two products of matrices."""
+        if self.single is None:
+            weights = self.table.astype(np.float32)
+            self.single = weights.reshape(len(weights), self.blocks, BLOCK).max(2), weights
+        heavy = np.zeros((len(vectors), len(self.table)), np.float32)
+        for q, (terms, weights) in zip(heavy, vectors):
+            row = self.row[terms]
+            q[row[row >= 0]] = weights[row >= 0]
+        return list(zip(heavy @ self.single[0], heavy @ self.single[1]))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k nearest examples with a cosine above zero, and all that are as near as the k-th: their numbers, cosines, and how many blocks were read. tables: of this vector, if known."""
+        in_table = self.row[terms] >= 0
+        rest, light = terms[~in_table], weights[~in_table]
+        common, base = tables or self.tables([(terms, weights)])[0]
         start = self.of_term[rest]
         size = self.of_term[rest + 1] - start
         entry = _pieces(start, size)
         block = self.block[entry]
-        bound = heavy @ self.table_max[row] + np.bincount(block, self.most[entry] * np.repeat(light, size), minlength=self.blocks)
-        base = heavy @ self.table[row]
+        bound = common + np.bincount(block, self.most[entry] * np.repeat(light, size), minlength=self.blocks)
 
-        def all_blocks() -> np.ndarray:
-            """The cosines of all examples: a term's lists in all blocks lie side by side."""
+        def in_lists(entries: np.ndarray, share: np.ndarray) -> np.ndarray:
+            """What some lists' examples have of their cosines from terms that are not common, in double precision."""
+            n = self.begin[entries + 1] - self.begin[entries]
+            at = _pieces(self.begin[entries], n)
+            return np.bincount(self.place[at], self.weight[at] * np.repeat(share, n), minlength=len(base))
+
+        def all_blocks() -> tuple[np.ndarray, np.ndarray]:
+            """That part for all examples, and the cosines; a term's lists in all blocks lie side by side."""
             first = self.begin[start]
             n = self.begin[start + size] - first
             at = _pieces(first, n)
-            return base + np.bincount(self.place[at], self.weight[at] * np.repeat(light, n), minlength=len(base))
+            part = np.bincount(self.place[at], self.weight[at] * np.repeat(light, n), minlength=len(base))
+            return part, base + part
 
-        def some_blocks(which: np.ndarray) -> np.ndarray:
-            """The cosines of the examples in some blocks, -1 for others."""
+        def some_blocks(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The same for the examples in some blocks; the others' cosines are -1."""
             now = np.zeros(self.blocks, bool)
             now[which] = True
             mine = now[block]
-            e = entry[mine]
-            n = self.begin[e + 1] - self.begin[e]
-            at = _pieces(self.begin[e], n)
-            got = base + np.bincount(self.place[at], self.weight[at] * np.repeat(np.repeat(light, size)[mine], n), minlength=len(base))
-            return np.where(np.repeat(now, BLOCK), got, -1.0)
+            part = in_lists(entry[mine], np.repeat(light, size)[mine])
+            return part, np.where(np.repeat(now, BLOCK), base + part, -1.0)
 
         reach = lambda c: float(np.partition(c, len(c) - k)[len(c) - k]) if k < len(c) else 0.0
         read, high = self.blocks, float(bound.max())
         if self.blocks <= FIRST or ALIKE * float(np.median(bound)) > high:
-            cosine = all_blocks()
+            part, cosine = all_blocks()
         else:
             first = np.argpartition(-bound, FIRST)[:FIRST]
-            cosine = some_blocks(first)
+            part, cosine = some_blocks(first)
             left = bound >= max(reach(cosine), 1e-12) - SLACK
             left[first] = True
             read = int(left.sum())
             if read > FIRST:
-                cosine = some_blocks(np.flatnonzero(left)) if 2 * read < self.blocks else all_blocks()
+                part, cosine = some_blocks(np.flatnonzero(left)) if 2 * read < self.blocks else all_blocks()
         cosine = cosine[: len(self.order)]
-        i = np.sort(self.order[np.flatnonzero(cosine >= max(-0.5, reach(cosine) - SLACK))])
-        c = self.exact(i, terms, weights)
+        some = np.flatnonzero(cosine > max(0.0, reach(cosine) - SLACK))
+        c = part[some] + weights[in_table] @ self.table[np.ix_(self.row[terms[in_table]], some)]
         near = c >= max(reach(c) - TIE, 1e-15)
-        top = np.lexsort((i[near], -c[near]))
-        return i[near][top], np.minimum(c[near][top], 1.0), read
+        i, c = self.order[some[near]], c[near]
+        top = np.lexsort((i, -np.round(c, 12)))
+        return i[top], np.minimum(c[top], 1.0), read
 
 
 @dataclass
@@ -189,14 +193,21 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
 
     def score(self, text: str) -> tuple[float, list[dict]]:
-        t, w = self.vector(*counted(text))
-        if not len(t) or self.index is None:
-            return self.bare, []
-        who, cosine, _ = self.index.nearest(t, w, K)
-        if not len(who):
-            return self.bare, []
-        top = [{"doc_id": int(self.ids[i]), "similarity": float(c), "label": int(self.labels[i])} for i, c in zip(who[:EVIDENCE], cosine)]
-        return float(self.calibrated(self.vote(who, cosine))), top
+        return self.scores([text])[0]
+
+    def scores(self, some: list[str]) -> list[tuple[float, list[dict]]]:
+        """Each text's score and its nearest examples."""
+        vectors = [self.vector(*counted(x)) for x in some]
+        out: list[tuple[float, list[dict]]] = [(self.bare, [])] * len(some)
+        known = [k for k, v in enumerate(vectors) if len(v[0])] if self.index else []
+        for begin in range(0, len(known), TOGETHER):
+            those = known[begin : begin + TOGETHER]
+            for k, tables in zip(those, self.index.tables([vectors[k] for k in those])):
+                who, cosine, _ = self.index.nearest(*vectors[k], K, tables)
+                if len(who):
+                    top = [{"doc_id": int(self.ids[i]), "similarity": float(c), "label": int(self.labels[i])} for i, c in zip(who[:EVIDENCE], cosine)]
+                    out[k] = float(self.calibrated(self.vote(who, cosine))), top
+        return out
 
 
 def phi(n0: np.ndarray, n1: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -302,7 +313,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, keep: list[str]
 
     def make():
         def batch(b):
-            got = [held.value.score(x) for x in texts(b)]
+            got = held.value.scores(texts(b))
             return {"score": [s for s, _ in got], "predicted": [int(s >= threshold) for s, _ in got], "evidence": [e for _, e in got]}
 
         return batch
