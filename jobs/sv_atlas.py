@@ -64,7 +64,7 @@ def run(spark: SparkSession, settings: Config, tables: str, out: str) -> DataFra
     lines, nodes = derived(spark, tables, "gaf"), derived(spark, tables, "gfa_node")
     log.info("read %s: %d alignments, %d nodes", tables, lines.count(), nodes.count())
     found = written(clusters.within_nodes(loci.sv_loci(lines, nodes), nodes, settings.dist), f"{base}/within")
-    final = clusters.final_clusters(clusters.merge_neighbours(found, derived(spark, tables, "gfa_edge"), nodes, settings.dist), settings.support)
+    final = clusters.final_clusters(clusters.merge_neighbours(found, derived(spark, tables, "gfa_edge"), nodes, settings.dist, gone_too=False), settings.support)
     split = haplotypes.phase_split(final, derived(spark, tables, "phase"))
     rows = atlas(split, alignments.contig_coverage(lines, nodes), settings)
     put = (rows.where(F.col("contig").isin(settings.contigs)) if settings.contigs else rows).repartition("contig").sortWithinPartitions("contig", "ref", "node", "k").write.mode("overwrite").partitionBy("contig")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from ..storage import components, scratch, written
+from ..storage import drop, scratch, written
+from .kernel import FEW, stays
 
 #: Goes over a node's islands in order. An island whose first locus brings no read that the last cluster lacks joins it.
 _FOLD = """aggregate(islands, cast(array() AS array<struct<start:bigint,ref:bigint,contig:string,reads:array<string>>>),
@@ -50,63 +47,63 @@ def candidates(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: in
     return met.where(F.col("distance") < dist).select("y", "x", "ord", "y_k", "x_k", "distance")
 
 
-def replay(rows: list[tuple[str, str, int, int]]) -> tuple[dict[str, set[tuple[str, int]]], set[tuple[str, int]]]:
-    """What merges over the candidates (y, x, y_k, x_k), in order of y and edge: by node y the clusters that its first one takes in
-    (with what these took in before), and all that are merged away. A first cluster that is gone takes nothing in; a last one
-    that is gone gives again."""
-    takes: dict[str, set[tuple[str, int]]] = {}
-    gone: set[tuple[str, int]] = set()
-    active: dict[str, bool] = {}
-    for y, x, y_k, x_k in rows:
-        if y not in active:
-            active[y] = (y, y_k) not in gone
-        if not active[y]:
-            continue
-        got = takes.setdefault(y, set())
-        got.add((x, x_k))
-        if x_k == 1:  # the last cluster of x is its first one too, and gives on what it has taken in
-            got.update(takes.get(x, ()))
-        gone.add((x, x_k))
-    return takes, gone
-
-
-def merge_neighbours(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
-    """Clusters with their final reads, and merged_away. Nodes are visited in byte order of their names.
-
-    Whether two clusters lie near enough never changes, so that only nodes that candidate edges connect depend on
-    each other: the visits are replayed one connected component at a time.
+def visits(near: DataFrame, few: int = FEW) -> DataFrame:
+    """y, x, x_k: the first cluster of each active y takes in the cluster x_k of each of its candidates x.
+
+    Nodes are visited in byte order of their names. One whose first cluster was merged away before is not active, and whether it was depends on nodes before it
+    alone: on those y that have it, with a single cluster, as a candidate, and are active. A last cluster that is merged away gives again.
+    """
+    nodes = near.select("y").distinct()
+    before = near.where("x_k = 1 AND y < x").select(F.col("x").alias("y"), F.col("y").alias("x")).join(nodes, "y", "semi")
+    idle = stays(before, few).where("NOT stays").select(F.col("v").alias("y"))
+    return near.select("y", "x", "x_k").distinct().join(idle, "y", "anti")
+
+
+def passed_on(took: DataFrame) -> DataFrame:
+    """a, b: node b takes in what a has taken in, as a's only cluster is taken in by b, after a was visited."""
+    return took.where("x_k = 1 AND x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).join(took.select(F.col("y").alias("a")).distinct(), "a", "semi")
+
+
+def taken(took: DataFrame, gone_too: bool) -> DataFrame:
+    """y, x, x_k: all clusters that come to the first cluster of y, over any number of nodes; for y that are merged away themselves only if gone_too.
+
+    The ways between nodes double in each round. A way that ends at a node which stays needs no more rounds, so that without the nodes that go a chain
+    of a million nodes gives a million rows; with them the result itself grows with the square of a chain's length.
+    """
+    spark = took.sparkSession
+    base, k = scratch(spark, "taken"), 0
+    gone = took.where("x_k = 1").select(F.col("x").alias("b")).distinct()
+    ways = written(passed_on(took), f"{base}/ways-0")
+    while True:
+        k += 1
+        open_ = ways if gone_too else ways.join(gone, "b", "semi")
+        on = open_.join(ways.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        ends = ways if gone_too else ways.join(gone, "b", "anti")
+        last, ways = ways, written(ends.unionByName(on).distinct(), f"{base}/ways-{k}")
+        if ways.count() == last.count() if gone_too else ways.join(gone, "b", "semi").isEmpty():
+            break
+        drop(spark, f"{base}/ways-{k - 1}")
+    direct = took if gone_too else took.join(gone.withColumnRenamed("b", "y"), "y", "anti")
+    far = took.join(ways, F.col("y") == F.col("a")).select(F.col("b").alias("y"), "x", "x_k")
+    return direct.select("y", "x", "x_k").union(far).distinct()
+
+
+def merge_neighbours(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: int, gone_too: bool = True, few: int = FEW) -> DataFrame:
+    """Clusters with their final reads, and merged_away. Clusters that are merged away have what they took in before only if gone_too, else their own reads.
+
+    Whether two clusters lie near enough never changes, so that the order of visits comes down to who is active (kernel.py) and what comes
+    to whom: rounds of joins, of which none gathers a connected component. No reads count as an empty set; clusters of unknown nodes take no part.
     """
-    ship(clusters.sparkSession)
     base = scratch(clusters.sparkSession, "neighbours")
     near = written(candidates(clusters, edges, nodes, dist), f"{base}/near")
-    label = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    rows = near.join(label.withColumnRenamed("v", "y"), "y").repartition("label").sortWithinPartitions("label", "y", "ord", "x")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, group = None, []
-
-        def close() -> pa.RecordBatch:
-            takes, gone = replay(group)
-            out = [(y, 1, x, k, False) for y, got in takes.items() for x, k in sorted(got)] + [(x, k, None, None, True) for x, k in sorted(gone)]
-            cols = list(zip(*out)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()))], names=["node", "k", "from_node", "from_k", "gone"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["label"] != label and group:
-                    yield close()
-                    group = []
-                label = r["label"]
-                group.append((r["y"], r["x"], r["y_k"], r["x_k"]))
-        if group:
-            yield close()
-
-    moves = written(rows.select("label", "y", "x", "y_k", "x_k").mapInArrow(run, "node string, k int, from_node string, from_k int, gone boolean"), f"{base}/moves")
-    given = moves.where("NOT gone").join(clusters.select(F.col("node").alias("from_node"), F.col("k").alias("from_k"), F.col("reads").alias("more")), ["from_node", "from_k"])
+    took = written(visits(near, few), f"{base}/took")
+    moves = taken(took, gone_too).select(F.col("y").alias("node"), F.lit(1).alias("k"), F.col("x").alias("from_node"), F.col("x_k").alias("from_k"))
+    given = moves.join(clusters.select(F.col("node").alias("from_node"), F.col("k").alias("from_k"), F.col("reads").alias("more")), ["from_node", "from_k"])
     given = given.groupBy("node", "k").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
-    gone = moves.where("gone").select("node", "k", F.lit(True).alias("merged_away"))
+    gone = took.select(F.col("x").alias("node"), F.col("x_k").alias("k")).distinct().withColumn("merged_away", F.lit(True))
     out = clusters.join(given, ["node", "k"], "left").join(gone, ["node", "k"], "left")
-    reads = F.sort_array(F.array_union("reads", F.coalesce("more", F.array().cast("array<string>"))))
+    empty = F.array().cast("array<string>")
+    reads = F.sort_array(F.array_union(F.coalesce("reads", empty), F.coalesce("more", empty)))
     return out.select("node", "k", "start", "ref", "contig", reads.alias("reads"), F.coalesce("merged_away", F.lit(False)).alias("merged_away"))
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import haplotype_of, parent_name, reverse_complement, svtig_header
-from ..params import MIN_DUP_OVERLAP, MIN_MAPQ_REMAP
+from ..params import MIN_MAPQ_REMAP
 from ..session import ship
 from .gap_affine import run_of_sv
+from .overlaps import GROUP, staying
 
 
 def path_sequences(rows: DataFrame, nodes: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -82,37 +82,22 @@ def decisions(folded: DataFrame, min_map_ratio: float) -> DataFrame:
     return out.withColumn("keep", ~F.col("reason").isin("no_mapping", "high_map_ratio"))
 
 
-def overlaps(start: int, end: int, starts: np.ndarray, ends: np.ndarray) -> bool:
-    """True if the interval shares more than MIN_DUP_OVERLAP of the shorter one with any of the others."""
-    shorter, both = np.minimum(end - start, ends - starts), np.minimum(end, ends) - np.maximum(start, starts)
-    some = (shorter > 0) & (both > 0)
-    return bool((both[some] / shorter[some] > MIN_DUP_OVERLAP).any())
-
-
-def without_duplicates(kept: DataFrame) -> DataFrame:
+def without_duplicates(kept: DataFrame, group: int = GROUP) -> DataFrame:
     """kept (name, path, start, end, size, ...) with hap and duplicate. Of one haplotype and path, from the largest on (then by name), one is a
-    duplicate if it overlaps one that is kept by more than MIN_DUP_OVERLAP."""
-    ship(kept.sparkSession)
-    rows = kept.withColumns({"hap": haplotype_of(F.col("name")), "duplicate": F.lit(False)})
-    rows = rows.repartition("hap", "path").sortWithinPartitions("hap", "path", F.desc("size"), "name")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, have, n = None, np.zeros((2, 64), np.int64), 0
-        for b in batches:
-            flags = []
-            for hap, path, start, end in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("hap", "path", "start", "end"))):
-                if (hap, path) != group:
-                    group, n = (hap, path), 0
-                again = overlaps(start, end, have[0, :n], have[1, :n])
-                if not again:
-                    if n == have.shape[1]:
-                        have = np.concatenate([have, np.empty_like(have)], 1)
-                    have[:, n] = start, end
-                    n += 1
-                flags.append(again)
-            yield b.set_column(b.schema.get_field_index("duplicate"), "duplicate", pa.array(flags, pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema)
+    duplicate if it overlaps one that is kept by more than MIN_DUP_OVERLAP.
+
+    Of equal intervals only the first can stay, so that the others take no part in the search. Intervals that are null or have no length are no duplicates; a null path is a path. Rows
+    of one name, path and interval share their fate. A haplotype and path may have any number of alleles (overlaps.py).
+    """
+    rows = kept.withColumn("hap", haplotype_of(F.col("name")))
+    place = F.struct((-F.col("size").cast("long")).alias("first"), F.col("name"))
+    key = ["hap", "_path"]
+    some = rows.where("end > start").select("hap", F.struct("path").alias("_path"), "start", "end", place.alias("place"))  # a struct is never null
+    first = some.groupBy(*key, "start", "end").agg(F.min("place").alias("place"))
+    stay = staying(first, key, group).select(F.col("place.name").alias("_name"), F.col("_path.path").alias("_on"), F.col("start").alias("_start"), F.col("end").alias("_end")).withColumn("_stays", F.lit(True))
+    met = rows.join(stay, F.col("name").eqNullSafe(F.col("_name")) & F.col("path").eqNullSafe(F.col("_on")) & (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end")), "left")
+    long = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    return met.withColumn("duplicate", long & F.col("_stays").isNull()).drop("_name", "_on", "_start", "_end", "_stays")
 
 
 def flagged(unique: DataFrame, svtigs: DataFrame) -> DataFrame:

@@ -369,14 +369,14 @@ MERGED_SQL = (
 )
 
 
-def _merged(spark, d):
+def _merged(spark, d, gone_too=False):
     clusters = written(_clusters(spark, d), scratch(spark, "clusters"))
-    return cl.merge_neighbours(clusters, derived(spark, d, "gfa_edge"), _nodes(spark, d), P.dist)
+    return cl.merge_neighbours(clusters, derived(spark, d, "gfa_edge"), _nodes(spark, d), P.dist, gone_too)
 
 
 @query(MERGED_SQL + " SELECT node, k, start, ref, contig, array_to_string(reads, ',') AS reads, merged_away FROM merged")
 def clusters_merged(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).withColumn("reads", joined("reads"))
+    return _merged(spark, d, gone_too=True).withColumn("reads", joined("reads"))
 
 
 FINAL_SQL = MERGED_SQL + f", fin AS (SELECT * FROM merged WHERE NOT merged_away AND len(reads) > {P.support})"
