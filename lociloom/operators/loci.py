@@ -1,14 +1,18 @@
-"""Structural-variant signals of alignments and the loci they make."""
+"""Structural-variant signals of alignments and the loci they make.
+
+Nulls: a line with a null among the fields that a filter reads (mapq, is_primary, query_start, query_end) is not valid or not mapped, and gives nothing; a null path or CIGAR string has no
+signals; a null read name is never one with several lines. Repeated lines count as they are, and a read counts once for a locus. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cigar_ops
 from ..params import MIN_CLIP, MIN_SV_SIZE
 from ..storage import scratch, written
-from .alignments import is_unmapped, resolved, unmapped_reads, valid
+from .alignments import is_unmapped, is_valid, mapped, multi_mapped, resolved, scored
 
 
 #: The operations of MIN_SV_SIZE or more in a CIGAR string: seq, op, v (length), cig (place on the path, from 1). All operations
@@ -34,14 +38,32 @@ _PLACE = """aggregate(filter(steps, s -> s.present),
      END)[0])[0] END)"""
 
 
-def signal_rows(alignments: DataFrame) -> DataFrame:
-    """The mapped lines with a signal: found (those of the CIGAR string), begins and ends (whether a read of several lines is clipped there)."""
-    rows = valid(alignments).select("line_no", "query_name", "query_length", "query_start", "query_end", "path", F.col("path_start").cast("long").alias("path_start"), "path_end", is_unmapped().alias("un"), cigar_ops(F.col("cigar")).alias("ops"))
-    several = F.count(F.lit(1)).over(Window.partitionBy("query_name")) > 1
-    rows = rows.withColumn("found", F.expr(_SIGNALS)).drop("ops").withColumn("several", several).where("NOT un")
+#: The columns of a line with signals.
+_SIGNAL = ("line_no", "read", "path", "path_start", "path_end", "begins", "ends", "found")
+
+
+def clipped(alignments: DataFrame) -> DataFrame:
+    """The mapped lines of reads with several valid lines that are clipped at an end (begins, ends), in the columns of signal_rows. No CIGAR string is looked at.
+
+    Such reads are found by a count, the lines by a semi-join: only those that are clipped take part in it.
+    """
+    names = multi_mapped(alignments).select("query_name")
     begins, ends = F.col("query_start") >= MIN_CLIP, F.col("query_length") - F.col("query_end") >= MIN_CLIP
-    rows = rows.withColumns({"begins": F.col("several") & begins, "ends": F.col("several") & ends}).where("begins OR ends OR size(found) > 0")
-    return rows.select("line_no", F.col("query_name").alias("read"), "path", "path_start", "path_end", "begins", "ends", "found")
+    rows = mapped(alignments).withColumns({"begins": begins, "ends": ends}).where("begins OR ends").join(names, "query_name", "semi")
+    none = F.array().cast("array<struct<seq:int,op:string,v:bigint,cig:bigint>>")
+    return rows.select("line_no", F.col("query_name").alias("read"), "path", F.col("path_start").cast("long").alias("path_start"), "path_end", "begins", "ends", none.alias("found"))
+
+
+def with_operations(alignments: DataFrame) -> DataFrame:
+    """The mapped lines with signals in their CIGAR strings (found), in the columns of signal_rows. No shuffle."""
+    rows = mapped(alignments).select("line_no", F.col("query_name").alias("read"), "path", F.col("path_start").cast("long").alias("path_start"), "path_end", cigar_ops(F.col("cigar")).alias("ops"))
+    rows = rows.withColumn("found", F.expr(_SIGNALS)).where("size(found) > 0")
+    return rows.withColumns({"begins": F.lit(False), "ends": F.lit(False)}).select(*_SIGNAL)
+
+
+def signal_rows(alignments: DataFrame) -> DataFrame:
+    """The mapped lines with a signal: found (those of the CIGAR string), begins and ends (whether a read of several lines is clipped there). A line may come in two rows."""
+    return clipped(alignments).unionByName(with_operations(alignments))
 
 
 #: A line's signals: its clipped ends on known nodes (with the node and the place on the path), then those of its CIGAR string.
@@ -64,25 +86,33 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 def inter_breakpoints(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where reads with several alignments begin and end: line_no, seq (0 start, 1 end), read, node, pos, ref, contig."""
-    rows = signal_rows(alignments).where("begins OR ends").withColumn("found", F.filter("found", lambda f: F.lit(False)))
-    return _placed(resolved(rows, nodes)).drop("type", "sv_type", "sv_size")
+    return _placed(resolved(clipped(alignments), nodes)).drop("type", "sv_type", "sv_size")
 
 
 def intra_loci(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """Insertions and deletions of CIGAR strings on their nodes: line_no, seq, read, node, pos, ref, contig, sv_type, sv_size. Signals without a node are left out."""
-    rows = signal_rows(alignments).where("size(found) > 0").withColumns({"begins": F.lit(False), "ends": F.lit(False)})
-    return _placed(resolved(rows, nodes)).drop("type")
+    return _placed(resolved(with_operations(alignments), nodes)).drop("type")
+
+
+def placed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The signals of lines that have some (signal_rows) on their nodes."""
+    return _placed(resolved(rows, nodes))
 
 
 def signals(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Both kinds, with type (INTER or INTRA). The alignments are read once: the lines with signals are written, and their paths looked up once for both kinds."""
-    return _placed(resolved(written(signal_rows(alignments), scratch(alignments.sparkSession, "signals")), nodes))
+    """Both kinds, with type (INTER or INTRA). The lines with signals are written, and their paths looked up once for both kinds."""
+    return placed(written(signal_rows(alignments), scratch(alignments.sparkSession, "signals")), nodes)
 
 
 def sv_loci(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row for each node and position: ref, contig, reads (sorted), and type, sv_type and sv_size of the first signal there."""
+    return loci_of(signals(alignments, nodes))
+
+
+def loci_of(found: DataFrame) -> DataFrame:
+    """The same from signals."""
     first = F.min_by(F.struct("type", "sv_type", "sv_size"), F.struct("line_no", "seq"))
-    got = signals(alignments, nodes).groupBy("node", "pos").agg(F.min("ref").alias("ref"), F.min("contig").alias("contig"), F.sort_array(F.collect_set("read")).alias("reads"), first.alias("f"))
+    got = found.groupBy("node", "pos").agg(F.min("ref").alias("ref"), F.min("contig").alias("contig"), F.sort_array(F.collect_set("read")).alias("reads"), first.alias("f"))
     return got.select("node", "pos", "ref", "contig", "reads", "f.type", "f.sv_type", "f.sv_size")
 
 
@@ -91,6 +121,6 @@ def signal_counters(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     names = ("insertions", "deletions", "inter", "intra", "primary_valid", "unmapped")
     only = lambda **counts: [counts.get(n, F.lit(0).cast("long")).alias(n) for n in names]
     loci = sv_loci(alignments, nodes).agg(*only(insertions=F.count_if(F.col("sv_type") == "I"), deletions=F.count_if(F.col("sv_type") == "D"), inter=F.count_if(F.col("type") == "INTER"), intra=F.count_if(F.col("type") == "INTRA")))
-    one = valid(alignments).agg(*only(primary_valid=F.count(F.lit(1))))
-    other = unmapped_reads(alignments).agg(*only(unmapped=F.count(F.lit(1))))
-    return loci.unionByName(one).unionByName(other).agg(*[F.sum(n).alias(n) for n in names])
+    unmapped = F.count_distinct(F.when(is_unmapped(), F.col("query_name")))
+    one = scored(alignments).agg(*only(primary_valid=F.count_if(is_valid()), unmapped=unmapped))
+    return loci.unionByName(one).agg(*[F.sum(n).alias(n) for n in names])

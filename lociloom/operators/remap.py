@@ -5,30 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import haplotype_of, parent_name, reverse_complement, svtig_header
+from ..functions.text import haplotype_of, parent_name, path_steps, reverse_complement, svtig_header
 from ..params import MIN_MAPQ_REMAP
 from ..session import ship
+from ..storage import scratch, written
 from .gap_affine import run_of_sv
 from .overlaps import GROUP, staying
 
 
+def path_index(paths: DataFrame, sequences: DataFrame) -> DataFrame:
+    """path, i, strand, node, first and after of each step of the distinct paths on a known node: the bases of the path before the step and up to its end."""
+    step = paths.select("path").distinct().select("path", F.explode(path_steps(F.col("path"))).alias("s")).select("path", "s.*")
+    met = step.join(sequences.select(F.col("name").alias("node"), F.length("sequence").cast("long").alias("bases")), "node")
+    after = F.sum("bases").over(Window.partitionBy("path").orderBy("i"))  # no more steps than the path's text has
+    return met.select("path", "i", "strand", "node", (after - F.col("bases")).alias("first"), after.alias("after"))
+
+
 def path_sequences(rows: DataFrame, nodes: DataFrame, sequences: DataFrame) -> DataFrame:
     """rows (path, path_start, path_end) with path_sequence: the known nodes' sequences, reversed ones complemented, cut to the
-    places from path_start to path_end, both included; empty if they lie beyond the end. Each distinct path is put together once."""
-    from ..functions.text import path_steps
-
-    step = rows.select("path").distinct().select("path", F.explode(path_steps(F.col("path"))).alias("s")).select("path", "s.*")
-    met = step.join(sequences.select(F.col("name").alias("node"), "sequence"), "node")
-    part = F.when(F.col("strand") == "<", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))
-    whole = met.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))
-    whole = whole.select("path", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("_whole"))
-    out = rows.join(whole, "path", "left")
-    start = F.col("path_start")
-    cut = F.when((start >= 0) & (start <= F.length("_whole")), F.substring(F.col("_whole"), start + 1, F.greatest(F.lit(0), F.col("path_end") - start + 1)))
-    return out.withColumn("path_sequence", F.coalesce(cut, F.lit(""))).drop("_whole")
+    places from path_start to path_end, both included; empty if they lie beyond the end, or if a place is null or below zero.
+
+    An index of the paths' steps tells which of them a slice meets: these alone fetch their node's sequence, and what is cut from it is all that goes on. Each distinct slice is put
+    together once, and no row is longer than a node or a slice.
+    """
+    spark = rows.sparkSession
+    slices = rows.select("path", F.col("path_start").alias("_start"), F.col("path_end").alias("_end")).where("path IS NOT NULL AND _start >= 0 AND _end >= _start").distinct()
+    index = written(path_index(slices, sequences), scratch(spark, "path-index"))
+    met = slices.join(index, "path").where("first <= _end AND after > _start")
+    cut = met.select("path", "_start", "_end", "i", "strand", "node", (F.col("after") - F.col("first")).alias("bases"), F.greatest(F.lit(0), F.col("_start") - F.col("first")).alias("skip"), F.least(F.col("after"), F.col("_end") + 1).alias("to"), "first")
+    size = F.col("to") - F.col("first") - F.col("skip")
+    at = F.when(F.col("strand") == "<", F.col("bases") - F.col("skip") - size).otherwise(F.col("skip"))
+    piece = F.substring(F.col("sequence"), (at + 1).cast("int"), size.cast("int"))
+    part = cut.join(sequences.select(F.col("name").alias("node"), "sequence"), "node").select("path", "_start", "_end", "i", F.when(F.col("strand") == "<", reverse_complement(piece)).otherwise(piece).alias("part"))
+    whole = part.groupBy("path", "_start", "_end").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))  # a slice's pieces
+    whole = whole.select(F.col("path").alias("_path"), "_start", "_end", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("path_sequence"))
+    out = rows.join(whole, (F.col("path") == F.col("_path")) & (F.col("path_start") == F.col("_start")) & (F.col("path_end") == F.col("_end")), "left").drop("_path", "_start", "_end")
+    return out.withColumn("path_sequence", F.coalesce("path_sequence", F.lit("")))
 
 
 def with_has_sv(rows: DataFrame) -> DataFrame:

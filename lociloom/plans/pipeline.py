@@ -70,11 +70,20 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
         reasons = reasons.unionByName(more)
     output = written(output, f"{base}/output")
     write(output, contigs, params)
+    if params.debug:
+        events(reasons).orderBy("name", "step").write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{params.out}/{params.sample}_events")
     log.info("candidates: %s", {r["reason"]: r["n"] for r in haplotypes.gate_counts(reasons.where("step = 'assembly'")).collect()})  # a row for each reason
     log.info("%d alleles", output.count())
     return Result(coverage, final, gated, contigs, output, reasons)
 
 
+def events(reasons: DataFrame) -> DataFrame:
+    """name, step, event (OK, FILTERED, FAILED, KEPT or DUPLICATE) and reason of the decisions; what no gate or rule holds back is OK after assembly, KEPT after remapping."""
+    event = F.when(F.col("reason") == "duplicate", "DUPLICATE").when(F.col("reason").isin("no_contig", "unassembled", "failed"), "FAILED").when(F.col("reason") == "pass", "OK")
+    event = event.when((F.col("step") == "remap") & ~F.col("reason").isin("no_mapping", "high_map_ratio"), "KEPT").otherwise("FILTERED")
+    return reasons.select("name", "step", event.alias("event"), "reason")
+
+
 def write(output: DataFrame, contigs: DataFrame, params: Params) -> None:
     """One FASTA folder, or one for each haplotype where reads are tagged, and the same rows as Parquet."""
     rows = output.withColumn("header", svtig_header(F.col("name"), F.col("contig"), F.col("pos"), F.col("support"), F.col("path"), F.col("ratio")))

@@ -17,6 +17,7 @@ from ..adapters.external import attempts, median_read, read_sequences
 from ..sources.files import fasta_index, fetch_fasta, first_nodes, lines, numbered, parse_gaf, read_fasta, read_gaf, read_gfa, read_phase
 from ..sources.sinks import fasta_records, write_blocks, write_fasta
 from ..storage import scratch, written
+from ..streaming.loci import collect_signals, loci_so_far
 
 P = Params()
 QUERIES: dict = {}
@@ -305,6 +306,15 @@ def sv_loci(spark: SparkSession, d: str) -> DataFrame:
     return _loci(spark, d).withColumn("reads", joined("reads"))
 
 
+@query(LOCI_SQL + """ SELECT node, pos, ref, contig, array_to_string(reads, ',') AS reads, f.t AS type, f.s AS sv_type, f.v::BIGINT AS sv_size FROM loci""")
+def sv_loci_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same of streams over GAF files in the order of the lines, a few files at a time; the second run finds nothing new."""
+    path, out, checkpoint = _put(_gaf_text(_gaf(spark, d).orderBy("line_no")), spark), scratch(spark, "signals"), scratch(spark, "checkpoint")
+    for files_per_batch in (3, 1):
+        collect_signals(spark, path, _nodes(spark, d), out, checkpoint, files_per_batch)
+    return loci_so_far(spark, out).withColumn("reads", joined("reads"))
+
+
 @query(
     LOCI_SQL + """ SELECT count(*) FILTER (f.s = 'I') AS insertions, count(*) FILTER (f.s = 'D') AS deletions, count(*) FILTER (f.t = 'INTER') AS inter,
     count(*) FILTER (f.t = 'INTRA') AS intra, (SELECT count(*) FROM valid) AS primary_valid, (SELECT count(DISTINCT query_name) FROM gaf WHERE query_start = 0 AND query_end = 0) AS unmapped FROM loci"""

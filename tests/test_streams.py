@@ -1,0 +1,84 @@
+"""Loci of files that keep arriving, path slices and events."""
+
+import random
+import shutil
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+from test_pipeline import inputs
+
+from lociloom.adapters import external
+from lociloom.operators import loci, remap
+from lociloom.plans.pipeline import events, run
+from lociloom.sources import files
+from lociloom.streaming.loci import collect_signals, loci_so_far
+
+
+def gaf(rng, reads, n):
+    out = []
+    for _ in range(n):
+        a, b = rng.randint(50, 400), rng.choice([10, 60, 200])
+        out.append(f"r{rng.randrange(reads)}\t2000\t{rng.choice([0, 250])}\t{rng.choice([0, 1500, 1990])}\t+\t{rng.choice(['>s1', '>s1>s2', '<s2<s1', '>none'])}\t2000\t{rng.randint(0, 90)}\t900\t9\t9\t{rng.choice([3, 60, 60])}\ttp:A:{rng.choice('PPPS')}\tcg:Z:{a}M{b}{rng.choice('ID')}300M")
+    return "".join(f"{x}\n" for x in [*out, "short\tline"])
+
+
+@pytest.mark.parametrize("files_per_batch", [1, None])
+def test_any_batches_give_the_same_loci(spark, tmp_path, files_per_batch):
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([("s1", 1000, 0, "c", "x"), ("s2", 900, 1000, "c", "y")], "name string, len int, offset int, contig string, sequence string")
+    (tmp_path / "all").mkdir()
+    for k in rng.sample(range(5), 5):
+        (tmp_path / "all" / f"{k}.gaf").write_text(gaf(rng, 12, 12))
+    mode = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    (tmp_path / "come").mkdir()
+    for some in ([3, 1], [0], [], [2, 4]):  # later names first: first arrivals go by place, not by time
+        for k in some:
+            shutil.copy(tmp_path / "all" / f"{k}.gaf", tmp_path / "come")
+        collect_signals(spark, str(tmp_path / "come"), nodes, str(tmp_path / "out"), str(tmp_path / "cp"), files_per_batch)
+    want = loci.sv_loci(files.read_gaf(spark, str(tmp_path / "all")), nodes)
+    got = loci_so_far(spark, str(tmp_path / "out"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.where("type = 'INTER'").count() > 5
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == mode
+
+
+def test_path_slices(spark):
+    rng = random.Random(1)
+    seq = {f"s{k}": "".join(rng.choices("ACGTn", k=rng.choice([0, 1, 7, 40]))) for k in range(12)}
+    rc = str.maketrans("ACGTacgt", "TGCAtgca")
+    rows = []
+    for k in range(300):
+        path = "".join(rng.choice("><") + rng.choice([*seq, "none"]) for _ in range(rng.randint(0, 6)))
+        rows.append((k, path if k % 50 else None, rng.choice([None, -3, 0, 5, rng.randint(0, 120)]), rng.choice([None, 0, rng.randint(0, 150)])))
+
+    def plain(path, start, end):
+        import re
+
+        if path is None or start is None or end is None or start < 0:
+            return ""
+        whole = "".join(seq[n] if s != "<" else seq[n][::-1].translate(rc) for s, n in re.findall(r"(.)([^<>]*)", path) if n in seq)
+        return whole[start : end + 1] if end >= start else ""
+
+    df = spark.createDataFrame(rows, "k int, path string, path_start int, path_end int").withColumns({"i": F.lit(1), "first": F.lit("x"), "node": F.lit("y")})
+    nodes = spark.createDataFrame(list(seq.items()), "name string, sequence string")
+    got = {r["k"]: r["path_sequence"] for r in remap.path_sequences(df, nodes, nodes).collect()}
+    assert got == {k: plain(p, a, b) for k, p, a, b in rows} and sum(map(bool, got.values())) > 40
+
+
+def test_long_path_short_slice(spark):
+    """What is fetched for a slice is what it meets: pieces of other nodes never leave theirs."""
+    nodes = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("name"), F.repeat(F.lit("ACGT"), 5).alias("sequence"))
+    rows = spark.createDataFrame([("".join(f">s{k}" for k in range(3000)), 59_990, 10**6), (">s1<s2", 19, 20)], "path string, path_start int, path_end int")
+    assert sorted(r["path_sequence"] for r in remap.path_sequences(rows, nodes, nodes).collect()) == ["GTACGTACGT", "TA"]
+    index = remap.path_index(rows, nodes)
+    assert "sequence" not in index.columns and index.agg(F.max("after")).first()[0] == 60_000
+
+
+def test_events_of_a_run(spark, tmp_path):
+    params = replace(inputs(tmp_path), debug=True, phase=str(tmp_path / "p.tsv"), remap_gaf=str(tmp_path / "m.gaf"))
+    (tmp_path / "m.gaf").write_text("H1-s1_401\t700\t0\t700\t+\t>s1\t1000\t0\t639\t0\t0\t60\ttp:A:P\nH2-s1_401\t700\t0\t0\t+\t>s1\t1000\t0\t639\t0\t0\t60\ttp:A:P\n")
+    run(spark, params, external.median_read)
+    got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out" / "sample_events"))
+    assert {tuple(r) for r in got.collect()} >= {("H1-s1_401", "assembly", "OK", "pass"), ("H1-s1_401", "remap", "KEPT", "sv_in_alignment"), ("H2-s1_401", "remap", "FILTERED", "no_mapping")}
+    rows = spark.createDataFrame([("a", "assembly", "failed"), ("b", "duplicates", "duplicate"), ("c", "assembly", "low_support")], "name string, step string, reason string")
+    assert [r["event"] for r in events(rows).orderBy("name").collect()] == ["FAILED", "DUPLICATE", "FILTERED"]
