@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-j", "--skip-untagged", action="store_true")
     p.add_argument("-r", "--no-remap", action="store_true")
     p.add_argument("-u", "--debug", action="store_true")
-    p.add_argument("-b", "--assembler", choices=("wtdbg2", "abpoa", "shasta", "median-read"), default=d.assembler, help="abpoa and shasta are accepted, but wtdbg2 runs; median-read is a built-in approximation")
+    p.add_argument("-b", "--assembler", choices=("wtdbg2", "abpoa", "shasta", "consensus"), default=d.assembler, help="abpoa and shasta are accepted, but wtdbg2 runs; consensus is built in and needs no program")
     p.add_argument("-m", "--asm", action="store_true", help="preset for assemblies: every locus counts")
     p.add_argument("--remap-gaf", help="alignments of the alleles to the graph, instead of running the aligner")
     p.add_argument("--max-lines", type=int, help="alignments after so many lines are not read (all are, if not given)")
@@ -49,14 +49,13 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from .adapters.external import median_read
     from .plans.pipeline import run
     from .storage import clean
 
     os.makedirs(params.out, exist_ok=True)
     spark = SparkSession.builder.appName("lociloom").getOrCreate()
     try:
-        run(spark, params, median_read if params.assembler == "median-read" else None)
+        run(spark, params)
     finally:
         clean(spark)
     return 0

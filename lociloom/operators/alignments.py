@@ -1,4 +1,8 @@
-"""Filters, path resolution and coverage of alignments."""
+"""Filters, path resolution and coverage of alignments.
+
+Nulls: an alignment with a null mapping quality or mark of being primary is not valid, one with a null place on the read counts as neither mapped nor unmapped, one with a null path adds nothing to any contig; a
+null score counts as none in scored tables alone. Repeated lines count each. Empty tables give empty results, and contigs without alignments coverage 0.
+"""
 
 from __future__ import annotations
 

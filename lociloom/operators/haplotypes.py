@@ -1,4 +1,8 @@
-"""Haplotype split of clusters, assembly candidates and their gate."""
+"""Haplotype split of clusters, assembly candidates and their gate.
+
+Nulls: a read with a null haplotype is untagged, as is one that the table of tags has not; a null phase set does not change a tag. A contig without coverage has the least depth. Clusters without reads do not
+come through the split. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

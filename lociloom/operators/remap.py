@@ -1,4 +1,8 @@
-"""From alleles remapped to the graph to those put out: realignment, decision, duplicates, headers."""
+"""From alleles remapped to the graph to those put out: realignment, decision, duplicates, headers.
+
+Nulls: a line without a length or with one of zero has map ratio 0; a null quality or mark of being primary makes a line not good; alleles or paths without a sequence have no variant in their realignment. Lines of
+one number are ordered by their other fields. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

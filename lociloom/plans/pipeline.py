@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import external
 from ..functions.text import svtig_header
-from ..operators import alignments, clusters, haplotypes, loci, remap
+from ..operators import alignments, clusters, consensus, haplotypes, loci, remap
 from ..params import Params
 from ..sources import files, sinks
 from ..storage import scratch, written
@@ -49,7 +49,11 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
     tried = passed.select("name", "reads").union(unmapped.where("reason = 'pass'").select("name", "reads"))
     svtigs = passed.select("name", F.col("start").cast("int").alias("pos"), "contig", F.size("reads").alias("support"))
     reads = files.wanted_fasta(spark, params.fasta, tried.select(F.explode("reads").alias("name")), f"{base}/fasta-index")
-    done = written(external.attempts(tried, reads, assembler or external.wtdbg2_assembler(params)), f"{base}/attempts")
+    if assembler is None and params.assembler == "consensus":
+        done = consensus.attempts(tried, reads)
+    else:
+        done = external.attempts(tried, reads, assembler or external.wtdbg2_assembler(params))
+    done = written(done, f"{base}/attempts")
     contigs = done.where("sequence IS NOT NULL").drop("reason")
     gated = written(haplotypes.outcomes(gated, done), f"{base}/gated")
     reasons = gated.select("name", "reason").union(haplotypes.outcomes(unmapped.select("name", "reason"), done)).select("name", F.lit("assembly").alias("step"), "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -575,9 +575,8 @@ def fasta_output(spark: SparkSession, d: str) -> DataFrame:
     write_fasta(fasta_records(rm.headers(out), own), path)
     text = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\n\\z", "")
-    place = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    numbered = text.select(F.concat(F.lit(">"), record).alias("record"), place.alias("p"))
-    return numbered.select(F.row_number().over(Window.orderBy("p")).alias("place"), F.md5("record").alias("record_md5"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return numbered(text.select(F.concat(F.lit(">"), record).alias("record"), place.alias("line_no"))).select(F.col("line").cast("int").alias("place"), F.md5("record").alias("record_md5"))
 
 
 @query(OUTPUT_SQL + " SELECT name, unnest(list_filter([CASE WHEN contains(name, 'H1') THEN 'H1' END, CASE WHEN contains(name, 'H2') THEN 'H2' END, CASE WHEN NOT contains(name, 'H1') AND NOT contains(name, 'H2') THEN 'untagged' END], lambda x: x IS NOT NULL)) AS file FROM outp")
