@@ -36,6 +36,8 @@ UNITS = "mm|cm|km|m|mg|kg|g|t|ml|cl|l|lb|lbs|oz|ft|in|mi|mph|kmh|s|sec|min|h|hr|
 BROADCAST_BYTES = 16 << 20
 #: Windows begin at so many places of one part of a document: what is kept with a place of it does not grow with the text.
 PART = 128
+#: Of texts of so many words at most the parts are slices, each of which reads the whole array at once; of longer ones they are made word by word.
+SHORT = 16_384
 #: Between the words of one name, and in place of a number's marks.
 NAME, MARK = "\x01", "\x02"
 
@@ -92,7 +94,9 @@ def parts(rows: DataFrame, far: int) -> DataFrame:
 
     def cut(words: Column, over: int) -> Column:
         each = lambda b: some_of(words, b, F.least(F.lit(PART + over), F.size(words) - b))
-        return F.when(F.size(words) <= PART, F.array(words)).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(PART)), each))
+        begins = F.sequence(F.lit(0), F.size(words) - 1, F.lit(PART))
+        short = F.transform(begins, lambda b: F.slice(words, b + 1, PART + over))  # reads all words for each part, but as one block
+        return F.when(F.size(words) <= PART, F.array(words)).when(F.size(words) <= SHORT, short).otherwise(F.transform(begins, each))
 
     def firsts(raw: Column) -> Column:
         return F.aggregate(F.slice(raw, 1, F.size(raw) - 1), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + start_of(x, F.lit(PART)))))
