@@ -140,3 +140,16 @@ def test_edges(spark, odd):
     assert left.columns == odd.columns and left.count() == 6
     assert found(spark, odd.limit(0), some) == {} and found(spark, odd, some.limit(0)) == {}
     assert found(spark, spark.createDataFrame([(None, QUESTION)], "doc_id long, text string"), some).keys() == {(None, 0)}
+
+
+def test_slices_and_words_make_the_same_parts(spark, monkeypatch):
+    rng = random.Random(21)
+    item = "Each of the Miller children has 3 baskets that hold 1,200 apples from Old Town and they give away half of all"
+    texts = [" ".join([*(f"w{rng.randrange(90)}" for _ in range(n)), item.replace("Miller", "Baker").replace("3", "17"), *(f"W{k}" for k in range(n // 2))]) for n in (0, 100, 125, 128, 300, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "w1 w2 w3 w4 w5"), (3, texts[5][:400])], "item_id long, text string")
+    got = []
+    for short in (0, 10**9):
+        monkeypatch.setattr(tp, "SHORT", short)
+        got.append(sorted(map(tuple, tp.matches(docs, items).collect())))
+    assert got[0] == got[1] and {r[0] for r in got[0] if r[1] == 1} == set(range(6))
