@@ -63,7 +63,7 @@ class Plane:
         press = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         pieces = [raw[k : k + STEP // 8] for k in range(0, len(raw), STEP // 8)]
         ones = np.array([int(np.bitwise_count(x).sum()) for x in pieces], np.int64)
-        small = [min(press(x.tobytes()), x.tobytes(), key=len) for x in pieces]
+        small = [min(x.tobytes(), press(x.tobytes()), key=len) for x in pieces]  # of equal length as it is: readers go by the length
         return cls(len(bits), np.array([len(x) for x in small], "<u2"), np.concatenate([[0], np.cumsum(ones)]).astype("<u4"), b"".join(small))
 
     def _unpack(self, b: int) -> bytes:
