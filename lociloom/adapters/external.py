@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fetched
 from ..params import Params
 from ..session import ship
+from ..storage import by_shuffle
 
 log = logging.getLogger("lociloom")
 
@@ -114,7 +115,7 @@ def median_read(name: str, reads: list[tuple[str, str]]) -> list[str]:
 
 def read_sequences(passed: DataFrame, fasta: DataFrame) -> DataFrame:
     """name, read and sequence of the candidates' (name, reads) reads that have one; long ones are cut to MAX_FETCH bases."""
-    return passed.select("name", F.explode("reads").alias("read")).join(fasta.select(F.col("name").alias("read"), fetched("sequence").alias("sequence")), "read").select("name", "read", "sequence")
+    return passed.select("name", F.explode("reads").alias("read")).join(by_shuffle(fasta.select(F.col("name").alias("read"), fetched("sequence").alias("sequence"))), "read").select("name", "read", "sequence")
 
 
 def attempts(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import haplotype_of, parent_name, path_steps, reverse_complement, svtig_header
 from ..params import MIN_MAPQ_REMAP
 from ..session import ship
-from ..storage import scratch, written
+from ..storage import by_shuffle, scratch, written
 from .gap_affine import run_of_sv
 from .overlaps import GROUP, staying
 
@@ -23,7 +23,7 @@ from .overlaps import GROUP, staying
 def path_index(paths: DataFrame, sequences: DataFrame) -> DataFrame:
     """path, i, strand, node, first and after of each step of the distinct paths on a known node: the bases of the path before the step and up to its end."""
     step = paths.select("path").distinct().select("path", F.explode(path_steps(F.col("path"))).alias("s")).select("path", "s.*")
-    met = step.join(sequences.select(F.col("name").alias("node"), F.length("sequence").cast("long").alias("bases")), "node")
+    met = step.join(by_shuffle(sequences.select(F.col("name").alias("node"), F.length("sequence").cast("long").alias("bases"))), "node")
     after = F.sum("bases").over(Window.partitionBy("path").orderBy("i"))  # no more steps than the path's text has
     return met.select("path", "i", "strand", "node", (after - F.col("bases")).alias("first"), after.alias("after"))
 
@@ -43,7 +43,7 @@ def path_sequences(rows: DataFrame, nodes: DataFrame, sequences: DataFrame) -> D
     size = F.col("to") - F.col("first") - F.col("skip")
     at = F.when(F.col("strand") == "<", F.col("bases") - F.col("skip") - size).otherwise(F.col("skip"))
     piece = F.substring(F.col("sequence"), (at + 1).cast("int"), size.cast("int"))
-    part = cut.join(sequences.select(F.col("name").alias("node"), "sequence"), "node").select("path", "_start", "_end", "i", F.when(F.col("strand") == "<", reverse_complement(piece)).otherwise(piece).alias("part"))
+    part = cut.join(by_shuffle(sequences.select(F.col("name").alias("node"), "sequence")), "node").select("path", "_start", "_end", "i", F.when(F.col("strand") == "<", reverse_complement(piece)).otherwise(piece).alias("part"))
     whole = part.groupBy("path", "_start", "_end").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))  # a slice's pieces
     whole = whole.select(F.col("path").alias("_path"), "_start", "_end", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("path_sequence"))
     out = rows.join(whole, (F.col("path") == F.col("_path")) & (F.col("path_start") == F.col("_start")) & (F.col("path_end") == F.col("_end")), "left").drop("_path", "_start", "_end")

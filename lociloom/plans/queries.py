@@ -16,7 +16,7 @@ from ..sources.derived import SEQUENCE, derived, sequences, with_sql
 from ..adapters.external import attempts, median_read, read_sequences
 from ..sources.files import fasta_index, fetch_fasta, first_nodes, lines, numbered, parse_gaf, read_fasta, read_gaf, read_gfa, read_phase
 from ..sources.sinks import fasta_records, write_blocks, write_fasta
-from ..storage import scratch, written
+from ..storage import by_shuffle, scratch, written
 from ..streaming.loci import collect_signals, loci_so_far
 
 P = Params()
@@ -55,18 +55,22 @@ def _put(lines: DataFrame, spark: SparkSession, packed: bool = False) -> str:
     return path
 
 
-def _gfa(spark: SparkSession, d: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The graph as a GFA file, read back. Some segments stand twice (the first counts) and some lines are broken."""
+def _gfa_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as the lines of a GFA file. Some segments stand twice (the first counts) and some lines are broken."""
     s = lambda c: F.col(c).cast("string")
-    n = _nodes(spark, d).join(sequences(spark, d), "name")
+    n = _nodes(spark, d).join(by_shuffle(sequences(spark, d)), "name")
     line = F.concat_ws("\t", F.lit("S"), "name", "sequence", F.concat(F.lit("LN:i:"), s("len")), F.concat(F.lit("SN:Z:"), "contig"), F.concat(F.lit("SO:i:"), s("offset")))
     again = F.when(F.col("name").endswith("3"), F.concat_ws("\t", F.lit("S"), "name", F.lit("A\tLN:i:1\tSN:Z:other\tSO:i:7")))
     broken = F.when(F.col("name").endswith("5"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("x")), F.lit("A\tLN:i:1\tSN\tSO:i:7")))
     short = F.when(F.col("name").endswith("7"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("y")), F.lit("A\tLN:i:1")))
     text = F.when(F.col("name").endswith("9"), F.concat_ws("\t", F.lit("S"), F.concat("name", F.lit("z")), F.lit("A\tLN:i:one\tSN:Z:c\tSO:i:7")))
     edge = derived(spark, d, "gfa_edge").select(F.concat_ws("\t", F.lit("L"), "src", F.lit("+"), "dst", F.lit("+"), F.lit("0M")).alias("value"))
-    rows = n.select(F.concat_ws("\n", line, again, broken, short, text).alias("value")).union(edge)
-    return read_gfa(spark, _put(rows, spark, packed))
+    return n.select(F.concat_ws("\n", line, again, broken, short, text).alias("value")).union(edge)
+
+
+def _gfa(spark: SparkSession, d: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same file, read back."""
+    return read_gfa(spark, _put(_gfa_lines(spark, d), spark, packed))
 
 
 NODE_FILE_SQL = f"""SELECT name, len, "offset", contig, md5(sequence) AS sequence_md5 FROM gfa_node JOIN (SELECT concat('s', p_partkey::VARCHAR) AS name, {SEQUENCE} AS sequence FROM part) USING (name)"""
@@ -570,7 +574,7 @@ WRAPPED = "array_to_string(list_transform(range(0, (length(sequence) + 59) // 60
 def fasta_output(spark: SparkSession, d: str) -> DataFrame:
     """The alleles (here with a node's sequence each) as written to FASTA files, read back record by record in the files' order."""
     out = _output(spark, d)
-    own = out.select("name", F.regexp_extract("name", "(s[0-9]+)_", 1).alias("node")).join(sequences(spark, d).withColumnRenamed("name", "node"), "node")
+    own = out.select("name", F.regexp_extract("name", "(s[0-9]+)_", 1).alias("node")).join(by_shuffle(sequences(spark, d).withColumnRenamed("name", "node")), "node")
     path = scratch(spark, "fasta")
     write_fasta(fasta_records(rm.headers(out), own), path)
     text = spark.read.option("lineSep", "\n>").text(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fetched, wrapped
 from ..session import ship
+from ..storage import by_shuffle
 from . import blocks
 
 FILES = {"H1": "_svtigs_H1.fa", "H2": "_svtigs_H2.fa", "untagged": "_svtigs_untagged.fa", "": "_svtigs.fa"}
@@ -19,7 +20,7 @@ FILES = {"H1": "_svtigs_H1.fa", "H2": "_svtigs_H2.fa", "untagged": "_svtigs_unta
 
 def fasta_records(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     """name and record of the rows (name, header) that have a sequence, which is cut to MAX_FETCH bases and goes in lines of 60."""
-    return rows.join(sequences.select("name", fetched("sequence").alias("sequence")), "name").select("name", F.concat("header", F.lit("\n"), wrapped(F.col("sequence"))).alias("record"))
+    return rows.join(by_shuffle(sequences.select("name", fetched("sequence").alias("sequence"))), "name").select("name", F.concat("header", F.lit("\n"), wrapped(F.col("sequence"))).alias("record"))
 
 
 def write_fasta(records: DataFrame, path: str) -> None:

@@ -161,3 +161,19 @@ def test_general_is_printf(spark):
     values = [0.0, 0.3515625, 123456.5, 999999.5, 1e6, 1e-5, 0.0001, -2.5, 1e300, float("nan"), float("inf"), -float("inf"), *ties, *[rng.random() * 10 ** rng.randint(-8, 9) for _ in range(2000)]]
     got = spark.createDataFrame([(x,) for x in values], "x double").select("x", general(F.col("x")).alias("g")).collect()
     assert [r["g"] for r in got] == ["%g" % r["x"] for r in got]
+
+
+def test_no_sequences_are_broadcast(spark, data):
+    """A sequence that is worked out counts as 20 bytes in Spark's estimates, so that a table of gigabytes would go to the driver."""
+    from lociloom.adapters.external import read_sequences
+    from lociloom.operators.remap import path_index
+    from lociloom.plans.queries import _gfa_lines
+    from lociloom.sources.derived import derived, sequences
+    from lociloom.sources.sinks import fasta_records
+
+    seq, gaf = sequences(spark, data), derived(spark, data, "gaf")
+    heads = seq.select("name", F.lit(">x").alias("header"))
+    passed = spark.range(3).select(F.col("id").cast("string").alias("name"), F.array(F.lit("s1")).alias("reads"))
+    for df in (_gfa_lines(spark, data), fasta_records(heads, seq), path_index(gaf.select("path"), seq), read_sequences(passed, seq)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "name" in x]
