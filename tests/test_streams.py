@@ -82,3 +82,17 @@ def test_events_of_a_run(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} >= {("H1-s1_401", "assembly", "OK", "pass"), ("H1-s1_401", "remap", "KEPT", "sv_in_alignment"), ("H2-s1_401", "remap", "FILTERED", "no_mapping")}
     rows = spark.createDataFrame([("a", "assembly", "failed"), ("b", "duplicates", "duplicate"), ("c", "assembly", "low_support")], "name string, step string, reason string")
     assert [r["event"] for r in events(rows).orderBy("name").collect()] == ["FAILED", "DUPLICATE", "FILTERED"]
+
+
+def test_a_batch_needs_no_shuffle_and_no_state(spark, tmp_path):
+    """What a batch costs must follow from its own lines: no state for each read, no shuffle into many partitions."""
+    (tmp_path / "come").mkdir()
+    for k in range(3):
+        (tmp_path / "come" / f"{k}.gaf").write_text(gaf(random.Random(k), 5, 20))
+    nodes = spark.createDataFrame([("s1", 1000, 0, "c"), ("s2", 900, 1000, "c")], "name string, len int, offset int, contig string")
+    collect_signals(spark, str(tmp_path / "come"), nodes, str(tmp_path / "out"), str(tmp_path / "cp"), 1)
+    assert not list((tmp_path / "cp").rglob("state"))
+    lines = files.read_gaf(spark, str(tmp_path / "come"))
+    plan = loci.valid_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted(map(repr, loci_so_far(spark, str(tmp_path / "out")).collect())) == sorted(map(repr, loci.sv_loci(lines, nodes).collect()))
