@@ -49,9 +49,9 @@ def joined(c: str):
 
 
 def _put(lines: DataFrame, spark: SparkSession, packed: bool = False) -> str:
-    """The folder of text files that hold the lines; packed, all in one .gz file."""
+    """The folder of text files that hold the lines; packed, of .gz files, one for each task."""
     path = scratch(spark, "text")
-    (lines.coalesce(1) if packed else lines).write.option("compression", "gzip" if packed else "none").text(path)
+    lines.write.option("compression", "gzip" if packed else "none").text(path)
     return path
 
 
@@ -84,7 +84,7 @@ def gfa_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(NODE_FILE_SQL)
 def gfa_nodes_packed(spark: SparkSession, d: str) -> DataFrame:
-    """The same of a .gz file."""
+    """The same of .gz files."""
     return first_nodes(_gfa(spark, d, packed=True)[0]).select("name", "len", "offset", "contig", F.md5("sequence").alias("sequence_md5"))
 
 
@@ -119,7 +119,7 @@ def gaf_alignments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ALIGNED_SQL)
 def gaf_alignments_packed(spark: SparkSession, d: str) -> DataFrame:
-    """The same of a .gz file."""
+    """The same of .gz files."""
     return read_gaf(spark, _put(_gaf_text(_gaf(spark, d)), spark, packed=True)).select(*ALIGNED)
 
 

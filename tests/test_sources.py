@@ -177,3 +177,11 @@ def test_no_sequences_are_broadcast(spark, data):
     for df in (_gfa_lines(spark, data), fasta_records(heads, seq), path_index(gaf.select("path"), seq), read_sequences(passed, seq)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "name" in x]
+
+
+def test_packed_text_is_written_by_all_tasks(spark):
+    from lociloom.plans.queries import _put
+
+    path = _put(spark.range(0, 40, 1, 4).select(F.col("id").cast("string").alias("value")), spark, packed=True)
+    assert len([f for f in blocks.files_of(path) if f.endswith(".gz")]) == 4
+    assert sorted(int(r["value"]) for r in files.lines(spark, path).collect()) == list(range(40))
