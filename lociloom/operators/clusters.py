@@ -21,12 +21,13 @@ def within_nodes(loci: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
 
     A locus joins if it lies no further than dist from the last one, or if all its reads are in the cluster already; else it
     begins a new cluster. Loci that follow each other closely make islands, which only their first locus can tie to what is before,
-    so that few rows are left for the fold over a node's islands: a node has as many loci as bases at most. One shuffle, by node.
+    so that few rows are left for the fold over a node's islands: a node has as many loci as bases at most. One shuffle, by node; none if the loci come dealt out by node (base).
     Loci of unknown nodes are left out, as are those without a place; no reads count as an empty set. A node's name ends before its first colon.
     """
     known = nodes.select(F.col("name").alias("node")).distinct()
     reads = F.coalesce("reads", F.array().cast("array<string>"))
-    rows = loci.select(F.substring_index("node", ":", 1).alias("node"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", reads.alias("reads"))
+    base = F.col("base") if "base" in loci.columns else F.substring_index("node", ":", 1)
+    rows = loci.select(base.alias("node"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", reads.alias("reads"))
     rows = rows.where("pos IS NOT NULL").join(known, "node", "semi")
     place = Window.partitionBy("node").orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(place) > dist, F.lit(True)).cast("int")
