@@ -43,3 +43,14 @@ def test_clusters_of_dealt_loci_are_the_same(spark, data):
 
     found = [cl.within_nodes(lo.sv_loci(_gaf(spark, data), _nodes(spark, data), by_node), _nodes(spark, data), 100).select("node", "k", "start", F.array_join("reads", ",")) for by_node in (False, True)]
     assert found[0].exceptAll(found[1]).isEmpty() and found[1].exceptAll(found[0]).isEmpty()
+
+
+def test_ranges_are_no_more_than_a_bound(tmp_path):
+    from lociloom.sources import blocks
+
+    (tmp_path / "a.fa").write_bytes(b">r\nACGT\n" * 40_000)
+    reader = blocks.RecordsReader({"path": str(tmp_path), "range": "100"})
+    parts = reader.partitions()
+    assert len(parts) <= blocks.TASKS and parts[-1].end == 320_000
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 40_000
+    assert blocks.range_size([str(tmp_path / "a.fa")], 50_021) == 50_021
