@@ -113,9 +113,14 @@ def median_read(name: str, reads: list[tuple[str, str]]) -> list[str]:
     return [some[len(some) // 2]] if some else []
 
 
-def read_sequences(passed: DataFrame, fasta: DataFrame) -> DataFrame:
-    """name, read and sequence of the candidates' (name, reads) reads that have one; long ones are cut to MAX_FETCH bases."""
-    return passed.select("name", F.explode("reads").alias("read")).join(by_shuffle(fasta.select(F.col("name").alias("read"), fetched("sequence").alias("sequence"))), "read").select("name", "read", "sequence")
+def read_sequences(passed: DataFrame, fasta: DataFrame, every: bool = False) -> DataFrame:
+    """name, read and sequence of the candidates' (name, reads) reads that have one; long ones are cut to MAX_FETCH bases. every: reads without one and candidates without reads come too, with nulls."""
+    reads = passed.select("name", (F.explode_outer if every else F.explode)("reads").alias("read"))
+    return reads.join(by_shuffle(fasta.select(F.col("name").alias("read"), fetched("sequence").alias("sequence"))), "read", "left" if every else "inner").select("name", "read", "sequence")
+
+
+#: Bytes of contigs that attempts hands over at once.
+BATCH = 1 << 20
 
 
 def attempts(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:
@@ -123,36 +128,43 @@ def attempts(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataF
 
     The second contig of a candidate is named name_2, the third name_3. A candidate without any read sequence has the reason
     no_contig, as has one for which the assembler gives nothing. A candidate has MAX_CONTIG_DEPTH * 5 reads or so at most, as the
-    gate lets no more pass.
+    gate lets no more pass. The sequences are joined once; candidates without any go along with a null. Rows leave a task many at a time.
     """
     ship(passed.sparkSession)
-    rows = read_sequences(passed, fasta).repartition("name").sortWithinPartitions("name", "read")
+    rows = read_sequences(passed, fasta, every=True).repartition("name").sortWithinPartitions("name", "read")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, have = None, []
+        name, have, out, size = None, None, [], 0
 
-        def close() -> pa.RecordBatch:
+        def close() -> int:
             try:
-                got, reason = assembler(name, have), "no_contig"
+                got, reason = assembler(name, have) if have else [], "no_contig"
             except NoContigs as e:
                 got, reason = [], str(e)
-            names = [name if k == 0 else f"{name}_{k + 1}" for k in range(len(got))]
-            rows = [names, [name] * len(got), got, [None] * len(got)] if got else [[None], [name], [None], [reason]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=["name", "parent", "sequence", "reason"])
+            out.extend((name if k == 0 else f"{name}_{k + 1}", name, s, None) for k, s in enumerate(got))
+            if not got:
+                out.append((None, name, None, reason))
+            return 100 + sum(map(len, got))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["name", "parent", "sequence", "reason"])
 
         for b in batches:
             for n, r, s in zip(*(c.to_pylist() for c in b.columns)):
-                if n != name and have:
-                    yield close()
-                    have = []
-                name = n
-                have.append((r, s))
-        if have:
-            yield close()
-
-    tried = rows.mapInArrow(run, "name string, parent string, sequence string, reason string")
-    silent = passed.select(F.col("name").alias("parent")).join(rows.select(F.col("name").alias("parent")).distinct(), "parent", "anti")
-    return tried.unionByName(silent.select("parent", F.lit("no_contig").alias("reason")), allowMissingColumns=True)
+                if n != name or have is None:
+                    size += close() if have is not None else 0
+                    if size > BATCH:
+                        yield batch()
+                        out, size = [], 0
+                    name, have = n, []
+                if s is not None:
+                    have.append((r, s))
+        if have is not None:
+            close()
+        if out:
+            yield batch()
+
+    return rows.mapInArrow(run, "name string, parent string, sequence string, reason string")
 
 
 def assemble(passed: DataFrame, fasta: DataFrame, assembler: Assembler) -> DataFrame:

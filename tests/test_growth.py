@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lociloom.adapters.external import attempts, median_read
 from lociloom.operators import alignments as al
 from lociloom.plans.queries import QUERIES, _gaf, _nodes
 from lociloom.sources.derived import derived
@@ -54,3 +55,13 @@ def test_ranges_are_no_more_than_a_bound(tmp_path):
     assert len(parts) <= blocks.TASKS and parts[-1].end == 320_000
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 40_000
     assert blocks.range_size([str(tmp_path / "a.fa")], 50_021) == 50_021
+
+
+def test_attempts_join_sequences_once(spark):
+    passed = spark.createDataFrame([("n1", ["r1", "r2", "r9"]), ("n2", ["r9"]), ("n3", []), ("n4", ["r2"])], "name string, reads array<string>")
+    reads = spark.createDataFrame([("r1", "A"), ("r2", "CC")], "name string, sequence string")
+    made = attempts(passed, reads, median_read)
+    assert plan(made).count("Join") == 1
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("n1", "n1", "CC", None), ("n4", "n4", "CC", None), (None, "n2", None, "no_contig"), (None, "n3", None, "no_contig")], key=str)
+
+
