@@ -57,13 +57,20 @@ def node_table(nodes: DataFrame) -> DataFrame:
     return F.broadcast(lean) if lean.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else lean
 
 
+#: The known steps of a path, with the sums of the lengths of those before (before) and up to its end (upto; at the last step of all that before it).
+_KNOWN = """aggregate(filter(steps, s -> s.present), named_struct('at', 0L, 'out', cast(array() AS array<struct<i:int,strand:string,node:string,len:bigint,offset:bigint,contig:string,before:bigint,upto:bigint>>)),
+ (a, s) -> named_struct('at', a.at + s.len, 'out', concat(a.out, array(named_struct('i', s.i, 'strand', s.strand, 'node', s.node, 'len', s.len, 'offset', s.offset, 'contig', s.contig,
+   'before', a.at, 'upto', IF(s.i < size(steps), a.at + s.len, a.at))))),
+ a -> a.out)"""
+
+
 def resolved(alignments: DataFrame, nodes: DataFrame, paths_of: DataFrame | None = None) -> DataFrame:
-    """alignments with steps: array of struct(i, strand, node, len, offset, contig, present), n of them. Each distinct path is looked up once. paths_of: a table that has their paths and is cheaper to work out."""
+    """alignments with steps: array of struct(i, strand, node, len, offset, contig, present), n of them, and known, those of known nodes (_KNOWN). Each distinct path is looked up once. paths_of: a table that has their paths and is cheaper to work out."""
     step = (alignments if paths_of is None else paths_of).select("path").distinct().select("path", F.explode(path_steps(F.col("path"))).alias("s")).select("path", "s.*")
     table = node_table(nodes).withColumn("present", F.lit(True))
     met = step.join(table, step["node"] == table["name"], "left").select("path", F.struct("i", "strand", "node", F.col("len").cast("long").alias("len"), F.col("offset").cast("long").alias("offset"), "contig", F.coalesce("present", F.lit(False)).alias("present")).alias("s"))
-    paths = met.groupBy("path").agg(F.sort_array(F.collect_list("s")).alias("steps"))
-    return alignments.join(paths, "path").withColumn("n", F.size("steps"))
+    paths = met.groupBy("path").agg(F.sort_array(F.collect_list("s")).alias("steps")).select("path", "steps", F.size("steps").alias("n"), F.expr(_KNOWN).alias("known"))
+    return alignments.join(paths, "path")
 
 
 def credits(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
