@@ -63,7 +63,7 @@ def run(spark: SparkSession, settings: Config, tables: str, out: str) -> DataFra
     base = scratch(spark, "atlas")
     lines, nodes = derived(spark, tables, "gaf"), derived(spark, tables, "gfa_node")
     log.info("read %s: %d alignments, %d nodes", tables, lines.count(), nodes.count())
-    found = written(clusters.within_nodes(loci.sv_loci(lines, nodes, by_node=True), nodes, settings.dist), f"{base}/within")
+    found = written(clusters.of_signals(loci.signals(lines, nodes), nodes, settings.dist, last=True), f"{base}/within")
     final = clusters.final_clusters(clusters.merge_neighbours(found, derived(spark, tables, "gfa_edge"), nodes, settings.dist, gone_too=False), settings.support)
     split = haplotypes.phase_split(final, derived(spark, tables, "phase"))
     rows = atlas(split, alignments.contig_coverage(lines, nodes), settings)

@@ -8,34 +8,47 @@ from pyspark.sql import functions as F
 from ..storage import drop, scratch, written
 from .kernel import FEW, stays
 
-#: Goes over a node's islands in order. An island whose first locus brings no read that the last cluster lacks joins it.
+#: Goes over a node's islands in order (the reads of the first locus are begun). An island whose first locus brings no read that the last cluster lacks joins it.
 _FOLD = """aggregate(islands, cast(array() AS array<struct<start:bigint,ref:bigint,contig:string,reads:array<string>>>),
  (done, x) -> transform(array(try_element_at(done, -1)), z ->
-   IF(z IS NOT NULL AND size(array_except(x.first.reads, z.reads)) = 0,
+   IF(z IS NOT NULL AND size(array_except(x.begun, z.reads)) = 0,
      concat(slice(done, 1, size(done) - 1), array(named_struct('start', z.start, 'ref', z.ref, 'contig', z.contig, 'reads', array_union(z.reads, x.reads)))),
-     concat(done, array(named_struct('start', x.first.pos, 'ref', x.first.ref, 'contig', x.first.contig, 'reads', x.reads)))))[0])"""
+     concat(done, array(named_struct('start', x.start, 'ref', x.ref, 'contig', x.contig, 'reads', x.reads)))))[0])"""
 
 
-def within_nodes(loci: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
-    """Clusters (node, k from 1, start, ref, contig, reads), by each node's loci in order of place.
+def within_nodes(loci: DataFrame, nodes: DataFrame, dist: int, last: bool = False) -> DataFrame:
+    """Clusters (node, k from 1, start, ref, contig, reads; last: and whether it is its node's last one), by each node's loci in order of place.
 
     A locus joins if it lies no further than dist from the last one, or if all its reads are in the cluster already; else it
     begins a new cluster. Loci that follow each other closely make islands, which only their first locus can tie to what is before,
     so that few rows are left for the fold over a node's islands: a node has as many loci as bases at most. One shuffle, by node; none if the loci come dealt out by node (base).
     Loci of unknown nodes are left out, as are those without a place; no reads count as an empty set. A node's name ends before its first colon.
     """
-    known = nodes.select(F.col("name").alias("node")).distinct()
-    reads = F.coalesce("reads", F.array().cast("array<string>"))
     base = F.col("base") if "base" in loci.columns else F.substring_index("node", ":", 1)
-    rows = loci.select(base.alias("node"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", reads.alias("reads"))
-    rows = rows.where("pos IS NOT NULL").join(known, "node", "semi")
-    place = Window.partitionBy("node").orderBy("pos")
-    apart = F.coalesce(F.col("pos") - F.lag("pos").over(place) > dist, F.lit(True)).cast("int")
-    rows = rows.withColumn("apart", apart).withColumn("island", F.sum("apart").over(place))
-    island = rows.groupBy("node", "island").agg(F.min_by(F.struct("pos", "ref", "contig", "reads"), "pos").alias("first"), F.array_distinct(F.flatten(F.collect_list("reads"))).alias("reads"))
-    node = island.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("island", "first", "reads"))).alias("islands"))
-    each = node.select("node", F.posexplode(F.expr(_FOLD)).alias("k", "c"))
-    return each.select("node", (F.col("k") + 1).alias("k"), "c.start", "c.ref", "c.contig", F.sort_array("c.reads").alias("reads"))
+    return _folded(loci.select(base.alias("base"), "node", "pos", "ref", "contig", F.explode_outer("reads").alias("read")), nodes, dist, last)
+
+
+def of_signals(found: DataFrame, nodes: DataFrame, dist: int, last: bool = False) -> DataFrame:
+    """The clusters of the loci that signals make, without putting these loci together."""
+    return _folded(found.select(F.substring_index("node", ":", 1).alias("base"), "node", "pos", "ref", "contig", "read"), nodes, dist, last)
+
+
+def _folded(rows: DataFrame, nodes: DataFrame, dist: int, last: bool) -> DataFrame:
+    """Clusters from a row for each read at a locus. They are sorted by node and place once, and put together by island; unknown nodes are left out of what is left then."""
+    known = nodes.select(F.col("name").alias("node")).distinct()
+    rest = F.substring(F.col("node"), F.length("base") + 1, F.length("node"))
+    rows = rows.where("pos IS NOT NULL").select(F.col("base").alias("node"), rest.alias("rest"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", "read")
+    place = Window.partitionBy("node").orderBy("pos", "rest")
+    rows = rows.withColumn("apart", F.coalesce(F.col("pos") - F.lag("pos").over(place) > dist, F.lit(True)))
+    so_far = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"start": F.max(F.when(F.col("apart"), F.col("pos"))).over(so_far), "head": F.last(F.when(F.col("apart"), F.col("rest")), ignorenulls=True).over(so_far)})
+    first = lambda c: F.when((F.col("pos") == F.col("start")) & (F.col("rest") == F.col("head")), F.col(c))
+    island = rows.groupBy("node", "start").agg(F.min(first("ref")).alias("ref"), F.min(first("contig")).alias("contig"), F.collect_set(first("read")).alias("begun"), F.collect_set("read").alias("reads"))
+    node = island.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "ref", "contig", "begun", "reads"))).alias("islands")).join(known, "node", "semi")
+    clusters = node.select("node", F.expr(_FOLD).alias("clusters"))
+    each = clusters.select("node", F.size("clusters").alias("n"), F.posexplode("clusters").alias("k", "c"))
+    out = each.select("node", (F.col("k") + 1).alias("k"), "c.start", "c.ref", "c.contig", F.sort_array("c.reads").alias("reads"), (F.col("k") + 1 == F.col("n")).alias("last"))
+    return out if last else out.drop("last")
 
 
 def candidates(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
@@ -93,19 +106,22 @@ def merge_neighbours(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, di
     """Clusters with their final reads, and merged_away. Clusters that are merged away have what they took in before only if gone_too, else their own reads.
 
     Whether two clusters lie near enough never changes, so that the order of visits comes down to who is active (kernel.py) and what comes
-    to whom: rounds of joins, of which none gathers a connected component. No reads count as an empty set; clusters of unknown nodes take no part.
+    to whom: rounds of joins, of which none gathers a connected component. No reads count as an empty set; clusters of unknown nodes take no part. Where it is known which are their
+    nodes' last ones (the column last, from within_nodes), those between a node's first and last one, which nothing can touch, go through no shuffle.
     """
     base = scratch(clusters.sparkSession, "neighbours")
-    near = written(candidates(clusters, edges, nodes, dist), f"{base}/near")
+    ends, between = (clusters.where("k = 1 OR last"), clusters.where("NOT (k = 1 OR last)")) if "last" in clusters.columns else (clusters, None)
+    near = written(candidates(ends, edges, nodes, dist), f"{base}/near")
     took = written(visits(near, few), f"{base}/took")
     moves = taken(took, gone_too).select(F.col("y").alias("node"), F.lit(1).alias("k"), F.col("x").alias("from_node"), F.col("x_k").alias("from_k"))
-    given = moves.join(clusters.select(F.col("node").alias("from_node"), F.col("k").alias("from_k"), F.col("reads").alias("more")), ["from_node", "from_k"])
+    given = moves.join(ends.select(F.col("node").alias("from_node"), F.col("k").alias("from_k"), F.col("reads").alias("more")), ["from_node", "from_k"])
     given = given.groupBy("node", "k").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
     gone = took.select(F.col("x").alias("node"), F.col("x_k").alias("k")).distinct().withColumn("merged_away", F.lit(True))
-    out = clusters.join(given, ["node", "k"], "left").join(gone, ["node", "k"], "left")
+    out = ends.join(given, ["node", "k"], "left").join(gone, ["node", "k"], "left")
     empty = F.array().cast("array<string>")
-    reads = F.sort_array(F.array_union(F.coalesce("reads", empty), F.coalesce("more", empty)))
-    return out.select("node", "k", "start", "ref", "contig", reads.alias("reads"), F.coalesce("merged_away", F.lit(False)).alias("merged_away"))
+    told = lambda df, more, away: df.select("node", "k", "start", "ref", "contig", F.sort_array(F.array_union(F.coalesce("reads", empty), more)).alias("reads"), away.alias("merged_away"))
+    out = told(out, F.coalesce("more", empty), F.coalesce("merged_away", F.lit(False)))
+    return out if between is None else out.unionByName(told(between, empty, F.lit(False)))
 
 
 def final_clusters(merged: DataFrame, support: int) -> DataFrame:

@@ -39,7 +39,7 @@ def run(spark: SparkSession, params: Params, assembler: external.Assembler | Non
     nodes = written(files.first_nodes(nodes), f"{base}/nodes")
     aligned = written(files.read_gaf(spark, params.gaf, params.max_lines), f"{base}/alignments")
     coverage = written(alignments.contig_coverage(aligned, nodes), f"{base}/coverage")
-    found = written(clusters.within_nodes(loci.sv_loci(aligned, nodes), nodes, params.dist), f"{base}/within")
+    found = written(clusters.of_signals(loci.signals(aligned, nodes), nodes, params.dist, last=True), f"{base}/within")
     final = written(clusters.final_clusters(clusters.merge_neighbours(found, edges, nodes, params.dist, gone_too=False), params.support), f"{base}/clusters")
     phase = files.read_phase(spark, params.phase) if params.phase else None
     split = haplotypes.phase_split(final, phase)

@@ -327,12 +327,13 @@ def signal_counters(spark: SparkSession, d: str) -> DataFrame:
     return lo.signal_counters(derived(spark, d, "gaf_by_read"), _nodes(spark, d))
 
 
-def _loci(spark, d, by_node=False):
-    return lo.sv_loci(derived(spark, d, "gaf_by_read"), _nodes(spark, d), by_node)
+def _loci(spark, d):
+    return lo.sv_loci(derived(spark, d, "gaf_by_read"), _nodes(spark, d))
 
 
-def _clusters(spark, d):
-    return cl.within_nodes(_loci(spark, d, by_node=True), _nodes(spark, d), P.dist)
+def _clusters(spark, d, last=False):
+    nodes = _nodes(spark, d)
+    return cl.of_signals(lo.signals(derived(spark, d, "gaf_by_read"), nodes), nodes, P.dist, last)
 
 
 CLUSTER_SQL = (
@@ -384,7 +385,7 @@ MERGED_SQL = (
 
 
 def _merged(spark, d, gone_too=False):
-    clusters = written(_clusters(spark, d), scratch(spark, "clusters"))
+    clusters = written(_clusters(spark, d, last=True), scratch(spark, "clusters"))
     return cl.merge_neighbours(clusters, derived(spark, d, "gfa_edge"), _nodes(spark, d), P.dist, gone_too)
 
 

@@ -65,3 +65,45 @@ def test_attempts_join_sequences_once(spark):
     assert sorted(map(tuple, made.collect()), key=str) == sorted([("n1", "n1", "CC", None), ("n4", "n4", "CC", None), (None, "n2", None, "no_contig"), (None, "n3", None, "no_contig")], key=str)
 
 
+
+
+def test_a_path_brings_its_sums_of_lengths(spark):
+    nodes = spark.createDataFrame([("a", 50, 0, "x"), ("b", 60, 50, "x"), ("c", 100, 0, "y")], "name string, len int, offset int, contig string")
+    got = {r["path"]: [(k["i"], k["node"], k["before"], k["upto"]) for k in r["known"]] for r in al.resolved(lines(spark, {}, {"path": "<q>a>c"}, {"path": ">q"}), nodes).collect()}
+    assert got == {">a>b>c": [(1, "a", 0, 50), (2, "b", 50, 110), (3, "c", 110, 110)], "<q>a>c": [(2, "a", 0, 50), (3, "c", 50, 50)], ">q": []}
+
+
+def test_clusters_of_signals_put_no_loci_together(spark, data):
+    from lociloom.operators import clusters as cl, loci as lo
+
+    loci = cl.within_nodes(lo.sv_loci(_gaf(spark, data), _nodes(spark, data)), _nodes(spark, data), 100, last=True)
+    found = cl.of_signals(lo.signals(_gaf(spark, data), _nodes(spark, data)), _nodes(spark, data), 100, last=True)
+    assert loci.exceptAll(found).isEmpty() and found.exceptAll(loci).isEmpty()
+    assert found.where("last").count() == found.select("node").distinct().count()
+    # reads are collected for islands only, and a node's islands once
+    assert plan(found).count("partial_collect") < plan(loci).count("partial_collect")
+
+
+def test_loci_of_nodes_that_share_a_base_and_a_place(spark):
+    from lociloom.operators import clusters as cl
+
+    some = [("n:1", 500, 7, "c", ["r2"]), ("n:2", 500, 8, "c", ["r3"]), ("n", 5, 9, "c", ["r2"]), ("n", 900, 9, "c", []), ("n", None, 9, "c", ["r9"])]
+    loci = spark.createDataFrame(some, "node string, pos long, ref long, contig string, reads array<string>")
+    nodes = spark.createDataFrame([("n", 1000, 0, "c")], "name string, len int, offset int, contig string")
+    got = [(r["k"], r["start"], r["ref"], list(r["reads"])) for r in cl.within_nodes(loci, nodes, 10).collect()]
+    assert got == [(1, 5, 9, ["r2", "r3"])]  # the first locus at 500 brings no new read, nor does the one without reads
+
+
+def test_clusters_between_the_ends_of_a_node_go_through_no_shuffle(spark):
+    from lociloom.operators import clusters as cl
+
+    schema = "node string, k int, start long, ref long, contig string, reads array<string>, last boolean"
+    rows = [(n, k, s, s, "c", [f"{n}{k}"], k == 3) for n in "abcd" for k, s in ((1, 5), (2, 50), (3, 97))]
+    both = spark.createDataFrame(rows, schema)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a")], "src string, dst string")
+    nodes = spark.createDataFrame([(n, 100, 0, "c") for n in "abcd"], "name string, len int, offset int, contig string")
+    told = cl.merge_neighbours(both, edges, nodes, 20)
+    want = cl.merge_neighbours(both.drop("last"), edges, nodes, 20)
+    assert sorted(map(str, told.collect())) == sorted(map(str, want.collect())) and told.where("merged_away").count() == 3
+    p = plan(told)
+    assert "Union" in p and "Exchange" not in p[p.rindex("(NOT (k") if "(NOT (k" in p else p.rindex("NOT"):]
