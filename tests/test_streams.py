@@ -96,3 +96,37 @@ def test_a_batch_needs_no_shuffle_and_no_state(spark, tmp_path):
     plan = loci.valid_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert sorted(map(repr, loci_so_far(spark, str(tmp_path / "out")).collect())) == sorted(map(repr, loci.sv_loci(lines, nodes).collect()))
+
+
+def test_places_in_short_keep_the_order_of_files_and_lines(spark, tmp_path):
+    """A line's place goes through the shuffles as a number, not with the name of its file."""
+    from lociloom.streaming.loci import in_short
+
+    places = [(f, b, i) for f in ("a", "b/c", "b10", "b9") for b in (0, 128, 9000) for i in (0, 7, (5 << 33) + 1, (5 << 33) + 2)]
+    places = [p for k, p in enumerate(places) if (p[2] >> 33 == 5) == (p[1] == 128)]  # a block's lines are read by one task
+    random.Random(3).shuffle(places)
+    lines = spark.createDataFrame([(p, f"r{k}") for k, p in enumerate(places)], "line_no struct<file:string,block:long,id:long>, read string")
+    got = in_short(lines, str(tmp_path / "blocks"))
+    assert got.schema["line_no"].dataType.simpleString() == "bigint" and got.select("line_no").distinct().count() == len(places)
+    assert [r["read"] for r in got.orderBy("line_no").collect()] == [r["read"] for r in lines.orderBy("line_no").collect()]
+
+
+def test_asking_for_loci_reads_the_lines_of_a_stream_into_two_shuffles(spark, tmp_path):
+    """Lines go through a shuffle by read and one by path, once each; of the lines' paths alone there is another."""
+    (tmp_path / "come").mkdir()
+    for k in range(3):
+        (tmp_path / "come" / f"{k}.gaf").write_text(gaf(random.Random(k), 5, 20))
+    nodes = spark.createDataFrame([("s1", 1000, 0, "c"), ("s2", 900, 1000, "c")], "name string, len int, offset int, contig string")
+    collect_signals(spark, str(tmp_path / "come"), nodes, str(tmp_path / "out"), str(tmp_path / "cp"), 1)
+    plan = loci_so_far(spark, str(tmp_path / "out"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("begins#") and plan.count("Window [count(1)") == 1 and plan.count("/lines]") <= 2 and "Repartition" in plan
+    assert "file" not in plan[: plan.index("Repartition")]
+
+
+def test_lines_are_sorted_before_they_are_made(spark, data):
+    """The GAF text of the stream's query comes from the sorted columns of the table, in the order of the ranks."""
+    from lociloom.plans.queries import ALIGNED, _gaf
+    from lociloom.sources.derived import gaf_in_order
+
+    want = [tuple(r) for r in _gaf(spark, data).orderBy("line_no").select(*ALIGNED).collect()]
+    assert [tuple(r) for r in gaf_in_order(spark, data).select(*ALIGNED).collect()] == want
