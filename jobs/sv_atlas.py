@@ -43,30 +43,28 @@ class Config:
 
 
 def atlas(split: DataFrame, coverage: DataFrame, settings: Config) -> DataFrame:
-    """The rows from clusters split by haplotype: each cluster's candidates go through the gate and come together again."""
-    gated = haplotypes.gate(haplotypes.candidates(split, phased=True, skip_untagged=settings.skip_untagged), coverage, settings.support)
-    own = lambda hap, c: F.max(F.when(F.col("hap") == hap, c))
-    counts = {"h1": "H1", "h2": "H2", "untagged": "None"}
-    rows = gated.groupBy("node", "k").agg(
-        *[F.any_value(c).alias(c) for c in ("contig", "start", "ref", "cluster_reads", "depth")],
-        *[F.coalesce(own(hap, F.size("reads")), F.lit(0)).alias(c) for c, hap in counts.items()],
-        *[own(hap, F.col("reason")).alias(f"{c}_gate") for c, hap in counts.items()],
-    )
+    """The rows from clusters tallied by haplotype: what the gate says of each haplotype is worked out within a cluster's row."""
+    deep, least = haplotypes.with_depth(split.withColumn("reads", F.expr("h1 + h2 + untagged")), coverage), haplotypes.least_reads(settings.support)
+    counts = ("h1", "h2") if settings.skip_untagged else ("h1", "h2", "untagged")
+    if settings.skip_untagged:
+        deep = deep.withColumns({"untagged": F.lit(0), "untagged_gate": F.lit(None).cast("string")})
+    rows = deep.withColumns({f"{c}_gate": haplotypes.reason(F.col("depth"), F.col("reads"), F.col(c), least) for c in counts})
     passed = lambda c: F.coalesce(F.col(f"{c}_gate") == "pass", F.lit(False))
     zygosity = F.when(passed("h1") & passed("h2"), "1|1").when(passed("h1"), "1|0").when(passed("h2"), "0|1").when(passed("untagged"), "0/1").otherwise("./.")
-    rows = rows.withColumns({"bin": F.floor(F.col("ref") / settings.bin_size), "reads": F.col("cluster_reads"), "zygosity": zygosity})
+    rows = rows.withColumns({"bin": F.floor(F.col("ref") / settings.bin_size), "zygosity": zygosity})
     return rows.selectExpr(*[f"CAST({n} AS {t}) AS {n}" for n, t in (c.split(" ") for c in COLUMNS.split(", "))])
 
 
 def run(spark: SparkSession, settings: Config, tables: str, out: str) -> DataFrame:
-    """Makes the atlas of the tables' folder below out, and gives it as read back."""
+    """Makes the atlas of the tables' folder below out, and gives it as read back. Paths are looked up once, for both coverage and signals."""
     base = scratch(spark, "atlas")
     lines, nodes = derived(spark, tables, "gaf"), derived(spark, tables, "gfa_node")
     log.info("read %s: %d alignments, %d nodes", tables, lines.count(), nodes.count())
-    found = written(clusters.of_signals(loci.signals(lines, nodes), nodes, settings.dist, last=True), f"{base}/within")
+    paths = written(alignments.with_steps(alignments.path_sums(lines), nodes).drop("steps"), f"{base}/paths")
+    coverage = written(alignments.coverage_of(alignments.credits_of(paths), nodes), f"{base}/coverage")
+    found = written(clusters.of_signals(loci.on_paths(loci.signal_rows(lines), paths), nodes, settings.dist, last=True), f"{base}/within")
     final = clusters.final_clusters(clusters.merge_neighbours(found, derived(spark, tables, "gfa_edge"), nodes, settings.dist, gone_too=False), settings.support)
-    split = haplotypes.phase_split(final, derived(spark, tables, "phase"))
-    rows = atlas(split, alignments.contig_coverage(lines, nodes), settings)
+    rows = atlas(haplotypes.tallied(final, derived(spark, tables, "phase")), coverage, settings)
     put = (rows.where(F.col("contig").isin(settings.contigs)) if settings.contigs else rows).repartition("contig").sortWithinPartitions("contig", "ref", "node", "k").write.mode("overwrite").partitionBy("contig")
     put.option("partitionOverwriteMode", "dynamic" if settings.contigs else "static").parquet(out)
     made = read(spark, out)

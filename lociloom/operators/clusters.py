@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..storage import drop, scratch, written
 from .kernel import FEW, stays
 
-#: Goes over a node's islands in order (the reads of the first locus are begun). An island whose first locus brings no read that the last cluster lacks joins it.
-_FOLD = """aggregate(islands, cast(array() AS array<struct<start:bigint,ref:bigint,contig:string,reads:array<string>>>),
- (done, x) -> transform(array(try_element_at(done, -1)), z ->
-   IF(z IS NOT NULL AND size(array_except(x.begun, z.reads)) = 0,
-     concat(slice(done, 1, size(done) - 1), array(named_struct('start', z.start, 'ref', z.ref, 'contig', z.contig, 'reads', array_union(z.reads, x.reads)))),
-     concat(done, array(named_struct('start', x.start, 'ref', x.ref, 'contig', x.contig, 'reads', x.reads)))))[0])"""
+_CLUSTER = "node string, k int, start bigint, ref bigint, contig string, reads array<string>, last boolean"
 
 
 def within_nodes(loci: DataFrame, nodes: DataFrame, dist: int, last: bool = False) -> DataFrame:
     """Clusters (node, k from 1, start, ref, contig, reads; last: and whether it is its node's last one), by each node's loci in order of place.
 
     A locus joins if it lies no further than dist from the last one, or if all its reads are in the cluster already; else it
-    begins a new cluster. Loci that follow each other closely make islands, which only their first locus can tie to what is before,
-    so that few rows are left for the fold over a node's islands: a node has as many loci as bases at most. One shuffle, by node; none if the loci come dealt out by node (base).
+    begins a new cluster. One shuffle, by node, in which the loci are sorted by place.
     Loci of unknown nodes are left out, as are those without a place; no reads count as an empty set. A node's name ends before its first colon.
     """
     base = F.col("base") if "base" in loci.columns else F.substring_index("node", ":", 1)
@@ -34,23 +32,81 @@ def of_signals(found: DataFrame, nodes: DataFrame, dist: int, last: bool = False
 
 
 def _folded(rows: DataFrame, nodes: DataFrame, dist: int, last: bool) -> DataFrame:
-    """Clusters from a row for each read at a locus. They are sorted by node and place once, and put together by island; unknown nodes are left out of what is left then."""
-    known = nodes.select(F.col("name").alias("node")).distinct()
+    """Clusters from a row for each read at a locus. These are dealt out and sorted by node and place once, each node's own row before them, and a task goes over them in that order; it holds one cluster's reads."""
+    ship(rows.sparkSession)
     rest = F.substring(F.col("node"), F.length("base") + 1, F.length("node"))
-    rows = rows.where("pos IS NOT NULL").select(F.col("base").alias("node"), rest.alias("rest"), F.col("pos").cast("long").alias("pos"), F.col("ref").cast("long").alias("ref"), "contig", "read")
-    place = Window.partitionBy("node").orderBy("pos", "rest")
-    rows = rows.withColumn("apart", F.coalesce(F.col("pos") - F.lag("pos").over(place) > dist, F.lit(True)))
-    so_far = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"start": F.max(F.when(F.col("apart"), F.col("pos"))).over(so_far), "head": F.last(F.when(F.col("apart"), F.col("rest")), ignorenulls=True).over(so_far)})
-    first = lambda c: F.when((F.col("pos") == F.col("start")) & (F.col("rest") == F.col("head")), F.col(c))
-    island = rows.groupBy("node", "start").agg(F.min(first("ref")).alias("ref"), F.min(first("contig")).alias("contig"), F.collect_set(first("read")).alias("begun"), F.collect_set("read").alias("reads"))
-    node = island.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "ref", "contig", "begun", "reads"))).alias("islands")).join(known, "node", "semi")
-    clusters = node.select("node", F.expr(_FOLD).alias("clusters"))
-    each = clusters.select("node", F.size("clusters").alias("n"), F.posexplode("clusters").alias("k", "c"))
-    out = each.select("node", (F.col("k") + 1).alias("k"), "c.start", "c.ref", "c.contig", F.sort_array("c.reads").alias("reads"), (F.col("k") + 1 == F.col("n")).alias("last"))
+    rows = rows.where("base IS NOT NULL AND pos IS NOT NULL").select(F.col("base").alias("node"), F.col("pos").cast("long").alias("pos"), rest.alias("rest"), F.col("ref").cast("long").alias("ref"), "contig", "read")
+    null = lambda kind: F.lit(None).cast(kind)
+    known = nodes.where("name IS NOT NULL").select(F.col("name").alias("node"), null("long").alias("pos"), null("string").alias("rest"), null("long").alias("ref"), null("string").alias("contig"), null("string").alias("read"))
+    dealt = rows.unionByName(known).repartition("node").sortWithinPartitions("node", "pos", "rest")
+    out = dealt.mapInArrow(lambda batches: fold(batches, dist), _CLUSTER)
     return out if last else out.drop("last")
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python objects, by numpy, as to_pylist takes ten times as long."""
+    if not column.null_count or not pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return [v if there else None for v, there in zip(column.fill_null(0).to_numpy().tolist(), column.is_valid().to_numpy(zero_copy_only=False).tolist())]
+
+
+def fold(batches: Iterator[pa.RecordBatch], dist: int) -> Iterator[pa.RecordBatch]:
+    """Clusters of rows node, pos, rest, ref, contig, read in the order of node, place and rest. A row without a place says that its node is known; nodes that have none are left out."""
+    kinds = [("node", pa.string()), ("k", pa.int32()), ("start", pa.int64()), ("ref", pa.int64()), ("contig", pa.string()), ("reads", pa.list_(pa.string())), ("last", pa.bool_())]
+    done: list[tuple] = []
+    held, node, known, at, cluster, locus = 0, None, False, 0, None, None
+
+    def close() -> None:
+        """The locus goes into the cluster, or begins another."""
+        nonlocal cluster, at
+        pos, _, ref, contig, reads = locus
+        if cluster is not None and (pos - at <= dist or reads <= cluster[5]):
+            cluster[5].update(reads)
+        else:
+            if cluster is not None:
+                put(False)
+            cluster = [node, cluster[1] + 1 if cluster else 1, pos, ref, contig, reads]
+        at = pos
+
+    def put(last: bool) -> None:
+        nonlocal held
+        done.append((*cluster[:5], sorted(cluster[5]), last))
+        held += len(cluster[5]) + 1
+
+    def record() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done), kinds)], names=[n for n, _ in kinds])
+
+    for batch in batches:
+        for name, pos, rest, ref, contig, read in zip(*map(_values, batch.columns)):
+            if name != node:
+                if locus is not None:
+                    close()
+                    put(True)
+                node, known, cluster, locus = name, False, None, None
+            if pos is None:
+                known = True
+            elif known:
+                if locus is None or locus[0] != pos or locus[1] != rest:
+                    if locus is not None:
+                        close()
+                    locus = [pos, rest, ref, contig, set()]
+                else:
+                    if ref is not None and (locus[2] is None or ref < locus[2]):
+                        locus[2] = ref
+                    if contig is not None and (locus[3] is None or contig < locus[3]):
+                        locus[3] = contig
+                if read is not None:
+                    locus[4].add(read)
+        if held > 50_000:
+            yield record()
+            done, held = [], 0
+    if locus is not None:
+        close()
+        put(True)
+    if done:
+        yield record()
+
+
 def candidates(clusters: DataFrame, edges: DataFrame, nodes: DataFrame, dist: int) -> DataFrame:
     """Edges (x -> y) over which y's first cluster lies nearer than dist to x's last one: y, x, ord, y_k, x_k (cluster numbers), distance."""
     ends = clusters.groupBy("node").agg(F.min(F.struct("k", "start")).alias("front"), F.max(F.struct("k", "start")).alias("back"))

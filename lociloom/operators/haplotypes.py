@@ -6,7 +6,7 @@ come through the split. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import MAX_CONTIG_DEPTH, MIN_DEPTH
@@ -16,11 +16,31 @@ _KINDS = ("H1", "H2", "other", "untagged")
 
 def tagged_reads(clusters: DataFrame, phase: DataFrame) -> DataFrame:
     """node, k, read, tag: H1, H2, untagged (no tag or phase set none, or not in the table), or other (untagged, not tallied)."""
-    reads = clusters.select("node", "k", F.explode("reads").alias("read"))
-    tags = phase.select(F.col("read_name").alias("read"), "haplotype", "phase_set")
+    return _tagged(clusters.select("node", "k", F.explode("reads").alias("read")), phase)
+
+
+_KEY = ("node", "k", "reads")
+
+#: Which of h1, h2 and untagged a tag counts for.
+_SAYS = {"h1": "tag = 'H1'", "h2": "tag = 'H2'", "untagged": "tag IN ('untagged', 'other')"}
+
+
+def _tag():
     none = F.col("haplotype").isNull() | (F.col("haplotype") == "none") | (F.col("phase_set") == "none")
-    tag = F.when(none, "untagged").when(F.col("haplotype").isin("H1", "H2"), F.col("haplotype")).otherwise("other")
-    return reads.join(tags, "read", "left").select("node", "k", "read", tag.alias("tag"))
+    return F.when(none, "untagged").when(F.col("haplotype").isin("H1", "H2"), F.col("haplotype")).otherwise("other")
+
+
+def _tagged(reads: DataFrame, phase: DataFrame) -> DataFrame:
+    tags = phase.select(F.col("read_name").alias("read"), "haplotype", "phase_set")
+    met = reads.join(tags, "read", "left")
+    return met.select(*[c for c in reads.columns if c != "read"], "read", _tag().alias("tag"))
+
+
+def _each_read(clusters: DataFrame) -> DataFrame:
+    """node, k, own (the cluster's other columns, with one of its reads alone) and read: what a cluster has goes along with its reads, so that it is worked out once."""
+    own = F.struct(*[c for c in clusters.columns if c not in _KEY])
+    each = clusters.select("node", "k", own.alias("own"), F.posexplode("reads").alias("nth", "read"))
+    return each.select("node", "k", F.when(F.col("nth") == 0, F.col("own")).alias("own"), "read")
 
 
 def phase_split(clusters: DataFrame, phase: DataFrame | None) -> DataFrame:
@@ -29,8 +49,17 @@ def phase_split(clusters: DataFrame, phase: DataFrame | None) -> DataFrame:
         empty = F.array().cast("array<string>")
         return clusters.select("*", empty.alias("h1"), empty.alias("h2"), F.col("reads").alias("untagged")).drop("reads")
     some = lambda *t: F.sort_array(F.collect_set(F.when(F.col("tag").isin(*t), F.col("read"))))
-    sets = tagged_reads(clusters, phase).groupBy("node", "k").agg(some("H1").alias("h1"), some("H2").alias("h2"), some("untagged", "other").alias("untagged"))
-    return clusters.drop("reads").join(sets, ["node", "k"])
+    sets = _tagged(_each_read(clusters), phase).groupBy("node", "k").agg(F.any_value("own", True).alias("own"), some("H1").alias("h1"), some("H2").alias("h2"), some("untagged", "other").alias("untagged"))
+    return sets.select("node", "k", *[f"own.{c}" for c in clusters.columns if c not in _KEY], "h1", "h2", "untagged")
+
+
+def tallied(clusters: DataFrame, phase: DataFrame) -> DataFrame:
+    """clusters with the numbers of the different reads h1, h2 and untagged in place of reads: the sizes of phase_split's arrays, without putting these together. What a read's rows of tags say comes down to
+    a row before they are joined."""
+    tags = phase.select(F.col("read_name").alias("read"), _tag().alias("tag")).groupBy("read").agg(*[F.bool_or(F.expr(c)).alias(n) for n, c in _SAYS.items()])
+    met = _each_read(clusters).join(tags, "read", "left").withColumn("untagged", F.coalesce("untagged", F.col("read").isNotNull()))
+    sums = met.groupBy("node", "k").agg(F.any_value("own", True).alias("own"), *[F.count_if(n).cast("int").alias(n) for n in _SAYS])
+    return sums.select("node", "k", *[f"own.{c}" for c in clusters.columns if c not in _KEY], *_SAYS)
 
 
 def phase_summary(clusters: DataFrame, phase: DataFrame) -> DataFrame:
@@ -53,17 +82,30 @@ def candidates(split: DataFrame, phased: bool, skip_untagged: bool = False) -> D
 
 def gate(found: DataFrame, coverage: DataFrame, support: int) -> DataFrame:
     """The candidates with depth and reason: pass, or why not."""
-    depths = found.join(coverage.select("contig", "coverage"), "contig", "left")
-    least = float(max(3, support // 2))
+    return reasoned(with_depth(found, coverage), least_reads(support))
+
+
+def least_reads(support: int) -> float:
+    return float(max(3, support // 2))
+
+
+def with_depth(found: DataFrame, coverage: DataFrame) -> DataFrame:
+    """found with its contigs' depth. Contigs are few, and a table of theirs that was written before is broadcast by its size."""
     depth = F.greatest(F.lit(float(MIN_DEPTH)), F.coalesce("coverage", F.lit(0.0)))
-    return reasoned(depths.withColumn("depth", depth), least).drop("coverage")
+    return found.join(coverage.select("contig", "coverage"), "contig", "left").withColumn("depth", depth).drop("coverage")
+
+
+def reason(depth: Column, cluster_reads: Column, reads: Column, least: float) -> Column:
+    """What the gate says of so many reads of a cluster."""
+    d, c = depth, cluster_reads
+    return F.when(2 * d < c, "high_coverage").when(d > 5 * c, "low_coverage").when(reads < least, "low_support").when(d > MAX_CONTIG_DEPTH, "max_contig_depth").otherwise("pass")
 
 
 def reasoned(found: DataFrame, least: float) -> DataFrame:
     """With zscore (how far the reads lie from the depth, in its standard deviations) and reason, from depth, cluster_reads and reads."""
     d, c, r = F.col("depth"), F.col("cluster_reads"), F.size("reads")
     found = found.withColumn("zscore", F.when(d > 0, (r - d) / F.sqrt(F.when(d > 0, d))).otherwise(F.lit(0.0)))
-    return found.withColumn("reason", F.when(2 * d < c, "high_coverage").when(d > 5 * c, "low_coverage").when(r < least, "low_support").when(d > MAX_CONTIG_DEPTH, "max_contig_depth").otherwise("pass"))
+    return found.withColumn("reason", reason(d, c, r, least))
 
 
 def unmapped_candidate(unmapped: DataFrame, support: int) -> DataFrame:

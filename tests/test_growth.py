@@ -107,3 +107,59 @@ def test_clusters_between_the_ends_of_a_node_go_through_no_shuffle(spark):
     assert sorted(map(str, told.collect())) == sorted(map(str, want.collect())) and told.where("merged_away").count() == 3
     p = plan(told)
     assert "Union" in p and "Exchange" not in p[p.rindex("(NOT (k") if "(NOT (k" in p else p.rindex("NOT"):]
+
+
+def test_coverage_looks_paths_up_in_one_go(spark):
+    """The sums of a path go along with its first step: alignments are scanned once, and no path is joined to itself."""
+    nodes = spark.createDataFrame([("a", 50, 0, "x"), ("b", None, 50, "x"), ("c", 100, 0, None)], "name string, len int, offset int, contig string")
+    some = lines(spark, {}, {"path": "<q>a>c>a"}, {"path": ">c", "path_end": None}, {"path": ""}, {"path": ">q"})
+    assert plan(al.with_steps(al.path_sums(some), nodes)).count("Scan ExistingRDD[line_no") == 1
+    got = {r["path"]: (r["lines"], r["span"], r["n"], [k["i"] for k in r["known"]]) for r in al.with_steps(al.path_sums(some), nodes).collect()}
+    assert got == {">a>b>c": (1, 145, 3, [1, 2, 3]), "<q>a>c>a": (1, 145, 4, [2, 3, 4]), ">c": (1, None, 1, [1]), ">q": (1, 145, 1, [])}
+    assert sorted(map(tuple, al.credits(some, nodes).collect()), key=str) == sorted([("x", 45, 1, 1), ("x", None, 0, 0), (None, None, 0, 0), ("x", 50, 1, 1), (None, 100, 0, 0), ("x", -5, 0, 0), (None, None, 1, 1)], key=str)
+
+
+def test_tallies_are_the_sizes_of_the_split(spark):
+    """Odd tags too: several rows of a read, nulls, reads without a row. The clusters' rows are worked out once for the split."""
+    from lociloom.operators import haplotypes as hp
+
+    clusters = spark.createDataFrame([("n", 1, 5, None, ["a", "b", "c", "d", "e", "f"]), ("n", 2, 9, "x", ["a"]), ("m", 1, 0, "y", [None]), ("m", 2, 1, "y", [])], "node string, k int, start long, contig string, reads array<string>")
+    tags = [("a", "H1", "p"), ("a", "H2", "p"), ("a", "H1", "q"), ("b", "none", "p"), ("b", "H2", "none"), ("c", None, None), ("d", "H3", "p"), ("e", "H2", None), (None, "H1", "p")]
+    phase = spark.createDataFrame(tags, "read_name string, haplotype string, phase_set string")
+    split, tally = hp.phase_split(clusters, phase), hp.tallied(clusters, phase)
+    sizes = split.select("node", "k", "start", "contig", *[F.size(c).alias(c) for c in ("h1", "h2", "untagged")])
+    assert sorted(map(tuple, sizes.collect()), key=str) == sorted(map(tuple, tally.collect()), key=str)
+    assert plan(split).count("Scan ExistingRDD[node") == 1
+    assert {(r["node"], r["k"]): (r["h1"], r["h2"], r["untagged"]) for r in tally.collect()} == {("n", 1): (1, 2, 4), ("n", 2): (1, 1, 0), ("m", 1): (0, 0, 0)}
+
+
+def test_fold_over_many_batches(spark):
+    """Clusters are as the rule has them locus by locus, wherever batches end."""
+    import random
+
+    import pyarrow as pa
+
+    from lociloom.operators.clusters import fold
+
+    rng = random.Random(4)
+    kinds = pa.schema([("node", pa.string()), ("pos", pa.int64()), ("rest", pa.string()), ("ref", pa.int64()), ("contig", pa.string()), ("read", pa.string())])
+    rows, want = [], []
+    for n in range(40):
+        node, known = f"n{n:02}", n % 7 != 3
+        rows += [(node, None, None, None, None, None)] * (known + known * (n % 2))
+        loci = sorted({(rng.randrange(2**53, 2**53 + 600), rng.choice(["", ":1"])) for _ in range(n)})
+        done = []
+        for pos, rest in loci:
+            reads = {rng.choice([*"abcdefgh", None]) for _ in range(rng.randint(1, 3))}
+            rows += [(node, pos, rest, pos + 5 + k, "c", r) for k, r in enumerate(sorted(reads, key=str))]
+            reads -= {None}
+            if done and (pos - at <= 20 or reads <= done[-1][2]):
+                done[-1][2].update(reads)
+            else:
+                done.append([pos, pos + 5, set(reads)])
+            at = pos
+        want += [(node, k + 1, s, r, "c", sorted(x), k + 1 == len(done)) for k, (s, r, x) in enumerate(done)] if known else []
+    for size in (1, 7, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), kinds.types)], schema=kinds) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in fold(iter(batches), 20) for r in b.to_pylist()]
+        assert got == want and len(want) > 100

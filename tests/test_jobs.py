@@ -131,3 +131,19 @@ def test_command_lines(spark, data, tmp_path, atlas):
     (tmp_path / "c.json").write_text('{"min_base": 5}')
     with pytest.raises(ValueError, match="min_base"):
         config(text_sequences.Config, tmp_path / "c.json")
+
+
+def test_atlas_looks_paths_up_once_and_needs_no_reads_behind_the_merge(spark, data, tmp_path, monkeypatch):
+    """Coverage and signals share one look-up of paths, and the gate goes by numbers of reads within a cluster's row."""
+    from lociloom.operators import alignments
+
+    calls, own = [], alignments.with_steps
+    monkeypatch.setattr(alignments, "with_steps", lambda *a: calls.append(1) or own(*a))
+    sv_atlas.run(spark, sv_atlas.Config(), data, str(tmp_path / "out"))
+    assert len(calls) == 1
+    split = spark.createDataFrame([("n", 1, 5, 7, "c", 4, 3, 1), ("n", 2, 9, None, "d", 0, 0, 9)], "node string, k int, start long, ref long, contig string, h1 int, h2 int, untagged int")
+    coverage = spark.createDataFrame([("c", 8.0)], "contig string, coverage double")
+    for skip, want in ((False, [(8, 1, "pass", "pass", "low_support", "1|1"), (9, 9, "low_support", "low_support", "pass", "0/1")]), (True, [(8, 0, "pass", "pass", None, "1|1"), (9, 0, "low_support", "low_support", None, "./.")])):
+        rows = sv_atlas.atlas(split, coverage, sv_atlas.Config(skip_untagged=skip))
+        assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in rows.orderBy("k").select("reads", "untagged", "h1_gate", "h2_gate", "untagged_gate", "zygosity").collect()] == want
